@@ -7,39 +7,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dialogmeter.functions.text import rstrip
+from dialogmeter.functions.text import WHITESPACE, rstrip
 
-# The public mteval-13a rules, applied in this order.
+# The public mteval-13a rules, applied in this order. The space is left out of the
+# first character class: a space separates tokens with or without more spaces around it.
 UNESCAPE = [("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")]
 SPLIT_RULES = [
-    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "),
+    (r"([\{-\~\[-\`\!-\&\(-\+\:-\@\/])", " $1 "),
     (r"([^0-9])([\.,])", "$1 $2 "),
     (r"([\.,])([^0-9])", " $1 $2"),
     (r"([0-9])(-)", "$1 $2 "),
 ]
-# Fixed value: one run of characters that are not white space.
-TOKEN = (
-    r"[^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-)
 
 
 def spaced_text(c: Column) -> Column:
-    """Text with a space around everything that is a token of its own."""
+    """Text with spaces around everything that is a token of its own."""
     out = rstrip(c)
-    for old, new in [("<skipped>", ""), ("-\n", ""), ("\n", " "), *UNESCAPE]:
+    for old, new in [("<skipped>", ""), ("-\n", ""), *UNESCAPE]:
         out = F.replace(out, F.lit(old), F.lit(new))
+    out = F.translate(out, WHITESPACE, " " * len(WHITESPACE))
     out = F.concat(F.lit(" "), out, F.lit(" "))
     for pattern, replacement in SPLIT_RULES:
         out = F.regexp_replace(out, pattern, replacement)
     return out
 
 
-def tokens(c: Column) -> Column:
-    return F.regexp_extract_all(spaced_text(c), F.lit(TOKEN), F.lit(0))
-
-
 def token_count(c: Column) -> Column:
-    return F.regexp_count(spaced_text(c), F.lit(TOKEN))
+    # A leading marker token makes the empty text count 0 without a case distinction.
+    marked = F.rtrim(F.concat(F.lit("."), spaced_text(c)))
+    return F.size(F.split(marked, " +")) - 1
 
 
 def penalty_from_counts(cand: Column, ref: Column) -> Column:
@@ -62,5 +58,6 @@ def closest_count(cand: Column, refs: Sequence[Column]) -> Column:
 
 
 def brevity_penalty(cand: Column, refs: Sequence[Column]) -> Column:
+    """Penalty of one text against its references; see ``scoring.score`` for whole tables."""
     c = token_count(cand)
     return penalty_from_counts(c, closest_count(c, [token_count(r) for r in refs]))

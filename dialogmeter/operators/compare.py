@@ -30,36 +30,28 @@ def stack_metrics(tables: dict[str, DataFrame], score_col: str = "score", keep:
 
 def metrics_side_by_side(
     tables: dict[str, DataFrame], key: Sequence[str] = ("context", "model"), score_col: str = "score",
-    carry: Sequence[str] = (), text_key: Sequence[str] = ("context",),
+    text_key: Sequence[str] = ("context",),
 ) -> DataFrame:
     """One row per example with a column ``<metric>_score`` per table.
 
     Only examples present in every table stay (an inner join). It is one shuffle over all
-    tables together: rows meet in a grouped aggregate on the natural key, where texts of the
-    key are replaced by their digest. A key that occurs twice in a table is an error.
-    ``carry`` columns are taken from the first table.
+    tables together: rows meet in a grouped aggregate on the natural key, where long texts of
+    the key are replaced by their digest (returned as ``<column>_digest``). A key that occurs
+    twice in a table is an error.
     """
-    first = next(iter(tables))
-    digests = {c: F.sha2(F.col(c), 256) if c in text_key else F.col(c) for c in key}
-    parts = []
-    for name, df in tables.items():
-        carried = [F.col(c) if name == first else F.lit(None).cast(df.schema[c].dataType) for c in carry]
-        parts.append(
-            df.select(
-                *[digests[c].alias(f"_k_{c}") for c in key],
-                F.lit(name).alias("_metric"),
-                F.col(score_col).cast("double").alias("_score"),
-                *[c.alias(f"_c_{n}") for c, n in zip(carried, carry)],
-            )
-        )
+    digests = {c: F.sha2(F.col(c), 256).alias(f"{c}_digest") if c in text_key else F.col(c) for c in key}
+    parts = [
+        df.select(*digests.values(), F.lit(name).alias("_metric"), F.col(score_col).cast("double").alias("_score"))
+        for name, df in tables.items()
+    ]
     rows = reduce(DataFrame.unionByName, parts)
+    names = [c for c in rows.columns if c not in ("_metric", "_score")]
     aggregates = []
     for name in tables:
         here = F.col("_metric") == name
         aggregates.append(F.count_if(here).alias(f"_n_{name}"))
         aggregates.append(F.max(F.when(here, F.col("_score"))).alias(f"_s_{name}"))
-    aggregates += [F.max(f"_c_{c}").alias(c) for c in carry]
-    grouped = rows.groupBy(*[f"_k_{c}" for c in key]).agg(*aggregates)
+    grouped = rows.groupBy(*names).agg(*aggregates)
     in_all = reduce(lambda a, b: a & b, [F.col(f"_n_{name}") > 0 for name in tables])
 
     def single(name: str) -> Column:
@@ -67,11 +59,7 @@ def metrics_side_by_side(
             F.raise_error(F.lit(f"two rows of metric {name} share one key")).cast("double")
         )
 
-    return grouped.where(in_all).select(
-        *[F.col(f"_k_{c}").alias(f"{c}_digest" if c in text_key else c) for c in key],
-        *carry,
-        *[single(name).alias(f"{name}_score") for name in tables],
-    )
+    return grouped.where(in_all).select(*names, *[single(name).alias(f"{name}_score") for name in tables])
 
 
 def with_row_index(df: DataFrame, order: Sequence[str], name: str = "row_id") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialogmeter.functions.combine import COMBINERS
-from dialogmeter.functions.tokens import brevity_penalty, closest_count, penalty_from_counts, token_count
+from dialogmeter.functions.tokens import closest_count, penalty_from_counts, token_count
 from dialogmeter.operators.references import TextColumns, check_mode, reference_columns
 
 # A loaded model: candidates and their reference lists in, one score each out.

@@ -37,7 +37,7 @@ side as (select cnt.conv_id, cnt.turn, cnt.model, {_BP_REF} as length_score, {_B
     f"with {SIDE_SQL} select conv_id, turn, model, {sqltext.rounded([f'{n}_score' for n in NAMES])} from side",
 )
 def metric_wide(spark, sf_dir):
-    wide = compare.metrics_side_by_side(score_tables(spark, sf_dir), key=[*KEY, "context"], carry=["model"])
+    wide = compare.metrics_side_by_side(score_tables(spark, sf_dir), key=[*KEY, "context", "model"])
     return wide.select(*KEY, "model", *[F.round(f"{n}_score", 6).alias(f"{n}_score") for n in NAMES])
 
 
@@ -69,7 +69,7 @@ _POINTS = " union all ".join(
     select scope, x_name, y_name, {sqltext.rounded(sqltext.FIT_COLUMNS)}, n from fit""",
 )
 def metric_pairs(spark, sf_dir):
-    wide = compare.metrics_side_by_side(score_tables(spark, sf_dir), key=[*KEY, "context"], carry=["model"])
+    wide = compare.metrics_side_by_side(score_tables(spark, sf_dir), key=[*KEY, "context", "model"])
     return rounded(pair_regressions(wide, _PAIRS, {"all": None, "excl_human": compare.not_human()}))
 
 
@@ -94,13 +94,13 @@ def stacked_metrics(spark, sf_dir):
 
 @query(
     "q_shape_audit",
-    f"""with {SIDE_SQL} select 'length' as table_name, count(*) as n_rows, 9::bigint as n_cols from side
-    union all select 'length_context', count(*), 9 from side union all select 'overlap', count(*), 9 from side
+    f"""with {SIDE_SQL} select 'length' as table_name, count(*) as n_rows, 10::bigint as n_cols from side
+    union all select 'length_context', count(*), 10 from side union all select 'overlap', count(*), 10 from side
     union all select 'merged', count(*), 7 from side""",
 )
 def shape_audit(spark, sf_dir):
-    tables = {name: df.drop("context") for name, df in score_tables(spark, sf_dir).items()}
-    merged = compare.metrics_side_by_side(tables, key=KEY, text_key=(), carry=["cand", "ref"])
+    tables = score_tables(spark, sf_dir)
+    merged = compare.metrics_side_by_side(tables, key=[*KEY, "context", "model"])
     return compare.shape_audit({**tables, "merged": merged})
 
 

@@ -3,8 +3,18 @@
 from __future__ import annotations
 
 from dialogmeter.functions.text import WHITESPACE
-from dialogmeter.functions.tokens import SPLIT_RULES, TOKEN, UNESCAPE
-
+from dialogmeter.functions.tokens import UNESCAPE
+
+# The full mteval-13a rules and one run of characters that are not white space.
+SPLIT_RULES = [
+    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "),
+    (r"([^0-9])([\.,])", "$1 $2 "),
+    (r"([\.,])([^0-9])", " $1 $2"),
+    (r"([0-9])(-)", "$1 $2 "),
+]
+TOKEN = (
+    r"[^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+)
 SPACES = " || ".join(f"chr({ord(c)})" for c in WHITESPACE)
 
 
