@@ -29,19 +29,21 @@ def stack_metrics(tables: dict[str, DataFrame], score_col: str = "score", keep:
 
 
 def metrics_side_by_side(
-    tables: dict[str, DataFrame], key: Sequence[str] = ("context", "model"), score_col: str = "score",
-    text_key: Sequence[str] = ("context",),
+    tables: dict[str, DataFrame], key: Sequence[str] = ("context", "model"),
+    score_col: str | dict[str, str] = "score", text_key: Sequence[str] = ("context",),
 ) -> DataFrame:
     """One row per example with a column ``<metric>_score`` per table.
 
     Only examples present in every table stay (an inner join). It is one shuffle over all
     tables together: rows meet in a grouped aggregate on the natural key, where long texts of
     the key are replaced by their digest (returned as ``<column>_digest``). A key that occurs
-    twice in a table is an error.
+    twice in a table is an error. ``score_col`` names the score column, per table if need be.
     """
+    if isinstance(score_col, str):
+        score_col = dict.fromkeys(tables, score_col)
     digests = {c: F.sha2(F.col(c), 256).alias(f"{c}_digest") if c in text_key else F.col(c) for c in key}
     parts = [
-        df.select(*digests.values(), F.lit(name).alias("_metric"), F.col(score_col).cast("double").alias("_score"))
+        df.select(*digests.values(), F.lit(name).alias("_metric"), F.col(score_col[name]).cast("double").alias("_score"))
         for name, df in tables.items()
     ]
     rows = reduce(DataFrame.unionByName, parts)

@@ -11,32 +11,31 @@ from dialogmeter.functions.text import nan_to_null
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Long matrix ``(col_a, col_b, r, n)`` over pairwise complete rows, both triangles.
+    """Long matrix ``(col_a, col_b, r, n)`` over pairwise complete rows.
 
-    Each pair is aggregated once, in partial aggregates of one row per task and pair; the
-    mirrored half and the order of names are added to the small result.
+    Each row is expanded once per column and every copy is correlated with all columns in a
+    partial aggregate. That is k copies and k aggregates: unlike k * k copies or k * k
+    aggregates, both stay within generated code for tens of columns. What is shuffled is one
+    small row per task and column.
     """
     columns = list(columns)
-    clean = {c: nan_to_null(F.col(c).cast("double")) for c in columns}
-    cells = [
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), clean[a].alias("x"), clean[b].alias("y"))
-        for i, a in enumerate(columns)
-        for b in columns[i:]
-    ]
-    x, y = F.col("x"), F.col("y")
-    upper = df.select(F.inline(F.array(*cells))).groupBy("col_a", "col_b").agg(
-        F.regr_count(y, x).alias("n"),
-        F.regr_sxx(y, x).alias("_sxx"), F.regr_syy(y, x).alias("_syy"), F.regr_sxy(y, x).alias("_sxy"),
-    )
-    defined = (F.col("_sxx") > 0) & (F.col("_syy") > 0) & (F.col("n") > 1)
-    r = F.when(defined, F.col("_sxy") / (F.sqrt("_sxx") * F.sqrt("_syy")))
-    both = F.when(F.col("col_a") == F.col("col_b"), F.array(F.struct("col_a", "col_b"))).otherwise(
-        F.array(
-            F.struct(F.col("col_a"), F.col("col_b")),
-            F.struct(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b")),
-        )
-    )
-    return upper.select(F.explode(both).alias("_pair"), r.alias("r"), "n").select("_pair.col_a", "_pair.col_b", "r", "n")
+    numbers = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in columns])
+    copies = numbers.unpivot(columns, columns, "_col_a", "_x")
+    aggregates = []
+    for i, c in enumerate(columns):
+        pair = F.when(F.col(c).isNotNull(), F.col("_x"))
+        aggregates += [
+            F.covar_pop("_x", c).alias(f"_c{i}"), F.var_pop(pair).alias(f"_vx{i}"),
+            F.var_pop(F.when(F.col("_x").isNotNull(), F.col(c))).alias(f"_vy{i}"), F.count(pair).alias(f"_n{i}"),
+        ]
+    cells = []
+    for i, c in enumerate(columns):
+        vx, vy = F.col(f"_vx{i}"), F.col(f"_vy{i}")
+        r = F.when((vx > 0) & (vy > 0), F.col(f"_c{i}") / (F.sqrt(vx) * F.sqrt(vy)))
+        r = F.greatest(F.least(r, F.when(r.isNotNull(), F.lit(1.0))), F.when(r.isNotNull(), F.lit(-1.0)))
+        cells.append(F.struct(F.lit(c).alias("col_b"), r.alias("r"), F.col(f"_n{i}").alias("n")))
+    rows = copies.groupBy("_col_a").agg(*aggregates)
+    return rows.select(F.col("_col_a").alias("col_a"), F.inline(F.array(*cells)))
 
 
 def wide_matrix(long: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -19,37 +19,40 @@ def linear_regression(
 ) -> DataFrame:
     """Fit ``y = intercept + slope * x`` in every group.
 
-    One pass: six moments are combined map-side, so a group of any size costs one small row per
+    One pass: a few moments are combined map-side, so a group of any size costs one small row per
     task. ``nulls="skip"`` uses complete pairs; ``"propagate"`` gives null measures for a group
     with an incomplete pair, as a fit over missing values would. A constant ``x`` has no fit;
     a constant ``y`` has r = 0.
     """
     if nulls not in ("skip", "propagate"):
         raise ValueError("nulls must be 'skip' or 'propagate'")
-    pairs = df.select(
-        *by, nan_to_null(F.col(x).cast("double")).alias("_x"), nan_to_null(F.col(y).cast("double")).alias("_y")
+    a, b = (nan_to_null(F.col(c).cast("double")) for c in (x, y))
+    pairs = df.select(*by, a.alias("_x0"), b.alias("_y0")).select(
+        *by,
+        F.when(F.col("_y0").isNotNull(), F.col("_x0")).alias("_x"),
+        F.when(F.col("_x0").isNotNull(), F.col("_y0")).alias("_y"),
     )
-    a, b = F.col("_x"), F.col("_y")
+    # Both sides of a pair are present or missing together, so plain moments can be used.
     moments = pairs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_rows"),
-        F.regr_count(b, a).alias("n"),
-        F.regr_avgx(b, a).alias("_mx"),
-        F.regr_avgy(b, a).alias("_my"),
-        F.regr_sxx(b, a).alias("_sxx"),
-        F.regr_syy(b, a).alias("_syy"),
-        F.regr_sxy(b, a).alias("_sxy"),
+        F.count("_x").alias("n"),
+        F.avg("_x").alias("_mx"),
+        F.avg("_y").alias("_my"),
+        F.var_pop("_x").alias("_vx"),
+        F.var_pop("_y").alias("_vy"),
+        F.covar_pop("_x", "_y").alias("_cxy"),
     )
-    usable = (F.col("n") >= 2) & (F.col("_sxx") > 0)
+    usable = (F.col("n") >= 2) & (F.col("_vx") > 0)
     if nulls == "propagate":
         usable = usable & (F.col("n") == F.col("_rows"))
-    raw_r = F.col("_sxy") / (F.sqrt("_sxx") * F.sqrt("_syy"))
-    r = F.when(F.col("_syy") > 0, F.greatest(F.least(raw_r, F.lit(1.0)), F.lit(-1.0))).otherwise(F.lit(0.0))
+    raw_r = F.col("_cxy") / (F.sqrt("_vx") * F.sqrt("_vy"))
+    r = F.when(F.col("_vy") > 0, F.greatest(F.least(raw_r, F.lit(1.0)), F.lit(-1.0))).otherwise(F.lit(0.0))
     fitted = (
-        moments.withColumn("slope", F.when(usable, F.col("_sxy") / F.col("_sxx")))
+        moments.withColumn("slope", F.when(usable, F.col("_cxy") / F.col("_vx")))
         .withColumn("r", F.when(usable, r))
         .withColumn("intercept", F.col("_my") - F.col("slope") * F.col("_mx"))
     )
-    spread = (F.lit(1.0) - F.col("r") * F.col("r")) * F.col("_syy") / F.col("_sxx") / (F.col("n") - 2)
+    spread = (F.lit(1.0) - F.col("r") * F.col("r")) * F.col("_vy") / F.col("_vx") / (F.col("n") - 2)
     return fitted.select(
         *by,
         "slope",
@@ -57,7 +60,7 @@ def linear_regression(
         "r",
         (F.col("r") * F.col("r")).alias("r2"),
         correlation_p_value(F.col("r"), F.col("n")).alias("p"),
-        F.when(F.col("n") > 2, F.sqrt(spread)).alias("stderr"),
+        F.when(F.col("r").isNotNull() & (F.col("n") > 2), F.sqrt(spread)).alias("stderr"),
         "n",
     )
 

@@ -80,10 +80,10 @@ def compare_components(scored: DataFrame, components: Sequence[str]) -> DataFram
 
 def compare_metrics(
     tables: dict[str, DataFrame], pairs: Sequence[tuple[str, str]], key: Sequence[str] = ("context", "model"),
-    text_key: Sequence[str] = ("context",),
+    text_key: Sequence[str] = ("context",), score_col: str | dict[str, str] = "score",
 ) -> DataFrame:
     """Metrics regressed on each other, over all rows and without the human answers."""
-    wide = compare.metrics_side_by_side(tables, key, text_key=text_key)
+    wide = compare.metrics_side_by_side(tables, key, score_col, text_key)
     named = [(f"{x}_score", f"{y}_score") for x, y in pairs]
     scopes = {"all": None, "excl_human": compare.not_human()}
     return regression.pair_regressions(wide, named, scopes).withColumns(

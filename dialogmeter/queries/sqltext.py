@@ -57,10 +57,10 @@ def fits(source: str, x: str, y: str, by: list[str]) -> str:
 moments as (
   select {keys} regr_count({y}, {x}) as n, regr_slope({y}, {x}) as slope, regr_intercept({y}, {x}) as intercept,
     case when regr_syy({y}, {x}) = 0 then 0.0 else corr({y}, {x}) end as r,
-    regr_sxx({y}, {x}) as sxx, regr_syy({y}, {x}) as syy
+    regr_sxx({y}, {x}) as sxx, regr_syy({y}, {x}) as syy, row_number() over () as id
   from {source} {group}),
 bounds as (
-  select *, asin(least(abs(r), 1.0)) as lo, least(pi()/2, 14/sqrt(n)) as hi, row_number() over () as id
+  select *, asin(least(abs(r), 1.0)) as lo, least(pi()/2, 14/sqrt(n)) as hi
   from moments where n >= 3 and sxx > 0),
 steps as (
   select id, n, i, case when i = 0 or i = 4000 then 1 when i % 2 = 1 then 4 else 2 end as w, lo, hi
@@ -71,9 +71,10 @@ areas as (
     max(hi) * sum(w * pow(greatest(cos(hi * i / 4000), 0), n - 3)) as total
   from steps group by id),
 fit as (
-  select {keys} n, slope, intercept, r, r*r as r2, tail/total as p,
-    sqrt(greatest(1 - r*r, 0) * syy / sxx / (n - 2)) as stderr
-  from bounds join areas using (id))
+  select {keys} n, case when sxx > 0 then slope end as slope, case when sxx > 0 then intercept end as intercept,
+    case when sxx > 0 then r end as r, case when sxx > 0 then r*r end as r2, tail/total as p,
+    case when sxx > 0 and n > 2 then sqrt(greatest(1 - r*r, 0) * syy / sxx / (n - 2)) end as stderr
+  from moments left join areas using (id))
 """
 
 
