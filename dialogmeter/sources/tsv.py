@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 
 from dialogmeter.functions.text import na_to_null, nan_to_null
 
-# The dialect of the files.
-DIALECT = {"sep": "\t", "header": True, "quote": '"', "escape": '"', "multiLine": True, "lineSep": "\n"}
+# The dialect of the files. The line end is found out per file, because files from
+# other writers end their lines with a carriage return too.
+DIALECT = {"sep": "\t", "header": True, "quote": '"', "escape": '"', "multiLine": True}
 INDEX_COLUMN = "_c0"
 
 
