@@ -8,6 +8,7 @@ from dialogmeter.plans.workflows import (
     compare_metrics,
     correlate,
     correlate_votes,
+    evaluate,
     explain_overall,
     preprocess,
     rating_correlation,
@@ -19,6 +20,6 @@ from dialogmeter.plans.workflows import (
 
 __all__ = [
     "Catalog", "TextColumns", "VOTE_TEXTS", "compare_components", "compare_metrics", "correlate",
-    "correlate_votes", "explain_overall", "preprocess", "rating_correlation", "rating_lines",
+    "correlate_votes", "evaluate", "explain_overall", "preprocess", "rating_correlation", "rating_lines",
     "register_scorer", "score", "score_examples", "score_votes", "vote_table",
 ]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialogmeter.session import cut_lineage
@@ -79,17 +79,15 @@ def with_row_index(df: DataFrame, order: Sequence[str], name: str = "row_id") ->
     placed = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn(
         "_pos", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     )
-    # One row per partition of the layout.
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).orderBy("_part").collect()
-    offsets, start = {}, 0
-    for row in sizes:
-        offsets[row["_part"]] = start
-        start += row["_n"]
-    if not offsets:
-        return df.withColumn(name, F.lit(None).cast("bigint"))
-    table = df.sparkSession.createDataFrame(list(offsets.items()), "_part bigint, _offset bigint")
+    # One row per partition of the layout, so the running sum and the broadcast are small.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        placed.groupBy("_part")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    )
     return (
-        placed.join(F.broadcast(table), "_part")
+        placed.join(F.broadcast(offsets), "_part")
         .withColumn(name, F.col("_offset") + F.col("_pos"))
         .drop("_at", "_part", "_pos", "_offset")
     )

@@ -36,13 +36,15 @@ def explode_responses(records: DataFrame, reference: str = "record") -> DataFram
     if reference not in ("record", "preceding"):
         raise ValueError("reference must be 'record' or 'preceding'")
     keep = [c for c in records.columns if c != "responses"]
-    rows = records.select(*keep, "responses", F.posexplode("responses").alias("position", "r"))
-    ref = (
-        record_reference(F.col("responses"))
-        if reference == "record"
-        else preceding_reference(F.col("responses"), F.col("position"))
-    )
-    return rows.where(~_is_truth(F.col("r"))).select(*keep, "position", ref.alias("ref"), "r")
+    found = F.col("responses")
+    if reference == "record":
+        rows = records.select(*keep, record_reference(found).alias("ref"), F.posexplode(found).alias("position", "r"))
+    else:
+        paired = F.transform(
+            found, lambda r, i: F.struct(preceding_reference(found, i).alias("ref"), i.alias("position"), r.alias("r"))
+        )
+        rows = records.select(*keep, F.inline(paired))
+    return rows.where(~_is_truth(F.col("r"))).select(*keep, "position", "ref", "r")
 
 
 def _ratings(source: str | None, labels: list[str]) -> list[Column]:

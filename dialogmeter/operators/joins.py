@@ -56,3 +56,15 @@ def pair_with_all(rows: DataFrame, others: DataFrame, spread_by: Sequence[str])
     left = rows.withColumn("_slot", slot_of([F.col(c) for c in spread_by], slots))
     right = others.withColumn("_slot", every_slot(slots))
     return left.join(right, "_slot").drop("_slot")
+
+
+def left_join_hot_right(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join whose right side may hold very many rows of one key.
+
+    Adaptive execution cannot split the right side of a left outer join. The matches are found
+    by an inner join, where it can split either side; the rows without a match are added by an
+    anti join against the distinct keys.
+    """
+    matched = left.join(right, list(on))
+    keys = right.select(*on).distinct()
+    return matched.unionByName(left.join(keys, list(on), "left_anti"), allowMissingColumns=True)

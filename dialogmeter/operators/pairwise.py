@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialogmeter.functions.text import trim_prompt
-from dialogmeter.operators.joins import pair_with_all
+from dialogmeter.operators.joins import left_join_hot_right, pair_with_all
 
 
 @dataclass(frozen=True)
@@ -137,7 +137,8 @@ def win_ratio_table(
     """Prompt, reference, candidate and win ratio for every prompt and model of a set.
 
     A prompt appears once per model even without an answer or a vote; several answers of one
-    model to one prompt give several rows.
+    model to one prompt give several rows. In every join the side that may hold many rows of one
+    key is one that adaptive execution can split.
     """
     references = reference_answers(cat, dataset)
     responses = model_responses(cat, dataset)
@@ -147,21 +148,19 @@ def win_ratio_table(
     else:
         wanted = F.lit(ref_id)
     chosen = references.where(F.col("ref_id") == wanted)
-    models = responses.select("model_id").distinct()
-    prompts = answered_contexts(cat, dataset).join(chosen, "prompt_id", "left")
-    prompts = prompts.withColumn("prompt_text", trim_prompt(F.col("prompt_text"), dataset))
-    grid = pair_with_all(prompts, models, spread_by=["prompt_id"])
-    totals = win_ratio(evaluations(cat, dataset), zero_wins)
+    prompts = answered_contexts(cat, dataset)
+    # The grid holds ids only; the texts are joined to the finished rows.
     pair = ["prompt_id", "model_id"]
+    models = responses.select("model_id").distinct()
+    grid = pair_with_all(prompts.select("prompt_id").distinct(), models, spread_by=["prompt_id"])
+    silent = grid.join(responses.select(*pair).distinct(), pair, "left_anti")
     # A model without an answer to a prompt has no name and text, and no id in the table either.
-    answers = responses.withColumn("_answered", F.col("model_id"))
-    return (
-        grid.join(totals, pair, "left")
-        .join(answers, pair, "left")
-        .select(
-            "prompt_id", "prompt_text", "ref_id", "reference_name", "reference_text",
-            F.col("_answered").alias("model_id"), "model_name", "candidate_text", "win_ratio", "counts",
-        )
+    rows = responses.withColumn("_answered", F.col("model_id")).unionByName(silent, allowMissingColumns=True)
+    rows = rows.join(win_ratio(evaluations(cat, dataset), zero_wins), pair, "left")
+    prompts = prompts.withColumn("prompt_text", trim_prompt(F.col("prompt_text"), dataset))
+    return rows.join(left_join_hot_right(prompts, chosen, ["prompt_id"]), "prompt_id").select(
+        "prompt_id", "prompt_text", "ref_id", "reference_name", "reference_text",
+        F.col("_answered").alias("model_id"), "model_name", "candidate_text", "win_ratio", "counts",
     )
 
 

@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dialogmeter.session import cut_lineage
+
 # Fixed value: the penalties tried.
 ALPHAS = (0.1, 1.0, 10.0)
 TEST_SHARE = 4
@@ -25,16 +27,17 @@ def is_test_row(key: Sequence[str], one_in: int = TEST_SHARE) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % one_in == 0
 
 
-def complete_rows(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    return df.na.drop(subset=[*features, target])
+def split_rows(df: DataFrame, features: Sequence[str], target: str, key: Sequence[str]) -> DataFrame:
+    """Complete rows as numbers, with their split."""
+    names = [*features, target]
+    return df.na.drop(subset=names).select(
+        is_test_row(key).alias("is_test"), *[F.col(c).cast("double").alias(c) for c in names]
+    )
 
 
-def split_moments(df: DataFrame, features: Sequence[str], target: str, key: Sequence[str]) -> DataFrame:
+def split_moments(rows: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """Row count, means and centred cross products of the training and the test rows."""
     names = [*features, target]
-    rows = complete_rows(df, features, target).select(
-        is_test_row(key).alias("is_test"), *[F.col(c).cast("double").alias(c) for c in names]
-    )
     aggregates = [F.count(F.lit(1)).alias("n")]
     aggregates += [F.avg(c).alias(f"mean_{c}") for c in names]
     for i, a in enumerate(names):
@@ -98,12 +101,9 @@ def _leverage(features: Sequence[str], inverse: np.ndarray, mean: np.ndarray, n:
 
 
 def penalty_errors(
-    df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], train: Moments, alphas: Sequence[float]
+    rows: DataFrame, features: Sequence[str], target: str, train: Moments, alphas: Sequence[float]
 ) -> DataFrame:
     """Leave-one-out error on the training rows and test error, one row per penalty."""
-    rows = complete_rows(df, features, target).select(
-        is_test_row(key).alias("_test"), *[F.col(c).cast("double").alias(c) for c in [*features, target]]
-    )
     cells = []
     for alpha in alphas:
         xx = train.scatter[:-1, :-1]
@@ -114,8 +114,8 @@ def penalty_errors(
         cells.append(
             F.struct(
                 F.lit(float(alpha)).alias("alpha"),
-                F.when(~F.col("_test"), left_out * left_out).alias("loo"),
-                F.when(F.col("_test"), final * final).alias("test"),
+                F.when(~F.col("is_test"), left_out * left_out).alias("loo"),
+                F.when(F.col("is_test"), final * final).alias("test"),
             )
         )
     return (
@@ -125,34 +125,38 @@ def penalty_errors(
     )
 
 
-def _read_moments(df, features, target, key) -> dict[bool, Moments]:
+def _read_moments(rows: DataFrame, features: Sequence[str], target: str) -> dict[bool, Moments]:
     # At most two rows: training and test.
     names = [*features, target]
-    rows = split_moments(df, features, target, key).collect()
-    return {row["is_test"]: Moments.from_row(row, names) for row in rows}
+    return {row["is_test"]: Moments.from_row(row, names) for row in split_moments(rows, features, target).collect()}
 
 
 def ridge_errors(
     df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], alphas: Sequence[float] = ALPHAS
 ) -> DataFrame:
     """Table of penalties with their errors."""
-    train = _read_moments(df, features, target, key)[False]
-    return penalty_errors(df, features, target, key, train, alphas)
+    rows = cut_lineage(split_rows(df, features, target, key))
+    return penalty_errors(rows, features, target, _read_moments(rows, features, target)[False], alphas)
 
 
 def ridge_parameters(
     df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], alphas: Sequence[float] = ALPHAS
 ) -> DataFrame:
-    """Best penalty, its test error, and the weights refitted on all rows: ``(param, value)``."""
-    moments = _read_moments(df, features, target, key)
+    """Best penalty, its test error, and the weights refitted on all rows: ``(param, value)``.
+
+    The few numeric columns are kept in the shared folder first, so that the second pass does
+    not repeat whatever produced them.
+    """
+    rows = cut_lineage(split_rows(df, features, target, key))
+    moments = _read_moments(rows, features, target)
     train = moments[False]
     # One row per candidate penalty.
-    errors = penalty_errors(df, features, target, key, train, alphas).collect()
+    errors = penalty_errors(rows, features, target, train, alphas).collect()
     best = min(errors, key=lambda e: (e["loo_mse"], e["alpha"]))
     everything = train.merge(moments[True]) if True in moments else train
     weights = everything.unit_norm_ridge(best["alpha"])
     intercept = everything.mean[-1] - float(weights @ everything.mean[:-1])
-    rows = [("alpha", float(best["alpha"])), ("mse", best["test_mse"])]
-    rows += [(f"coef_{name}", float(w)) for name, w in zip(features, weights)]
-    rows.append(("intercept", float(intercept)))
-    return df.sparkSession.createDataFrame(rows, "param string, value double")
+    result = [("alpha", float(best["alpha"])), ("mse", best["test_mse"])]
+    result += [(f"coef_{name}", float(w)) for name, w in zip(features, weights)]
+    result.append(("intercept", float(intercept)))
+    return df.sparkSession.createDataFrame(result, "param string, value double")

@@ -13,6 +13,7 @@ from dialogmeter.operators.correlation import correlation_matrix
 from dialogmeter.operators.references import VOTE_TEXTS, TextColumns
 from dialogmeter.operators.scoring import score
 from dialogmeter.sinks.tables import write_tsv
+from dialogmeter.session import cut_lineage
 from dialogmeter.sources.dialog_json import read_examples
 
 
@@ -57,6 +58,27 @@ def explain_overall(medians: DataFrame, key: Sequence[str], target: str = "overa
     return ridge.ridge_parameters(medians, features, target, key)
 
 
+def evaluate(
+    examples: DataFrame, metric: str, mode: str = "ref", texts: TextColumns = TextColumns(),
+    key: Sequence[str] = ("context", "model"), target: str = "overall", out: str | None = None,
+) -> dict[str, DataFrame]:
+    """Score examples and report on them: fits per rating, rating matrix, ridge parameters.
+
+    Scores and median ratings are computed once into the shared folder; the three reports read
+    that narrow table.
+    """
+    scored = score_examples(examples, metric, mode, texts, out)
+    qualities = quality_columns(scored.columns)
+    digest = F.sha2(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in key]), 256)
+    medians = cut_lineage(median_table(scored.withColumn("example_key", digest), qualities, keep=["example_key", "score"]))
+    fits = regression.linear_regression(long_form(medians, qualities, keep=["score"]), "score", "rating", ["quality"])
+    return {
+        "fits": fits,
+        "matrix": correlation_matrix(medians, qualities),
+        "ridge": explain_overall(medians.drop("score"), ["example_key"], target),
+    }
+
+
 def vote_table(
     cat: pairwise.Catalog, dataset: str, ref_id: int | None = None, zero_wins: str = "null", out: str | None = None
 ) -> DataFrame:

@@ -217,7 +217,8 @@ rows as (select {_SPLIT} as is_test, understandable as a, engaging as b, overall
     from rows group by 1""",
 )
 def ridge_gram(spark, sf_dir):
-    moments = ridge.split_moments(_ridge_rows(spark, sf_dir), _FEATURES, "overall", KEY)
+    rows = ridge.split_rows(_ridge_rows(spark, sf_dir), _FEATURES, "overall", KEY)
+    moments = ridge.split_moments(rows, _FEATURES, "overall")
     return moments.select(
         "is_test", "n",
         *[F.round(c, 6 if c.startswith("mean") else 4).alias(c) for c in moments.columns if c not in ("is_test", "n")],

@@ -60,3 +60,11 @@ def test_pairs_with_all_rows_of_the_other_table(spark):
     assert sorted((r.a, r.b) for r in grid.collect()) == [(a, b) for a in range(20) for b in range(5)]
     plan = grid._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_left_join_with_a_hot_right_side(spark):
+    left = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k int, l string")
+    right = spark.createDataFrame([(1, i) for i in range(50)] + [(3, 1)], "k int, r int")
+    key = lambda r: (r.k is None, r.k, r.l, r.r is None, r.r)
+    got = sorted(joins.left_join_hot_right(left, right, ["k"]).select("k", "l", "r").collect(), key=key)
+    assert got == sorted(left.join(right, "k", "left").select("k", "l", "r").collect(), key=key)

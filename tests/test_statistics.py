@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from dialogmeter import evaluate, score
 from dialogmeter.functions.pvalue import correlation_p_value
 from dialogmeter.operators import joins, regression
 from dialogmeter.operators.correlation import correlation_matrix, wide_matrix
@@ -159,3 +160,17 @@ def test_metrics_against_each_other(spark):
     got = {r.scope: r for r in compare_metrics(tables, [("one", "two")]).collect()}
     assert got["all"].n == 4 and got["excl_human"].n == 3
     assert got["excl_human"].r == pytest.approx(1.0) and (got["all"].x_name, got["all"].y_name) == ("one", "two")
+
+
+def test_evaluate_scores_and_reports(spark):
+    rows = [
+        (f"c{i}\nlast {'w ' * (i % 5)}", "r " * (i % 4 + 1), "x " * (i % 7 + 1), f"m{i % 3}", f"[{i % 2}, 1, 0]", f"[{i % 3 + 1}]", f"[{i % 5}, {i % 4}]")
+        for i in range(60)
+    ]
+    table = spark.createDataFrame(rows, "context string, ref string, cand string, model string, natural string, engaging string, overall string")
+    got = evaluate(table, "bleu", "ref")
+    assert {r.quality for r in got["fits"].collect()} == {"natural", "engaging", "overall"}
+    assert got["matrix"].count() == 9
+    assert [r.param for r in got["ridge"].collect()] == ["alpha", "mse", "coef_natural", "coef_engaging", "intercept"]
+    direct = {r.quality: r.r for r in correlate(score(table, "bleu", "ref")).collect()}
+    assert {r.quality: r.r for r in got["fits"].collect()} == pytest.approx(direct)
