@@ -1,8 +1,13 @@
-"""Joins against tables that are small only if the data says so."""
+"""Joins that stay even when one key holds much of the data.
+
+Adaptive execution splits a skewed join only when both inputs come straight from a shuffle. Here
+they often come from an aggregate or another join, so hot keys are spread explicitly.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,32 +22,81 @@ def spread_count(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slot_of(keys: Sequence[Column], slots: int) -> Column:
-    """Slot of a row by the hash of its own values, so that a re-run task gives the same one."""
-    return F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("int")
+def slot_of(keys: Sequence[Column], slots: Column | int) -> Column:
+    """Slot of a row from its values and its input partition.
+
+    Both are the same when a lost task is run again. The partition spreads exact copies, which
+    the values alone would keep together.
+    """
+    count = F.lit(slots) if isinstance(slots, int) else slots
+    return F.pmod(F.xxhash64(*keys) + F.spark_partition_id(), count).cast("int")
+
+
+def every_slot(slots: Column | int) -> Column:
+    count = F.lit(slots) if isinstance(slots, int) else slots
+    return F.explode(F.sequence(F.lit(0), count - 1))
+
+
+def hot_keys(rows: DataFrame, on: Sequence[str], slots: int) -> DataFrame:
+    """Keys with more than half a partition's fair share of ``rows``, and their number of slots.
+
+    There are at most ``2 * slots`` of them, whatever the data.
+    """
+    share = F.greatest(rows.agg((F.count(F.lit(1)) / F.lit(2 * slots)).alias("share")).scalar(), F.lit(1.0))
+    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    return counts.where(F.col("_rows") > share).select(*on, F.ceil(F.col("_rows") / share).cast("int").alias("_copies"))
 
 
-def every_slot(slots: int) -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))
+def join_spreading_hot_keys(
+    big: DataFrame, other: DataFrame, on: Sequence[str], how: str = "inner", counted: DataFrame | None = None
+) -> DataFrame:
+    """Join where ``big`` may hold very many rows of one key (``how``: inner, left, left_semi).
+
+    Rows of a hot key are dealt over several slots and the matching rows of ``other`` are copied
+    to each of them; every other key has one slot. ``counted`` may name a cheaper table whose
+    key frequencies stand for those of ``big``: they decide the spreading, never the result.
+    """
+    if how not in ("inner", "left", "left_semi"):
+        raise ValueError("how must be 'inner', 'left' or 'left_semi'")
+    on = list(on)
+    slots = spread_count(big)
+    # Bounded by twice the number of partitions, so it may be broadcast.
+    hot = F.broadcast(hot_keys((big if counted is None else counted).select(*on), on, slots))
+    values = [F.col(c) for c in big.columns]
+    no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
+    # A row without a key matches nothing and may lie anywhere.
+    spread = F.when(no_key, slot_of(values, slots)).otherwise(slot_of(values, F.coalesce(F.col("_copies"), F.lit(1))))
+    dealt = big.join(hot, on, "left").withColumn("_slot", spread).drop("_copies")
+    copies = other.join(hot, on, "left").withColumn("_slot", every_slot(F.coalesce(F.col("_copies"), F.lit(1)))).drop("_copies")
+    return dealt.join(copies, [*on, "_slot"], how).drop("_slot")
+
+
+def left_join_hot_right(
+    left: DataFrame, right: DataFrame, on: Sequence[str], counted: DataFrame | None = None
+) -> DataFrame:
+    """Left join whose right side may hold very many rows of one key.
+
+    The matches come from an inner join that spreads them; rows without a match are added by an
+    anti join against the distinct keys.
+    """
+    matched = join_spreading_hot_keys(right, left, on, counted=counted)
+    keys = right.select(*on).distinct()
+    return left.join(keys, list(on), "left_anti").unionByName(matched, allowMissingColumns=True)
 
 
 def join_group_table(
-    big: DataFrame, groups: DataFrame, by: Sequence[str], spread_by: Sequence[str],
-    broadcast_rows: int = BROADCAST_ROWS,
+    big: DataFrame, groups: DataFrame, by: Sequence[str], broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Attach one row per group to the rows of ``big``.
 
     The group table is computed once into the shared folder. Up to ``broadcast_rows`` rows it
-    is broadcast and ``big`` does not move. Beyond that each group row is copied to every slot
-    and ``big`` is shuffled by group and slot, so that a hot group is spread over many tasks.
+    is broadcast and ``big`` does not move; beyond that ``big`` is shuffled with its hot groups
+    spread.
     """
     groups = cut_lineage(groups)
     if groups.limit(broadcast_rows + 1).count() <= broadcast_rows:
         return big.join(F.broadcast(groups), list(by))
-    slots = spread_count(big)
-    salted = big.withColumn("_slot", slot_of([F.col(c) for c in spread_by], slots))
-    copies = groups.withColumn("_slot", every_slot(slots))
-    return salted.join(copies, [*by, "_slot"]).drop("_slot")
+    return join_spreading_hot_keys(big, groups, by)
 
 
 def pair_with_all(rows: DataFrame, others: DataFrame, spread_by: Sequence[str]) -> DataFrame:
@@ -56,15 +110,3 @@ def pair_with_all(rows: DataFrame, others: DataFrame, spread_by: Sequence[str])
     left = rows.withColumn("_slot", slot_of([F.col(c) for c in spread_by], slots))
     right = others.withColumn("_slot", every_slot(slots))
     return left.join(right, "_slot").drop("_slot")
-
-
-def left_join_hot_right(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Left join whose right side may hold very many rows of one key.
-
-    Adaptive execution cannot split the right side of a left outer join. The matches are found
-    by an inner join, where it can split either side; the rows without a match are added by an
-    anti join against the distinct keys.
-    """
-    matched = left.join(right, list(on))
-    keys = right.select(*on).distinct()
-    return matched.unionByName(left.join(keys, list(on), "left_anti"), allowMissingColumns=True)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialogmeter.functions.text import trim_prompt
-from dialogmeter.operators.joins import left_join_hot_right, pair_with_all
+from dialogmeter.operators.joins import join_spreading_hot_keys, left_join_hot_right, pair_with_all
 
 
 @dataclass(frozen=True)
@@ -49,21 +49,28 @@ def prompt_ids(cat: Catalog, dataset: str) -> DataFrame:
     return contexts(cat, dataset).select("prompt_id")
 
 
-def reference_answers(cat: Catalog, dataset: str) -> DataFrame:
-    """Answers of the baseline models that belong to the set."""
+def _reference_models(cat: Catalog, dataset: str) -> DataFrame:
+    """Baseline models that belong to the set."""
     baselines = cat.baselines.withColumnRenamed("evaluationdataset_id", "evalset_id")
     chosen = baselines.join(named_set(cat, dataset), "evalset_id").select("model_id")
     models = cat.model.where("is_baseline < 3").select("model_id", F.col("name").alias("reference_name"))
-    return (
-        cat.model_response.select("prompt_id", "model_id", "response_text")
-        .join(models.join(chosen, "model_id"), "model_id")
-        .select(
-            "prompt_id", F.col("model_id").alias("ref_id"), "reference_name",
-            F.col("response_text").alias("reference_text"),
-        )
+    return models.join(chosen, "model_id")
+
+
+def reference_answers(cat: Catalog, dataset: str) -> DataFrame:
+    """Answers of the baseline models that belong to the set."""
+    answers = cat.model_response.select("prompt_id", "model_id", "response_text")
+    return join_spreading_hot_keys(answers, _reference_models(cat, dataset), ["model_id"]).select(
+        "prompt_id", F.col("model_id").alias("ref_id"), "reference_name", F.col("response_text").alias("reference_text")
     )
 
 
+def first_reference_id(cat: Catalog, dataset: str) -> DataFrame:
+    """The reference model used when none is named: the smallest id with an answer."""
+    answering = cat.model_response.select("model_id").distinct()
+    return answering.join(_reference_models(cat, dataset), "model_id").agg(F.min("model_id").alias("ref_id"))
+
+
 def model_responses(cat: Catalog, dataset: str) -> DataFrame:
     """Distinct candidate answers given for the set by the models under test.
 
@@ -89,65 +96,72 @@ def answered_contexts(cat: Catalog, dataset: str) -> DataFrame:
     return contexts(cat, dataset).join(answered, "prompt_id", "left_semi")
 
 
+def _votes_of_runs(cat: Catalog) -> DataFrame:
+    runs = cat.evaluation_run.select(F.col("mturk_run_id").alias("mturk_run_id_id"), "mturk_run_id")
+    return join_spreading_hot_keys(cat.ab_comparison, runs, ["mturk_run_id_id"])
+
+
 def evaluations(cat: Catalog, dataset: str) -> DataFrame:
     """Votes of known runs on prompts of the set."""
-    return (
-        cat.ab_comparison.join(
-            cat.evaluation_run, F.col("mturk_run_id_id") == F.col("mturk_run_id")
-        )
-        .join(prompt_ids(cat, dataset), "prompt_id", "left_semi")
-        .select("value", "model_1", "model_2", "prompt_id", "mturk_run_id")
+    votes = _votes_of_runs(cat)
+    on_prompts = join_spreading_hot_keys(
+        votes, prompt_ids(cat, dataset), ["prompt_id"], "left_semi", counted=cat.ab_comparison
     )
+    return on_prompts.select("value", "model_1", "model_2", "prompt_id", "mturk_run_id")
+
+
+def vote_counts(votes: DataFrame) -> DataFrame:
+    """Equal votes as one row with their number ``n``.
+
+    Combined map-side; a prompt keeps at most one row per pair of models and outcome.
+    """
+    return votes.groupBy("prompt_id", "model_1", "model_2", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def vote_sides(votes: DataFrame) -> DataFrame:
-    """One row per vote and participating model, with ``won``; a model against itself counts once."""
+    """One row per counted vote and participating model, with ``won``; a model against itself counts once."""
     sides = votes.select(
-        "prompt_id", "model_1", "model_2", "value",
+        "prompt_id", "model_1", "model_2", "value", "n",
         F.explode(F.array_distinct(F.array("model_1", "model_2"))).alias("model_id"),
     ).where(F.col("model_id").isNotNull())
     first = F.col("model_1").eqNullSafe(F.col("model_id")) & (F.col("value") == 0)
     second = F.col("model_2").eqNullSafe(F.col("model_id")) & (F.col("value") == 1)
-    return sides.select("prompt_id", "model_id", "value", F.coalesce(first | second, F.lit(False)).alias("won"))
+    return sides.select("prompt_id", "model_id", "value", "n", F.coalesce(first | second, F.lit(False)).alias("won"))
 
 
 def win_ratio(votes: DataFrame, zero_wins: str = "null") -> DataFrame:
     """Wins, votes and their ratio per prompt and model.
 
     Every vote with a value counts, ties too. A model that never won has a null ratio by
-    default; ``zero_wins="zero"`` gives 0 instead.
+    default; ``zero_wins="zero"`` gives 0 instead. Votes may come with their number ``n``.
     """
     if zero_wins not in ("null", "zero"):
         raise ValueError("zero_wins must be 'null' or 'zero'")
-    totals = vote_sides(votes).groupBy("prompt_id", "model_id").agg(
-        F.count_if("won").alias("wins"), F.count("value").alias("counts")
+    counted = votes if "n" in votes.columns else votes.withColumn("n", F.lit(1).cast("bigint"))
+    totals = vote_sides(counted).groupBy("prompt_id", "model_id").agg(
+        F.sum(F.when(F.col("won"), F.col("n")).otherwise(0)).alias("wins"),
+        F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("counts"),
     )
     wins = F.nullif(F.col("wins"), F.lit(0)) if zero_wins == "null" else F.col("wins")
     return totals.withColumn("win_ratio", wins / F.nullif(F.col("counts"), F.lit(0)))
 
 
-def first_reference_id(references: DataFrame) -> DataFrame:
-    """The reference model used when none is named: the smallest id."""
-    return references.agg(F.min("ref_id").alias("ref_id"))
-
-
 def win_ratio_table(
     cat: Catalog, dataset: str, ref_id: int | None = None, zero_wins: str = "null"
 ) -> DataFrame:
     """Prompt, reference, candidate and win ratio for every prompt and model of a set.
 
     A prompt appears once per model even without an answer or a vote; several answers of one
-    model to one prompt give several rows. In every join the side that may hold many rows of one
-    key is one that adaptive execution can split.
+    model to one prompt give several rows. Votes are counted before
+    they are joined, and joins spread prompts and pairs that hold many answers.
     """
-    references = reference_answers(cat, dataset)
     responses = model_responses(cat, dataset)
     wanted: Column
     if ref_id is None:
-        wanted = first_reference_id(references).select("ref_id").scalar()
+        wanted = first_reference_id(cat, dataset).scalar()
     else:
         wanted = F.lit(ref_id)
-    chosen = references.where(F.col("ref_id") == wanted)
+    chosen = reference_answers(cat, dataset).where(F.col("ref_id") == wanted)
     prompts = answered_contexts(cat, dataset)
     # The grid holds ids only; the texts are joined to the finished rows.
     pair = ["prompt_id", "model_id"]
@@ -156,9 +170,13 @@ def win_ratio_table(
     silent = grid.join(responses.select(*pair).distinct(), pair, "left_anti")
     # A model without an answer to a prompt has no name and text, and no id in the table either.
     rows = responses.withColumn("_answered", F.col("model_id")).unionByName(silent, allowMissingColumns=True)
-    rows = rows.join(win_ratio(evaluations(cat, dataset), zero_wins), pair, "left")
+    # How often prompts and pairs occur is read off the raw answers.
+    raw = cat.model_response.select(*pair)
+    votes = vote_counts(_votes_of_runs(cat)).join(prompt_ids(cat, dataset), "prompt_id", "left_semi")
+    rows = join_spreading_hot_keys(rows, win_ratio(votes, zero_wins), pair, "left", counted=raw)
     prompts = prompts.withColumn("prompt_text", trim_prompt(F.col("prompt_text"), dataset))
-    return rows.join(left_join_hot_right(prompts, chosen, ["prompt_id"]), "prompt_id").select(
+    prompts = left_join_hot_right(prompts, chosen, ["prompt_id"], counted=raw)
+    return join_spreading_hot_keys(rows, prompts, ["prompt_id"], counted=raw).select(
         "prompt_id", "prompt_text", "ref_id", "reference_name", "reference_text",
         F.col("_answered").alias("model_id"), "model_name", "candidate_text", "win_ratio", "counts",
     )

@@ -94,7 +94,7 @@ def fitted_line(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
     """Points and fitted value per group: the data behind a scatter plot with its line."""
     fits = linear_regression(df, x, y, by).select(*by, "slope", "intercept")
     points = df.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    joined = join_group_table(points, fits, by, spread_by=["x", "y"])
+    joined = join_group_table(points, fits, by)
     return joined.select(*by, "x", "y", (F.col("intercept") + F.col("slope") * F.col("x")).alias("y_hat"))
 
 

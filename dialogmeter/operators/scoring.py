@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from dialogmeter.functions.combine import COMBINERS
 from dialogmeter.functions.tokens import closest_count, penalty_from_counts, token_count
+from dialogmeter.operators.joins import join_spreading_hot_keys
 from dialogmeter.operators.references import TextColumns, check_mode, reference_columns
 
 # A loaded model: candidates and their reference lists in, one score each out.
@@ -143,4 +144,5 @@ def attach_scores(
         F.raise_error(F.lit("two scored rows share one key")).cast("double")
     )
     scores = scores.select("_key", unique.alias(score_col))
-    return examples.withColumn("_key", digest).join(scores, "_key", "left").drop("_key")
+    keyed = examples.withColumn("_key", digest)
+    return join_spreading_hot_keys(keyed, scores, ["_key"], "left", counted=keyed.select("_key")).drop("_key")

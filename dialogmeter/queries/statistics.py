@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from dialogmeter.operators import regression, ridge
 from dialogmeter.operators.annotations import long_form, median_table
 from dialogmeter.operators.correlation import correlation_matrix, wide_matrix
+from dialogmeter.operators.joins import join_spreading_hot_keys
+from dialogmeter.operators.pairwise import win_ratio
 from dialogmeter.operators.scoring import score
 from dialogmeter.plans.workflows import compare_components, correlate, explain_overall, rating_correlation, rating_lines
 from dialogmeter.queries import overlap, sqltext
 from dialogmeter.queries.registry import query
 from dialogmeter.queries.scores import COUNTS_SQL, MEAN3, WORDS_SQL, _BP_CTX
 from dialogmeter.queries.views import KEY, MEDIANS_SQL, QUALITIES, examples, table, votes
-from dialogmeter.operators.pairwise import win_ratio
 
 ALL = sqltext.rounded(sqltext.FIT_COLUMNS)
 
@@ -184,7 +185,8 @@ def corr_matrix_volume(spark, sf_dir):
 def component_regress(spark, sf_dir):
     # Votes on model 1 give each dialogue its win ratio.
     ratios = win_ratio(votes(spark, sf_dir)).where("model_id = 1").select(F.col("prompt_id").alias("conv_id"), "win_ratio")
-    scored = score(examples(spark, sf_dir), overlap.NAME, "multi_avg").join(ratios, "conv_id")
+    table = join_spreading_hot_keys(examples(spark, sf_dir), ratios, ["conv_id"])
+    scored = score(table, overlap.NAME, "multi_avg")
     return regression.rounded(compare_components(scored, ["ref_score", "context_score", "empty_score"]))
 
 

@@ -93,7 +93,7 @@ def references(spark, sf_dir):
 
 @query("q_first_reference", f"with {PARTS_SQL} select min(ref_id) as ref_id from refs")
 def first_reference(spark, sf_dir):
-    return pairwise.first_reference_id(pairwise.reference_answers(catalog(spark, sf_dir), EVALSET))
+    return pairwise.first_reference_id(catalog(spark, sf_dir), EVALSET)
 
 
 @query("q_model_responses", f"with {PARTS_SQL} select * from resp")

@@ -68,3 +68,29 @@ def test_left_join_with_a_hot_right_side(spark):
     key = lambda r: (r.k is None, r.k, r.l, r.r is None, r.r)
     got = sorted(joins.left_join_hot_right(left, right, ["k"]).select("k", "l", "r").collect(), key=key)
     assert got == sorted(left.join(right, "k", "left").select("k", "l", "r").collect(), key=key)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_spread_join_equals_a_plain_join(spark, how):
+    rows = [(7 if i % 3 else i % 11, i % 5) for i in range(300)] + [(None, 1)] * 20
+    big = spark.createDataFrame(rows, "k int, v int")
+    other = spark.createDataFrame([(7, "a"), (7, "b"), (3, "c"), (99, "d"), (None, "e")], "k int, w string")
+    got = joins.join_spreading_hot_keys(big, other, ["k"], how)
+    assert sorted(map(str, got.collect())) == sorted(map(str, big.join(other, "k", how).collect()))
+    assert [r.k for r in joins.hot_keys(big.na.drop(), ["k"], 4).collect()] == [7]
+    with pytest.raises(ValueError):
+        joins.join_spreading_hot_keys(big, other, ["k"], "full")
+
+
+def test_hot_key_is_spread(spark):
+    big = spark.range(0, 40_000, 1, 8).select(F.lit(1).alias("k"), F.lit("same").alias("v"))
+    other = spark.createDataFrame([(1, "x")], "k int, w string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = joins.join_spreading_hot_keys(big, other, ["k"])
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == 40_000 and max(sizes) < 30_000
