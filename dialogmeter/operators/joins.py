@@ -37,14 +37,20 @@ def every_slot(slots: Column | int) -> Column:
     return F.explode(F.sequence(F.lit(0), count - 1))
 
 
-def hot_keys(rows: DataFrame, on: Sequence[str], slots: int) -> DataFrame:
-    """Keys with more than half a partition's fair share of ``rows``, and their number of slots.
+def hot_keys(rows: DataFrame, on: Sequence[str]) -> DataFrame | None:
+    """Keys with more than one partition's fair share of ``rows``, and their number of slots.
 
-    There are at most ``2 * slots`` of them, whatever the data.
+    One pass over the key columns, counted map-side. Fewer keys than shuffle partitions can
+    pass, whatever the data, so the finished list is small; ``None`` when there is none.
     """
-    share = F.greatest(rows.agg((F.count(F.lit(1)) / F.lit(2 * slots)).alias("share")).scalar(), F.lit(1.0))
-    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.where(F.col("_rows") > share).select(*on, F.ceil(F.col("_rows") / share).cast("int").alias("_copies"))
+    slots = spread_count(rows)
+    keys = rows.select(*on)
+    share = F.greatest(keys.agg((F.count(F.lit(1)) / F.lit(slots)).alias("share")).scalar(), F.lit(1.0))
+    counts = keys.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    copies = F.ceil(2 * F.col("_rows") / share).cast("int").alias("_copies")
+    hot = counts.where(F.col("_rows") > share).select(*on, copies)
+    found = hot.collect()
+    return rows.sparkSession.createDataFrame(found, hot.schema) if found else None
 
 
 def join_spreading_hot_keys(
@@ -53,15 +59,19 @@ def join_spreading_hot_keys(
     """Join where ``big`` may hold very many rows of one key (``how``: inner, left, left_semi).
 
     Rows of a hot key are dealt over several slots and the matching rows of ``other`` are copied
-    to each of them; every other key has one slot. ``counted`` may name a cheaper table whose
-    key frequencies stand for those of ``big``: they decide the spreading, never the result.
+    to each of them; every other key has one slot. Without hot keys it is a plain join.
+    ``counted`` may name a cheaper table whose key frequencies stand for those of ``big``: they
+    decide the spreading, never the result.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError("how must be 'inner', 'left' or 'left_semi'")
     on = list(on)
+    hot = hot_keys(big if counted is None else counted, on)
+    if hot is None:
+        return big.join(other, on, how)
+    # Fewer rows than shuffle partitions, so it may be broadcast.
+    hot = F.broadcast(hot)
     slots = spread_count(big)
-    # Bounded by twice the number of partitions, so it may be broadcast.
-    hot = F.broadcast(hot_keys((big if counted is None else counted).select(*on), on, slots))
     values = [F.col(c) for c in big.columns]
     no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
     # A row without a key matches nothing and may lie anywhere.

@@ -171,7 +171,7 @@ def win_ratio_table(
     # A model without an answer to a prompt has no name and text, and no id in the table either.
     rows = responses.withColumn("_answered", F.col("model_id")).unionByName(silent, allowMissingColumns=True)
     # How often prompts and pairs occur is read off the raw answers.
-    raw = cat.model_response.select(*pair)
+    raw = cat.model_response
     votes = vote_counts(_votes_of_runs(cat)).join(prompt_ids(cat, dataset), "prompt_id", "left_semi")
     rows = join_spreading_hot_keys(rows, win_ratio(votes, zero_wins), pair, "left", counted=raw)
     prompts = prompts.withColumn("prompt_text", trim_prompt(F.col("prompt_text"), dataset))

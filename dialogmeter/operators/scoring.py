@@ -145,4 +145,4 @@ def attach_scores(
     )
     scores = scores.select("_key", unique.alias(score_col))
     keyed = examples.withColumn("_key", digest)
-    return join_spreading_hot_keys(keyed, scores, ["_key"], "left", counted=keyed.select("_key")).drop("_key")
+    return join_spreading_hot_keys(keyed, scores, ["_key"], "left").drop("_key")
