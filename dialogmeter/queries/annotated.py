@@ -67,7 +67,7 @@ _USR_SELECT = f"""
     concat('persona ', conv_id, '-', turn) as fact,
     {{ref}} as ref, {{cand}} as cand, {{model}} as model,
     {", ".join(f"{_sql_numbers(i)} as {schemas.column_name(q)}" for i, q in enumerate(schemas.USR_QUALITIES))}
-  from ex join plain p using (conv_id, turn, context, ref, cand)
+  from exk
 """
 _REF = sqltext.clean("' ' || chr(34) || ref || chr(34) || chr(10)")
 _NULL_SAFE = EXAMPLES_SQL + """,
@@ -76,9 +76,7 @@ exk as (select *, conv_id*7 + turn*3 as k from ex)
 
 
 def _usr_rows(ref: str, cand: str, model: str) -> str:
-    return _USR_SELECT.format(ref=ref, cand=cand, model=model).replace(
-        "from ex join plain p using (conv_id, turn, context, ref, cand)", "from exk"
-    )
+    return _USR_SELECT.format(ref=ref, cand=cand, model=model)
 
 
 @query(

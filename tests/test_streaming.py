@@ -1,7 +1,6 @@
 import json
 
 from dialogmeter import schemas, score
-from dialogmeter.operators.flatten import flatten_static
 from dialogmeter.sources.dialog_json import read_examples
 from dialogmeter.streaming.scoring import score_stream, stream_examples
 
@@ -24,4 +23,3 @@ def test_late_files_are_scored_once(spark, tmp_path):
     got = sorted((r.cand, r.score) for r in spark.read.parquet(out).collect())
     batch = score(read_examples(spark, "static_data", str(source)), "bleu", "context_last")
     assert got == sorted((r.cand, r.score) for r in batch.collect()) and len(got) == 3
-    assert flatten_static is not None
