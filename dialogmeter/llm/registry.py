@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dialogmeter.llm import bpe_codec, langid, token_counts, toxicity
+from dialogmeter.llm import bpe_codec, exact_dedup, langid, mixing, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,10 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return mixed.withColumn("target", F.round("target", 6))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_texts(table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -32,6 +42,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_language_id, op7_bpe_codec, op9_token_counts, op10_toxicity)
+    f.__name__: f for f in (op1_mixing, op2_language_id, op5_exact_dedup, op7_bpe_codec, op9_token_counts, op10_toxicity)
 }
-LLM_ORACLES: dict[str, str] = {}
+LLM_ORACLES: dict[str, str] = {"op1_mixing": mixing.SQL, "op5_exact_dedup": exact_dedup.SQL}
