@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogmeter.llm import bpe_codec, exact_dedup, langid, mixing, token_counts, toxicity
+from dialogmeter.llm import bpe_codec, exact_dedup, html_sst, langid, mixing, token_counts, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_sst.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,6 +50,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_mixing, op2_language_id, op5_exact_dedup, op7_bpe_codec, op9_token_counts, op10_toxicity)
+    f.__name__: f for f in (op1_mixing, op2_language_id, op3_topk, op4_html_main_text, op5_exact_dedup, op7_bpe_codec, op9_token_counts, op10_toxicity)
 }
-LLM_ORACLES: dict[str, str] = {"op1_mixing": mixing.SQL, "op5_exact_dedup": exact_dedup.SQL}
+LLM_ORACLES: dict[str, str] = {"op1_mixing": mixing.SQL, "op3_topk": topk.SQL, "op5_exact_dedup": exact_dedup.SQL}
