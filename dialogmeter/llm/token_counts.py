@@ -5,7 +5,7 @@ have begun, the last token of the text up to that place and how many tokens lie
 here; a transition carries the change of the token count. States are made as texts reach them.
 
 A word mark after another letter leads to one and the same state, since no piece has a word mark
-inside. So a text falls into chunks, each mapping that state to itself and adding its count;
+inside, and so does a line end, which is in no piece. So a text falls into chunks, each mapping that state to itself and adding its count;
 those maps compose by adding, which a running sum over all chunks of a batch does at once.
 
 Null and empty texts count 0. Other columns pass through untouched.
@@ -50,6 +50,8 @@ class CountTransducer:
         score = {model.id_to_piece(i): -model.get_score(i) for i in plain}
         if any(MARK in p.lstrip(MARK) for p in score):
             raise ValueError(f"{path} has pieces that reach over a word mark")
+        if any("\n" in p for p in score):
+            raise ValueError(f"{path} has pieces with line ends")
         self.pieces = set(score)
         self.beginnings = {p[:k] for p in score for k in range(1, len(p))}
         self.rules = PairRules(lambda a, b: score.get(a + b), list)
@@ -118,24 +120,35 @@ class CountTransducer:
         if len(self.chunks) > self.CHUNKS:
             self.chunks.clear()
         known = self.chunks
-        found: list[int] = []
-        ends = [0]
-        for text in texts:
-            if text:
-                text = " " + (text.replace(MARK, " ") if MARK in text else text)
-                for chunk in CHUNKS_OF(text):
-                    n = known.get(chunk)
-                    if n is None:
-                        n = self.count_chunk(chunk.replace(" ", MARK))
-                        if len(chunk) <= self.CHUNK_LENGTH:
-                            known[chunk] = n
-                    found.append(n)
-            ends.append(len(found))
-        scan = np.concatenate([[0], np.cumsum(np.asarray(found, np.int64))])
+        split = [chunks_of(text) if text else [] for text in texts]
+        fresh = set().union(*split).difference(known)
+        for chunk in fresh:
+            marked = chunk if chunk[0] in " \n" else " " + chunk
+            known[chunk] = self.count_chunk(marked.replace(" ", MARK))
+        ends = np.cumsum([0, *map(len, split)])
+        found = np.fromiter((n for chunks in split for n in map(known.__getitem__, chunks)), np.int64, int(ends[-1]))
+        for chunk in fresh:
+            if len(chunk) > self.CHUNK_LENGTH:
+                del known[chunk]
+        scan = np.concatenate([[0], np.cumsum(found)])
         return np.diff(scan[ends])
 
 
-CHUNKS_OF = re.compile(" *[^ ]+| +", re.DOTALL).findall
+_CHUNK = re.compile(r"\n[^ \n]*| +[^ \n]*")
+
+
+def chunks_of(text: str) -> list[str]:
+    """The chunks of a text behind its leading word mark: "word" for one mark and a word, else as written.
+
+    A chunk that begins with a line end has no mark before its word.
+    """
+    if MARK in text:
+        text = text.replace(MARK, " ")
+    if "  " in text or " \n" in text or text[0] in " \n" or text[-1] == " ":
+        return [c[1:] if c[0] == " " and len(c) > 1 and c[1] != " " else c for c in _CHUNK.findall(" " + text)]
+    return text.replace("\n", " \n").split(" ")
+
+
 _transducers: dict[str, CountTransducer] = {}
 
 
