@@ -15,6 +15,8 @@ from dialogmeter.llm.textbuf import mix64
 
 #: Letters hashed at a time; a longer text goes through in pieces that overlap by the longest n-gram.
 PIECE = 1 << 18
+#: Rows whose results are held at a time.
+ROWS = 200
 _STEP = np.uint64(0x100000001B3)
 
 
@@ -65,15 +67,13 @@ def map_texts(df: DataFrame, schema: T.StructType, each: Callable[[str | None],
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = None
+        kinds = [ARROW[f.dataType.simpleString()] for f in schema.fields[len(keep) :]]
         for batch in batches:
-            rows = [each(t.as_py()) for t in batch.column(0)]
-            if kinds is None:
-                kinds = [ARROW[f.dataType.simpleString()] for f in schema.fields[len(keep) :]]
-            made = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [
-                pa.array([], k) for k in kinds
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names)
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                rows = [each(t.as_py()) for t in part.column(0)]
+                made = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], names)
 
     ship(df.sparkSession)
     return df.select("text", *keep).mapInArrow(run, schema)
