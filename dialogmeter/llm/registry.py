@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogmeter.llm import bpe_codec, exact_dedup, html_sst, langid, mixing, token_counts, topk, toxicity
+from dialogmeter.llm import bpe_codec, exact_dedup, html_sst, langid, license_scan, mixing, near_dedup, token_counts, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,10 +37,18 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_texts(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licences(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -50,6 +58,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_mixing, op2_language_id, op3_topk, op4_html_main_text, op5_exact_dedup, op7_bpe_codec, op9_token_counts, op10_toxicity)
+    f.__name__: f
+    for f in (
+        op1_mixing, op2_language_id, op3_topk, op4_html_main_text, op5_exact_dedup, op6_near_dedup, op7_bpe_codec,
+        op8_license_scan, op9_token_counts, op10_toxicity,
+    )
 }
 LLM_ORACLES: dict[str, str] = {"op1_mixing": mixing.SQL, "op3_topk": topk.SQL, "op5_exact_dedup": exact_dedup.SQL}

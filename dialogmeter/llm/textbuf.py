@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 20
+#: Texts of a slice at most.
+ROWS = 1 << 15
 _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 1 << 64)
 _powers: list[np.ndarray] = []
@@ -91,7 +93,7 @@ def slices(offsets: np.ndarray, data: np.ndarray, breaks: np.ndarray) -> Iterato
     while row < n:
         stop = int(np.searchsorted(offsets, offsets[row] + SLICE, "right")) - 1
         if stop > row:
-            stop = min(stop, n)
+            stop = min(stop, n, row + ROWS)
             yield row, stop, int(offsets[row]), int(offsets[stop]), True
             row = stop
             continue
