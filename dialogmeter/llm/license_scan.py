@@ -179,7 +179,11 @@ def notices(column: pa.Array, model: LicenceModel) -> list[list[tuple[str, float
     out: list[list[tuple[str, float, float, str]]] = [[] for _ in range(len(column))]
     for first, after, at, stop, _ in slices(offsets, data, _LINE):
         part = data[at:stop]
-        bounds = offsets[first:after] - at if after - first > 1 else np.zeros(1, np.int64)
+        bounds = np.zeros(1, np.int64)
+        if after - first > 1:  # a line end between two texts keeps their words apart
+            bounds = offsets[first:after] - at
+            part = np.insert(part, bounds[1:], 10)
+            bounds = bounds + np.arange(len(bounds))
         feature, sentence, start, end = sentence_features(part, bounds)
         if not len(feature):
             continue
