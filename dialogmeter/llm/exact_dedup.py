@@ -40,13 +40,13 @@ def recipe(text: Column) -> Column:
     return F.transform(chunks(text), lambda c: F.xxhash64(c))
 
 
-def _normal(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.withColumn("x_text", lower_ascii(F.coalesce(F.col(text_col), F.lit(""))))
+def normal_text(text_col: str) -> Column:
+    return lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def failed_identifiers(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Identifiers that more than one chunk text has (none, but for hash collisions)."""
-    pieces = _normal(docs, text_col).select(F.explode(chunks(F.col("x_text"))).alias("chunk"))
+    pieces = docs.select(normal_text(text_col).alias("x_text")).select(F.explode(chunks(F.col("x_text"))).alias("chunk"))
     return (
         pieces.select(F.xxhash64("chunk").alias("c_id"), "chunk").distinct()
         .groupBy("c_id").agg(F.count("*").alias("texts")).where("texts > 1").select("c_id")
@@ -55,8 +55,8 @@ def failed_identifiers(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, row, keep_id, group_size, kept, text_sha256) of every row; ``row`` numbers the rows."""
-    rows = _normal(docs, text_col).select(
-        F.col(id_col), recipe(F.col("x_text")).alias("recipe"), F.sha2("x_text", 256).alias("text_sha256")
+    rows = docs.select(id_col, normal_text(text_col).alias("x_text")).select(
+        id_col, recipe(F.col("x_text")).alias("recipe"), F.sha2("x_text", 256).alias("text_sha256")
     )
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "recipes")
     failed = stored(failed_identifiers(docs, text_col), "failed-chunks")
@@ -65,7 +65,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     else:
         # The digest finds the texts of the rows in question again; they are then compared as a whole.
         hit = rows.select("row", "text_sha256", F.explode("recipe").alias("c_id")).join(failed, "c_id").select("row", "text_sha256").distinct()
-        texts = _normal(docs, text_col).select("x_text").withColumn("text_sha256", F.sha2("x_text", 256)).join(
+        texts = docs.select(normal_text(text_col).alias("x_text")).withColumn("text_sha256", F.sha2("x_text", 256)).join(
             hit.select("text_sha256").distinct(), "text_sha256", "left_semi").distinct()
         rows = rows.join(hit.join(texts, "text_sha256").select("row", "x_text"), "row", "left")
     key = ["k_hash", "recipe", "x_text"]
@@ -94,14 +94,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = stored(groups(docs).select("doc_id", "text_sha256", "kept"), "exact-kept")
     kept = found.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_text"))
     gone = found.where("not kept").select("doc_id", "text_sha256")
-    names = docs.columns
-    marked = _normal(docs, "text").withColumn("x_sha", F.sha2("x_text", 256)).drop("x_text")
-    same = marked["doc_id"].eqNullSafe(kept["kept_id"]) & (marked["x_sha"] == kept["kept_text"])
-    left = marked.join(kept, same, "left_semi")
+    marked = docs.select(F.struct("*").alias("x_row"), F.col("doc_id").alias("x_id"), F.sha2(normal_text("text"), 256).alias("x_sha"))
+    left = marked.join(kept, marked["x_id"].eqNullSafe(kept["kept_id"]) & (marked["x_sha"] == kept["kept_text"]), "left_semi")
     repeated = gone.join(kept, gone["doc_id"].eqNullSafe(kept["kept_id"]) & (gone["text_sha256"] == kept["kept_text"]), "left_semi")
     if not repeated.isEmpty():
-        left = left.dropDuplicates(["doc_id", "x_sha"])
-    return left.select(*names)
+        left = left.dropDuplicates(["x_id", "x_sha"])
+    return left.select("x_row.*")
 
 
 SQL = """

@@ -154,19 +154,22 @@ def mix_documents(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame
     size 0 is not taken. ``n_chars``, where present, is the length of the text that remains.
     """
     plan = source_plan(stored(measured(docs, labels).select("source", "size", "key"), "mix-rows"))
-    names = docs.columns
-    sized = with_quality(docs.withColumn("size", word_count(F.col("text"))), labels).withColumn(
-        "key", sampling_key(F.col("doc_id"), F.col("mix_weight"))
-    )
+    sized = docs.select(F.struct("*").alias("x_row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = with_quality(sized, labels).withColumn("key", sampling_key(F.col("doc_id"), F.col("mix_weight")))
     joined = sized.join(plan, sized["source"].eqNullSafe(plan["plan_source"])).withColumn("taken", taken_words())
     times = F.expr("cast(ceil(taken / size) as int)")
     out = joined.where("taken > 0").withColumn("time", F.explode(F.sequence(F.lit(1), times)))
     words = F.col("taken") - (F.col("time") - 1) * F.col("size")
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"(?s)[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), words.cast("int")), "")
-    out = out.withColumn("text", F.when(words >= F.col("size"), F.col("text")).otherwise(cut))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(words >= F.col("size"), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    text = F.col("x_row.text")
+    spaced_words = F.regexp_extract_all(text, F.lit(r"(?s)[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.array_join(F.slice(spaced_words, F.lit(1), words.cast("int")), "")
+    whole = words >= F.col("size")
+    columns = {c: F.col(f"x_row.`{c}`") for c in docs.columns}
+    columns["text"] = F.when(whole, text).otherwise(cut)
+    if "n_chars" in columns:
+        length = F.length(columns["text"]).cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(whole, columns["n_chars"]).otherwise(length)
+    return out.select(*(c.alias(name) for name, c in columns.items()))
 
 
 SQL = f"""

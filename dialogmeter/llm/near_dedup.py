@@ -312,10 +312,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = stored(classes(docs).select("doc_id", "key", "kept"), "near-kept")
     kept = found.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"))
     gone = found.where("not kept")
-    names = docs.columns
-    keyed = docs.withColumn("x_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    left = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["kept_id"]) & (keyed["x_key"] == kept["kept_key"]), "left_semi")
+    keyed = docs.select(
+        F.struct("*").alias("x_row"), F.col("doc_id").alias("x_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("x_key")
+    )
+    left = keyed.join(kept, keyed["x_id"].eqNullSafe(kept["kept_id"]) & (keyed["x_key"] == kept["kept_key"]), "left_semi")
     repeated = gone.join(kept, gone["doc_id"].eqNullSafe(kept["kept_id"]) & (gone["key"] == kept["kept_key"]), "left_semi")
     if not repeated.isEmpty():
-        left = left.dropDuplicates(["doc_id", "x_key"])
-    return left.select(*names)
+        left = left.dropDuplicates(["x_id", "x_key"])
+    return left.select("x_row.*")

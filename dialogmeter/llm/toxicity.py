@@ -13,15 +13,17 @@ several labels counts once, as its largest label. Other columns of the tables do
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import pyspark.sql.types as T
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialogmeter.llm.chargrams import bounded_sample, grams, in_fold, map_texts
-from dialogmeter.llm.store import stored
+from dialogmeter.llm.store import ship, stored
 
 SIZES, BITS = (4, 5), 20
 
@@ -137,9 +139,16 @@ def predict(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_rows: i
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, source: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose score is below ``limit``; the model learns from ``source`` and ``labels``."""
+    ship(spark)
     model = fit(spark, source, labels)
-    names = docs.columns
-    numbered = docs.withColumn("text", F.col("text"))
-    keep = [c for c in names if c != "text"]
-    scored = score(numbered.withColumn("__text", F.col("text")), model, [*keep, "__text"])
-    return scored.where(F.col("toxic_score") < limit).withColumnRenamed("__text", "text").select(*names)
+    shared = spark.sparkContext.broadcast((model.numbers, model.weights, model.constant))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, weights, constant = shared.value
+        table = ToxicityModel(numbers, weights, constant).dense()
+        for batch in batches:
+            z = np.array([table[grams(t.as_py(), SIZES, BITS)[0]].sum() + constant for t in batch.column(at)])
+            yield batch.filter(pa.array(_sigmoid(z) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
