@@ -7,8 +7,8 @@ equal to it the smallest ids.
 
 A block sends counts only from its best score down to where it alone has enough, which the kth
 score can't be below. Vectors that are null or hold null or non-finite components take no part.
-Components missing in the shorter of two vectors count as 0. Scores beyond 64 bits are held at
-the largest value. Rows with a repeated id are queries and candidates of their own; rows with a
+Components missing in the shorter of two vectors count as 0. Scores beyond 2**61 in size are
+held there. Rows with a repeated id are queries and candidates of their own; rows with a
 null id are candidates with the largest id of ties. Fewer candidates than k are all returned; empty
 tables give empty results. Other columns don't matter.
 """
@@ -28,7 +28,7 @@ CANDIDATES, QUERIES = 2048, 1024
 #: Ranges of a histogram pass.
 BINS = 2048
 SCALE = 64
-LARGEST = 2**63 - 1
+LARGEST = 2**61
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -143,7 +143,7 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     rows = stored(quantised(df, id_col, vector_col), "vectors")
     norm = F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)
     longest = rows.agg(F.max(norm).alias("n")).first().n or 0.0
-    bound = int(min(longest * (1 + 1e-9) + 1, LARGEST // 4))
+    bound = int(min(longest * (1 + 1e-9) + 1, float(LARGEST)))
     candidates, queries = blocks(rows, every)
     width = 1
     while 2 * bound + 1 > BINS * width:
