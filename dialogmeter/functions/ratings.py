@@ -12,14 +12,14 @@ DIGITS = r"\A[0-9]+\z"
 
 
 def parse_ratings(cell: Column) -> Column:
-    """``"[1, 0, 1]"`` to integers; tokens that are not all digits are dropped."""
+    """``"[1, 0, 1]"`` to numbers; tokens that are not all digits are dropped, of any length kept."""
     inner = F.substring(cell, F.lit(2), F.length(cell) - 2)
     return _digits(F.split(inner, SEPARATOR))
 
 
 def _digits(items: Column) -> Column:
     kept = F.filter(items, lambda t: t.rlike(DIGITS))
-    return F.transform(kept, lambda t: t.cast("bigint"))
+    return F.transform(kept, lambda t: t.cast("double"))
 
 
 def median_of_array(values: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_TURNS = 256
@@ -10,36 +10,62 @@ BLOCK_TURNS = 256
 
 def turn_neighbours(
     turns: DataFrame, dialog: str = "conv_id", turn: str = "turn", text: str = "text",
-    history: int = 3, block: int = BLOCK_TURNS,
+    history: int | None = None, block: int = BLOCK_TURNS,
 ) -> DataFrame:
-    """Add ``context`` (the ``history`` turns before, one per line) and ``ref`` (the next turn).
+    """Add ``context`` (the turns before, one per line) and ``ref`` (the next turn).
 
-    Turns are shuffled once, by dialogue and block of ``block`` turns. The few turns that a
-    neighbouring block needs are copied to it, so a dialogue of any length is worked on in
-    pieces of bounded size.
+    All earlier turns are taken, or only those at most ``history`` turns back. Turns are
+    shuffled by dialogue and block of ``block`` turns, so a dialogue of any length is worked on
+    in pieces of bounded size; the few turns that a neighbouring block needs are copied to it.
+    Without ``history`` the texts of a dialogue's earlier blocks are joined once for each of its
+    blocks and set before the block's own turns. A context too long for a cell is an error.
     """
-    if history >= block:
+    if history is not None and history >= block:
         raise ValueError("history must be shorter than a block")
 
-    def block_of(t):
+    def block_of(t: Column) -> Column:
         return F.floor(F.greatest(t, F.lit(0)) / F.lit(block))
 
     t = F.col(turn)
-    homes = F.array_distinct(F.array(block_of(t), block_of(t - 1), block_of(t + history)))
-    placed = turns.withColumn("_block", F.explode(homes))
+    homes = [block_of(t), block_of(t - 1)] + ([] if history is None else [block_of(t + history)])
+    placed = turns.withColumn("_block", F.explode(F.array_distinct(F.array(*homes))))
     order = Window.partitionBy(dialog, "_block").orderBy(turn)
-    before = F.collect_list(text).over(order.rangeBetween(-history, -1))
+    first = Window.unboundedPreceding if history is None else -history
+    before = F.collect_list(text).over(order.rangeBetween(first, -1))
     after = F.max(text).over(order.rangeBetween(1, 1))
-    return (
+    placed = (
         placed.withColumn("_before", before)
         .withColumn("ref", after)
         .where(F.col("_block") == block_of(t))
         .withColumn("context", F.when(F.size("_before") > 0, F.array_join("_before", "\n")))
-        .drop("_block", "_before")
+        .drop("_before")
+    )
+    if history is None:
+        placed = placed.join(_earlier_blocks(turns, dialog, turn, text, block_of(t)), [dialog, "_block"], "left")
+        # concat_ws leaves out what is null: a first block has no earlier text, its first turn no own.
+        both = F.concat_ws("\n", "_earlier", "context")
+        placed = placed.withColumn("context", F.when(F.coalesce("_earlier", "context").isNotNull(), both)).drop("_earlier")
+    return placed.select(*turns.columns, "ref", "context")
+
+
+def _earlier_blocks(turns: DataFrame, dialog: str, turn: str, text: str, block_of: Column) -> DataFrame:
+    """dialog, _block, _earlier: the text of all earlier blocks, for blocks that have any.
+
+    Only the blocks' texts meet here, never the turns of a whole dialogue.
+    """
+    blocks = turns.where(F.col(text).isNotNull()).groupBy(F.col(dialog), block_of.alias("_block")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(turn, text))), lambda x: x[text]), "\n").alias("_text")
+    )
+    last = turns.groupBy(dialog).agg(F.max(block_of).alias("_last")).where("_last > 0")
+    pieces = blocks.join(last, dialog).where(F.col("_block") < F.col("_last")).select(
+        dialog, F.explode(F.sequence(F.col("_block") + 1, F.col("_last"))).alias("_for"), "_block", "_text"
+    )
+    return pieces.groupBy(dialog, F.col("_for").alias("_block")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_block", "_text"))), lambda x: x["_text"]), "\n").alias("_earlier")
     )
 
 
-def reply_examples(turns: DataFrame, role: str = "assistant", history: int = 3) -> DataFrame:
+def reply_examples(turns: DataFrame, role: str = "assistant", history: int | None = None) -> DataFrame:
     """One example for each reply of ``role`` that has something said before it."""
     return (
         turn_neighbours(turns, history=history)

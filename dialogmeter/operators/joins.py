@@ -1,7 +1,7 @@
 """Joins that stay even when one key holds much of the data.
 
-Adaptive execution splits a skewed join only when both inputs come straight from a shuffle. Here
-they often come from an aggregate or another join, so hot keys are spread explicitly.
+Adaptive execution splits a skewed join only when both inputs come straight from a shuffle.
+Tables that are landed first do; for the others hot keys are spread explicitly.
 """
 
 from __future__ import annotations
@@ -12,14 +12,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialogmeter.session import cut_lineage
-
-BROADCAST_ROWS = 100_000
+MOST_SLOTS = 256
+#: A key is hot from so many times a slot's fair share of the rows.
+HOT_SHARES = 4
 
 
 def spread_count(df: DataFrame) -> int:
-    """Over how many slots a hot key is spread: one per shuffle partition."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Over how many slots a hot key is spread: a few per core, whatever the shuffle partitions."""
+    return max(2, min(MOST_SLOTS, 2 * df.sparkSession.sparkContext.defaultParallelism))
 
 
 def slot_of(keys: Sequence[Column], slots: Column | int) -> Column:
@@ -37,20 +37,20 @@ def every_slot(slots: Column | int) -> Column:
     return F.explode(F.sequence(F.lit(0), count - 1))
 
 
-def hot_keys(rows: DataFrame, on: Sequence[str]) -> DataFrame | None:
-    """Keys with more than one partition's fair share of ``rows``, and their number of slots.
+def hot_keys(rows: DataFrame, on: Sequence[str]) -> dict[int, int]:
+    """Hashes of the keys with far more than a slot's share of ``rows``, and over how many slots to spread each.
 
-    One pass over the key columns, counted map-side. Fewer keys than shuffle partitions can
-    pass, whatever the data, so the finished list is small; ``None`` when there is none.
+    One pass with a sketch of bounded size; no key is shuffled. At most a quarter of the slots
+    can be hot, so the result is small whatever the data. The sketch decides the spreading only,
+    never a result.
     """
     slots = spread_count(rows)
-    keys = rows.select(*on)
-    share = F.greatest(keys.agg((F.count(F.lit(1)) / F.lit(slots)).alias("share")).scalar(), F.lit(1.0))
-    counts = keys.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    copies = F.ceil(2 * F.col("_rows") / share).cast("int").alias("_copies")
-    hot = counts.where(F.col("_rows") > share).select(*on, copies)
-    found = hot.collect()
-    return rows.sparkSession.createDataFrame(found, hot.schema) if found else None
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
+    top = rows.where(known).select(F.xxhash64(*on).alias("h")).agg(
+        F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {slots}, {max(10_000, 8 * slots)})").alias("top")
+    ).first()
+    share = max(top.n / slots, 1.0)
+    return {t["item"]: min(slots, -(-t["count"] * 2 // int(share))) for t in top.top if t["count"] > HOT_SHARES * share}
 
 
 def join_spreading_hot_keys(
@@ -67,18 +67,17 @@ def join_spreading_hot_keys(
         raise ValueError("how must be 'inner', 'left' or 'left_semi'")
     on = list(on)
     hot = hot_keys(big if counted is None else counted, on)
-    if hot is None:
+    if not hot:
         return big.join(other, on, how)
-    # Fewer rows than shuffle partitions, so it may be broadcast.
-    hot = F.broadcast(hot)
-    slots = spread_count(big)
+    pairs = [x for h, n in hot.items() for x in (F.lit(h).cast("long"), F.lit(n))]
+    copies = F.coalesce(F.try_element_at(F.create_map(*pairs), F.xxhash64(*on)), F.lit(1))
     values = [F.col(c) for c in big.columns]
     no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
     # A row without a key matches nothing and may lie anywhere.
-    spread = F.when(no_key, slot_of(values, slots)).otherwise(slot_of(values, F.coalesce(F.col("_copies"), F.lit(1))))
-    dealt = big.join(hot, on, "left").withColumn("_slot", spread).drop("_copies")
-    copies = other.join(hot, on, "left").withColumn("_slot", every_slot(F.coalesce(F.col("_copies"), F.lit(1)))).drop("_copies")
-    return dealt.join(copies, [*on, "_slot"], how).drop("_slot")
+    spread = F.when(no_key, slot_of(values, spread_count(big))).otherwise(slot_of(values, copies))
+    dealt = big.withColumn("_slot", spread)
+    copied = other.withColumn("_slot", every_slot(copies))
+    return dealt.join(copied, [*on, "_slot"], how).drop("_slot")
 
 
 def left_join_hot_right(
@@ -94,21 +93,6 @@ def left_join_hot_right(
     return left.join(keys, list(on), "left_anti").unionByName(matched, allowMissingColumns=True)
 
 
-def join_group_table(
-    big: DataFrame, groups: DataFrame, by: Sequence[str], broadcast_rows: int = BROADCAST_ROWS
-) -> DataFrame:
-    """Attach one row per group to the rows of ``big``.
-
-    The group table is computed once into the shared folder. Up to ``broadcast_rows`` rows it
-    is broadcast and ``big`` does not move; beyond that ``big`` is shuffled with its hot groups
-    spread.
-    """
-    groups = cut_lineage(groups)
-    if groups.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return big.join(F.broadcast(groups), list(by))
-    return join_spreading_hot_keys(big, groups, by)
-
-
 def pair_with_all(rows: DataFrame, others: DataFrame, spread_by: Sequence[str]) -> DataFrame:
     """Every row beside every row of the shorter table ``others``.
 

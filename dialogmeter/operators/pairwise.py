@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialogmeter.functions.text import trim_prompt
-from dialogmeter.operators.joins import join_spreading_hot_keys, left_join_hot_right, pair_with_all
+from dialogmeter.operators.joins import pair_with_all
+from dialogmeter.session import landed
 
 
 @dataclass(frozen=True)
@@ -60,7 +61,7 @@ def _reference_models(cat: Catalog, dataset: str) -> DataFrame:
 def reference_answers(cat: Catalog, dataset: str) -> DataFrame:
     """Answers of the baseline models that belong to the set."""
     answers = cat.model_response.select("prompt_id", "model_id", "response_text")
-    return join_spreading_hot_keys(answers, _reference_models(cat, dataset), ["model_id"]).select(
+    return answers.join(_reference_models(cat, dataset), "model_id").select(
         "prompt_id", F.col("model_id").alias("ref_id"), "reference_name", F.col("response_text").alias("reference_text")
     )
 
@@ -98,15 +99,12 @@ def answered_contexts(cat: Catalog, dataset: str) -> DataFrame:
 
 def _votes_of_runs(cat: Catalog) -> DataFrame:
     runs = cat.evaluation_run.select(F.col("mturk_run_id").alias("mturk_run_id_id"), "mturk_run_id")
-    return join_spreading_hot_keys(cat.ab_comparison, runs, ["mturk_run_id_id"])
+    return cat.ab_comparison.join(runs, "mturk_run_id_id")
 
 
 def evaluations(cat: Catalog, dataset: str) -> DataFrame:
     """Votes of known runs on prompts of the set."""
-    votes = _votes_of_runs(cat)
-    on_prompts = join_spreading_hot_keys(
-        votes, prompt_ids(cat, dataset), ["prompt_id"], "left_semi", counted=cat.ab_comparison
-    )
+    on_prompts = _votes_of_runs(cat).join(prompt_ids(cat, dataset), "prompt_id", "left_semi")
     return on_prompts.select("value", "model_1", "model_2", "prompt_id", "mturk_run_id")
 
 
@@ -152,31 +150,53 @@ def win_ratio_table(
     """Prompt, reference, candidate and win ratio for every prompt and model of a set.
 
     A prompt appears once per model even without an answer or a vote; several answers of one
-    model to one prompt give several rows. Votes are counted before
-    they are joined, and joins spread prompts and pairs that hold many answers.
+    model to one prompt give several rows. The set's answers, references and counted votes are
+    landed once; everything else is joined from those copies, so each table of the source is
+    read once, and adaptive execution sees the copies' sizes and splits their skewed prompts.
     """
-    responses = model_responses(cat, dataset)
+    # Answers of the models under test and of the references come from one reading of the answers.
+    models = cat.model.select("model_id", "name", "is_baseline")
+    chosen_sets = named_set(cat, dataset).withColumn("_in_set", F.lit(True))
+    references = _reference_models(cat, dataset).groupBy(F.col("model_id").alias("_ref_model")).agg(F.count(F.lit(1)).cast("int").alias("times"))
+    answers = (
+        cat.model_response.withColumnRenamed("evaluationdataset_id", "evalset_id")
+        .join(chosen_sets, "evalset_id", "left").join(models, "model_id")
+        .join(references, F.col("model_id") == F.col("_ref_model"), "left")
+    )
+    tested = F.col("_in_set").isNotNull() & ((F.col("is_baseline") > 2) | (F.col("is_baseline") == 0))
+    answers = landed(
+        answers.select(
+            "prompt_id", "model_id", "name", "response_text", tested.alias("tested"), F.coalesce("times", F.lit(0)).alias("times")
+        ).where("tested or times > 0"),
+        "answers",
+    )
+    responses = answers.where("tested").where(cat.baselines.select(F.lit(1)).exists()).select(
+        "prompt_id", "model_id", F.col("name").alias("model_name"), F.col("response_text").alias("candidate_text")
+    )
+    responses = landed(responses.distinct(), "responses")
     wanted: Column
     if ref_id is None:
-        wanted = first_reference_id(cat, dataset).scalar()
+        wanted = answers.where("times > 0").agg(F.min("model_id")).scalar()
     else:
         wanted = F.lit(ref_id)
-    chosen = reference_answers(cat, dataset).where(F.col("ref_id") == wanted)
-    prompts = answered_contexts(cat, dataset)
+    # A model listed several times as the set's baseline is so often a reference.
+    chosen = answers.where((F.col("times") > 0) & (F.col("model_id") == wanted))
+    chosen = chosen.withColumn("_time", F.explode(F.sequence(F.lit(1), "times"))).select(
+        "prompt_id", F.col("model_id").alias("ref_id"), F.col("name").alias("reference_name"), F.col("response_text").alias("reference_text")
+    )
+    answered = responses.select("prompt_id").distinct()
+    prompts = contexts(cat, dataset).join(answered, "prompt_id", "left_semi")
+    prompts = landed(prompts.withColumn("prompt_text", trim_prompt(F.col("prompt_text"), dataset)), "prompts")
+    votes = vote_counts(_votes_of_runs(cat)).join(prompts.select("prompt_id"), "prompt_id", "left_semi")
+    ratios = landed(win_ratio(votes, zero_wins), "ratios")
     # The grid holds ids only; the texts are joined to the finished rows.
     pair = ["prompt_id", "model_id"]
-    models = responses.select("model_id").distinct()
-    grid = pair_with_all(prompts.select("prompt_id").distinct(), models, spread_by=["prompt_id"])
-    silent = grid.join(responses.select(*pair).distinct(), pair, "left_anti")
+    grid = pair_with_all(prompts.select("prompt_id").distinct(), responses.select("model_id").distinct(), spread_by=["prompt_id"])
+    silent = grid.join(responses.select(*pair), pair, "left_anti")
     # A model without an answer to a prompt has no name and text, and no id in the table either.
     rows = responses.withColumn("_answered", F.col("model_id")).unionByName(silent, allowMissingColumns=True)
-    # How often prompts and pairs occur is read off the raw answers.
-    raw = cat.model_response
-    votes = vote_counts(_votes_of_runs(cat)).join(prompt_ids(cat, dataset), "prompt_id", "left_semi")
-    rows = join_spreading_hot_keys(rows, win_ratio(votes, zero_wins), pair, "left", counted=raw)
-    prompts = prompts.withColumn("prompt_text", trim_prompt(F.col("prompt_text"), dataset))
-    prompts = left_join_hot_right(prompts, chosen, ["prompt_id"], counted=raw)
-    return join_spreading_hot_keys(rows, prompts, ["prompt_id"], counted=raw).select(
+    rows = rows.join(ratios, pair, "left")
+    return rows.join(prompts.join(chosen, "prompt_id", "left"), "prompt_id").select(
         "prompt_id", "prompt_text", "ref_id", "reference_name", "reference_text",
         F.col("_answered").alias("model_id"), "model_name", "candidate_text", "win_ratio", "counts",
     )

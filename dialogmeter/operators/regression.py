@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialogmeter.functions.pvalue import correlation_p_value
 from dialogmeter.functions.text import nan_to_null
-from dialogmeter.operators.joins import join_group_table
+from dialogmeter.session import landed
 
 MEASURES = ["slope", "intercept", "r", "r2", "p", "stderr", "n"]
 
@@ -76,12 +77,17 @@ def _short_decimal(c: Column, digits: int) -> Column:
     return F.when(trimmed.endswith("."), F.concat(trimmed, F.lit("0"))).otherwise(trimmed)
 
 
-def report_label(group: Column | None = None, digits: int = 6) -> Column:
-    """Figure title of one fit: optional group, then r and p rounded to ``digits``."""
-    r, p = (_short_decimal(F.col(c), digits) for c in ("r", "p"))
+def report_label(group: Column | None = None, digits: int = 6, r2: bool = False) -> Column:
+    """Figure title of one fit: optional group, then r (and r squared) and p rounded to ``digits``.
+
+    A measure that is undefined is written as ``nan``.
+    """
+    names = ["r", "r2", "p"] if r2 else ["r", "p"]
+    shown = [F.coalesce(_short_decimal(F.col(c), digits), F.lit("nan")) for c in names]
+    parts = "$R=$%s, $R^2=$%s\n p=%s" if r2 else "$R=$%s\n p=%s"
     if group is None:
-        return F.format_string("$R=$%s\n p=%s", r, p)
-    return F.format_string("%s: $R=$%s\n p=%s", group, r, p)
+        return F.format_string(parts, *shown)
+    return F.format_string("%s: " + parts, group, *shown)
 
 
 def correlation_report(fits: DataFrame, group: str | None = None, digits: int = 6) -> DataFrame:
@@ -90,20 +96,28 @@ def correlation_report(fits: DataFrame, group: str | None = None, digits: int =
     return fits.select(*keep, F.round("r", digits).alias("r"), F.round("p", digits).alias("p"), "n", label.alias("label"))
 
 
-def fitted_line(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
-    """Points and fitted value per group: the data behind a scatter plot with its line."""
-    fits = linear_regression(df, x, y, by).select(*by, "slope", "intercept")
-    points = df.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    joined = join_group_table(points, fits, by)
-    return joined.select(*by, "x", "y", (F.col("intercept") + F.col("slope") * F.col("x")).alias("y_hat"))
+def fitted_line(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+    """Points and fitted value per group: the data behind a scatter plot with its line.
 
-
-def pair_regressions(
-    df: DataFrame, pairs: Sequence[tuple[str, str]], scopes: dict[str, Column | None]
+    The points are computed once and landed; the fit and the result read that narrow copy. A
+    null group is a group; without groups there is one line.
+    """
+    points = landed(df.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), "points")
+    fits = linear_regression(points, "x", "y", by)
+    if not by:
+        slope, intercept = (fits.select(c).scalar() for c in ("slope", "intercept"))
+        return points.select("x", "y", (intercept + slope * F.col("x")).alias("y_hat"))
+    fits = landed(fits.select(*(F.col(c).alias(f"_fit_{i}") for i, c in enumerate(by)), "slope", "intercept"), "lines")
+    same = reduce(lambda a, b: a & b, [points[c].eqNullSafe(fits[f"_fit_{i}"]) for i, c in enumerate(by)])
+    return points.join(fits, same).select(*by, "x", "y", (F.col("intercept") + F.col("slope") * F.col("x")).alias("y_hat"))
+
+
+def pair_points(
+    df: DataFrame, pairs: Sequence[tuple[str, str]], scopes: dict[str, Column | None], keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Regress one column on another for several pairs and row scopes in one pass.
+    """scope, x_name, y_name, x, y (and ``keep``) of every row, pair of columns and row scope.
 
-    ``scopes`` maps a label to a row condition (``None`` for all rows).
+    ``scopes`` maps a label to a row condition (``None`` for all rows); rows outside have null values.
     """
     cells = []
     for scope, condition in scopes.items():
@@ -116,5 +130,22 @@ def pair_regressions(
                     F.when(inside, xs).alias("x"), F.when(inside, ys).alias("y"),
                 )
             )
-    long = df.select(F.inline(F.array(*cells)))
-    return linear_regression(long, "x", "y", ["scope", "x_name", "y_name"])
+    return df.select(*keep, F.inline(F.array(*cells)))
+
+
+def pair_regressions(
+    df: DataFrame, pairs: Sequence[tuple[str, str]], scopes: dict[str, Column | None]
+) -> DataFrame:
+    """Regress one column on another for several pairs and row scopes in one pass."""
+    return linear_regression(pair_points(df, pairs, scopes), "x", "y", ["scope", "x_name", "y_name"])
+
+
+def pair_lines(
+    df: DataFrame, pairs: Sequence[tuple[str, str]], scopes: dict[str, Column | None], keep: Sequence[str] = ()
+) -> DataFrame:
+    """Points and fitted values of several pairs and scopes; rows with both values."""
+    points = pair_points(df, pairs, scopes, keep).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    by = ["scope", "x_name", "y_name"]
+    points = landed(points, "pair-points")
+    fits = landed(linear_regression(points, "x", "y", by).select(*by, "slope", "intercept"), "pair-fits")
+    return points.join(fits, by).select(*keep, *by, "x", "y", (F.col("intercept") + F.col("slope") * F.col("x")).alias("y_hat"))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from dialogmeter.functions.combine import COMBINERS
 from dialogmeter.functions.tokens import closest_count, penalty_from_counts, token_count
-from dialogmeter.operators.joins import join_spreading_hot_keys
 from dialogmeter.operators.references import TextColumns, check_mode, reference_columns
+from dialogmeter.session import landed
 
 # A loaded model: candidates and their reference lists in, one score each out.
 BatchModel = Callable[[list[str], list[list[str]]], Sequence[float]]
@@ -88,27 +88,39 @@ def score(
     plan = reference_columns(df, mode, texts)
     if mode in COMBINERS:
         plan = {name: refs for name, refs in plan.items() if name in chosen.components}
+    # Components are written under their own names, a single mode's score straight to its target.
+    targets = {name: name if mode in COMBINERS else score_col for name in plan}
     if chosen.factory is None:
-        values = _length_scores(df, plan, texts)
+        values = _length_scores(df, plan, targets, texts)
     else:
-        values = _model_scores(df, chosen.factory, plan, texts)
+        values = _model_scores(df, chosen.factory, plan, targets, texts)
     if mode not in COMBINERS:
-        return values.withColumnRenamed("score", score_col)
+        return values
     return values.withColumn(score_col, COMBINERS[mode]([F.col(name) for name in plan]))
 
 
-def _length_scores(df: DataFrame, plan: dict, texts: TextColumns) -> DataFrame:
+def unused_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem = f"_{stem}"
+    return stem
+
+
+def _length_scores(df: DataFrame, plan: dict, targets: dict[str, str], texts: TextColumns) -> DataFrame:
     # Token counts are projected once and then reused by the penalty expressions.
-    counts = {"_c": token_count(texts.candidate())}
+    own = unused_name(df, "_c")
+    counts = {own: token_count(texts.candidate())}
     sizes: dict[str, list[Column]] = {}
     for name, refs in plan.items():
         sizes[name] = []
         for i, ref in enumerate(refs):
             if ref is not None:
-                counts[f"_{name}_{i}"] = token_count(ref)
-                sizes[name].append(F.col(f"_{name}_{i}"))
+                column = unused_name(df, f"_{name}_{i}")
+                counts[column] = token_count(ref)
+                sizes[name].append(F.col(column))
     scored = {
-        name: penalty_from_counts(F.col("_c"), closest_count(F.col("_c"), cols))
+        targets[name]: penalty_from_counts(F.col(own), closest_count(F.col(own), cols))
         if cols
         else F.lit(None).cast("double")
         for name, cols in sizes.items()
@@ -116,16 +128,23 @@ def _length_scores(df: DataFrame, plan: dict, texts: TextColumns) -> DataFrame:
     return df.withColumns(counts).withColumns(scored).drop(*counts)
 
 
-def _model_scores(df: DataFrame, factory, plan: dict, texts: TextColumns) -> DataFrame:
+def _model_scores(df: DataFrame, factory, plan: dict, targets: dict[str, str], texts: TextColumns) -> DataFrame:
     variants = F.array(
         *[
             F.array(*[F.lit(None).cast("string") if r is None else r for r in refs])
             for refs in plan.values()
         ]
     )
-    done = df.withColumn("_scores", _batch_udf(factory)(texts.candidate(), variants))
-    parts = {name: F.get(F.col("_scores"), F.lit(i)) for i, name in enumerate(plan)}
-    return done.withColumns(parts).drop("_scores")
+    made = unused_name(df, "_scores")
+    done = df.withColumn(made, _batch_udf(factory)(texts.candidate(), variants))
+    parts = {targets[name]: F.get(F.col(made), F.lit(i)) for i, name in enumerate(plan)}
+    return done.withColumns(parts).drop(made)
+
+
+def key_digest(key: Sequence[str]) -> Column:
+    """Digest of several fields; nulls count, and no text can look like two fields."""
+    fields = F.struct(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(key)])
+    return F.sha2(F.to_json(fields, {"ignoreNullFields": "false"}), 256)
 
 
 def attach_scores(
@@ -136,13 +155,11 @@ def attach_scores(
     Long texts are compared by digest so that the shuffle of ``scored`` carries no text.
     Rows without a score stay, with null.
     """
-    digest = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in key]), 256)
-    scores = scored.groupBy(digest.alias("_key")).agg(
-        F.count(F.lit(1)).alias("_copies"), F.max(score_col).alias(score_col)
-    )
-    unique = F.when(F.col("_copies") == 1, F.col(score_col)).otherwise(
+    made, copies = unused_name(examples, "_key"), unused_name(examples, "_copies")
+    scores = scored.groupBy(key_digest(key).alias(made)).agg(F.count(F.lit(1)).alias(copies), F.max(score_col).alias(score_col))
+    unique = F.when(F.col(copies) == 1, F.col(score_col)).otherwise(
         F.raise_error(F.lit("two scored rows share one key")).cast("double")
     )
-    scores = scores.select("_key", unique.alias(score_col))
-    keyed = examples.withColumn("_key", digest)
-    return join_spreading_hot_keys(keyed, scores, ["_key"], "left").drop("_key")
+    # Landed, so that the join starts from a scan of known size.
+    scores = landed(scores.select(made, unique.alias(score_col)), "scores")
+    return examples.withColumn(made, key_digest(key)).join(scores, made, "left").drop(made)

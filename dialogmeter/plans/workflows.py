@@ -11,9 +11,9 @@ from dialogmeter.operators import compare, pairwise, regression, ridge
 from dialogmeter.operators.annotations import long_form, median_table, quality_columns
 from dialogmeter.operators.correlation import correlation_matrix
 from dialogmeter.operators.references import VOTE_TEXTS, TextColumns
-from dialogmeter.operators.scoring import score
+from dialogmeter.operators.scoring import key_digest, score
 from dialogmeter.sinks.tables import write_tsv
-from dialogmeter.session import cut_lineage
+from dialogmeter.session import landed
 from dialogmeter.sources.dialog_json import read_examples
 
 
@@ -69,8 +69,8 @@ def evaluate(
     """
     scored = score_examples(examples, metric, mode, texts, out)
     qualities = quality_columns(scored.columns)
-    digest = F.sha2(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in key]), 256)
-    medians = cut_lineage(median_table(scored.withColumn("example_key", digest), qualities, keep=["example_key", "score"]))
+    keyed = scored.withColumn("example_key", key_digest(key))
+    medians = landed(median_table(keyed, qualities, keep=["example_key", "score"]), "medians")
     fits = regression.linear_regression(long_form(medians, qualities, keep=["score"]), "score", "rating", ["quality"])
     return {
         "fits": fits,
@@ -94,6 +94,11 @@ def correlate_votes(scored: DataFrame) -> DataFrame:
     return regression.linear_regression(pairwise.scored_votes(scored), "score", "win_ratio")
 
 
+def win_ratio_line(scored: DataFrame) -> DataFrame:
+    """Points and fitted line of the win ratio against the score, over rows that have both."""
+    return regression.fitted_line(pairwise.scored_votes(scored), "score", "win_ratio")
+
+
 def compare_components(scored: DataFrame, components: Sequence[str]) -> DataFrame:
     """Each component score regressed on the combined score, for rows with a win ratio."""
     long = long_form(pairwise.scored_votes(scored), components, keep=["score"], name="component", value="part")
@@ -111,3 +116,16 @@ def compare_metrics(
     return regression.pair_regressions(wide, named, scopes).withColumns(
         {c: F.regexp_replace(c, "_score$", "") for c in ("x_name", "y_name")}
     )
+
+
+def metric_pair_lines(
+    tables: dict[str, DataFrame], pairs: Sequence[tuple[str, str]], key: Sequence[str] = ("context", "model"),
+    text_key: Sequence[str] = ("context",), score_col: str | dict[str, str] = "score",
+) -> DataFrame:
+    """Points and fitted lines of metrics against each other, with the model that gave the answer."""
+    wide = compare.metrics_side_by_side(tables, key, score_col, text_key)
+    named = [(f"{x}_score", f"{y}_score") for x, y in pairs]
+    scopes = {"all": None, "excl_human": compare.not_human()}
+    return regression.pair_lines(wide, named, scopes, keep=["model"]).withColumns(
+        {c: F.regexp_replace(c, "_score$", "") for c in ("x_name", "y_name")}
+    )

@@ -225,7 +225,7 @@ def na_tokens(spark, sf_dir):
 )
 def parsed_ratings(spark, sf_dir):
     return examples(spark, sf_dir).select(
-        "conv_id", "turn", F.array_join(parse_ratings(F.col("overall")).cast("array<string>"), ";").alias("parsed")
+        "conv_id", "turn", F.array_join(parse_ratings(F.col("overall")).cast("array<bigint>").cast("array<string>"), ";").alias("parsed")
     )
 
 

@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialogmeter.operators import compare
-from dialogmeter.operators.regression import pair_regressions, rounded
+from dialogmeter.operators.regression import pair_lines, pair_regressions, report_label, rounded
 from dialogmeter.operators.scoring import score
 from dialogmeter.queries import overlap, sqltext
 from dialogmeter.queries.registry import query
 from dialogmeter.queries.scores import COUNTS_SQL, WORDS_SQL, _BP_CTX, _BP_REF
 from dialogmeter.queries.views import KEY, examples
+from dialogmeter.session import landed
 
 NAMES = ["length", "length_context", "overlap"]
 
 
 def score_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    table = examples(spark, sf_dir)
+    # The metrics score one landed copy, so the dialogues are put together once.
+    table = landed(examples(spark, sf_dir), "examples")
     return {
         "length": score(table, "bleu", "ref"),
         "length_context": score(table, "bleu", "context_last"),
@@ -73,6 +75,38 @@ def metric_pairs(spark, sf_dir):
     return rounded(pair_regressions(wide, _PAIRS, {"all": None, "excl_human": compare.not_human()}))
 
 
+_MODEL_POINTS = " union all ".join(
+    f"select model, '{scope}' as scope, '{x}' as x_name, '{y}' as y_name, {x} as x, {y} as y from side{where}"
+    for x, y in _PAIRS
+    for scope, where in (("all", ""), ("excl_human", f" where model is distinct from '{compare.HUMAN_MODEL}'"))
+)
+
+
+@query(
+    "q_metric_pair_lines",
+    f"""with {SIDE_SQL}, pts as (select * from ({_MODEL_POINTS}) where x is not null and y is not null),
+    line as (select scope, x_name, y_name, regr_slope(y, x) as s, regr_intercept(y, x) as i, corr(y, x) as r from pts group by 1, 2, 3)
+    select model, scope, x_name, y_name, round(x, 6) as x, round(y, 6) as y, round(i + s * x, 6) as y_hat
+    from pts join line using (scope, x_name, y_name)""",
+)
+def metric_pair_points(spark, sf_dir):
+    wide = compare.metrics_side_by_side(score_tables(spark, sf_dir), key=[*KEY, "context", "model"])
+    points = pair_lines(wide, _PAIRS, {"all": None, "excl_human": compare.not_human()}, keep=["model"])
+    return points.withColumns({c: F.round(c, 6) for c in ("x", "y", "y_hat")})
+
+
+@query(
+    "q_metric_pair_labels",
+    f"""with {SIDE_SQL}, pts as ({_POINTS}), {sqltext.fits('pts', 'x', 'y', ['scope', 'x_name', 'y_name'])}
+    select scope, x_name, y_name, concat('$R=$', {sqltext.short_decimal('r', 4)}, ', $R^2=$', {sqltext.short_decimal('r2', 4)},
+      chr(10), ' p=', {sqltext.short_decimal('p', 4)}) as label from fit""",
+)
+def metric_pair_labels(spark, sf_dir):
+    wide = compare.metrics_side_by_side(score_tables(spark, sf_dir), key=[*KEY, "context", "model"])
+    fits = pair_regressions(wide, _PAIRS, {"all": None, "excl_human": compare.not_human()})
+    return fits.select("scope", "x_name", "y_name", report_label(digits=4, r2=True).alias("label"))
+
+
 @query(
     "q_excl_human",
     f"with {COUNTS_SQL} select conv_id, turn, model from cnt where model is distinct from '{compare.HUMAN_MODEL}'",

@@ -83,3 +83,9 @@ def rounded(columns: list[str], digits: int = 6) -> str:
 
 
 FIT_COLUMNS = ["slope", "intercept", "r", "r2", "p", "stderr"]
+
+
+def short_decimal(column: str, digits: int = 6) -> str:
+    """A rounded number as plain decimal text without trailing zeros, one digit after the point at least."""
+    text = f"rtrim(printf('%.{digits}f', round({column}, {digits})), '0')"
+    return f"coalesce(case when {text} like '%.' then {text} || '0' else {text} end, 'nan')"

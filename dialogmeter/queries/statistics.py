@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from dialogmeter.operators import regression, ridge
 from dialogmeter.operators.annotations import long_form, median_table
 from dialogmeter.operators.correlation import correlation_matrix, wide_matrix
-from dialogmeter.operators.joins import join_spreading_hot_keys
 from dialogmeter.operators.pairwise import win_ratio
 from dialogmeter.operators.scoring import score
 from dialogmeter.plans.workflows import compare_components, correlate, explain_overall, rating_correlation, rating_lines
@@ -37,13 +36,14 @@ _DOCS = "docs as (select lang, n_chars, quality from documents join labels using
 
 @query(
     "q_linregress_documents",
-    f"with {_DOCS}, {sqltext.fits('docs', 'n_chars', 'quality', ['lang'])} select lang, {sqltext.rounded(['intercept', 'r', 'r2', 'p', 'stderr'])}, n from fit",
+    f"with {_DOCS}, {sqltext.fits('docs', 'n_chars', 'quality', ['lang'])} select lang, round(slope, 12) as slope, {sqltext.rounded(['intercept', 'r', 'r2', 'p', 'stderr'])}, n from fit",
 )
 def linregress_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(
         table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"
     )
-    return regression.rounded(regression.linear_regression(docs, "n_chars", "quality", ["lang"])).drop("slope")
+    fits = regression.linear_regression(docs, "n_chars", "quality", ["lang"]).withColumn("slope", F.round("slope", 12))
+    return regression.rounded(fits, measures=["intercept", "r", "r2", "p", "stderr"])
 
 
 # Context-last brevity penalty against the median of every rating.
@@ -79,11 +79,11 @@ def linregress_propagate_nulls(spark, sf_dir):
 @query(
     "q_correlation_report",
     f"""with {_LONG}, {sqltext.fits('long', 'score', 'rating', ['quality'])}
-    select quality, round(r, 6) as r, round(p, 6) as p, n from fit""",
+    select quality, round(r, 6) as r, round(p, 6) as p, n,
+      concat(quality, ': $R=$', {sqltext.short_decimal('r')}, chr(10), ' p=', {sqltext.short_decimal('p')}) as label from fit""",
 )
 def correlation_report(spark, sf_dir):
-    report = regression.correlation_report(correlate(_scored(spark, sf_dir), QUALITIES), "quality")
-    return report.drop("label")
+    return regression.correlation_report(correlate(_scored(spark, sf_dir), QUALITIES), "quality")
 
 
 @query(
@@ -171,11 +171,10 @@ def corr_matrix_volume(spark, sf_dir):
     "q_component_regress",
     f"""with {WORDS_SQL}, sc as (select *, {MEAN3} as score from f1), shown as (
       select event_id % 500 as prompt_id, user_id % 10 as a, (user_id + 1 + event_id % 4) % 10 as b,
-        case when event_type = 'error' then null else event_id % 3 end as value from events),
-    ratio as (select prompt_id, sum(case when value = 0 then 1 end)::double / nullif(count(value), 0) as win_ratio from shown
-      where a = 1 or b = 1 group by 1),
-    sides as (select prompt_id, count(*) filter ((a = 1 and value = 0) or (b = 1 and value = 1)) as wins, count(value) as counts
-      from shown where a = 1 or b = 1 group by 1),
+        case when event_type = 'error' then null else event_id % 3 end as value, event_id from events),
+    seen as (select distinct prompt_id, model, a, b, value, event_id from (
+      select prompt_id, a as model, a, b, value, event_id from shown union all select prompt_id, b, a, b, value, event_id from shown)),
+    sides as (select prompt_id, model, count(*) filter ((a = model and value = 0) or (b = model and value = 1)) as wins from seen group by 1, 2),
     pts as (select sc.* from sc join sides on sides.prompt_id = sc.conv_id where wins > 0),
     long as (select 'ref_score' as component, score, ref_score as part from pts
       union all select 'context_score', score, context_score from pts
@@ -183,9 +182,9 @@ def corr_matrix_volume(spark, sf_dir):
     {sqltext.fits('long', 'score', 'part', ['component'])} select component, {ALL}, n from fit""",
 )
 def component_regress(spark, sf_dir):
-    # Votes on model 1 give each dialogue its win ratio.
-    ratios = win_ratio(votes(spark, sf_dir)).where("model_id = 1").select(F.col("prompt_id").alias("conv_id"), "win_ratio")
-    table = join_spreading_hot_keys(examples(spark, sf_dir), ratios, ["conv_id"])
+    # Each model's votes on a dialogue give its replies a win ratio.
+    ratios = win_ratio(votes(spark, sf_dir)).select(F.col("prompt_id").alias("conv_id"), "win_ratio")
+    table = examples(spark, sf_dir).join(ratios, "conv_id")
     scored = score(table, overlap.NAME, "multi_avg")
     return regression.rounded(compare_components(scored, ["ref_score", "context_score", "empty_score"]))
 

@@ -48,7 +48,7 @@ EXAMPLES_SQL = f"""
 history as (
   select c.conv_id, c.turn, string_agg(p.text, chr(10) order by p.turn) as context
   from conversations c join conversations p
-    on p.conv_id = c.conv_id and p.turn between c.turn - 3 and c.turn - 1
+    on p.conv_id = c.conv_id and p.turn < c.turn
   where c.role = 'assistant' group by c.conv_id, c.turn),
 plain as (
   select h.conv_id, h.turn, h.context, n.text as ref, c.text as cand, h.conv_id*7 + h.turn*3 as k

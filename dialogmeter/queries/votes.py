@@ -5,27 +5,32 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dialogmeter.operators import pairwise
-from dialogmeter.plans.workflows import correlate_votes, score_votes, vote_table
+from dialogmeter.operators.regression import rounded
+from dialogmeter.plans.workflows import correlate_votes, score_votes, vote_table, win_ratio_line
 from dialogmeter.queries import sqltext
 from dialogmeter.queries.registry import query
 from dialogmeter.queries.views import CATALOG_SQL, EVALSET, VOTES_SQL, catalog, votes
 from dialogmeter.sources.relational import register_catalog, sql_source
 
-IN_SET = f"select d.prompt_id from dataset_text d, evaluation_dataset e where d.evaluationdataset_id = e.evalset_id and e.name = '{EVALSET}'"
+IN_SET = f"select prompt_id from dataset_text join evaluation_dataset on evaluationdataset_id = evalset_id where name = '{EVALSET}'"
 PARTS_SQL = CATALOG_SQL + f""",
-ctx as (select d.prompt_id, d.prompt_text from dataset_text d, evaluation_dataset e
-  where d.evaluationdataset_id = e.evalset_id and e.name = '{EVALSET}'),
-refs as (select prompt_id, m.model_id as ref_id, m.name as reference_name, response_text as reference_text
-  from model_response r, model m, baselines b, evaluation_dataset e
-  where m.model_id = r.model_id and b.model_id = m.model_id and e.evalset_id = b.evaluationdataset_id
-    and e.name = '{EVALSET}' and is_baseline < 3),
-resp as (select distinct prompt_id, m.model_id, m.name as model_name, response_text as candidate_text
-  from model_response r, model m, baselines b, evaluation_dataset e
-  where m.model_id = r.model_id and e.evalset_id = r.evaluationdataset_id and e.name = '{EVALSET}'
-    and (is_baseline > 2 or is_baseline = 0)),
-ctx2 as (select * from ctx where prompt_id in (select prompt_id from resp)),
-evals as (select value, model_1, model_2, prompt_id, mturk_run_id from ab_comparison a, evaluation_run u
-  where a.mturk_run_id_id = u.mturk_run_id and prompt_id in ({IN_SET})),
+the_set as (select evalset_id from evaluation_dataset where name = '{EVALSET}'),
+ctx as (select prompt_id, prompt_text from dataset_text join the_set on evaluationdataset_id = evalset_id),
+refs as (
+  select prompt_id, model_id as ref_id, name as reference_name, response_text as reference_text
+  from model_response join model using (model_id)
+    join (select model_id from baselines join the_set on evaluationdataset_id = evalset_id) listed using (model_id)
+  where is_baseline < 3),
+resp as (
+  select distinct prompt_id, model_id, name as model_name, response_text as candidate_text
+  from model_response join model using (model_id)
+  where (is_baseline = 0 or is_baseline > 2) and exists (select 1 from baselines)
+    and evaluationdataset_id in (select evalset_id from the_set)),
+ctx2 as (select * from ctx semi join resp using (prompt_id)),
+evals as (
+  select value, model_1, model_2, prompt_id, mturk_run_id
+  from ab_comparison join evaluation_run on mturk_run_id = mturk_run_id_id
+  where prompt_id in (select prompt_id from ctx)),
 models as (select distinct model_id from resp),
 shown as (select m.model_id, v.prompt_id, count(v.value) as counts
   from models m join evals v on v.model_1 = m.model_id or v.model_2 = m.model_id group by 1, 2),
@@ -185,6 +190,16 @@ def scored_votes(spark, sf_dir):
     select {sqltext.rounded(sqltext.FIT_COLUMNS)}, n from fit""",
 )
 def win_ratio_regression(spark, sf_dir):
-    from dialogmeter.operators.regression import rounded
-
     return rounded(correlate_votes(score_votes(vote_table(catalog(spark, sf_dir), EVALSET), "bleu", "context_last")))
+
+
+@query(
+    "q_win_ratio_line",
+    f"""with {SCORED_SQL}, pts as (select score, win_ratio from scored where score is not null and win_ratio is not null)
+    select round(score, 6) as x, round(win_ratio, 6) as y,
+      round((select regr_intercept(win_ratio, score) from pts) + (select regr_slope(win_ratio, score) from pts) * score, 6) as y_hat
+    from pts""",
+)
+def win_ratio_points(spark, sf_dir):
+    points = win_ratio_line(score_votes(vote_table(catalog(spark, sf_dir), EVALSET), "bleu", "context_last"))
+    return points.select(*[F.round(c, 6).alias(c) for c in ("x", "y", "y_hat")])

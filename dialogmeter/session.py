@@ -10,25 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 MIB = 1024 * 1024
 
 
-def recommended_conf(input_bytes: int, cores: int) -> dict[str, str]:
-    """Spark settings for a job that shuffles about ``input_bytes`` on ``cores``.
+#: More map outputs times reducers than this many reducers make are a burden for the driver.
+MOST_PARTITIONS = 20_000
 
-    The shuffle starts with partitions of roughly 128 MiB and adaptive execution
-    merges the ones that turn out small, so over-counting is cheap and
-    under-counting (which would spill) is avoided.
+
+def recommended_conf(shuffled_bytes: int, cores: int) -> dict[str, str]:
+    """Spark settings for a job whose largest shuffle moves about ``shuffled_bytes`` on ``cores``.
+
+    A shuffle starts with partitions of about 512 MiB, never more than ``MOST_PARTITIONS`` unless
+    the cores ask for them, and adaptive execution merges those that turn out small. Larger
+    partitions spill to disk, which costs less than the bookkeeping of hundreds of thousands.
     """
-    wanted = -(-input_bytes // (128 * MIB))
+    wanted = min(-(-shuffled_bytes // (512 * MIB)), MOST_PARTITIONS)
     partitions = max(2 * cores, wanted)
     return {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * MIB),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * MIB),
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
-        "spark.sql.files.maxPartitionBytes": str(256 * MIB if input_bytes > 2**40 else 128 * MIB),
+        "spark.sql.files.maxPartitionBytes": str(256 * MIB if shuffled_bytes > 2**40 else 128 * MIB),
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
 
 
@@ -63,3 +68,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     shared_scratch(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_landed: list[tuple[SparkSession, str]] = []
+
+
+def landed(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back.
+
+    What follows is computed from the copy: its size is known, so Spark can choose joins by it,
+    and joins on it start from a plain scan, whose skew adaptive execution can split.
+    """
+    path = new_scratch_path(df.sparkSession, label)
+    _landed.append((df.sparkSession, path))
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_landed() -> None:
+    """Delete the copies written so far. Results that read them must have been saved before."""
+    while _landed:
+        spark, path = _landed.pop()
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

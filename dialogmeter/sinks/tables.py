@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from dialogmeter.functions.ratings import ratings_as_text
 from dialogmeter.schemas import column_name
+from dialogmeter.session import landed
 from dialogmeter.sources.tsv import DIALECT
 
 # White space at the ends of a text belongs to it.
@@ -29,18 +30,22 @@ def lists_as_text(df: DataFrame) -> DataFrame:
 
 
 def write_tsv(df: DataFrame, path: str | None, mode: str = "errorifexists") -> DataFrame:
-    """Write ``df`` as a folder of tab-separated files if a path is given; return it either way.
+    """Write ``df`` as a folder of tab-separated files if a path is given.
 
-    Each task writes its own file: the table never passes through one writer.
+    Then the rows are computed once: they are landed, the text is written from the copy, and the
+    copy is returned, so that what follows does not compute them again. Each task writes its own
+    file: the table never passes through one writer.
     """
-    out = lists_as_text(normalised_header(df))
-    if path is not None:
-        out.write.mode(mode).options(**WRITE_OPTIONS).csv(path)
-    return df
+    if path is None:
+        return df
+    copy = landed(df, "table")
+    lists_as_text(normalised_header(copy)).write.mode(mode).options(**WRITE_OPTIONS).csv(path)
+    return copy
 
 
 def write_parquet(df: DataFrame, path: str | None, mode: str = "errorifexists") -> DataFrame:
-    """Same for parquet, the splittable form for large tables."""
-    if path is not None:
-        df.write.mode(mode).parquet(path)
-    return df
+    """Write parquet, the splittable form for large tables, and return the written table."""
+    if path is None:
+        return df
+    df.write.mode(mode).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +11,8 @@ from dialogmeter.functions.text import na_to_null, nan_to_null
 # The dialect of the files. The line end is found out per file, because files from
 # other writers end their lines with a carriage return too.
 DIALECT = {"sep": "\t", "header": True, "quote": '"', "escape": '"', "multiLine": True}
+# Nothing reads as null but an absent value: a quoted empty text stays a text.
+NO_NULL_WORD = "\x00"
 INDEX_COLUMN = "_c0"
 
 
@@ -38,7 +38,7 @@ def read_tsv(
     types; give a schema for anything large. ``missing_words`` treats words such as ``NA`` as null.
     An unnamed leading column is the row number and is called ``row_id``.
     """
-    reader = spark.read.options(**DIALECT)
+    reader = spark.read.options(**DIALECT, nullValue=NO_NULL_WORD)
     if schema is not None:
         # Types are cast after reading: whole numbers may be stored as "18.0" once a column has gaps.
         text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
@@ -75,7 +75,3 @@ def read_score_files(
             df = df.withColumnRenamed(score_col, "score")
         tables[metric] = df.withColumns({"score": F.col("score").cast("double"), "metric": F.lit(metric)})
     return tables
-
-
-def text_columns(df: DataFrame) -> Sequence[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]

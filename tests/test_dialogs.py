@@ -37,5 +37,23 @@ def test_reply_examples(spark):
 
 def test_one_shuffle_of_the_turns(spark):
     df = spark.createDataFrame([(1, 0, "user", "q")], "conv_id long, turn long, role string, text string")
-    plan = reply_examples(df)._jdf.queryExecution().executedPlan().toString()
+    plan = reply_examples(df, history=3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_whole_history_over_several_blocks(spark):
+    rows = [(1, t, f"t{t}") for t in range(40) if t != 13] + [(1, 20, None)] + [(2, 0, "a"), (2, 1, "b"), (3, 9, "late"), (4, 1, None), (4, 2, "x")]
+    turns = spark.createDataFrame(rows, "conv_id int, turn int, text string")
+    got = {(r.conv_id, r.turn): r for r in turn_neighbours(turns, block=4).where("text is not null").collect()}
+    for conv, turn, text in rows:
+        if text is None:
+            continue
+        before = [x for c, t, x in sorted(rows, key=lambda r: r[:2]) if c == conv and t < turn and x is not None]
+        assert got[conv, turn].context == ("\n".join(before) if before else None)
+    assert got[1, 39].ref is None and got[1, 3].ref == "t4" and got[1, 12].ref is None
+
+
+def test_whole_history_has_no_window_over_a_dialogue(spark):
+    turns = spark.createDataFrame([(1, 0, "a")], "conv_id int, turn int, text string")
+    plan = turn_neighbours(turns)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_block" in line for line in plan.split("\n") if "Window [" in line)

@@ -50,3 +50,9 @@ def test_long_form(spark):
     df = spark.createDataFrame([(1, "[1, 2]", 4.0)], "id int, a string, b double")
     rows = long_form(median_table(df, ["a", "b"], keep=["id"]), ["a", "b"], keep=["id"]).orderBy("quality").collect()
     assert [tuple(r) for r in rows] == [(1, "a", 1.5), (1, "b", 4.0)]
+
+
+def test_numbers_of_any_length(values):
+    cells = ["[1, 99999999999999999999]", "[" + "9" * 400 + "]", "[007]"]
+    assert values(cells, parse_ratings) == [[1.0, 1e20], [float("inf")], [7.0]]
+    assert values(cells, lambda c: median_rating(c, T.StringType())) == [5e19, float("inf"), 7.0]

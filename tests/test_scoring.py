@@ -3,9 +3,10 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from dialogmeter import TextColumns, VOTE_TEXTS, register_scorer, score
+from dialogmeter import TextColumns, VOTE_TEXTS, correlate, evaluate, register_scorer, score, score_examples
 from dialogmeter.operators.references import MODES, with_references
-from dialogmeter.operators.scoring import attach_scores, scorer
+from dialogmeter.operators.scoring import attach_scores, key_digest, scorer
+from dialogmeter.plans.workflows import rating_lines
 
 ROWS = [("a b\nx y z", "r s", "one two three"), ("only", None, "w"), ("q", "r s t", None)]
 
@@ -106,3 +107,38 @@ def test_attach_scores(spark, table):
     assert by_cand(attach_scores(table, scored), "score") == {"one two three": (None,), "w": (0.5,), None: (None,)}
     with pytest.raises(Exception, match="share one key"):
         attach_scores(table, scored.union(scored)).collect()
+
+
+def test_an_existing_score_and_helper_names_stay(spark):
+    df = spark.createDataFrame([("q", "a b", "c", 9.0, 1, 2)], "context string, ref string, cand string, score double, _c int, _scores int")
+    got = score(df, "bleu", score_col="bp").first()
+    assert (got.score, got._c, got._scores) == (9.0, 1, 2) and got.bp == pytest.approx(0.36787944)
+
+
+def test_keys_of_several_fields_do_not_run_together(spark):
+    rows = [("a\x1f", "b"), ("a", "\x1fb"), (None, "a"), ("a", None), ("", "a")]
+    df = spark.createDataFrame(rows, "x string, y string").select(key_digest(["x", "y"]).alias("k"))
+    assert df.distinct().count() == len(rows)
+
+
+def test_scoring_runs_once_for_all_reports(spark, tmp_path):
+    counter = spark.sparkContext.accumulator(0)
+
+    def counting():
+        def run(cands, refs):
+            counter.add(len(cands))
+            return [float(len(c)) for c in cands]
+
+        return run
+
+    register_scorer("counted", counting)
+    rows = [(f"q{i}", "r", "m", "c" * (i + 1), f"[{i % 4}, {i % 3}]", f"[{i % 5}]", f"[{i % 2}]") for i in range(12)]
+    df = spark.createDataFrame(rows, "context string, ref string, model string, cand string, warmth string, sense string, overall string")
+    scored = score_examples(df, "counted", out=str(tmp_path / "scored"))
+    correlate(scored, ["overall"]).collect()
+    rating_lines(scored, ["overall"]).collect()
+    assert counter.value == 12
+    reports = evaluate(df.select("context", "ref", "cand", "model", "warmth", "sense", "overall"), "counted", out=str(tmp_path / "again"))
+    for r in reports.values():
+        r.collect()
+    assert counter.value == 24

@@ -99,20 +99,37 @@ def test_report(spark):
     assert regression.correlation_report(fits).where("n = 10").first().label == "$R=$0.041342\n p=0.5"
 
 
-@pytest.mark.parametrize("limit", [100, 1])
-def test_fitted_line_with_and_without_broadcast(points, limit, monkeypatch):
-    monkeypatch.setattr(joins.join_group_table, "__defaults__", (limit,))
-    rows = regression.fitted_line(points, "x", "y", ["g"])
+@pytest.mark.parametrize("limit", ["10m", "-1"])
+def test_fitted_line_with_and_without_broadcast(spark, points, limit):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        rows = regression.fitted_line(points, "x", "y", ["g"])
+        got = rows.collect()
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     fits = fits_by_group(regression.linear_regression(points, "x", "y", ["g"]))
-    got = rows.collect()
     assert len(got) == points.count()
     for r in got:
         if fits[r.g].slope is None or r.x is None:
             assert r.y_hat is None
         else:
             assert r.y_hat == pytest.approx(fits[r.g].intercept + fits[r.g].slope * r.x)
-    plan = rows._jdf.queryExecution().executedPlan().toString()
-    assert ("BroadcastHashJoin" in plan) or limit == 1
+    assert ("BroadcastHashJoin" in plan) or limit == "-1"
+
+
+def test_fitted_line_of_a_null_group_and_without_groups(spark):
+    rows = [(None, 0.0, 1.0), (None, 1.0, 3.0), (None, 2.0, 5.0), ("a", 0.0, 0.0), ("a", 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    assert sorted((str(r.g), r.x, r.y_hat) for r in regression.fitted_line(df, "x", "y", ["g"]).collect()) == [
+        ("None", 0.0, 1.0), ("None", 1.0, 3.0), ("None", 2.0, 5.0), ("a", 0.0, 0.0), ("a", 1.0, 1.0)]
+    whole = regression.fitted_line(df.where("g is null"), "x", "y")
+    assert whole.columns == ["x", "y", "y_hat"] and all(r.y == pytest.approx(r.y_hat) for r in whole.collect())
+
+
+def test_labels(spark):
+    fits = spark.createDataFrame([("q", 0.5, 0.25, None)], "g string, r double, r2 double, p double")
+    assert fits.select(regression.report_label(F.col("g"), 3, r2=True).alias("l")).first().l == "q: $R=$0.5, $R^2=$0.25\n p=nan"
 
 
 def test_correlation_matrix(spark):
