@@ -38,8 +38,8 @@ REGISTERS, BAND = 128, 4
 #: Pairs whose registers agree less often are not verified: at a similarity of 0.8 a share this
 #: small has a probability below 1e-7.
 LEAST_AGREEMENT = 0.6
-#: Buckets with so few members left are compared in full.
-SMALL = 8
+#: Buckets with so few members left after their first pivot are compared in full.
+SMALL = 64
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
