@@ -10,11 +10,11 @@ probability Jaccard similarity of all their elements, and linked from ``SIMILAR`
 the connected components.
 
 Texts with the same words (ASCII letters lower-cased) are one text from the start. Within a band's
-bucket the members are compared with one pivot, not with each other. Members linked to the pivot
-are in its class; those that aren't form the bucket's next round. Similarity is a metric, so a
-member that is not linked to the pivot can only be linked to another member if it is not much
-farther from the pivot than that one: these pairs, where still in different classes, are compared
-in the end. So no link between candidates is lost.
+bucket the members are compared with a few pivots, not with each other. Members linked to a pivot
+are in its class; those that aren't form the bucket's next round, with eight times as many pivots,
+until few are left, which are compared in full. 1 - similarity is a metric, so a member that is not
+linked to a pivot can only be linked to one that is if it is not much farther from that pivot:
+these pairs, where still in different classes, are compared in the end.
 
 Null and empty texts are one class. Repeated rows are members of one class; null ids are ids that
 sort last. An empty table gives an empty result; other columns pass through ``keep_one``.
@@ -38,7 +38,9 @@ REGISTERS, BAND = 128, 4
 #: Pairs whose registers agree less often are not verified: at a similarity of 0.8 a share this
 #: small has a probability below 1e-7.
 LEAST_AGREEMENT = 0.6
-#: Buckets with so few members left after their first pivot are compared in full.
+#: Pivots of a bucket in the first round; each later round has as many times more.
+PIVOTS = 8
+#: Buckets with so few members left after the first round are compared in full.
 SMALL = 64
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -200,36 +202,38 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 class _Compared:
-    """Pairs of texts, compared once."""
+    """Pairs of texts, compared exactly where their registers agree often enough."""
 
-    def __init__(self, nodes: DataFrame, docs: DataFrame):
-        self.nodes, self.docs = nodes, docs
+    def __init__(self, nodes: DataFrame, texts: DataFrame):
+        self.nodes, self.texts = nodes, texts
         self.links: list[DataFrame] = []
 
     def compare(self, pairs: DataFrame, label: str) -> DataFrame:
         """a, b, similar of the distinct pairs whose registers agree often enough."""
-        sides = [self.nodes.select(F.col("node").alias(f"n_{k}"), F.col("agree").alias(f"agree_{k}")) for k in "ab"]
         ship(pairs.sparkSession)
-        asked = pairs.distinct()
+        asked = stored(pairs.distinct(), f"{label}-asked")
+        sides = [self.nodes.select(F.col("node").alias(f"n_{k}"), F.col("agree").alias(f"agree_{k}")) for k in "ab"]
         close = asked.join(sides[0], asked["a"] == F.col("n_a")).join(sides[1], F.col("b") == F.col("n_b"))
         close = stored(agreement(close), f"{label}-close")
-        wanted = close.select(F.col("a").alias("w")).union(close.select("b")).distinct()
-        wanted = self.nodes.select("node", "doc_id", "key").join(wanted, F.col("node") == F.col("w"), "left_semi").select(
-            "node", F.col("doc_id").alias("w_id"), F.col("key").alias("w_key")
-        )
-        texts = self.docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
-        texts = texts.join(wanted, (texts["key"] == wanted["w_key"]) & texts["doc_id"].eqNullSafe(wanted["w_id"]))
-        # Rows that repeat both id and text are the same text.
-        texts = stored(texts.select("node", "text"), f"{label}-texts")
-        if not texts.groupBy("node").count().where("count > 1").isEmpty():
-            texts = texts.dropDuplicates(["node"])
-        sides = [texts.select(F.col("node").alias(f"n_{k}"), F.col("text").alias(f"text_{k}")) for k in "ab"]
+        sides = [self.texts.select(F.col("node").alias(f"n_{k}"), F.col("text").alias(f"text_{k}")) for k in "ab"]
         joined = close.join(sides[0], close["a"] == F.col("n_a")).join(sides[1], F.col("b") == F.col("n_b"))
         found = stored(similarities(joined), f"{label}-similar")
         self.links.append(found.where(F.col("similar") >= SIMILAR).select("a", "b"))
         return found
 
 
+def _texts_of(nodes: DataFrame, live: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, text of the nodes that share a bucket with another."""
+    wanted = nodes.select("node", "doc_id", "key").join(live.select(F.col("node").alias("w")).distinct(), F.col("node") == F.col("w"), "left_semi")
+    wanted = wanted.select("node", F.col("doc_id").alias("w_id"), F.col("key").alias("w_key"))
+    texts = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+    texts = texts.join(wanted, (texts["key"] == wanted["w_key"]) & texts["doc_id"].eqNullSafe(wanted["w_id"]))
+    texts = stored(texts.select("node", "text"), "near-texts")
+    # Rows that repeat both id and text are the same text.
+    repeated = not texts.groupBy("node").count().where("count > 1").isEmpty()
+    return texts.dropDuplicates(["node"]) if repeated else texts
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -251,31 +255,41 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("s_bucket"))
     live = stored(member.join(shared, member["bucket"] == shared["s_bucket"], "left_semi"), "buckets")
 
-    work, borders, round_ = _Compared(nodes, docs), [], 0
+    work, borders, round_ = _Compared(nodes, _texts_of(nodes, live, docs)), [], 0
     while True:
-        size = live.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
-        size = size.select(F.col("bucket").alias("s_bucket"), "n", "pivot")
+        size = live.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("s_bucket"), "n")
         live = stored(live.join(size, live["bucket"] == size["s_bucket"]).drop("s_bucket"), f"live-{round_}")
         if live.isEmpty():
             break
-        # The pivot of each bucket against its members; all pairs of what is left of small buckets.
-        stars = live.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+        # The smallest node of each of a bucket's slots is a pivot.
+        slots = min(PIVOTS ** (round_ + 1), 4096)
+        pivots = live.groupBy(F.col("bucket").alias("p_bucket"), F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(slots)).alias("slot")).agg(
+            F.min("node").alias("pivot")).select("p_bucket", "pivot")
+        pivots = stored(pivots, f"pivots-{round_}")
+        beside = live.join(pivots, live["bucket"] == pivots["p_bucket"]).where("node <> pivot")
+        pairs = [beside.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))]
         if round_:
             few = live.where(F.col("n") <= SMALL)
             other = few.select(F.col("bucket").alias("o_bucket"), F.col("node").alias("other"))
-            stars = stars.unionByName(few.join(other, (few["bucket"] == other["o_bucket"]) & (few["node"] < other["other"])).select(
+            pairs.append(few.join(other, (few["bucket"] == other["o_bucket"]) & (few["node"] < other["other"])).select(
                 F.col("node").alias("a"), F.col("other").alias("b")))
-        found = work.compare(stars, f"round-{round_}")
-        met = found.select(F.col("a").alias("f_a"), F.col("b").alias("f_b"), "similar")
-        rest = live.where("node <> pivot").join(met, (live["pivot"] == met["f_a"]) & (live["node"] == met["f_b"]), "left")
-        rest = stored(rest.select("bucket", "node", "n", "pivot", F.coalesce("similar", F.lit(0.0)).alias("similar")), f"rest-{round_}")
-        left = rest.where(F.col("similar") < SIMILAR)
-        # 1 - similarity is a distance: members x (linked) and y (not) can be linked if d(y) <= d(x) + 1 - SIMILAR.
-        y = left.where(F.col("similar") >= 2 * SIMILAR - 1 - 1e-9).select(
-            F.col("bucket").alias("y_bucket"), F.col("node").alias("y"), F.col("similar").alias("y_similar"))
-        x = rest.where(F.col("similar") >= SIMILAR)
-        borders.append(x.join(y, (x["bucket"] == y["y_bucket"]) & (F.col("y_similar") >= F.col("similar") - (1 - SIMILAR) - 1e-9)).select(
-            F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b")))
+        found = work.compare(_union(pairs), f"round-{round_}")
+        # What each member has found among its bucket's pivots: the most similar one.
+        met = found.select("a", "b", "similar").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "similar")).select(
+            F.col("a").alias("f_node"), F.col("b").alias("f_pivot"), "similar")
+        seen = stored(beside.join(met, (beside["node"] == met["f_node"]) & (beside["pivot"] == met["f_pivot"])).select(
+            "bucket", "node", "pivot", "similar"), f"seen-{round_}")
+        nearest = seen.where(F.col("similar") >= SIMILAR).groupBy("bucket", "node").agg(
+            F.max_by("pivot", "similar").alias("pivot"), F.max("similar").alias("similar"))
+        nearest = stored(nearest, f"nearest-{round_}")
+        gone = nearest.select("bucket", "node").unionByName(pivots.select(F.col("p_bucket").alias("bucket"), F.col("pivot").alias("node")))
+        left = stored(live.join(gone, ["bucket", "node"], "left_anti"), f"left-{round_}")
+        # Members x (linked to a pivot) and y (not) can be linked if d(y) <= d(x) + 1 - SIMILAR.
+        y = seen.where(F.col("similar") >= 2 * SIMILAR - 1 - 1e-9).join(left.select("bucket", "node"), ["bucket", "node"], "left_semi").select(
+            F.col("bucket").alias("y_bucket"), F.col("pivot").alias("y_pivot"), F.col("node").alias("y"), F.col("similar").alias("y_similar"))
+        near = (nearest["bucket"] == y["y_bucket"]) & (nearest["pivot"] == y["y_pivot"])
+        borders.append(stored(nearest.join(y, near & (F.col("y_similar") >= F.col("similar") - (1 - SIMILAR) - 1e-9)).select(
+            F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b")).distinct(), f"border-{round_}"))
         live = left.where((F.col("n") > SMALL) | F.lit(round_ == 0)).select("bucket", "node")
         round_ += 1
     if not work.links:
