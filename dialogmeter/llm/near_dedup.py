@@ -181,23 +181,23 @@ def similarities(pairs: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node of each component, for the nodes that have an edge (a, b)."""
-    edges = stored(edges.select("a", "b").distinct(), "edges")
+    edges = stored(edges.select("a", "b").distinct(), "edges", narrow=True)
     labels = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("up")), "parents")
+        parent = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("up")), "parents", narrow=True)
         if labels is None:
             labels = parent.withColumnRenamed("up", "root")
         else:
             up = parent.select(F.col("node").alias("p_node"), "up")
             labels = labels.join(up, labels["root"] == up["p_node"], "left").select("node", F.coalesce("up", "root").alias("root"))
-        labels = stored(labels, "labels")
+        labels = stored(labels, "labels", narrow=True)
         up_a, up_b = (parent.select(F.col("node").alias(f"n_{k}"), F.col("up").alias(f"u_{k}")) for k in "ab")
         # Each node moves to its smallest neighbour; edges between what they moved to remain.
         moved = edges.join(up_a, edges["a"] == up_a["n_a"]).join(up_b, F.col("b") == up_b["n_b"])
         a, b = F.least("u_a", "u_b"), F.greatest("u_a", "u_b")
         kept = moved.select(a.alias("a"), b.alias("b"))
-        edges = stored(kept.where("a <> b").distinct(), "edges")
+        edges = stored(kept.where("a <> b").distinct(), "edges", narrow=True)
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -211,13 +211,13 @@ class _Compared:
     def compare(self, pairs: DataFrame, label: str) -> DataFrame:
         """a, b, similar of the distinct pairs whose registers agree often enough."""
         ship(pairs.sparkSession)
-        asked = stored(pairs.distinct(), f"{label}-asked")
+        asked = pairs.distinct()
         sides = [self.nodes.select(F.col("node").alias(f"n_{k}"), F.col("agree").alias(f"agree_{k}")) for k in "ab"]
         close = asked.join(sides[0], asked["a"] == F.col("n_a")).join(sides[1], F.col("b") == F.col("n_b"))
-        close = stored(agreement(close), f"{label}-close")
+        close = stored(agreement(close), f"{label}-close", narrow=True)
         sides = [self.texts.select(F.col("node").alias(f"n_{k}"), F.col("text").alias(f"text_{k}")) for k in "ab"]
         joined = close.join(sides[0], close["a"] == F.col("n_a")).join(sides[1], F.col("b") == F.col("n_b"))
-        found = stored(similarities(joined), f"{label}-similar")
+        found = stored(similarities(joined), f"{label}-similar", narrow=True)
         self.links.append(found.where(F.col("similar") >= SIMILAR).select("a", "b"))
         return found
 
@@ -241,31 +241,45 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _borders(nearest: DataFrame, apart: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of members x (linked to a pivot) and y (not) that can be linked, where y is not in the pivot's class.
+
+    1 - similarity is a distance, so d(y) <= d(x) + 1 - SIMILAR for the distances from the pivot.
+    """
+    ry, rp = (roots.select(F.col("node").alias(f"n_{k}"), F.col("root").alias(f"r_{k}")) for k in "yp")
+    y = apart.join(ry, apart["node"] == ry["n_y"], "left").join(rp, apart["pivot"] == rp["n_p"], "left")
+    y = y.where(F.coalesce("r_y", "node") != F.coalesce("r_p", "pivot")).select(
+        F.col("bucket").alias("y_bucket"), F.col("pivot").alias("y_pivot"), F.col("node").alias("y"), F.col("similar").alias("y_similar"))
+    same = (nearest["bucket"] == y["y_bucket"]) & (nearest["pivot"] == y["y_pivot"])
+    return nearest.join(y, same & (F.col("y_similar") >= F.col("similar") - (1 - SIMILAR) - 1e-9)).select(
+        F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, key, same_rows (rows with the same id and text), class_id, class_size, kept of every row.
 
     ``class_id`` is the smallest id of a class; ``kept`` marks one row of each class.
     """
     rows = stored(signatures(docs).withColumn("row", F.monotonically_increasing_id()), "signatures")
-    groups = stored(rows.groupBy("same").agg(F.min("row").alias("node")), "same-words")
+    groups = stored(rows.groupBy("same").agg(F.min("row").alias("node")), "same-words", narrow=True)
     leaders = groups.select(F.col("node").alias("l_node"))
     nodes = rows.join(leaders, rows["row"] == leaders["l_node"], "left_semi").withColumnRenamed("row", "node")
     nodes = stored(nodes.select("node", "doc_id", "key", "agree", "bands"), "texts")
     member = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("s_bucket"))
-    live = stored(member.join(shared, member["bucket"] == shared["s_bucket"], "left_semi"), "buckets")
+    live = stored(member.join(shared, member["bucket"] == shared["s_bucket"], "left_semi"), "buckets", narrow=True)
 
-    work, borders, round_ = _Compared(nodes, _texts_of(nodes, live, docs)), [], 0
+    work, rounds, round_ = _Compared(nodes, _texts_of(nodes, live, docs)), [], 0
     while True:
         size = live.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("s_bucket"), "n")
-        live = stored(live.join(size, live["bucket"] == size["s_bucket"]).drop("s_bucket"), f"live-{round_}")
+        live = stored(live.join(size, live["bucket"] == size["s_bucket"]).drop("s_bucket"), f"live-{round_}", narrow=True)
         if live.isEmpty():
             break
         # The smallest node of each of a bucket's slots is a pivot.
         slots = min(PIVOTS ** (round_ + 1), 4096)
         pivots = live.groupBy(F.col("bucket").alias("p_bucket"), F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(slots)).alias("slot")).agg(
             F.min("node").alias("pivot")).select("p_bucket", "pivot")
-        pivots = stored(pivots, f"pivots-{round_}")
+        pivots = stored(pivots, f"pivots-{round_}", narrow=True)
         beside = live.join(pivots, live["bucket"] == pivots["p_bucket"]).where("node <> pivot")
         pairs = [beside.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))]
         if round_:
@@ -278,37 +292,29 @@ def classes(docs: DataFrame) -> DataFrame:
         met = found.select("a", "b", "similar").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "similar")).select(
             F.col("a").alias("f_node"), F.col("b").alias("f_pivot"), "similar")
         seen = stored(beside.join(met, (beside["node"] == met["f_node"]) & (beside["pivot"] == met["f_pivot"])).select(
-            "bucket", "node", "pivot", "similar"), f"seen-{round_}")
+            "bucket", "node", "pivot", "similar"), f"seen-{round_}", narrow=True)
         nearest = seen.where(F.col("similar") >= SIMILAR).groupBy("bucket", "node").agg(
             F.max_by("pivot", "similar").alias("pivot"), F.max("similar").alias("similar"))
-        nearest = stored(nearest, f"nearest-{round_}")
         gone = nearest.select("bucket", "node").unionByName(pivots.select(F.col("p_bucket").alias("bucket"), F.col("pivot").alias("node")))
-        left = stored(live.join(gone, ["bucket", "node"], "left_anti"), f"left-{round_}")
-        # Members x (linked to a pivot) and y (not) can be linked if d(y) <= d(x) + 1 - SIMILAR.
-        y = seen.where(F.col("similar") >= 2 * SIMILAR - 1 - 1e-9).join(left.select("bucket", "node"), ["bucket", "node"], "left_semi").select(
-            F.col("bucket").alias("y_bucket"), F.col("pivot").alias("y_pivot"), F.col("node").alias("y"), F.col("similar").alias("y_similar"))
-        near = (nearest["bucket"] == y["y_bucket"]) & (nearest["pivot"] == y["y_pivot"])
-        borders.append(stored(nearest.join(y, near & (F.col("y_similar") >= F.col("similar") - (1 - SIMILAR) - 1e-9)).select(
-            F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b")).distinct(), f"border-{round_}"))
+        left = stored(live.join(gone, ["bucket", "node"], "left_anti"), f"left-{round_}", narrow=True)
+        # Members that no pivot is linked to, and how near they are to the pivots.
+        apart = seen.where(F.col("similar") >= 2 * SIMILAR - 1 - 1e-9).join(left.select("bucket", "node"), ["bucket", "node"], "left_semi")
+        rounds.append((nearest, apart))
         live = left.where((F.col("n") > SMALL) | F.lit(round_ == 0)).select("bucket", "node")
         round_ += 1
     if not work.links:
         roots = nodes.select("node", F.col("node").alias("root")).limit(0)
     else:
         roots = components(_union(work.links))
-        ra, rb = (roots.select(F.col("node").alias(f"n_{k}"), F.col("root").alias(f"r_{k}")) for k in "ab")
-        open_ = _union(borders).distinct()
-        apart = open_.join(ra, open_["a"] == ra["n_a"], "left").join(rb, F.col("b") == rb["n_b"], "left").where(
-            F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b")
-        apart = stored(apart, "borders")
-        if not apart.isEmpty():
-            work.compare(apart, "border")
+        borders = stored(_union([_borders(nearest, apart, roots) for nearest, apart in rounds]).distinct(), "borders", narrow=True)
+        if not borders.isEmpty():
+            work.compare(borders, "border")
             roots = components(_union(work.links))
     # Rows to texts to classes; nodes without link are their own root.
     own = rows.select("row", "doc_id", "key", "same")
     own = own.join(groups.select(F.col("same").alias("g_same"), "node"), own["same"] == F.col("g_same")).drop("same", "g_same")
     labels = roots.select(F.col("node").alias("r_node"), "root")
-    own = stored(own.join(labels, own["node"] == labels["r_node"], "left").select("row", "doc_id", "key", F.coalesce("root", "node").alias("root")), "rows-classes")
+    own = stored(own.join(labels, own["node"] == labels["r_node"], "left").select("row", "doc_id", "key", F.coalesce("root", "node").alias("root")), "rows-classes", narrow=True)
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     found = own.groupBy(F.col("root").alias("c_root")).agg(
         F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min_by("row", order).alias("keep_row"))
@@ -323,7 +329,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` of each class, with all its columns."""
-    found = stored(classes(docs).select("doc_id", "key", "kept"), "near-kept")
+    found = stored(classes(docs).select("doc_id", "key", "kept"), "near-kept", narrow=True)
     kept = found.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"))
     gone = found.where("not kept")
     keyed = docs.select(

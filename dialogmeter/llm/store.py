@@ -19,9 +19,15 @@ _written: list[tuple[SparkSession, str]] = []
 _folders: list[tempfile.TemporaryDirectory] = []
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to a fresh folder of the shared scratch space and read it back."""
+def stored(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
+    """Write ``df`` to a fresh folder of the shared scratch space and read it back.
+
+    ``narrow`` is for tables of a few numbers a row: they are written by at most four tasks a
+    core, so a shuffle into many partitions does not leave as many tiny files.
+    """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     path = new_scratch_path(spark, label)
     if not _written:
         atexit.register(clear)
