@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dialogmeter.operators import regression, ridge
-from dialogmeter.operators.annotations import long_form, median_table
+from dialogmeter.operators.annotations import median_table
 from dialogmeter.operators.correlation import correlation_matrix, wide_matrix
 from dialogmeter.operators.pairwise import win_ratio
 from dialogmeter.operators.scoring import score
