@@ -14,7 +14,8 @@ bucket the members are compared with a few pivots, not with each other. Members
 are in its class; those that aren't form the bucket's next round, with eight times as many pivots,
 until few are left, which are compared in full. 1 - similarity is a metric, so a member that is not
 linked to a pivot can only be linked to one that is if it is not much farther from that pivot:
-these pairs, where still in different classes, are compared in the end.
+these pairs, where still in different classes, are compared in the end, each member with those of
+its nearest pivot.
 
 Null and empty texts are one class. Repeated rows are members of one class; null ids are ids that
 sort last. An empty table gives an empty result; other columns pass through ``keep_one``.
@@ -244,15 +245,17 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 def _borders(nearest: DataFrame, apart: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs of members x (linked to a pivot) and y (not) that can be linked, where y is not in the pivot's class.
 
-    1 - similarity is a distance, so d(y) <= d(x) + 1 - SIMILAR for the distances from the pivot.
+    1 - similarity is a distance, so d(y) <= d(x) + 1 - SIMILAR for the distances from a pivot. Each
+    x is held against the y of its nearest pivot only, once for all bands.
     """
+    best = nearest.groupBy(F.col("node").alias("x")).agg(
+        F.max_by("pivot", "similar").alias("x_pivot"), F.max("similar").alias("x_similar"))
     ry, rp = (roots.select(F.col("node").alias(f"n_{k}"), F.col("root").alias(f"r_{k}")) for k in "yp")
     y = apart.join(ry, apart["node"] == ry["n_y"], "left").join(rp, apart["pivot"] == rp["n_p"], "left")
     y = y.where(F.coalesce("r_y", "node") != F.coalesce("r_p", "pivot")).select(
-        F.col("bucket").alias("y_bucket"), F.col("pivot").alias("y_pivot"), F.col("node").alias("y"), F.col("similar").alias("y_similar"))
-    same = (nearest["bucket"] == y["y_bucket"]) & (nearest["pivot"] == y["y_pivot"])
-    return nearest.join(y, same & (F.col("y_similar") >= F.col("similar") - (1 - SIMILAR) - 1e-9)).select(
-        F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b"))
+        F.col("pivot").alias("y_pivot"), F.col("node").alias("y"), F.col("similar").alias("y_similar"))
+    same = (best["x_pivot"] == y["y_pivot"]) & (F.col("y_similar") >= F.col("x_similar") - (1 - SIMILAR) - 1e-9)
+    return best.join(y, same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -306,7 +309,9 @@ def classes(docs: DataFrame) -> DataFrame:
         roots = nodes.select("node", F.col("node").alias("root")).limit(0)
     else:
         roots = components(_union(work.links))
-        borders = stored(_union([_borders(nearest, apart, roots) for nearest, apart in rounds]).distinct(), "borders", narrow=True)
+        nearest = _union([n.select("node", "pivot", "similar") for n, _ in rounds])
+        apart = _union([a.select("node", "pivot", "similar") for _, a in rounds]).distinct()
+        borders = stored(_borders(nearest, apart, roots).distinct(), "borders", narrow=True)
         if not borders.isEmpty():
             work.compare(borders, "border")
             roots = components(_union(work.links))
