@@ -26,7 +26,7 @@ from dialogmeter.llm.store import ship
 
 WORD_END = "</w>"
 #: Words remembered per worker between batches; the memo is emptied when it is full.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 #: Longer words are encoded without being remembered.
 MEMO_LENGTH = 64
 #: Characters whose normal form and class the plain rules below give (tests compare each one).
@@ -170,7 +170,7 @@ def codec(path: str) -> WordCodec:
 
 
 #: Rows and characters encoded at a time.
-BLOCK_ROWS, BLOCK_CHARS = 1000, 4_000_000
+BLOCK_ROWS, BLOCK_CHARS = 1000, 1_000_000
 
 
 def blocks(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:

@@ -21,7 +21,7 @@ class PairRules:
     """
 
     #: Pairs remembered per worker; the memo is emptied when it is full.
-    MEMO = 1_000_000
+    MEMO = 300_000
 
     def __init__(self, rank: Callable[[str, str], int | None], symbols: Callable[[str], list[str]]):
         self.rank, self.symbols = rank, symbols
