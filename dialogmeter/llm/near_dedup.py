@@ -14,8 +14,8 @@ bucket the members are compared with a few pivots, not with each other. Members
 are in its class; those that aren't form the bucket's next round, with eight times as many pivots,
 until few are left, which are compared in full. 1 - similarity is a metric, so a member that is not
 linked to a pivot can only be linked to one that is if it is not much farther from that pivot:
-these pairs, where still in different classes, are compared in the end, each member with those of
-its nearest pivot.
+these pairs, where still in different classes, are compared in the end. So that few classes are left
+by then, members are held against the best linked ones of their nearest pivot's class before.
 
 Null and empty texts are one class. Repeated rows are members of one class; null ids are ids that
 sort last. An empty table gives an empty result; other columns pass through ``keep_one``.
@@ -43,6 +43,8 @@ LEAST_AGREEMENT = 0.6
 PIVOTS = 8
 #: Buckets with so few members left after the first round are compared in full.
 SMALL = 64
+#: Members of a pivot's class that are tried before the borders.
+HUBS = 8
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -242,20 +244,37 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _borders(nearest: DataFrame, apart: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of members x (linked to a pivot) and y (not) that can be linked, where y is not in the pivot's class.
+def _elsewhere(near: DataFrame, roots: DataFrame) -> DataFrame:
+    """y, y_pivot, y_similar of the members ``near`` a pivot that are in another class than it."""
+    ry, rp = (roots.select(F.col("node").alias(f"n_{k}"), F.col("root").alias(f"r_{k}")) for k in "yp")
+    y = near.join(ry, near["node"] == ry["n_y"], "left").join(rp, near["pivot"] == rp["n_p"], "left")
+    return y.where(F.coalesce("r_y", "node") != F.coalesce("r_p", "pivot")).select(
+        F.col("node").alias("y"), F.col("pivot").alias("y_pivot"), F.col("similar").alias("y_similar"))
+
 
-    1 - similarity is a distance, so d(y) <= d(x) + 1 - SIMILAR for the distances from a pivot. Each
-    x is held against the y of its nearest pivot only, once for all bands.
+def _hubs(near: DataFrame, roots: DataFrame) -> DataFrame:
+    """A few likely pairs: each member against those of its nearest pivot's class with the most pivots.
+
+    They only make classes larger before ``_borders``, which leaves out no pair that can be linked.
     """
-    best = nearest.groupBy(F.col("node").alias("x")).agg(
-        F.max_by("pivot", "similar").alias("x_pivot"), F.max("similar").alias("x_similar"))
-    ry, rp = (roots.select(F.col("node").alias(f"n_{k}"), F.col("root").alias(f"r_{k}")) for k in "yp")
-    y = apart.join(ry, apart["node"] == ry["n_y"], "left").join(rp, apart["pivot"] == rp["n_p"], "left")
-    y = y.where(F.coalesce("r_y", "node") != F.coalesce("r_p", "pivot")).select(
-        F.col("pivot").alias("y_pivot"), F.col("node").alias("y"), F.col("similar").alias("y_similar"))
-    same = (best["x_pivot"] == y["y_pivot"]) & (F.col("y_similar") >= F.col("x_similar") - (1 - SIMILAR) - 1e-9)
-    return best.join(y, same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    linked = near.where(F.col("similar") >= SIMILAR)
+    degree = linked.groupBy(F.col("node").alias("d_node")).agg(F.count("*").alias("pivots"))
+    hubs = linked.join(degree, linked["node"] == degree["d_node"]).groupBy(
+        F.col("pivot").alias("x_pivot"), F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("slot")).agg(F.max_by("node", "pivots").alias("x"))
+    y = _elsewhere(near, roots).groupBy("y").agg(F.max_by("y_pivot", "y_similar").alias("y_pivot"))
+    return hubs.join(y, hubs["x_pivot"] == y["y_pivot"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _borders(nearest: DataFrame, near: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of members x (linked to a pivot) and y (in another class) that can be linked.
+
+    1 - similarity is a distance, so d(y) <= d(x) + 1 - SIMILAR for the distances from a pivot. x is
+    held against the y of the nearest pivot of each of its buckets, once for all buckets.
+    """
+    x = nearest.select(F.col("node").alias("x"), F.col("pivot").alias("x_pivot"), F.col("similar").alias("x_similar")).distinct()
+    y = _elsewhere(near, roots)
+    same = (x["x_pivot"] == y["y_pivot"]) & (F.col("y_similar") >= F.col("x_similar") - (1 - SIMILAR) - 1e-9)
+    return x.join(y, same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -300,21 +319,22 @@ def classes(docs: DataFrame) -> DataFrame:
             F.max_by("pivot", "similar").alias("pivot"), F.max("similar").alias("similar"))
         gone = nearest.select("bucket", "node").unionByName(pivots.select(F.col("p_bucket").alias("bucket"), F.col("pivot").alias("node")))
         left = stored(live.join(gone, ["bucket", "node"], "left_anti"), f"left-{round_}", narrow=True)
-        # Members that no pivot is linked to, and how near they are to the pivots.
+        # How near the members are to the pivots, as far as it matters.
         apart = seen.where(F.col("similar") >= 2 * SIMILAR - 1 - 1e-9).join(left.select("bucket", "node"), ["bucket", "node"], "left_semi")
-        rounds.append((nearest, apart))
+        rounds.append((nearest, apart, seen.where(F.col("similar") >= SIMILAR)))
         live = left.where((F.col("n") > SMALL) | F.lit(round_ == 0)).select("bucket", "node")
         round_ += 1
     if not work.links:
         roots = nodes.select("node", F.col("node").alias("root")).limit(0)
     else:
         roots = components(_union(work.links))
-        nearest = _union([n.select("node", "pivot", "similar") for n, _ in rounds])
-        apart = _union([a.select("node", "pivot", "similar") for _, a in rounds]).distinct()
-        borders = stored(_borders(nearest, apart, roots).distinct(), "borders", narrow=True)
-        if not borders.isEmpty():
-            work.compare(borders, "border")
-            roots = components(_union(work.links))
+        nearest = _union([n.select("node", "pivot", "similar") for n, *_ in rounds])
+        near = stored(_union([f.select("node", "pivot", "similar") for _, *both in rounds for f in both]).distinct(), "near", narrow=True)
+        for name, found in (("hubs", lambda: _hubs(near, roots)), ("borders", lambda: _borders(nearest, near, roots))):
+            pairs = stored(found().distinct(), name, narrow=True)
+            if not pairs.isEmpty():
+                work.compare(pairs, name)
+                roots = components(_union(work.links))
     # Rows to texts to classes; nodes without link are their own root.
     own = rows.select("row", "doc_id", "key", "same")
     own = own.join(groups.select(F.col("same").alias("g_same"), "node"), own["same"] == F.col("g_same")).drop("same", "g_same")

@@ -195,3 +195,23 @@ def test_words_of_long_texts_are_whole():
         found += [words[e - c : e] for c, e in zip(counts, ends, strict=True)]
     assert [len(w) for w in found] == [len((t or "").split()) for t in column.to_pylist()]
     assert found[4][0] == found[4][1] and len(set(found[2].tolist())) == len(set(long.split()))
+
+
+def edited(words, rng, n):
+    """The words with ``n`` of them changed, none within a run of another."""
+    out = list(words)
+    for k in rng.sample(range(4, len(words) - 4, 5), n):
+        out[k] = f"new{rng.randrange(10**9)}"
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_copies_meet_in_their_original_only(spark, docs_of, seed):
+    rng = random.Random(seed)
+    original = prose(rng, 104).split()
+    copies = [edited(original, rng, 2) for _ in range(300)]
+    rows = list(enumerate(" ".join(w) for w in [*copies[:200], original, *copies[200:]]))
+    sets = [shingle_counts(t) for _, t in rows[198:203]]
+    assert jaccard(sets[0], sets[2]) >= near_dedup.SIMILAR > jaccard(sets[0], sets[1])
+    got = near_dedup.near_duplicates(docs_of(rows)).collect()
+    assert {(r.class_id, r.class_size) for r in got} == {(0, 301)}
