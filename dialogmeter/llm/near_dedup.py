@@ -39,6 +39,9 @@ REGISTERS, BAND = 128, 4
 #: Pairs whose registers agree less often are not verified: at a similarity of 0.8 a share this
 #: small has a probability below 1e-7.
 LEAST_AGREEMENT = 0.6
+#: The same for pairs whose similarity bounds others', which counts from 2 * SIMILAR - 1 = 0.6 on:
+#: there a share this small has a probability below 1e-6.
+LEAST_NEAR = 0.38
 #: Pivots of a bucket in the first round; each later round has as many times more.
 PIVOTS = 8
 #: Buckets with so few members left after the first round are compared in full.
@@ -134,13 +137,14 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def agreement(pairs: DataFrame) -> DataFrame:
-    """Pairs with columns ``agree_a`` and ``agree_b`` that agree in enough registers."""
+    """Pairs with columns ``agree_a`` and ``agree_b`` that agree in a share ``least`` of the registers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in (2, 3))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array((a == b).mean(1) >= LEAST_AGREEMENT))
+            enough = (a == b).mean(1) >= batch.column(4).to_numpy()
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(enough))
 
-    return pairs.select("a", "b", "agree_a", "agree_b").mapInArrow(run, "a bigint, b bigint")
+    return pairs.select("a", "b", "agree_a", "agree_b", "least").mapInArrow(run, "a bigint, b bigint")
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -212,9 +216,9 @@ class _Compared:
         self.links: list[DataFrame] = []
 
     def compare(self, pairs: DataFrame, label: str) -> DataFrame:
-        """a, b, similar of the distinct pairs whose registers agree often enough."""
+        """a, b, similar of the distinct pairs whose registers agree in the share ``least`` of the pair."""
         ship(pairs.sparkSession)
-        asked = pairs.distinct()
+        asked = pairs.groupBy("a", "b").agg(F.min("least").alias("least"))
         sides = [self.nodes.select(F.col("node").alias(f"n_{k}"), F.col("agree").alias(f"agree_{k}")) for k in "ab"]
         close = asked.join(sides[0], asked["a"] == F.col("n_a")).join(sides[1], F.col("b") == F.col("n_b"))
         close = stored(agreement(close), f"{label}-close", narrow=True)
@@ -303,12 +307,12 @@ def classes(docs: DataFrame) -> DataFrame:
             F.min("node").alias("pivot")).select("p_bucket", "pivot")
         pivots = stored(pivots, f"pivots-{round_}", narrow=True)
         beside = live.join(pivots, live["bucket"] == pivots["p_bucket"]).where("node <> pivot")
-        pairs = [beside.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))]
+        pairs = [beside.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), F.lit(LEAST_NEAR).alias("least"))]
         if round_:
             few = live.where(F.col("n") <= SMALL)
             other = few.select(F.col("bucket").alias("o_bucket"), F.col("node").alias("other"))
             pairs.append(few.join(other, (few["bucket"] == other["o_bucket"]) & (few["node"] < other["other"])).select(
-                F.col("node").alias("a"), F.col("other").alias("b")))
+                F.col("node").alias("a"), F.col("other").alias("b"), F.lit(LEAST_AGREEMENT).alias("least")))
         found = work.compare(_union(pairs), f"round-{round_}")
         # What each member has found among its bucket's pivots: the most similar one.
         met = found.select("a", "b", "similar").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "similar")).select(
@@ -333,7 +337,7 @@ def classes(docs: DataFrame) -> DataFrame:
         for name, found in (("hubs", lambda: _hubs(near, roots)), ("borders", lambda: _borders(nearest, near, roots))):
             pairs = stored(found().distinct(), name, narrow=True)
             if not pairs.isEmpty():
-                work.compare(pairs, name)
+                work.compare(pairs.withColumn("least", F.lit(LEAST_AGREEMENT)), name)
                 roots = components(_union(work.links))
     # Rows to texts to classes; nodes without link are their own root.
     own = rows.select("row", "doc_id", "key", "same")

@@ -215,3 +215,17 @@ def test_copies_meet_in_their_original_only(spark, docs_of, seed):
     assert jaccard(sets[0], sets[2]) >= near_dedup.SIMILAR > jaccard(sets[0], sets[1])
     got = near_dedup.near_duplicates(docs_of(rows)).collect()
     assert {(r.class_id, r.class_size) for r in got} == {(0, 301)}
+
+
+def test_distances_to_pivots_are_known_as_far_as_they_bound(spark, docs_of):
+    rng = random.Random(4)
+    texts = []
+    for _ in range(60):
+        words = prose(rng, 104).split()
+        texts += [" ".join(words), " ".join(edited(words, rng, 4))]
+    rows = list(enumerate(texts))
+    nodes = near_dedup.signatures(docs_of(rows)).withColumnRenamed("doc_id", "node")
+    pairs = spark.createDataFrame([(i, i + 1, near_dedup.LEAST_NEAR) for i in range(0, 120, 2)], "a long, b long, least double")
+    found = near_dedup._Compared(nodes, docs_of(rows).withColumnRenamed("doc_id", "node")).compare(pairs, "test").collect()
+    assert sorted(r.a for r in found) == list(range(0, 120, 2))
+    assert all(0.6 <= r.similar < 0.75 for r in found)
