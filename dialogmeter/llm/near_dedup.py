@@ -12,8 +12,8 @@ the connected components.
 Texts with the same words (ASCII letters lower-cased) are one text from the start. Within a band's
 bucket the members are compared with a few pivots, not with each other. Members linked to a pivot
 are in its class; those that aren't form the bucket's next round, with eight times as many pivots,
-until few are left, which are compared in full. 1 - similarity is a metric, so a member that is not
-linked to a pivot can only be linked to one that is if it is not much farther from that pivot:
+until few are left, which are compared in full. 1 - similarity is a metric, so another member of the
+bucket can only be linked to one that is linked to a pivot if it is not much farther from that pivot:
 these pairs, where still in different classes, are compared in the end. So that few classes are left
 by then, members are held against the best linked ones of their nearest pivot's class before.
 
@@ -323,17 +323,16 @@ def classes(docs: DataFrame) -> DataFrame:
             F.max_by("pivot", "similar").alias("pivot"), F.max("similar").alias("similar"))
         gone = nearest.select("bucket", "node").unionByName(pivots.select(F.col("p_bucket").alias("bucket"), F.col("pivot").alias("node")))
         left = stored(live.join(gone, ["bucket", "node"], "left_anti"), f"left-{round_}", narrow=True)
-        # How near the members are to the pivots, as far as it matters.
-        apart = seen.where(F.col("similar") >= 2 * SIMILAR - 1 - 1e-9).join(left.select("bucket", "node"), ["bucket", "node"], "left_semi")
-        rounds.append((nearest, apart, seen.where(F.col("similar") >= SIMILAR)))
+        # How near the members, linked to a pivot or not, are to the pivots, as far as it matters.
+        rounds.append((nearest, seen.where(F.col("similar") >= 2 * SIMILAR - 1 - 1e-9)))
         live = left.where((F.col("n") > SMALL) | F.lit(round_ == 0)).select("bucket", "node")
         round_ += 1
     if not work.links:
         roots = nodes.select("node", F.col("node").alias("root")).limit(0)
     else:
         roots = components(_union(work.links))
-        nearest = _union([n.select("node", "pivot", "similar") for n, *_ in rounds])
-        near = stored(_union([f.select("node", "pivot", "similar") for _, *both in rounds for f in both]).distinct(), "near", narrow=True)
+        nearest = _union([n.select("node", "pivot", "similar") for n, _ in rounds])
+        near = stored(_union([s.select("node", "pivot", "similar") for _, s in rounds]).distinct(), "near", narrow=True)
         for name, found in (("hubs", lambda: _hubs(near, roots)), ("borders", lambda: _borders(nearest, near, roots))):
             pairs = stored(found().distinct(), name, narrow=True)
             if not pairs.isEmpty():

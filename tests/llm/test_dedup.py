@@ -229,3 +229,28 @@ def test_distances_to_pivots_are_known_as_far_as_they_bound(spark, docs_of):
     found = near_dedup._Compared(nodes, docs_of(rows).withColumnRenamed("doc_id", "node")).compare(pairs, "test").collect()
     assert sorted(r.a for r in found) == list(range(0, 120, 2))
     assert all(0.6 <= r.similar < 0.75 for r in found)
+
+
+def test_members_of_two_pivots_meet(spark, docs_of, monkeypatch):
+    """Chains p - x - y - q of one bucket each, where p and q may be the pivots."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    rows, bucket = [], {}
+    for chain in range(12):
+        words = prose(rng, 104).split()
+        steps = [words]
+        for k in range(3):
+            steps.append([f"s{chain}x{k}" if i in (10 + 30 * k, 20 + 30 * k) else w for i, w in enumerate(steps[-1])])
+        p, x, y, q = (" ".join(s) for s in steps)
+        for text in (p, q, x, y):
+            bucket[len(rows)] = chain
+            rows.append((len(rows), text))
+    sets = [shingle_counts(t) for _, t in rows[:4]]
+    assert jaccard(sets[2], sets[3]) >= near_dedup.SIMILAR > max(jaccard(sets[0], sets[1]), jaccard(sets[0], sets[3]), jaccard(sets[1], sets[2]))
+    signatures, of = near_dedup.signatures, spark.createDataFrame(list(bucket.items()), "doc_id long, bucket long")
+    monkeypatch.setattr(near_dedup, "signatures", lambda docs: signatures(docs).drop("bands").join(of, "doc_id").select(
+        "doc_id", "key", "same", "agree", F.array("bucket").alias("bands")))
+    monkeypatch.setattr(near_dedup, "PIVOTS", 2)
+    got = near_dedup.near_duplicates(docs_of(rows)).collect()
+    assert sorted(r.class_size for r in got) == [4] * 48
