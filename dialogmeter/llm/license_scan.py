@@ -4,7 +4,9 @@ Lines are cut into sentences; a sentence's words and word pairs are the features
 multinomial logistic regression whose classes are licence families and "unknown". It is trained
 on variants of each family's notices against sentences of the corpus, and calibrated by one
 temperature, so that what looks like neither stays unknown. A prediction counts when the words of
-one of the family's notices, in order, are nearly all in the sentence.
+one of the family's notices, in order, are nearly all in the sentence. Neighbouring lines of a
+paragraph that may hold a notice wrapped over them are joined and judged the same way, the fewest
+lines first; lines without words, such as empty comment lines, end a paragraph.
 
 The unknown class learns from the sentences of at most ``fit_rows`` documents; every sentence of
 every text is classified. A null or empty text has no notice. Other columns don't matter; repeated
@@ -82,6 +84,8 @@ FAMILIES = ["", *sorted(NOTICES)]
 BITS = 18
 #: Probability and share of a notice's words from which a prediction counts.
 LEAST_PROBABILITY, LEAST_MATCH = 0.5, 0.8
+#: Bytes before and after a cut in a long text in which a wrapped notice can lie.
+AROUND = 1 << 14
 _LINE = np.zeros(256, bool)
 _LINE[10] = True
 _STOP = np.zeros(256, bool)
@@ -173,6 +177,52 @@ def fit(spark: SparkSession, docs: DataFrame, fit_rows: int = 300, seed: int = 8
     return LicenceModel(np.ascontiguousarray(weights.T, np.float32), constants.astype(np.float32), fit_temperature(logits, np.array([r[2] for r in check])))
 
 
+_WANTED = [(frozenset(w), len(set(w)) - int((1 - LEAST_MATCH) * len(w) + 1e-9)) for f in NOTICES for w in (_WORD.findall(n.lower()) for n in NOTICES[f])]
+_NOTICE_WORDS = frozenset().union(*(w for w, _ in _WANTED))
+#: Lines that a notice can be spread over: each has a word of it.
+MOST_LINES = max(len(_WORD.findall(n.lower())) for f in NOTICES for n in NOTICES[f])
+
+
+def judge(text: str, model: LicenceModel) -> tuple[str, float, float] | None:
+    """(family, probability, match) of a text that is a notice."""
+    feature, value = _row(text)
+    logits = value @ model.weights[feature] + model.constants
+    best = int(logits.argmax())
+    p = np.exp((logits - logits.max()) / model.temperature)
+    if best == 0 or p[best] / p.sum() < LEAST_PROBABILITY:
+        return None
+    share = match(text, FAMILIES[best])
+    return (FAMILIES[best], float(p[best] / p.sum()), share) if share >= LEAST_MATCH else None
+
+
+def wrapped(part: np.ndarray, bounds: np.ndarray, start: np.ndarray, end: np.ndarray, single: dict[int, str], model: LicenceModel) -> Iterator[tuple[int, int, tuple[str, float, float], str]]:
+    """(first unit, last unit, judgement, text) of notices spread over lines; ``single`` has the family of units that are one."""
+    lines = np.cumsum(part == 10)
+    stops = np.append(_STOP[part[:-1]] & _SPACE[part[1:]], False).cumsum()
+    text = np.searchsorted(bounds, start, "right")
+    between = lambda sums: sums[start[1:] - 1] - sums[end[:-1] - 1]
+    soft = (between(lines) == 1) & (between(stops) == 0) & (text[1:] == text[:-1])
+    edge = np.flatnonzero(np.diff(soft.astype(np.int8), prepend=0, append=0))
+    for i, j in zip(edge[0::2], edge[1::2], strict=True):  # units i to j
+        said = [part[s:e].tobytes().decode(errors="replace") for s, e in zip(start[i : j + 1], end[i : j + 1], strict=True)]
+        words = [_NOTICE_WORDS.intersection(_WORD.findall(t.lower())) for t in said]
+        if not any(len(w & set().union(*words)) >= least for w, least in _WANTED):
+            continue
+        used = {(k - i, single[k]) for k in range(i, j + 1) if k in single}
+        for n in range(2, min(len(said), MOST_LINES) + 1):
+            for k in range(len(said) - n + 1):
+                if not words[k] or not words[k + n - 1]:
+                    continue
+                here = set().union(*words[k : k + n])
+                if not any(len(w & here) >= least for w, least in _WANTED):
+                    continue
+                joined = " ".join(said[k : k + n])
+                found = judge(joined, model)
+                if found and not any((u, found[0]) in used for u in range(k, k + n)):
+                    used.update((u, found[0]) for u in range(k, k + n))
+                    yield int(i) + k, int(i) + k + n - 1, found, joined
+
+
 def notices(column: pa.Array, model: LicenceModel) -> list[list[tuple[str, float, float, str]]]:
     """For each text its confirmed notices as (family, probability, match, sentence)."""
     data, offsets = text_bytes(column)
@@ -189,6 +239,7 @@ def notices(column: pa.Array, model: LicenceModel) -> list[list[tuple[str, float
             continue
         heads = np.flatnonzero(np.diff(sentence, prepend=-1))
         sizes = np.diff(heads, append=len(feature))
+        single: dict[int, str] = {}
         logits = np.add.reduceat(model.weights[feature], heads, 0) / np.sqrt(sizes)[:, None] + model.constants
         for i in np.flatnonzero(logits.argmax(1) > 0):
             z = logits[i] / model.temperature
@@ -200,8 +251,21 @@ def notices(column: pa.Array, model: LicenceModel) -> list[list[tuple[str, float
             text = part[start[i] : end[i]].tobytes().decode(errors="replace")
             share = match(text, FAMILIES[best])
             if share >= LEAST_MATCH:
+                single[int(i)] = FAMILIES[best]
                 row = first if after - first == 1 else first + int(np.searchsorted(bounds, start[i], "right")) - 1
                 out[row].append((FAMILIES[best], probability, share, text))
+        for i, _, found, text in wrapped(part, bounds, start, end, single, model):
+            row = first if after - first == 1 else first + int(np.searchsorted(bounds, start[i], "right")) - 1
+            out[row].append((*found, text))
+        if after - first == 1 and at > offsets[first]:
+            # Lines around the cut between two slices of a long text.
+            low, high = max(int(offsets[first]), at - AROUND), min(at + AROUND, int(offsets[first + 1]))
+            part = data[low:high]
+            feature, sentence, start, end = sentence_features(part, np.zeros(1, np.int64))
+            if len(feature):
+                for i, j, found, text in wrapped(part, np.zeros(1, np.int64), start, end, {}, model):
+                    if low + start[i] < at <= low + start[j]:
+                        out[first].append((*found, text))
     return out
 
 

@@ -109,3 +109,33 @@ def test_licence_notices(spark, docs_of):
     assert (by[200], by[201], by[202], by[205], by[207], by[None]) == (["mit"], ["apache"], ["gpl"], ["cc-by-nc", "proprietary"], ["proprietary"], ["mit"])
     assert not any(by[i] for i in [*range(100), 203, 204, 206])
     assert license_scan.licences(spark, docs_of([]).limit(0)).count() == 0
+
+
+def test_wrapped_licence_headers(spark, docs_of, monkeypatch):
+    rng = random.Random(7)
+    filler = [t + "." for t in texts(rng, "aa", 120)]
+    mit = ["Permission is hereby granted, free of charge, to any person obtaining a copy", "of this software and associated documentation files (the \"Software\"), to deal",
+           "in the Software without restriction, including without limitation the rights"]
+    gpl = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by",
+           "the Free Software Foundation, either version 3 of the License, or"]
+    bsd = ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions are met:"]
+    rows = [(i, "\n".join(filler[i : i + 5])) for i in range(100)]
+    rows += [
+        (200, "\n".join(mit)), (201, filler[0] + "\n\n" + "\n".join("# " + x for x in gpl)), (202, "/*\n" + "\r\n".join(" * " + x for x in bsd) + "\n */"),
+        (203, "\n\n".join(mit)), (204, "All rights reserved\n" + "\n".join(mit) + "\n\n" + "\n".join(bsd)), (205, "Released under the MIT License\nand more"),
+    ]
+    got = license_scan.licences(spark, docs_of(rows)).collect()
+    by = {r.doc_id: (list(r.families), r.n_notices) for r in got}
+    assert [by[i] for i in range(200, 206)] == [
+        (["mit"], 1), (["gpl"], 1), (["bsd"], 1), ([], 0), (["bsd", "mit", "proprietary"], 3), (["mit"], 1)]
+    assert not any(by[i][1] for i in range(100))
+    # A cut between two slices of a long text.
+    import pyarrow as pa
+
+    from dialogmeter.llm import textbuf
+
+    model = license_scan.fit(spark, docs_of(rows))
+    monkeypatch.setattr(textbuf, "SLICE", 1000)
+    for lead in range(0, 900, 60):
+        found, = license_scan.notices(pa.array(["x" * lead + ".\n" + "\n".join(mit) + ".\n" + "y z.\n" * 300]), model)
+        assert [n[0] for n in found] == ["mit"]
