@@ -6,9 +6,9 @@ text node's content importance is the entropy of the texts its pages show there.
 importance joins its own presentation importance with the mean content importance of its leaves,
 the more leaves the more of the former. Branches of low importance (the same on most pages) are
 removed from each page, as are elements whose very presentation marks them as noise: navigation,
-headers, footers, side bars, notices, adverts, forms, scripts, styles and reader comments. Where a
-page marks its article, only that is its main text, and sameness does not remove it: an article
-that is copied many times still is each page's text.
+headers, footers, side bars, notices, adverts, forms, scripts, styles and reader comments. Branches
+in a marked article and beside it are judged alike, but an article of which more than half would be
+removed stays whole: an article that is copied many times still is each page's text.
 
 Entropy alone can't do: menus, adverts and footers may differ on every page, like articles do.
 
@@ -219,9 +219,13 @@ def main_text(pages: DataFrame) -> DataFrame:
     low = importance(parsed).where((F.col("importance") < LEAST_IMPORTANCE) & (F.col("pages") >= LEAST_PAGES))
     low = stored(low.groupBy(F.col("host").alias("low_host")).agg(F.collect_set("path").alias("low")), "page-noise")
     joined = parsed.join(low, parsed["host"] == low["low_host"], "left")
-    same = lambda b: F.exists("low", lambda p: (b["path"] == p) | F.startswith(b["path"], F.concat(p, F.lit("/"))))
-    article = F.filter("blocks", lambda b: b["kind"] == ARTICLE)
-    plain = F.when(F.col("low").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~same(b)))
-    chosen = F.when(F.size(article) > 0, article).otherwise(plain)
+    same = lambda b: F.coalesce(F.exists("low", lambda p: (b["path"] == p) | F.startswith(b["path"], F.concat(p, F.lit("/")))), F.lit(False))
+    marked = joined.withColumn("blocks", F.transform("blocks", lambda b: b.withField("low", same(b))))
+    size = lambda of: F.aggregate(F.filter("blocks", of), F.lit(0), lambda n, b: n + F.length(b["text"]))
+    in_article = lambda b: b["kind"] == ARTICLE
+    # An article that is mostly the same as others is a copy: it stays whole.
+    copied = size(in_article) > 2 * size(lambda b: in_article(b) & ~b["low"])
+    joined = marked.withColumn("copied", copied)
+    chosen = F.filter("blocks", lambda b: ~b["low"] | (in_article(b) & F.col("copied")))
     text = F.array_join(F.transform(chosen, lambda b: b["text"]), " ")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

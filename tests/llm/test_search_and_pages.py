@@ -85,3 +85,15 @@ def test_copied_articles_stay(spark):
     rows = [(i, "http://h.example/", "<article><p>The same article</p></article><footer>f</footer>") for i in range(30)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r.text for r in html_sst.main_text(df).collect()} == {"The same article"}
+
+
+def test_branches_in_and_beside_articles_are_judged(spark):
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(n))
+    rows, want = [], {}
+    for i in range(40):
+        teaser, body = words(8), words(30)
+        rows.append((i, "https://one.example/a", f"<body><div class=top><p>Welcome to us</p></div><article><p>{teaser}</p><div class=tail><p>Like us</p></div></article><div class=text><p>{body}</p></div></body>"))
+        want[i] = f"{teaser} {body}"
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_sst.main_text(df).collect()} == want
