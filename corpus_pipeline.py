@@ -38,8 +38,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the text they decode to."""
-    return bpe_codec.encode_texts(docs, with_ids=False)
+    """doc_id, n_tokens, the ids, the text they decode to, and digests of both."""
+    return bpe_codec.encode_texts(docs)
 
 
 STAGES = [

@@ -107,3 +107,12 @@ def test_run_equals_its_stages_and_handles_an_empty_table(spark, corpus, tmp_pat
     for name in ("documents", "labels"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_the_last_stage_returns_the_ids(spark, docs_of):
+    texts = ["Some words, twice: some words", "", None]
+    rows = {r.doc_id: r for r in corpus_pipeline.encode(spark, docs_of(texts), SF).collect()}
+    codec = bpe_codec.codec(bpe_codec.default_tokenizer())
+    for i, (ids, decoded) in enumerate(codec.encode(texts)):
+        assert b"".join(x.to_bytes(4, "little") for x in rows[i].ids) == ids and rows[i].decoded == decoded
+        assert rows[i].n_tokens == len(rows[i].ids)
