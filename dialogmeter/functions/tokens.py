@@ -9,54 +9,47 @@ from pyspark.sql import functions as F
 
 from dialogmeter.functions.text import WHITESPACE, rstrip
 
-# The public mteval-13a rules, applied in this order. The space is left out of the
-# first character class: a space separates tokens with or without more spaces around it.
+# The public mteval-13a rules that come before the splitting. The rules themselves are
+# spelled out in the tests and in the SQL of the queries.
 UNESCAPE = [("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")]
-SPLIT_RULES = [
-    (r"([\{-\~\[-\`\!-\&\(-\+\:-\@\/])", " $1 "),
-    (r"([^0-9])([\.,])", "$1 $2 "),
-    (r"([\.,])([^0-9])", " $1 $2"),
-    (r"([0-9])(-)", "$1 $2 "),
-]
 
 
-def spaced_text(c: Column) -> Column:
-    """Text with spaces around everything that is a token of its own."""
-    out = rstrip(c)
+def _unescaped(out: Column) -> Column:
     for old, new in [("<skipped>", ""), ("-\n", ""), *UNESCAPE]:
         out = F.replace(out, F.lit(old), F.lit(new))
-    out = F.translate(out, WHITESPACE, " " * len(WHITESPACE))
-    out = F.concat(F.lit(" "), out, F.lit(" "))
-    for pattern, replacement in SPLIT_RULES:
-        out = F.regexp_replace(out, pattern, replacement)
     return out
 
 
-# A text without these is counted in one scan; what they do depends on the order of the rules.
-_STEP_BY_STEP = r"<skipped>|-\n|&(?:quot|amp|lt|gt);|[.,][.,]"
+# One pass over the text, each match a token (with what belongs to it) and the blanks behind it. A
+# group holds one character for each token that the match stands for. All loops are possessive.
 _BLANK = "".join(f"\\u{ord(c):04x}" for c in WHITESPACE)
 _SIGN = r"!-&(-+/:-@\[-`{-~"
-# Where a token begins: a sign; a point or comma that is not between digits; a hyphen after a digit;
-# any other character behind a blank, a sign or one of those.
-_TOKEN_START = "|".join([
-    f"[{_SIGN}]",
-    r"[.,](?![0-9])",
-    r"(?<![0-9])[.,]",
-    r"(?<=[0-9])-",
-    rf"(?<=^|[{_BLANK}{_SIGN}.,]|[0-9]-)[^{_BLANK}{_SIGN}.,0-9]",
-    rf"(?<=^|[{_BLANK}{_SIGN}]|[0-9]-|^[.,]|[^0-9][.,])[0-9]",
-])
+_OTHER = rf"[^{_BLANK}{_SIGN}.,0-9]"
+_NUMBER = r"[0-9]++(?:[.,][0-9]++)*+"
+_TOKENS = "(?:" + "|".join([
+    f"([{_SIGN}])",
+    # A hyphen behind a number is a token, and so is the first of several points behind one: the
+    # rules take points in pairs, counted from the first one that no number stands before.
+    rf"(?=([^{_BLANK}{_SIGN}.,]))(?:{_OTHER}++|{_NUMBER}(?![-.,]))*+(?:{_NUMBER}(-|[.,](?=[.,]))?+)?+",
+    # The second of two points stays with the number behind it.
+    r"([.,])(?:([.,])(?![0-9])|[.,](?=[0-9]))?+",
+    f"[{_BLANK}]",
+]) + f")[{_BLANK}]*+"
+
+
+def _counted(c: Column) -> Column:
+    """The length of the text with one character left of each token."""
+    return F.length(F.regexp_replace(_unescaped(c), _TOKENS, "$1$2$3$4$5"))
 
 
 def token_count(c: Column) -> Column:
-    """Number of 13a tokens: the places where one begins, or the rules step by step where their order matters."""
-    return F.when(c.rlike(_STEP_BY_STEP), _count_by_rules(c)).otherwise(F.regexp_count(c, F.lit(_TOKEN_START)))
+    """Number of 13a tokens."""
+    return _counted(rstrip(c))
 
 
-def _count_by_rules(c: Column) -> Column:
-    # A leading marker token makes the empty text count 0 without a case distinction.
-    marked = F.rtrim(F.concat(F.lit("."), spaced_text(c)))
-    return F.size(F.split(marked, " +")) - 1
+def tokens_in_line(c: Column) -> Column:
+    """Number of 13a tokens of a text that another line follows."""
+    return _counted(F.concat(c, F.lit("\n")))
 
 
 def penalty_from_counts(cand: Column, ref: Column) -> Column:

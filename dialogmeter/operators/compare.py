@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from dialogmeter.session import cut_lineage
+from dialogmeter.session import cut_lineage, landed
 
 # Fixed value: the model name of fresh human answers, left out of one of the comparisons.
 HUMAN_MODEL = "New Human Generated"
@@ -104,6 +104,28 @@ def shape_audit(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def merge_audited(
+    tables: dict[str, DataFrame], key: Sequence[str] = ("context", "model"),
+    score_col: str | dict[str, str] = "score", text_key: Sequence[str] = ("context",), merged_name: str = "merged",
+) -> tuple[DataFrame, DataFrame]:
+    """(the merged table, ``shape_audit`` of the tables and of the merged one), each table read once.
+
+    The rows are counted on their way into the merge and out of it, while the merged table is
+    landed: no table is scanned again for its size.
+    """
+    seen = {name: Observation(f"rows-{name}") for name in [*tables, merged_name]}
+
+    def counted(name: str, df: DataFrame) -> DataFrame:
+        return df.observe(seen[name], F.count(F.lit(1)).alias("n_rows"))
+
+    watched = {name: counted(name, df) for name, df in tables.items()}
+    merged = counted(merged_name, metrics_side_by_side(watched, key, score_col, text_key))
+    columns = {name: len(df.columns) for name, df in tables.items()} | {merged_name: len(merged.columns)}
+    merged = landed(merged, "merged")
+    rows = [(name, seen[name].get["n_rows"], columns[name]) for name in seen]
+    return merged, merged.sparkSession.createDataFrame(rows, "table_name string, n_rows bigint, n_cols bigint")
+
+
 def preview(df: DataFrame, order: Sequence[str], rows: int = 5) -> DataFrame:
     """The first rows in a fixed order."""
     return df.orderBy(*order).limit(rows)

@@ -1,20 +1,13 @@
-"""Joins that stay even when one key holds much of the data.
-
-Adaptive execution splits a skewed join only when both inputs come straight from a shuffle.
-Tables that are landed first do; for the others hot keys are spread explicitly.
-"""
+"""Grids of every row beside every row of another table, dealt evenly."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_SLOTS = 256
-#: A key is hot from so many times a slot's fair share of the rows.
-HOT_SHARES = 4
 
 
 def spread_count(df: DataFrame) -> int:
@@ -37,62 +30,6 @@ def every_slot(slots: Column | int) -> Column:
     return F.explode(F.sequence(F.lit(0), count - 1))
 
 
-def hot_keys(rows: DataFrame, on: Sequence[str]) -> dict[int, int]:
-    """Hashes of the keys with far more than a slot's share of ``rows``, and over how many slots to spread each.
-
-    One pass with a sketch of bounded size; no key is shuffled. At most a quarter of the slots
-    can be hot, so the result is small whatever the data. The sketch decides the spreading only,
-    never a result.
-    """
-    slots = spread_count(rows)
-    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
-    top = rows.where(known).select(F.xxhash64(*on).alias("h")).agg(
-        F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {slots}, {max(10_000, 8 * slots)})").alias("top")
-    ).first()
-    share = max(top.n / slots, 1.0)
-    return {t["item"]: min(slots, -(-t["count"] * 2 // int(share))) for t in top.top if t["count"] > HOT_SHARES * share}
-
-
-def join_spreading_hot_keys(
-    big: DataFrame, other: DataFrame, on: Sequence[str], how: str = "inner", counted: DataFrame | None = None
-) -> DataFrame:
-    """Join where ``big`` may hold very many rows of one key (``how``: inner, left, left_semi).
-
-    Rows of a hot key are dealt over several slots and the matching rows of ``other`` are copied
-    to each of them; every other key has one slot. Without hot keys it is a plain join.
-    ``counted`` may name a cheaper table whose key frequencies stand for those of ``big``: they
-    decide the spreading, never the result.
-    """
-    if how not in ("inner", "left", "left_semi"):
-        raise ValueError("how must be 'inner', 'left' or 'left_semi'")
-    on = list(on)
-    hot = hot_keys(big if counted is None else counted, on)
-    if not hot:
-        return big.join(other, on, how)
-    pairs = [x for h, n in hot.items() for x in (F.lit(h).cast("long"), F.lit(n))]
-    copies = F.coalesce(F.try_element_at(F.create_map(*pairs), F.xxhash64(*on)), F.lit(1))
-    values = [F.col(c) for c in big.columns]
-    no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
-    # A row without a key matches nothing and may lie anywhere.
-    spread = F.when(no_key, slot_of(values, spread_count(big))).otherwise(slot_of(values, copies))
-    dealt = big.withColumn("_slot", spread)
-    copied = other.withColumn("_slot", every_slot(copies))
-    return dealt.join(copied, [*on, "_slot"], how).drop("_slot")
-
-
-def left_join_hot_right(
-    left: DataFrame, right: DataFrame, on: Sequence[str], counted: DataFrame | None = None
-) -> DataFrame:
-    """Left join whose right side may hold very many rows of one key.
-
-    The matches come from an inner join that spreads them; rows without a match are added by an
-    anti join against the distinct keys.
-    """
-    matched = join_spreading_hot_keys(right, left, on, counted=counted)
-    keys = right.select(*on).distinct()
-    return left.join(keys, list(on), "left_anti").unionByName(matched, allowMissingColumns=True)
-
-
 def pair_with_all(rows: DataFrame, others: DataFrame, spread_by: Sequence[str]) -> DataFrame:
     """Every row beside every row of the shorter table ``others``.
 

@@ -112,6 +112,31 @@ def fitted_line(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFr
     return points.join(fits, same).select(*by, "x", "y", (F.col("intercept") + F.col("slope") * F.col("x")).alias("y_hat"))
 
 
+def point_cells(df: DataFrame, x: str, y: str, by: Sequence[str] = (), cells: int = 20) -> DataFrame:
+    """How many points lie in each cell of a ``cells`` x ``cells`` grid over all points: a plot of any number of them.
+
+    by, x_cell, y_cell, x_from, x_to, y_from, y_to, n of the cells that hold points. Points with a
+    missing value are left out. Counts are combined map-side, so a full cell costs one row per task;
+    the bounds are those of all groups together, and their upper ends belong to the last cells.
+    """
+    a, b = (nan_to_null(F.col(c).cast("double")) for c in (x, y))
+    points = df.select(*by, a.alias("_x"), b.alias("_y")).where("_x is not null and _y is not null")
+    bounds = points.agg(*[f(c).alias(f"{c}{n}") for c in ("_x", "_y") for n, f in (("lo", F.min), ("hi", F.max))])
+
+    def cell(c: str) -> Column:
+        low, high = bounds.select(f"{c}lo").scalar(), bounds.select(f"{c}hi").scalar()
+        place = F.floor((F.col(c) - low) / (high - low) * cells)
+        return F.when(high > low, F.least(place, F.lit(cells - 1))).otherwise(F.lit(0)).cast("int")
+
+    counts = points.groupBy(*by, cell("_x").alias("x_cell"), cell("_y").alias("y_cell")).agg(F.count(F.lit(1)).alias("n"))
+    ends = []
+    for c, name in (("_x", "x"), ("_y", "y")):
+        low, high = bounds.select(f"{c}lo").scalar(), bounds.select(f"{c}hi").scalar()
+        for end, step in (("from", 0), ("to", 1)):
+            ends.append((low + (high - low) * (F.col(f"{name}_cell") + step) / cells).alias(f"{name}_{end}"))
+    return counts.select(*by, "x_cell", "y_cell", *ends, "n")
+
+
 def pair_points(
     df: DataFrame, pairs: Sequence[tuple[str, str]], scopes: dict[str, Column | None], keep: Sequence[str] = ()
 ) -> DataFrame:

@@ -14,25 +14,77 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialogmeter.session import cut_lineage
+from dialogmeter.session import cut_lineage, landed
 
 # Fixed value: the penalties tried.
 ALPHAS = (0.1, 1.0, 10.0)
 TEST_SHARE = 4
+#: Bits of a key's digest, those that one histogram looks at, and keys that need no further one.
+_DIGEST_BITS, _STEP_BITS, _FEW = 60, 12, 4096
 
 
 def is_test_row(key: Sequence[str], one_in: int = TEST_SHARE) -> Column:
     """One in four rows, decided by a digest of the row's key: the same on every run and layout."""
-    text = F.concat_ws("|", *[F.col(c).cast("string") for c in key])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % one_in == 0
+    return F.conv(F.substring(F.md5(_key_text(key)), 1, 8), 16, 10).cast("bigint") % one_in == 0
 
 
-def split_rows(df: DataFrame, features: Sequence[str], target: str, key: Sequence[str]) -> DataFrame:
-    """Complete rows as numbers, with their split."""
+def _key_digest(key: Sequence[str]) -> Column:
+    """60 bits of the key's digest, as a number."""
+    return F.conv(F.substring(F.md5(_key_text(key)), 1, 15), 16, 10).cast("bigint")
+
+
+def _key_text(key: Sequence[str]) -> Column:
+    return F.concat_ws("|", *[F.col(c).cast("string") for c in key])
+
+
+def smallest_digests(df: DataFrame, key: Sequence[str], rows: int) -> Column:
+    """Whether a row is among the ``rows`` with the smallest key digests, ties by the key itself.
+
+    The last one's digest is found by counting: a histogram of the leading bits tells which bucket
+    holds it, the next histogram looks into that bucket only, until few keys are left. Nothing is
+    sorted, and the driver sees one histogram at a time. Rows with one key are on the same side.
+    """
+    found = landed(df.select(_key_digest(key).alias("digest"), _key_text(key).alias("text")), "digests")
+    prefix, shift, left = 0, _DIGEST_BITS, rows
+    inside = found
+    while True:
+        if shift < _DIGEST_BITS:
+            inside = found.where(F.shiftright("digest", shift) == prefix)
+        if shift == 0 or inside.limit(_FEW + 1).count() <= _FEW:
+            break
+        shift -= _STEP_BITS
+        counts = inside.groupBy(F.shiftright("digest", shift).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for bucket in sorted(counts, key=lambda r: r.bucket):  # 2 ** _STEP_BITS of them at most
+            if bucket.n >= left:
+                prefix = bucket.bucket
+                break
+            left -= bucket.n
+        else:
+            return F.lit(True)  # there are no more rows than asked for
+    last = None
+    for keys in sorted(inside.groupBy("digest", "text").agg(F.count(F.lit(1)).alias("n")).collect()):
+        if left <= 0:
+            break
+        last, left = keys, left - keys.n
+    if rows <= 0 or last is None:
+        return F.lit(False)
+    digest = _key_digest(key)
+    return (digest < last.digest) | ((digest == last.digest) & (_key_text(key) <= last.text))
+
+
+def exact_test_rows(df: DataFrame, key: Sequence[str], one_in: int = TEST_SHARE) -> Column:
+    """One in ``one_in`` rows, rounded up: that number exactly, and the same rows on every run and layout."""
+    return smallest_digests(df, key, -(-df.count() // one_in))
+
+
+def split_rows(df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], exact: bool = False) -> DataFrame:
+    """Complete rows as numbers, with their split: about a quarter for the test, or exactly a quarter."""
     names = [*features, target]
-    return df.na.drop(subset=names).select(
-        is_test_row(key).alias("is_test"), *[F.col(c).cast("double").alias(c) for c in names]
-    )
+    complete = df.na.drop(subset=names)
+    if exact:
+        complete = landed(complete.select(*key, *names), "complete-rows")
+    is_test = exact_test_rows(complete, key) if exact else is_test_row(key)
+    return complete.select(is_test.alias("is_test"), *[F.col(c).cast("double").alias(c) for c in names])
 
 
 def split_moments(rows: DataFrame, features: Sequence[str], target: str) -> DataFrame:
@@ -132,22 +184,24 @@ def _read_moments(rows: DataFrame, features: Sequence[str], target: str) -> dict
 
 
 def ridge_errors(
-    df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], alphas: Sequence[float] = ALPHAS
+    df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], alphas: Sequence[float] = ALPHAS,
+    exact: bool = False,
 ) -> DataFrame:
     """Table of penalties with their errors."""
-    rows = cut_lineage(split_rows(df, features, target, key))
+    rows = cut_lineage(split_rows(df, features, target, key, exact))
     return penalty_errors(rows, features, target, _read_moments(rows, features, target)[False], alphas)
 
 
 def ridge_parameters(
-    df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], alphas: Sequence[float] = ALPHAS
+    df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], alphas: Sequence[float] = ALPHAS,
+    exact: bool = False,
 ) -> DataFrame:
     """Best penalty, its test error, and the weights refitted on all rows: ``(param, value)``.
 
     The few numeric columns are kept in the shared folder first, so that the second pass does
     not repeat whatever produced them.
     """
-    rows = cut_lineage(split_rows(df, features, target, key))
+    rows = cut_lineage(split_rows(df, features, target, key, exact))
     moments = _read_moments(rows, features, target)
     train = moments[False]
     # One row per candidate penalty.

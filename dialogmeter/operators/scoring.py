@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from dialogmeter.functions.combine import COMBINERS
 from dialogmeter.functions.tokens import closest_count, penalty_from_counts, token_count
+from dialogmeter.operators.batching import Batching, scored, windows
 from dialogmeter.operators.references import TextColumns, check_mode, reference_columns
 from dialogmeter.session import landed
 
@@ -28,21 +29,24 @@ class Scorer:
     name: str
     factory: Callable[[], BatchModel] | None = None
     components: tuple[str, ...] = field(default=("ref_score", "context_score", "empty_score"))
+    batching: Batching = field(default=Batching())
 
 
 # The built-in length metric averages over two components only.
 _SCORERS = {"bleu": Scorer("bleu", None, ("ref_score", "context_score"))}
 
 
-def register_scorer(name: str, factory: Callable[[], BatchModel], components: Sequence[str] | None = None) -> None:
-    """Make a model available under ``name``.
+def register_scorer(
+    name: str, factory: Callable[[], BatchModel], components: Sequence[str] | None = None, batching: Batching = Batching()
+) -> None:
+    """Make a model available under ``name``; ``batching`` says what one call of it may hold.
 
     The factory is shipped to the workers and called once per task, before the first batch.
     A model that is slow to load should be cached by its own module, which a reused worker
     process keeps.
     """
-    scorer = Scorer(name, factory) if components is None else Scorer(name, factory, tuple(components))
-    _SCORERS[name] = scorer
+    parts = Scorer(name).components if components is None else tuple(components)
+    _SCORERS[name] = Scorer(name, factory, parts, batching)
 
 
 def scorer(name: str) -> Scorer:
@@ -51,25 +55,14 @@ def scorer(name: str) -> Scorer:
     return _SCORERS[name]
 
 
-def _batch_udf(factory: Callable[[], BatchModel]):
+def _batch_udf(factory: Callable[[], BatchModel], batching: Batching):
     """Arrow UDF over (candidate, list of reference lists) giving one score per reference list."""
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = factory()
-        for cands, variants in batches:
-            jobs = []
-            for row, (cand, lists) in enumerate(zip(cands, variants)):
-                for slot, refs in enumerate(lists):
-                    present = [] if refs is None else [r for r in refs if r is not None]
-                    if cand is not None and present:
-                        jobs.append((row, slot, cand, present))
-            out = [[None] * len(lists) for lists in variants]
-            if jobs:
-                values = model([j[2] for j in jobs], [j[3] for j in jobs])
-                for (row, slot, _, _), value in zip(jobs, values, strict=True):
-                    out[row][slot] = float(value)
-            yield pd.Series(out)
+        for window in windows(batches, batching.window):
+            yield from scored(window, model, batching)
 
     return run
 
@@ -93,7 +86,7 @@ def score(
     if chosen.factory is None:
         values = _length_scores(df, plan, targets, texts)
     else:
-        values = _model_scores(df, chosen.factory, plan, targets, texts)
+        values = _model_scores(df, chosen, plan, targets, texts)
     if mode not in COMBINERS:
         return values
     return values.withColumn(score_col, COMBINERS[mode]([F.col(name) for name in plan]))
@@ -128,7 +121,7 @@ def _length_scores(df: DataFrame, plan: dict, targets: dict[str, str], texts: Te
     return df.withColumns(counts).withColumns(scored).drop(*counts)
 
 
-def _model_scores(df: DataFrame, factory, plan: dict, targets: dict[str, str], texts: TextColumns) -> DataFrame:
+def _model_scores(df: DataFrame, chosen: Scorer, plan: dict, targets: dict[str, str], texts: TextColumns) -> DataFrame:
     variants = F.array(
         *[
             F.array(*[F.lit(None).cast("string") if r is None else r for r in refs])
@@ -136,7 +129,7 @@ def _model_scores(df: DataFrame, factory, plan: dict, targets: dict[str, str], t
         ]
     )
     made = unused_name(df, "_scores")
-    done = df.withColumn(made, _batch_udf(factory)(texts.candidate(), variants))
+    done = df.withColumn(made, _batch_udf(chosen.factory, chosen.batching)(texts.candidate(), variants))
     parts = {targets[name]: F.get(F.col(made), F.lit(i)) for i, name in enumerate(plan)}
     return done.withColumns(parts).drop(made)
 

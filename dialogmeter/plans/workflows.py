@@ -52,10 +52,10 @@ def rating_lines(scored: DataFrame, qualities: Sequence[str] | None = None, scor
     return regression.fitted_line(long_form(medians, qualities, keep=[score_col]), score_col, "rating", ["quality"])
 
 
-def explain_overall(medians: DataFrame, key: Sequence[str], target: str = "overall") -> DataFrame:
-    """Ridge fit of the overall rating on all the others."""
+def explain_overall(medians: DataFrame, key: Sequence[str], target: str = "overall", exact: bool = False) -> DataFrame:
+    """Ridge fit of the overall rating on all the others; ``exact`` tests on exactly a quarter of the rows."""
     features = [c for c in medians.columns if c != target and c not in key]
-    return ridge.ridge_parameters(medians, features, target, key)
+    return ridge.ridge_parameters(medians, features, target, key, exact=exact)
 
 
 def evaluate(

@@ -13,9 +13,10 @@ from dialogmeter.operators.flatten import GROUND_TRUTH, explode_responses
 from dialogmeter.plans.workflows import preprocess
 from dialogmeter.queries import sqltext
 from dialogmeter.queries.registry import query
-from dialogmeter.queries.views import EXAMPLES_SQL, MEDIANS_SQL, QUALITIES, examples
-from dialogmeter.session import new_scratch_path
+from dialogmeter.queries.views import EXAMPLES_SQL, MEDIANS_SQL, QUALITIES, examples, last_examples
+from dialogmeter.session import landed, new_scratch_path
 from dialogmeter.sinks.tables import lists_as_text
+from dialogmeter.sources.open_records import open_ratings, read_open_records
 
 
 def _numbers(df_k: Column, size: Column, i: int) -> list[Column]:
@@ -179,7 +180,7 @@ def last_colon(spark, sf_dir):
 
 @query("q_context_last", f"with {EXAMPLES_SQL} select conv_id, turn, {sqltext.last_line('context')} as ctx_last from ex")
 def context_last(spark, sf_dir):
-    return examples(spark, sf_dir).select("conv_id", "turn", text.last_line(F.col("context")).alias("ctx_last"))
+    return last_examples(spark, sf_dir).select("conv_id", "turn", text.last_line(F.col("context")).alias("ctx_last"))
 
 
 @query(
@@ -196,7 +197,7 @@ def esl_trim(spark, sf_dir):
 
 @query("q_null_as_text", f"with {EXAMPLES_SQL} select conv_id, turn, coalesce(ref, 'nan') as ref_text from ex")
 def null_as_text(spark, sf_dir):
-    return examples(spark, sf_dir).select("conv_id", "turn", text.missing_as_text(F.col("ref")).alias("ref_text"))
+    return last_examples(spark, sf_dir).select("conv_id", "turn", text.missing_as_text(F.col("ref")).alias("ref_text"))
 
 
 @query(
@@ -224,14 +225,14 @@ def na_tokens(spark, sf_dir):
     from ex""",
 )
 def parsed_ratings(spark, sf_dir):
-    return examples(spark, sf_dir).select(
+    return last_examples(spark, sf_dir).select(
         "conv_id", "turn", F.array_join(parse_ratings(F.col("overall")).cast("array<bigint>").cast("array<string>"), ";").alias("parsed")
     )
 
 
 @query("q_median_ratings", f"with {MEDIANS_SQL} select conv_id, turn, {', '.join(QUALITIES)} from med")
 def median_ratings(spark, sf_dir):
-    return median_table(examples(spark, sf_dir), QUALITIES, keep=["conv_id", "turn"])
+    return median_table(last_examples(spark, sf_dir), QUALITIES, keep=["conv_id", "turn"])
 
 
 @query(
@@ -252,7 +253,36 @@ def scalar_ratings(spark, sf_dir):
 )
 def quality_long(spark, sf_dir):
     # The last column plays the score, so the qualities are found by position.
-    rows = examples(spark, sf_dir).withColumn("score", F.lit(1.0))
+    rows = last_examples(spark, sf_dir).withColumn("score", F.lit(1.0))
     qualities = quality_columns(rows.columns)
     medians = median_table(rows, qualities, keep=["conv_id", "turn"])
     return long_form(medians, qualities, keep=["conv_id", "turn"])
+
+
+# Which labels an answer has depends on its dialogue; no schema names them.
+_OPEN = [f"label {i}" for i in range(4)]
+
+
+@query(
+    "q_open_ratings",
+    f"""with {EXAMPLES_SQL}, exk as (select *, conv_id*7 + turn*3 as k from ex), long as (
+      {" union all ".join(f"select conv_id, turn, {i}::int as i, [(k+{i})%3, (length(cand)+{i})%3, (k*5+{i})%3] as v from exk" for i in range(len(_OPEN)))})
+    select concat(conv_id, '-', turn) as example, answer::bigint as answer, concat('label ', i) as quality, list_aggregate(v, 'median')::double as median
+    from long, (select unnest([0, 1]) as answer) where (conv_id + answer + i) % 3 <> 0""",
+)
+def open_labels(spark, sf_dir):
+    size = F.length("cand")
+    rows = landed(last_examples(spark, sf_dir), "examples")
+    answers = []
+    for answer in (0, 1):
+        cells = [
+            F.when((F.col("conv_id") + answer + i) % 3 != 0, F.to_json(F.array(*_numbers(_k(), size, i)))).alias(q)
+            for i, q in enumerate(_OPEN)
+        ]
+        fields = [F.concat(F.lit(f'"{q}": '), c) for q, c in zip(_OPEN, cells, strict=True)]
+        answers.append(F.concat(F.lit('{"response": "x", "score": 1, '), F.concat_ws(", ", *fields), F.lit("}")))
+    record = F.concat(F.lit('{"id": "'), F.concat_ws("-", "conv_id", "turn"), F.lit('", "answers": ['), F.concat_ws(", ", *answers), F.lit("]}"))
+    path = new_scratch_path(spark, "open")
+    rows.select(record.alias("value")).write.text(path)
+    rated = open_ratings(read_open_records(spark, path), "$.answers", {"example": "$.id"})
+    return rated.select("example", "answer", "quality", "median")

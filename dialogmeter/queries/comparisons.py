@@ -11,7 +11,7 @@ from dialogmeter.operators.scoring import score
 from dialogmeter.queries import overlap, sqltext
 from dialogmeter.queries.registry import query
 from dialogmeter.queries.scores import COUNTS_SQL, WORDS_SQL, _BP_CTX, _BP_REF
-from dialogmeter.queries.views import KEY, examples
+from dialogmeter.queries.views import KEY, examples, last_examples
 from dialogmeter.session import landed
 
 NAMES = ["length", "length_context", "overlap"]
@@ -112,7 +112,7 @@ def metric_pair_labels(spark, sf_dir):
     f"with {COUNTS_SQL} select conv_id, turn, model from cnt where model is distinct from '{compare.HUMAN_MODEL}'",
 )
 def excl_human(spark, sf_dir):
-    return examples(spark, sf_dir).where(compare.not_human()).select(*KEY, "model")
+    return last_examples(spark, sf_dir).where(compare.not_human()).select(*KEY, "model")
 
 
 @query(
@@ -138,9 +138,19 @@ def shape_audit(spark, sf_dir):
     return compare.shape_audit({**tables, "merged": merged})
 
 
+@query(
+    "q_merge_audit",
+    f"""with {SIDE_SQL} select 'length' as table_name, count(*) as n_rows, 10::bigint as n_cols from side
+    union all select 'length_context', count(*), 10 from side union all select 'overlap', count(*), 10 from side
+    union all select 'merged', count(*), 7 from side""",
+)
+def merge_audit(spark, sf_dir):
+    return compare.merge_audited(score_tables(spark, sf_dir), key=[*KEY, "context", "model"])[1]
+
+
 @query(
     "q_preview",
     f"with {COUNTS_SQL} select conv_id, turn, model, overall from cnt order by conv_id, turn limit 5",
 )
 def preview(spark, sf_dir):
-    return compare.preview(examples(spark, sf_dir).select(*KEY, "model", "overall"), KEY)
+    return compare.preview(last_examples(spark, sf_dir).select(*KEY, "model", "overall"), KEY)

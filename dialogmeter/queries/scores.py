@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogmeter.functions.tokens import token_count
+from dialogmeter.functions.tokens import penalty_from_counts, token_count
+from dialogmeter.operators.dialogs import prompt_lengths
 from dialogmeter.operators.references import MODES, SINGLE_MODES, TextColumns, with_references
 from dialogmeter.operators.scoring import attach_scores, score
+from dialogmeter.operators.stored_scores import score_stored
 from dialogmeter.queries import overlap, sqltext
 from dialogmeter.queries.registry import query
-from dialogmeter.queries.views import EXAMPLES_SQL, KEY, examples
+from dialogmeter.queries.views import EXAMPLES_SQL, KEY, examples, last_examples
+from dialogmeter.session import landed, new_scratch_path
 
 COUNTS_SQL = EXAMPLES_SQL + f""",
 cnt as (select *, {sqltext.token_count('cand')} as c, {sqltext.token_count('ref')} as r,
@@ -46,22 +49,31 @@ def count_tokens(spark: SparkSession, sf_dir: str):
 
 @query("q_bp_single", f"with {COUNTS_SQL} select conv_id, turn, round({_BP_REF}, 6) as score from cnt")
 def bp_single(spark, sf_dir):
-    return _scores(score(examples(spark, sf_dir), "bleu", "ref"), "score")
+    return _scores(score(last_examples(spark, sf_dir), "bleu", "ref"), "score")
 
 
 @query("q_bp_context_last", f"with {COUNTS_SQL} select conv_id, turn, round({_BP_CTX}, 6) as score from cnt")
 def bp_context_last(spark, sf_dir):
-    return _scores(score(examples(spark, sf_dir), "bleu", "context_last"), "score")
+    return _scores(score(last_examples(spark, sf_dir), "bleu", "context_last"), "score")
 
 
 @query("q_bp_whole_prompt", f"with {COUNTS_SQL} select conv_id, turn, round({sqltext.penalty('c', 'whole')}, 6) as score from cnt")
 def bp_whole_prompt(spark, sf_dir):
+    # The prompts are counted turn by turn; no prompt is put together as text.
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    replies = turns.where("role = 'assistant'").select(*KEY)
+    lengths = prompt_lengths(turns).where("context_tokens is not null").join(replies, KEY, "left_semi")
+    return _scores(lengths.withColumn("score", penalty_from_counts(F.col("tokens"), F.col("context_tokens"))), "score")
+
+
+@query("q_bp_whole_prompt_text", f"with {COUNTS_SQL} select conv_id, turn, round({sqltext.penalty('c', 'whole')}, 6) as score from cnt")
+def bp_whole_prompt_text(spark, sf_dir):
     return _scores(score(examples(spark, sf_dir), "bleu", "context_last", TextColumns(whole_prompt=True)), "score")
 
 
 @query("q_bp_empty", f"with {COUNTS_SQL} select conv_id, turn, round({sqltext.penalty('c', '0')}, 6) as score from cnt")
 def bp_empty(spark, sf_dir):
-    return _scores(score(examples(spark, sf_dir), "bleu", "empty"), "score")
+    return _scores(score(last_examples(spark, sf_dir), "bleu", "empty"), "score")
 
 
 @query(
@@ -69,7 +81,7 @@ def bp_empty(spark, sf_dir):
     f"with {COUNTS_SQL}, near as (select *, {_NEAREST} as m from cnt) select conv_id, turn, round({sqltext.penalty('c', 'm')}, 6) as score from near",
 )
 def bp_multi(spark, sf_dir):
-    return _scores(score(examples(spark, sf_dir), "bleu", "multi"), "score")
+    return _scores(score(last_examples(spark, sf_dir), "bleu", "multi"), "score")
 
 
 @query(
@@ -78,7 +90,7 @@ def bp_multi(spark, sf_dir):
     select conv_id, turn, round({_BP_REF}, 6) as score from filled""",
 )
 def bp_missing_as_text(spark, sf_dir):
-    return _scores(score(examples(spark, sf_dir), "bleu", "ref", TextColumns(missing_as_text=True)), "score")
+    return _scores(score(last_examples(spark, sf_dir), "bleu", "ref", TextColumns(missing_as_text=True)), "score")
 
 
 _PARTS = f"parts as (select conv_id, turn, {_BP_REF} as ref_score, {_BP_CTX} as context_score from cnt)"
@@ -90,7 +102,7 @@ _PARTS = f"parts as (select conv_id, turn, {_BP_REF} as ref_score, {_BP_CTX} as
     round((coalesce(ref_score, 0) + context_score) / (1 + cast(ref_score is not null as integer)), 6) as score from parts""",
 )
 def multi_avg(spark, sf_dir):
-    return _scores(score(examples(spark, sf_dir), "bleu", "multi_avg"), "ref_score", "context_score", "score")
+    return _scores(score(last_examples(spark, sf_dir), "bleu", "multi_avg"), "ref_score", "context_score", "score")
 
 
 @query(
@@ -99,7 +111,7 @@ def multi_avg(spark, sf_dir):
     round(greatest(coalesce(ref_score, -1), context_score), 6) as score from parts""",
 )
 def multi_max(spark, sf_dir):
-    return _scores(score(examples(spark, sf_dir), "bleu", "multi_max"), "ref_score", "context_score", "score")
+    return _scores(score(last_examples(spark, sf_dir), "bleu", "multi_max"), "ref_score", "context_score", "score")
 
 
 @query(
@@ -109,13 +121,13 @@ def multi_max(spark, sf_dir):
       round(context_score, 6) as score from parts""",
 )
 def missing_component(spark, sf_dir):
-    table = examples(spark, sf_dir).drop("ref")
+    table = last_examples(spark, sf_dir).drop("ref")
     return _scores(score(table, "bleu", "multi_avg"), "ref_score", "context_score", "score")
 
 
 @query("q_scorer_overlap", f"with {WORDS_SQL} select conv_id, turn, round(ref_score, 6) as score from f1")
 def scorer_overlap(spark, sf_dir):
-    return _scores(score(examples(spark, sf_dir), overlap.NAME, "ref"), "score")
+    return _scores(score(last_examples(spark, sf_dir), overlap.NAME, "ref"), "score")
 
 
 @query(
@@ -123,7 +135,7 @@ def scorer_overlap(spark, sf_dir):
     f"with {WORDS_SQL} select conv_id, turn, round(greatest(coalesce(ref_score, 0), context_score), 6) as score from f1",
 )
 def scorer_overlap_multi(spark, sf_dir):
-    return _scores(score(examples(spark, sf_dir), overlap.NAME, "multi"), "score")
+    return _scores(score(last_examples(spark, sf_dir), overlap.NAME, "multi"), "score")
 
 
 @query(
@@ -132,10 +144,20 @@ def scorer_overlap_multi(spark, sf_dir):
     round({MEAN3}, 6) as score from f1""",
 )
 def scorer_components(spark, sf_dir):
-    scored = score(examples(spark, sf_dir), overlap.NAME, "multi_avg")
+    scored = score(last_examples(spark, sf_dir), overlap.NAME, "multi_avg")
     return _scores(scored, "ref_score", "context_score", "empty_score", "score")
 
 
+@query("q_scorer_resumed", f"with {WORDS_SQL} select conv_id, turn, {sqltext.rounded(['ref_score', 'context_score', 'empty_score'])}, round({MEAN3}, 6) as score from f1")
+def scorer_resumed(spark, sf_dir):
+    # The first run gets through a part of the dialogues; the second one scores the rest only.
+    table = landed(last_examples(spark, sf_dir), "examples")
+    path = new_scratch_path(spark, "kept-scores")
+    score_stored(table.where(F.col("conv_id") % 3 == 0), overlap.NAME, path, "multi_avg", KEY, steps=2)
+    done = score_stored(table, overlap.NAME, path, "multi_avg", KEY, steps=4)
+    return _scores(done, "ref_score", "context_score", "empty_score", "score")
+
+
 @query("q_attach_scores", f"with {WORDS_SQL} select conv_id, turn, model, round(ref_score, 6) as score from f1")
 def attached_scores(spark, sf_dir):
     table = examples(spark, sf_dir)
@@ -154,7 +176,7 @@ def attached_scores(spark, sf_dir):
     union all select conv_id, turn, 'multi', concat_ws('|', ref, {sqltext.last_line('context')}) from ex""",
 )
 def reference_modes(spark, sf_dir):
-    table = examples(spark, sf_dir)
+    table = last_examples(spark, sf_dir)
     modes = [m for m in MODES if m in SINGLE_MODES or m == "multi"]
     parts = [
         with_references(table, mode).select(*KEY, F.lit(mode).alias("mode"), F.array_join("refs", "|").alias("refs"))

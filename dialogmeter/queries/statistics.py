@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dialogmeter.functions.ratings import parse_ratings
 from dialogmeter.operators import regression, ridge
-from dialogmeter.operators.annotations import median_table
+from dialogmeter.operators.annotations import grouped_median, long_form, median_table
 from dialogmeter.operators.correlation import correlation_matrix, wide_matrix
 from dialogmeter.operators.pairwise import win_ratio
 from dialogmeter.operators.scoring import score
@@ -13,7 +14,8 @@ from dialogmeter.plans.workflows import compare_components, correlate, explain_o
 from dialogmeter.queries import overlap, sqltext
 from dialogmeter.queries.registry import query
 from dialogmeter.queries.scores import COUNTS_SQL, MEAN3, WORDS_SQL, _BP_CTX
-from dialogmeter.queries.views import KEY, MEDIANS_SQL, QUALITIES, examples, table, votes
+from dialogmeter.queries.views import KEY, MEDIANS_SQL, QUALITIES, last_examples, table, votes
+from dialogmeter.session import landed
 
 ALL = sqltext.rounded(sqltext.FIT_COLUMNS)
 
@@ -54,7 +56,7 @@ long as ({" union all ".join(f"select '{q}' as quality, score, {q} as rating fro
 
 
 def _scored(spark, sf_dir):
-    return score(examples(spark, sf_dir), "bleu", "context_last")
+    return score(last_examples(spark, sf_dir), "bleu", "context_last")
 
 
 @query(
@@ -147,7 +149,7 @@ _MATRIX = " union all ".join(
 
 @query("q_corr_matrix", f"with {MEDIANS_SQL} {_MATRIX}")
 def corr_matrix(spark, sf_dir):
-    return rating_correlation(examples(spark, sf_dir), QUALITIES).withColumn("r", F.round("r", 6))
+    return rating_correlation(last_examples(spark, sf_dir), QUALITIES).withColumn("r", F.round("r", 6))
 
 
 _MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -184,13 +186,13 @@ def corr_matrix_volume(spark, sf_dir):
 def component_regress(spark, sf_dir):
     # Each model's votes on a dialogue give its replies a win ratio.
     ratios = win_ratio(votes(spark, sf_dir)).select(F.col("prompt_id").alias("conv_id"), "win_ratio")
-    table = examples(spark, sf_dir).join(ratios, "conv_id")
+    table = last_examples(spark, sf_dir).join(ratios, "conv_id")
     scored = score(table, overlap.NAME, "multi_avg")
     return regression.rounded(compare_components(scored, ["ref_score", "context_score", "empty_score"]))
 
 
 def _ridge_rows(spark, sf_dir):
-    return median_table(examples(spark, sf_dir), QUALITIES, keep=KEY)
+    return median_table(last_examples(spark, sf_dir), QUALITIES, keep=KEY)
 
 
 _FEATURES = ["understandable", "engaging"]
@@ -199,7 +201,7 @@ _SPLIT = "cast('0x' || substr(md5(concat(conv_id, '|', turn)), 1, 8) as bigint)
 
 @query("q_split", f"with {MEDIANS_SQL} select conv_id, turn, {_SPLIT} as is_test from med")
 def split(spark, sf_dir):
-    return examples(spark, sf_dir).select(*KEY, ridge.is_test_row(KEY).alias("is_test"))
+    return last_examples(spark, sf_dir).select(*KEY, ridge.is_test_row(KEY).alias("is_test"))
 
 
 _COMPLETE = MEDIANS_SQL + f""",
@@ -265,3 +267,68 @@ def ridge_errors(spark, sf_dir):
 )
 def ridge_report(spark, sf_dir):
     return explain_overall(_ridge_rows(spark, sf_dir), KEY).withColumn("value", F.round("value", 6))
+
+
+# Exactly a quarter of the rows, rounded up: those with the smallest digests of their keys.
+_DIGEST = "cast('0x' || substr(md5(concat(conv_id, '|', turn)), 1, 15) as bigint)"
+_EXACT = f"row_number() over (order by {_DIGEST}, concat(conv_id, '|', turn)) <= ceil(count(*) over () / 4.0)"
+
+
+@query("q_split_exact", f"with {MEDIANS_SQL} select conv_id, turn, {_EXACT} as is_test from med")
+def split_exact(spark, sf_dir):
+    rows = landed(last_examples(spark, sf_dir).select(*KEY), "split-keys")
+    return rows.withColumn("is_test", ridge.exact_test_rows(rows, KEY))
+
+
+_RIDGE_EXACT = _RIDGE.replace(f"{_SPLIT} as is_test", f"{_EXACT} as is_test")
+
+
+@query("q_ridge_exact", f"with {_RIDGE_EXACT} select alpha, round(loo_mse, 6) as loo_mse, round(test_mse, 6) as test_mse from errors")
+def ridge_exact(spark, sf_dir):
+    errors = ridge.ridge_errors(_ridge_rows(spark, sf_dir), _FEATURES, "overall", KEY, exact=True)
+    return errors.select("alpha", F.round("loo_mse", 6).alias("loo_mse"), F.round("test_mse", 6).alias("test_mse"))
+
+
+@query(
+    "q_point_cells",
+    """with b as (select min(l_quantity) as xl, max(l_quantity) as xh, min(l_extendedprice) as yl, max(l_extendedprice) as yh from lineitem),
+    placed as (select l_returnflag, least(floor((l_quantity - xl) / (xh - xl) * 25), 24)::int as x_cell,
+      least(floor((l_extendedprice - yl) / (yh - yl) * 25), 24)::int as y_cell, xl, xh, yl, yh from lineitem, b)
+    select l_returnflag, x_cell, y_cell, round(xl + (xh - xl) * x_cell / 25, 4) as x_from, round(yl + (yh - yl) * (y_cell + 1) / 25, 4) as y_to,
+      count(*) as n from placed group by all""",
+)
+def point_cells(spark, sf_dir):
+    cells = regression.point_cells(_line_items(spark, sf_dir), "l_quantity", "l_extendedprice", ["l_returnflag"], cells=25)
+    return cells.select("l_returnflag", "x_cell", "y_cell", F.round("x_from", 4).alias("x_from"), F.round("y_to", 4).alias("y_to"), "n")
+
+
+_WIDE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_partkey", "l_suppkey", "gap"]
+
+
+@query(
+    "q_corr_matrix_gaps",
+    "with w as (select *, case when l_orderkey % 3 = 0 then null else l_discount * l_quantity end as gap from lineitem) "
+    + " union all ".join(
+        f"select '{a}' as col_a, '{b}' as col_b, round(corr({b}, {a}), 6) as r, regr_count({b}, {a}) as n from w" for a in _WIDE for b in _WIDE),
+)
+def corr_matrix_gaps(spark, sf_dir):
+    gap = F.when(F.col("l_orderkey") % 3 != 0, F.col("l_discount") * F.col("l_quantity"))
+    rows = table(spark, sf_dir, "lineitem").withColumn("gap", gap)
+    return correlation_matrix(rows, _WIDE).withColumn("r", F.round("r", 6))
+
+
+@query("q_median_volume", "select l_returnflag, l_linestatus, median(l_extendedprice) as median from lineitem group by all")
+def median_volume(spark, sf_dir):
+    return grouped_median(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice")
+
+
+@query(
+    "q_median_votes",
+    f"""with {MEDIANS_SQL}, long as ({" union all ".join(f"select conv_id, turn, '{q}' as quality, {q} as median from med" for q in QUALITIES)})
+    select * from long where median is not null""",
+)
+def median_votes(spark, sf_dir):
+    # Every annotator's answer is a row of its own.
+    cells = long_form(last_examples(spark, sf_dir), QUALITIES, keep=KEY, value="cell")
+    answers = cells.select(*KEY, "quality", F.explode(parse_ratings(F.col("cell"))).alias("rating"))
+    return grouped_median(answers, [*KEY, "quality"], "rating")

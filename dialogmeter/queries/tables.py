@@ -16,7 +16,7 @@ from dialogmeter.queries.views import EVALSET, KEY, catalog, examples
 from dialogmeter.queries.votes import PARTS_SQL
 from dialogmeter.session import new_scratch_path
 from dialogmeter.sinks.tables import write_tsv
-from dialogmeter.sources.tsv import read_score_files, read_tsv
+from dialogmeter.sources.tsv import CELL_TYPES, misfits, read_score_files, read_tsv, type_report, with_found_types
 from pyspark.sql import types as T
 
 
@@ -72,3 +72,52 @@ def score_files(spark, sf_dir):
     )
     tables = read_score_files(spark, paths, schema, score_col="bp")
     return tables["plain"].unionByName(tables["empty"]).withColumn("score", F.round("score", 6))
+
+
+_CELLS = {
+    "key": "cast(event_id as varchar)", "gap": "case when event_id % 5 = 0 then 'NA' else cast(user_id as varchar) end",
+    "flag": "case when event_id % 2 = 0 then 'True' else 'False' end", "score": "concat(cast(event_id % 7 as varchar), '.5')",
+    "mixed": "case when event_id % 1000 = 7 then 'n/k' else cast(event_id % 10 as varchar) end", "words": "event_type",
+}
+
+
+def _all_text(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.select(*[F.expr(sql.replace("varchar", "string")).alias(name) for name, sql in _CELLS.items()])
+
+
+_COUNTS = " union all ".join(
+    f"""select '{name}' as column_name, count(*) as n, count_if(c is null) as n_missing, {", ".join(
+        f"count_if(c is not null and regexp_matches(c, {sqltext.literal(p)})) as n_{kind}" for kind, p in CELL_TYPES.items())}
+    from (select case when {sql} = 'NA' then null else {sql} end as c from events)"""
+    for name, sql in _CELLS.items()
+)
+
+
+@query(
+    "q_type_report",
+    f"""select *, case when n_missing = 0 and n_boolean = n then 'boolean' when n_missing = 0 and n_bigint = n then 'bigint'
+      when n_double = n - n_missing then 'double' else 'string' end as type from ({_COUNTS})""",
+)
+def found_types(spark, sf_dir):
+    return type_report(_all_text(spark, sf_dir))
+
+
+@query(
+    "q_type_misfits",
+    f"""select 'mixed' as column_name, 'n/k' as cell, count(*) as n from events where event_id % 1000 = 7 having count(*) > 0
+    union all select 'words', event_type, count(*) from events group by event_type""",
+)
+def cells_that_do_not_fit(spark, sf_dir):
+    return misfits(_all_text(spark, sf_dir), {"key": "bigint", "gap": "double", "mixed": "double", "words": "double"})
+
+
+@query(
+    "q_found_types",
+    f"""select {_CELLS['key']}::bigint as key, case when event_id % 5 = 0 then null else user_id::double end as gap, event_id % 2 = 0 as flag,
+      (event_id % 7 + 0.5)::double as score, {_CELLS['mixed']} as mixed, event_type as words from events""",
+)
+def typed_columns(spark, sf_dir):
+    path = new_scratch_path(spark, "typed")
+    write_tsv(_all_text(spark, sf_dir), path)
+    return with_found_types(read_tsv(spark, path, missing_words=False))

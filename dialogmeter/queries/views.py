@@ -40,8 +40,13 @@ def rated(examples: DataFrame) -> DataFrame:
     )
 
 
-def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rated(reply_examples(table(spark, sf_dir, "conversations")))
+def examples(spark: SparkSession, sf_dir: str, context: str = "whole") -> DataFrame:
+    return rated(reply_examples(table(spark, sf_dir, "conversations"), context=context))
+
+
+def last_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples whose context is the last turn, for queries that look at no more of it than its last line."""
+    return examples(spark, sf_dir, context="last")
 
 
 EXAMPLES_SQL = f"""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 MIB = 1024 * 1024
@@ -37,6 +39,11 @@ def recommended_conf(shuffled_bytes: int, cores: int) -> dict[str, str]:
     }
 
 
+def send_with_jobs(module: str) -> None:
+    """Send a module's functions along with the jobs that use them: Python workers need not have this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def shared_scratch(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
@@ -73,15 +80,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 _landed: list[tuple[SparkSession, str]] = []
 
 
-def landed(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def landed(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back; ``by`` names a column to file the rows under.
 
     What follows is computed from the copy: its size is known, so Spark can choose joins by it,
     and joins on it start from a plain scan, whose skew adaptive execution can split.
     """
     path = new_scratch_path(df.sparkSession, label)
     _landed.append((df.sparkSession, path))
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

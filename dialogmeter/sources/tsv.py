@@ -75,3 +75,61 @@ def read_score_files(
             df = df.withColumnRenamed(score_col, "score")
         tables[metric] = df.withColumns({"score": F.col("score").cast("double"), "metric": F.lit(metric)})
     return tables
+
+
+# What a text cell must look like to be read as a type, narrowest type first.
+CELL_TYPES = {
+    "boolean": r"^(True|False|TRUE|FALSE|true|false)$",
+    "bigint": r"^[+-]?[0-9]{1,18}$",
+    "double": r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$",
+}
+
+
+def type_report(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """column_name, n, n_missing, n_boolean, n_bigint, n_double, type: one aggregate over all text columns.
+
+    A column has the narrowest type that all its present cells fit; whole numbers with gaps are
+    double, booleans with gaps and everything else string. A column without cells is double. Missing
+    are nulls and the missing-value words. The counts tell how many cells do not fit a wider guess.
+    """
+    columns = df.columns if columns is None else columns
+    cells = df.select(*[na_to_null(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(columns)])
+    aggregates = [F.count(F.lit(1)).alias("rows")]
+    for i in range(len(columns)):
+        aggregates.append(F.count(f"c{i}").alias(f"n{i}"))
+        aggregates += [F.count_if(F.col(f"c{i}").rlike(pattern)).alias(f"{kind}{i}") for kind, pattern in CELL_TYPES.items()]
+    counted = cells.agg(*aggregates)
+    reports = [
+        F.struct(
+            F.lit(c).alias("column_name"), F.col("rows").alias("n"), (F.col("rows") - F.col(f"n{i}")).alias("n_missing"),
+            *[F.col(f"{kind}{i}").alias(f"n_{kind}") for kind in CELL_TYPES])
+        for i, c in enumerate(columns)
+    ]
+    present, full = F.col("n") - F.col("n_missing"), F.col("n_missing") == 0
+    kind = (
+        F.when(full & (present > 0) & (F.col("n_boolean") == present), "boolean")
+        .when(full & (present > 0) & (F.col("n_bigint") == present), "bigint")
+        .when(F.col("n_double") == present, "double")
+        .otherwise("string")
+    )
+    return counted.select(F.inline(F.array(*reports))).withColumn("type", kind)
+
+
+def misfits(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """column_name, cell, n: the distinct cells that do not fit the type asked of their column."""
+    asked = {c: t for c, t in types.items() if t in CELL_TYPES}
+    long = df.select(*[na_to_null(F.col(f"`{c}`")).alias(c) for c in asked]).unpivot([], list(asked), "column_name", "cell")
+    fits = F.lit(None).cast("boolean")
+    for c, t in asked.items():
+        fits = F.when(F.col("column_name") == c, F.col("cell").rlike(CELL_TYPES[t])).otherwise(fits)
+    return long.where(F.col("cell").isNotNull() & ~fits).groupBy("column_name", "cell").agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_found_types(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
+    """Text columns as the types given, or those that ``type_report`` finds; cells that do not fit are null."""
+    if types is None:
+        types = {r.column_name: r.type for r in type_report(df).collect()}  # one row per column
+    return df.select(*[
+        (c if types.get(name, "string") == "string" else c.try_cast(types[name])).alias(name)
+        for name, c in ((n, na_to_null(F.col(f"`{n}`"))) for n in df.columns)
+    ])

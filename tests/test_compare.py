@@ -62,43 +62,19 @@ def test_pairs_with_all_rows_of_the_other_table(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
-def test_left_join_with_a_hot_right_side(spark):
-    left = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k int, l string")
-    right = spark.createDataFrame([(1, i) for i in range(50)] + [(3, 1)], "k int, r int")
-    key = lambda r: (r.k is None, r.k, r.l, r.r is None, r.r)
-    got = sorted(joins.left_join_hot_right(left, right, ["k"]).select("k", "l", "r").collect(), key=key)
-    assert got == sorted(left.join(right, "k", "left").select("k", "l", "r").collect(), key=key)
-
-
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
-def test_spread_join_equals_a_plain_join(spark, how):
-    rows = [(7 if i % 3 else i % 11, i % 5) for i in range(300)] + [(None, 1)] * 20
-    big = spark.createDataFrame(rows, "k int, v int")
-    other = spark.createDataFrame([(7, "a"), (7, "b"), (3, "c"), (99, "d"), (None, "e")], "k int, w string")
-    got = joins.join_spreading_hot_keys(big, other, ["k"], how)
-    assert sorted(map(str, got.collect())) == sorted(map(str, big.join(other, "k", how).collect()))
-    seven = spark.range(1).select(F.xxhash64(F.lit(7)).alias("h")).first().h
-    assert list(joins.hot_keys(big, ["k"])) == [seven]
-    assert not joins.hot_keys(other, ["w"])
-    with pytest.raises(ValueError):
-        joins.join_spreading_hot_keys(big, other, ["k"], "full")
-
-
-def test_hot_key_is_spread(spark):
-    big = spark.range(0, 40_000, 1, 8).select(F.lit(1).alias("k"), F.lit("same").alias("v"))
-    other = spark.createDataFrame([(1, "x")], "k int, w string")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        joined = joins.join_spreading_hot_keys(big, other, ["k"])
-        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.enabled")
-    assert sum(sizes) == 40_000 and max(sizes) <= 2 * 40_000 / 4
-
-
-def test_equally_frequent_keys_are_not_hot(spark):
-    assert not joins.hot_keys(spark.range(7000).select((F.col("id") % 7).alias("k")), ["k"])
-    assert not joins.hot_keys(spark.range(50_000), ["id"])
-    assert not joins.hot_keys(spark.range(0), ["id"])
+def test_audit_on_the_way_through_a_merge(spark, tmp_path):
+    paths = {}
+    for name, rows in (("one", [("a", "m", 1.0), ("b", "m", 2.0)]), ("two", [("a", "m", 5.0)])):
+        paths[name] = str(tmp_path / name)
+        table(spark, rows).write.parquet(paths[name])
+    tables = {name: spark.read.parquet(path) for name, path in paths.items()}
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("audit", "audit")
+    merged, audit = compare.merge_audited(tables)
+    jobs = len(tracker.getJobIdsForGroup("audit"))
+    got = {r.table_name: (r.n_rows, r.n_cols) for r in audit.collect()}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {"one": (2, 3), "two": (1, 3), "merged": (1, 4)}
+    assert merged.count() == 1
+    # The shuffles of the merge and its result; nothing is counted apart.
+    assert jobs <= 4

@@ -10,7 +10,8 @@ from dialogmeter import schemas
 from dialogmeter.functions.combine import row_max, row_mean
 from dialogmeter.session import new_scratch_path, recommended_conf, shared_scratch
 from dialogmeter.sinks.tables import normalised_header, write_parquet, write_tsv
-from dialogmeter.sources.tsv import clean_missing, read_score_files, read_tsv
+from dialogmeter.sources.open_records import open_ratings, read_open_records
+from dialogmeter.sources.tsv import clean_missing, misfits, read_score_files, read_tsv, type_report, with_found_types
 
 PAIR = T.StructType([T.StructField("id", T.LongType()), T.StructField("t", T.StringType())])
 AWKWARD = ["plain", "a\rb", "a\r\nb", "a\nb", "\n", " lead", "trail ", 'q"q', '"', "tab\tx", "back\\slash", '\\"', "x\\", "é", "'", "#c"]
@@ -111,3 +112,30 @@ def test_empty_text_and_null_stay_apart(spark, tmp_path):
     want = [("", "a"), (" ", "c"), (None, "b")]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, returned.collect()), key=str) == sorted(want, key=str)
     assert {r.y: r.x for r in read_tsv(spark, str(tmp_path / "t"), schema).collect()} == {"a": None, "b": None, "c": " "}
+
+
+def test_types_that_all_cells_fit(spark):
+    rows = [("1", "1", "True", "x", None, "1.5", "+7", "12345678901234567890"), ("-20", "NA", "False", "2", None, "2", "8", "1")]
+    df = spark.createDataFrame(rows, "i string, gap string, flag string, mixed string, none string, real string, sign string, `long er` string")
+    report = {r.column_name: r for r in type_report(df).collect()}
+    assert {c: r.type for c, r in report.items()} == {
+        "i": "bigint", "gap": "double", "flag": "boolean", "mixed": "string", "none": "double", "real": "double", "sign": "bigint", "long er": "double"}
+    assert (report["gap"].n, report["gap"].n_missing, report["gap"].n_bigint) == (2, 1, 1)
+    assert [tuple(r) for r in misfits(df, {"mixed": "double", "gap": "bigint", "i": "string"}).collect()] == [("mixed", "x", 1)]
+    typed = with_found_types(df)
+    assert [t for _, t in typed.dtypes] == [report[c].type for c in df.columns]
+    assert typed.first().flag is True and typed.collect()[1].gap is None
+    assert with_found_types(df, {"mixed": "double"}).first().mixed is None
+    assert {r.type for r in type_report(df.limit(0)).collect()} == {"double"}
+
+
+def test_records_with_any_labels(spark, tmp_path):
+    lines = [
+        '{"id": "a", "answers": [{"response": "r", "fun": [1, 3], "depth": ["x", 2, null]}, {"response": "s", "new one": [4]}]}',
+        '{"id": "b", "answers": []}', '{"id": "c"}', '{"id": "d", "answers": [{"fun": []}, {"fun": 3}, 7]}', '{"id": null, "answers": [{"fun": [2.5]}]}',
+    ]
+    (tmp_path / "records.json").write_text("\n".join(lines))
+    got = open_ratings(read_open_records(spark, str(tmp_path / "records.json")), "$.answers", {"id": "$.id"}).collect()
+    assert sorted((r.id or "-", r.answer, r.quality, r.ratings, r.median or 0) for r in got) == [
+        ("-", 0, "fun", [2.5], 2.5), ("a", 0, "depth", [2.0], 2.0), ("a", 0, "fun", [1.0, 3.0], 2.0), ("a", 1, "new one", [4.0], 4.0),
+        ("d", 0, "fun", [], 0)]

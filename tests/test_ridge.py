@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -64,3 +66,19 @@ def test_parameters(data):
     w, b = scaled_fit(x, y, best)
     assert [got[f"coef_{n}"] for n in NAMES] == pytest.approx(w)
     assert got["intercept"] == pytest.approx(b)
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 403, 9000])
+def test_exactly_a_quarter_of_the_rows(spark, n, monkeypatch):
+    monkeypatch.setattr(ridge, "_FEW", 5)
+    rows = spark.range(n).select(F.concat(F.lit("k"), "id").alias("key"), "id")
+    got = {r.key for r in rows.where(ridge.exact_test_rows(rows, ["key"])).collect()}
+    keys = sorted((int(hashlib.md5(f"k{i}".encode()).hexdigest()[:15], 16), f"k{i}") for i in range(n))
+    assert got == {k for _, k in keys[: -(-n // 4)]}
+    assert {r.key for r in rows.repartition(7).where(ridge.exact_test_rows(rows, ["key"])).collect()} == got
+
+
+def test_repeated_keys_stay_together(spark):
+    rows = spark.createDataFrame([("a",)] * 50 + [(None,)] * 3 + [("b",), ("c",)], "key string")
+    sides = rows.withColumn("is_test", ridge.exact_test_rows(rows, ["key"])).groupBy("key").agg(F.count_distinct("is_test").alias("n")).collect()
+    assert {r.n for r in sides} == {1}

@@ -1,11 +1,14 @@
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from dialogmeter import TextColumns, VOTE_TEXTS, correlate, evaluate, register_scorer, score, score_examples
+from dialogmeter.operators.batching import Batching, calls, scored, windows
 from dialogmeter.operators.references import MODES, with_references
 from dialogmeter.operators.scoring import attach_scores, key_digest, scorer
+from dialogmeter.operators.stored_scores import score_stored
 from dialogmeter.plans.workflows import rating_lines
 
 ROWS = [("a b\nx y z", "r s", "one two three"), ("only", None, "w"), ("q", "r s t", None)]
@@ -142,3 +145,91 @@ def test_scoring_runs_once_for_all_reports(spark, tmp_path):
     for r in reports.values():
         r.collect()
     assert counter.value == 24
+
+
+def padding(lengths, groups):
+    return sum(len(g) * max(lengths[i] for i in g) - sum(lengths[i] for i in g) for g in groups)
+
+
+def test_calls_hold_texts_of_about_equal_length():
+    lengths = [(i * 7919) % 900 + 1 for i in range(1000)] + [200_000]
+    limits = Batching(rows=64, padded=10_000)
+    made = calls(lengths, limits)
+    assert sorted(i for call in made for i in call) == list(range(len(lengths)))
+    assert all(len(call) <= 64 and (len(call) == 1 or len(call) * max(lengths[i] for i in call) <= 10_000) for call in made)
+    arrival = [list(range(i, min(i + 10, len(lengths)))) for i in range(0, len(lengths), 10)]
+    assert padding(lengths, made) < padding(lengths, arrival) / 20
+    assert calls([], limits) == []
+
+
+def test_windows_are_bounded_and_order_is_kept():
+    batches = [(pd.Series(["x" * n, None]), pd.Series([[["r"]], [[None]]])) for n in (5, 50, 1, 400, 2)]
+    # 6, 51, 2, 401 and 3 characters, references included.
+    assert [len(w) for w in windows(batches, 57)] == [2, 2, 1]
+    seen = []
+
+    def model(cands, refs):
+        seen.append([len(c) for c in cands])
+        return [len(c) for c in cands]
+
+    out = [s.tolist() for s in scored(batches, model, Batching(rows=2, padded=1000))]
+    assert out == [[[float(n)], [None]] for n in (5, 50, 1, 400, 2)]
+    assert seen == [[1, 2], [5, 50], [400]]
+
+
+@pytest.fixture
+def counted(tmp_path):
+    """A scorer that notes every text it is given and fails on the one named in a file."""
+    notes, poison = tmp_path / "notes", tmp_path / "poison"
+    notes.mkdir()
+
+    def factory():
+        import uuid
+
+        def model(cands, refs):
+            if poison.exists() and poison.read_text() in cands:
+                raise RuntimeError("killed")
+            (notes / uuid.uuid4().hex).write_text("\n".join(cands))
+            return [float(len(c)) for c in cands]
+
+        return model
+
+    register_scorer("counted", factory)
+    return poison, lambda: sorted(c for f in notes.iterdir() for c in f.read_text().split("\n"))
+
+
+def test_an_interrupted_run_goes_on(spark, counted, tmp_path):
+    poison, noted = counted
+    path = str(tmp_path / "scores")
+    rows = [(f"c{i}", "m", f"cand{i:03d}", "r") for i in range(60)]
+    df = spark.createDataFrame(rows, "context string, model string, cand string, ref string")
+    first = score_stored(df.limit(0).unionByName(df.where("cand < 'cand020'")), "counted", path, steps=8)
+    assert first.count() == 20 and noted() == [r[2] for r in rows[:20]]
+    poison.write_text("cand045")
+    with pytest.raises(Exception, match="killed"):
+        score_stored(df, "counted", path, steps=8)
+    kept = spark.read.parquet(path).count()
+    assert 20 <= kept < 60
+    before = noted()
+    poison.unlink()
+    out = {r.cand: r.score for r in score_stored(df, "counted", path, steps=8).collect()}
+    assert out == {r[2]: 7.0 for r in rows}
+    # What had been committed was not scored again.
+    assert len(noted()) - len(before) == 60 - kept
+    again = noted()
+    assert score_stored(df, "counted", path, steps=8).count() == 60 and noted() == again
+
+
+def test_stored_scores_want_a_key_per_row(spark, counted, tmp_path):
+    df = spark.createDataFrame([("c", "m", "a", "r"), ("c", "m", "b", "r")], "context string, model string, cand string, ref string")
+    with pytest.raises(Exception, match="two rows share one key"):
+        score_stored(df, "counted", str(tmp_path / "s")).collect()
+    empty = score_stored(df.where("cand is null"), "counted", str(tmp_path / "none"), mode="multi_avg")
+    assert empty.count() == 0 and "score" in empty.columns
+
+
+def test_stored_components(spark, counted, tmp_path):
+    df = spark.createDataFrame([("c", "m", "abc", None), ("d", None, None, "r")], "context string, model string, cand string, ref string")
+    out = {r.context: r for r in score_stored(df, "counted", str(tmp_path / "s"), mode="multi_avg").collect()}
+    assert (out["c"].ref_score, out["c"].context_score, out["c"].score) == (None, 3.0, 3.0)
+    assert out["d"].score is None

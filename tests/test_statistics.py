@@ -1,12 +1,14 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from dialogmeter import evaluate, score
 from dialogmeter.functions.pvalue import correlation_p_value
-from dialogmeter.operators import joins, regression
+from dialogmeter.operators import regression
+from dialogmeter.operators.annotations import grouped_median
 from dialogmeter.operators.correlation import correlation_matrix, wide_matrix
 from dialogmeter.plans.workflows import compare_components, compare_metrics, correlate, rating_correlation, rating_lines
 
@@ -191,3 +193,49 @@ def test_evaluate_scores_and_reports(spark):
     assert [r.param for r in got["ridge"].collect()] == ["alpha", "mse", "coef_natural", "coef_engaging", "intercept"]
     direct = {r.quality: r.r for r in correlate(score(table, "bleu", "ref")).collect()}
     assert {r.quality: r.r for r in got["fits"].collect()} == pytest.approx(direct)
+
+
+def test_wide_matrix_with_gaps_equals_pairwise_correlation(spark):
+    rng = np.random.default_rng(7)
+    k, n = 200, 600
+    rows = rng.normal(size=(n, 5)) @ rng.normal(size=(5, k)) + rng.normal(size=(n, k)) + 1e6 * (np.arange(k) % 3)
+    rows[rng.random((n, k)) < 0.2] = np.nan
+    rows[:, 7] = 3.3
+    rows[:, 9] = np.nan
+    names = [f"v {i}" for i in range(k)]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=names)).repartition(5)
+    got = np.full((k, k), np.nan)
+    sizes = np.zeros((k, k), int)
+    for r in correlation_matrix(df, names).collect():
+        i, j = names.index(r.col_a), names.index(r.col_b)
+        got[i, j], sizes[i, j] = np.nan if r.r is None else r.r, r.n
+    want = pd.DataFrame(rows).corr().to_numpy()
+    want[7, :] = want[:, 7] = np.nan
+    here = ~np.isnan(rows)
+    assert (sizes == here.astype(int).T @ here.astype(int)).all()
+    assert np.allclose(got, want, atol=1e-9, equal_nan=True)
+
+
+def test_matrix_reads_the_rows_once(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 1.0)], "a double, b double")
+    plan = correlation_matrix(df, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and "Expand" not in plan
+
+
+def test_median_of_a_hot_group(spark):
+    rng = np.random.default_rng(8)
+    rows = [("hot", float(v)) for v in rng.normal(size=4001)] + [("even", float(v)) for v in (4, 1, 3, 2)]
+    rows += [("same", 5.0)] * 1000 + [("one", -1.0), ("none", None), ("none", math.nan), (None, 2.0), (None, 4.0)]
+    got = {r.g: r.median for r in grouped_median(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()}
+    hot = float(np.median([v for g, v in rows if g == "hot"]))
+    assert got == {"hot": hot, "even": 2.5, "same": 5.0, "one": -1.0, None: 3.0}
+
+
+def test_cells_of_a_plot(spark):
+    rows = [("a", 0.0, 0.0), ("a", 10.0, 10.0), ("a", 9.99, 5.0), ("b", 5.0, 5.0), ("b", None, 1.0), ("b", math.nan, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    got = {(r.g, r.x_cell, r.y_cell): r.n for r in regression.point_cells(df, "x", "y", ["g"], cells=2).collect()}
+    assert got == {("a", 0, 0): 1, ("a", 1, 1): 2, ("b", 1, 1): 1}
+    flat = regression.point_cells(df.withColumn("x", F.lit(1.0)), "x", "y", cells=3).collect()
+    assert {r.x_cell for r in flat} == {0} and sum(r.n for r in flat) == 6
+    assert regression.point_cells(df.limit(0), "x", "y").count() == 0

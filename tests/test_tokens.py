@@ -33,6 +33,11 @@ def test_token_count_examples(values):
     assert values(EXAMPLES + [None], token_count) == [count_by_rules(s) for s in EXAMPLES] + [None]
 
 
+def test_long_tokens_and_runs(values):
+    inputs = ["a1" * 200_000, "1,2" * 200_000, "a-" * 200_000, "," * 100_001 + "5", "." * 100_000 + "5", "7" + "." * 100_001 + "5 5-", "x " * 200_000]
+    assert values(inputs, token_count) == [count_by_rules(s) for s in inputs]
+
+
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(alphabet=st.sampled_from("ab1,.-&;\n \t'\"$(<>\x1f\xa0"), max_size=25), min_size=40, max_size=40))
 def test_token_count_property(values, inputs):
