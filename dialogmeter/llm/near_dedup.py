@@ -10,12 +10,12 @@ probability Jaccard similarity of all their elements, and linked from ``SIMILAR`
 the connected components.
 
 Texts with the same words (ASCII letters lower-cased) are one text from the start. Within a band's
-bucket the members are compared with a few pivots, not with each other. Members linked to a pivot
-are in its class; those that aren't form the bucket's next round, with eight times as many pivots,
-until few are left, which are compared in full. 1 - similarity is a metric, so another member of the
-bucket can only be linked to one that is linked to a pivot if it is not much farther from that pivot:
-these pairs, where still in different classes, are compared in the end. So that few classes are left
-by then, members are held against the best linked ones of their nearest pivot's class before.
+bucket the members are verified against a few pivots first, the smallest of all there, which
+overlapping buckets share; so most of a large group is one class after one round. What is left to
+compare are members of one bucket that are in different classes. They meet in blocks of bounded
+size, where numpy compares a longer sketch of each (``SKETCH`` more registers), and only pairs that can
+be linked leave the block. Of these each member's likeliest partner in a class is verified first,
+which ends most of the others; then all that still lie in different classes are.
 
 Null and empty texts are one class. Repeated rows are members of one class; null ids are ids that
 sort last. An empty table gives an empty result; other columns pass through ``keep_one``.
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialogmeter.llm.store import ship, stored
@@ -36,18 +36,21 @@ from dialogmeter.llm.textbuf import WHITESPACE, mix64, words_by_text
 
 WORDS, SIMILAR = 5, 0.8
 REGISTERS, BAND = 128, 4
-#: Pairs whose registers agree less often are not verified: at a similarity of 0.8 a share this
-#: small has a probability below 1e-7.
-LEAST_AGREEMENT = 0.6
-#: The same for pairs whose similarity bounds others', which counts from 2 * SIMILAR - 1 = 0.6 on:
-#: there a share this small has a probability below 1e-6.
-LEAST_NEAR = 0.38
-#: Pivots of a bucket in the first round; each later round has as many times more.
-PIVOTS = 8
-#: Buckets with so few members left after the first round are compared in full.
+#: Registers of the longer sketch, 8 bits of each.
+SKETCH = 512
+#: Pairs whose sketches agree less often are not verified: five standard deviations below ``SIMILAR``, so
+#: at a similarity of 0.8 or more a share this small has a probability of 1e-6 at most.
+LEAST_AGREEMENT = SIMILAR - 5 * (SIMILAR * (1 - SIMILAR) / SKETCH) ** 0.5
+#: Pivots of a bucket.
+PIVOTS = 4
+#: Groups of so many members are paired many at a time, larger ones row by row.
 SMALL = 64
-#: Members of a pivot's class that are tried before the borders.
-HUBS = 8
+#: Members of a block at most, roughly.
+BLOCK = 2048
+#: Pairs of sketches compared at a time.
+COMPARED = 1 << 14
+#: Rounds in which each member's likeliest partner in each class is verified.
+ROUNDS = 2
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -84,11 +87,11 @@ def shingles(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (key >> np.uint64(48)).astype(np.int64), key & np.uint64((1 << 48) - 1), 1 + np.log(times)
 
 
-def registers(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, texts: int) -> np.ndarray:
-    """texts x REGISTERS: the element that arrived first in each register (0 for a text without elements)."""
-    first = np.full(texts * REGISTERS, np.inf)
-    winner = np.zeros(texts * REGISTERS, np.uint64)
-    seed = mix64(element * _A + _B)
+def registers(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, texts: int, size: int = REGISTERS, seed: int = 0) -> np.ndarray:
+    """texts x size: the element that arrived first in each register (0 for a text without elements)."""
+    first = np.full(texts * size, np.inf)
+    winner = np.zeros(texts * size, np.uint64)
+    seed = mix64(element * _A + _B + np.uint64(seed))
     at, clock, step = np.arange(len(owner)), np.zeros(len(owner)), 0
     while len(at):
         # The fewer elements are left, the more arrivals of each at a time.
@@ -97,22 +100,22 @@ def registers(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, texts:
         draw = mix64(seed[at][:, None] + ahead)
         gap = -np.log((draw >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54) / weight[at][:, None]
         time = clock[:, None] + np.cumsum(gap, 1)
-        slot = (owner[at][:, None] * REGISTERS + (draw & np.uint64(REGISTERS - 1)).astype(np.int64)).ravel()
+        slot = (owner[at][:, None] * size + (draw & np.uint64(size - 1)).astype(np.int64)).ravel()
         flat = time.ravel()
         np.minimum.at(first, slot, flat)
         won = flat == first[slot]
         winner[slot[won]] = np.repeat(element[at], block)[won]
-        last = first.reshape(texts, REGISTERS).max(1)
+        last = first.reshape(texts, size).max(1)
         going = time[:, -1] < last[owner[at]]
         at, clock, step = at[going], time[going, -1], step + block
-    return winner.reshape(texts, REGISTERS)
+    return winner.reshape(texts, size)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the text), same (digest of the words), agree (registers, 16 bits each), bands of every row."""
+    """doc_id, key (of the text), same (digest of the words), bands of every row."""
     ship(docs.sparkSession)
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
-    names = ["doc_id", "key", "same", "agree", "bands"]
+    names = ["doc_id", "key", "same", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,27 +127,45 @@ def signatures(docs: DataFrame) -> DataFrame:
                 for k in range(BAND):
                     bands = mix64(bands * _A + found[:, k::BAND])
                 bands = mix64(bands + np.arange(REGISTERS // BAND, dtype=np.uint64))
-                agree = mix64(found).astype(np.uint16)
                 offsets = pa.array(np.arange(n + 1, dtype=np.int32) * (REGISTERS // BAND))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(start, n), batch.column(1).slice(start, n), pa.array(same, pa.binary()),
-                    pa.array([a.tobytes() for a in agree], pa.binary()),
                     pa.ListArray.from_arrays(offsets, pa.array(bands.view(np.int64).ravel())),
                 ], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, key bigint, same binary, agree binary, bands array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {kind}, key bigint, same binary, bands array<bigint>")
 
 
-def agreement(pairs: DataFrame) -> DataFrame:
-    """Pairs with columns ``agree_a`` and ``agree_b`` that agree in a share ``least`` of the registers."""
+def sketches(texts: DataFrame) -> DataFrame:
+    """node, sketch of (node, text): ``SKETCH`` registers of 8 bits, apart from those of the bands."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in (2, 3))
-            enough = (a == b).mean(1) >= batch.column(4).to_numpy()
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(enough))
+            for start, words, counts in words_by_text(batch.column(1)):
+                n = len(counts)
+                found = mix64(registers(*shingles(words, counts), n, SKETCH, 1)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(start, n), pa.array([f.tobytes() for f in found], pa.binary())], ["node", "sketch"])
 
-    return pairs.select("a", "b", "agree_a", "agree_b", "least").mapInArrow(run, "a bigint, b bigint")
+    return texts.select("node", "text").mapInArrow(run, "node bigint, sketch binary")
+
+
+def _matrix(column: pa.Array, dtype: type, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
+
+
+def likely(pairs: DataFrame) -> DataFrame:
+    """a, b of the pairs with columns ``sketch_a`` and ``sketch_b`` that agree often enough."""
+    least = LEAST_AGREEMENT
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, COMPARED):
+                part = batch.slice(first, COMPARED)
+                enough = (_matrix(part.column(2), np.uint8, SKETCH) == _matrix(part.column(3), np.uint8, SKETCH)).mean(1) >= least
+                yield pa.RecordBatch.from_arrays(part.columns[:2], ["a", "b"]).filter(pa.array(enough))
+
+    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -208,25 +229,18 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-class _Compared:
-    """Pairs of texts, compared exactly where their registers agree often enough."""
+def _both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """``pairs`` with ``column`` of both nodes as ``<column>_a`` and ``<column>_b``."""
+    for k in "ab":
+        side = table.select(F.col("node").alias(f"n_{k}"), F.col(column).alias(f"{column}_{k}"))
+        pairs = pairs.join(side, pairs[k] == F.col(f"n_{k}")).drop(f"n_{k}")
+    return pairs
 
-    def __init__(self, nodes: DataFrame, texts: DataFrame):
-        self.nodes, self.texts = nodes, texts
-        self.links: list[DataFrame] = []
 
-    def compare(self, pairs: DataFrame, label: str) -> DataFrame:
-        """a, b, similar of the distinct pairs whose registers agree in the share ``least`` of the pair."""
-        ship(pairs.sparkSession)
-        asked = pairs.groupBy("a", "b").agg(F.min("least").alias("least"))
-        sides = [self.nodes.select(F.col("node").alias(f"n_{k}"), F.col("agree").alias(f"agree_{k}")) for k in "ab"]
-        close = asked.join(sides[0], asked["a"] == F.col("n_a")).join(sides[1], F.col("b") == F.col("n_b"))
-        close = stored(agreement(close), f"{label}-close", narrow=True)
-        sides = [self.texts.select(F.col("node").alias(f"n_{k}"), F.col("text").alias(f"text_{k}")) for k in "ab"]
-        joined = close.join(sides[0], close["a"] == F.col("n_a")).join(sides[1], F.col("b") == F.col("n_b"))
-        found = stored(similarities(joined), f"{label}-similar", narrow=True)
-        self.links.append(found.where(F.col("similar") >= SIMILAR).select("a", "b"))
-        return found
+def links(pairs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
+    """The pairs (a, b) whose texts are similar enough, verified by all their elements."""
+    found = similarities(_both(pairs.select("a", "b"), texts, "text"))
+    return stored(found.where(F.col("similar") >= SIMILAR).select("a", "b"), f"{label}-links")
 
 
 def _texts_of(nodes: DataFrame, live: DataFrame, docs: DataFrame) -> DataFrame:
@@ -248,37 +262,151 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _elsewhere(near: DataFrame, roots: DataFrame) -> DataFrame:
-    """y, y_pivot, y_similar of the members ``near`` a pivot that are in another class than it."""
-    ry, rp = (roots.select(F.col("node").alias(f"n_{k}"), F.col("root").alias(f"r_{k}")) for k in "yp")
-    y = near.join(ry, near["node"] == ry["n_y"], "left").join(rp, near["pivot"] == rp["n_p"], "left")
-    return y.where(F.coalesce("r_y", "node") != F.coalesce("r_p", "pivot")).select(
-        F.col("node").alias("y"), F.col("pivot").alias("y_pivot"), F.col("similar").alias("y_similar"))
+def _blocks(members: DataFrame) -> DataFrame:
+    """bucket, block, own (its class, if there is no other in it) and the members' columns.
 
+    A class of over ``BLOCK`` members of a bucket has blocks of its own; the others are dealt by class.
+    """
+    classes_ = members.groupBy(F.col("bucket").alias("c_bucket"), F.col("root").alias("c_root")).agg(F.count("*").alias("n"))
+    classes_ = stored(classes_, "bucket-classes", narrow=True)
+    sizes = classes_.groupBy(F.col("c_bucket").alias("z_bucket")).agg(
+        F.count("*").alias("classes"), F.sum(F.when(F.col("n") <= BLOCK, F.col("n"))).alias("small")).where("classes > 1")
+    sizes = stored(sizes, "bucket-sizes", narrow=True)
+    large = classes_.where(F.col("n") > BLOCK).select(F.col("c_bucket").alias("l_bucket"), F.col("c_root").alias("l_root"), F.col("n").alias("large"))
+    large = stored(large, "large-classes", narrow=True)
+    open_ = members.join(sizes.drop("classes"), members["bucket"] == sizes["z_bucket"]).drop("z_bucket")
+    placed = open_.join(large, (open_["bucket"] == F.col("l_bucket")) & (open_["root"] == F.col("l_root")), "left")
 
-def _hubs(near: DataFrame, roots: DataFrame) -> DataFrame:
-    """A few likely pairs: each member against those of its nearest pivot's class with the most pivots.
+    def slot(column: str, size: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.ceil(F.col(size) / BLOCK))
 
-    They only make classes larger before ``_borders``, which leaves out no pair that can be linked.
-    """
-    linked = near.where(F.col("similar") >= SIMILAR)
-    degree = linked.groupBy(F.col("node").alias("d_node")).agg(F.count("*").alias("pivots"))
-    hubs = linked.join(degree, linked["node"] == degree["d_node"]).groupBy(
-        F.col("pivot").alias("x_pivot"), F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("slot")).agg(F.max_by("node", "pivots").alias("x"))
-    y = _elsewhere(near, roots).groupBy("y").agg(F.max_by("y_pivot", "y_similar").alias("y_pivot"))
-    return hubs.join(y, hubs["x_pivot"] == y["y_pivot"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    own = F.when(F.col("large").isNotNull(), F.col("root"))
+    block = F.when(F.col("large").isNotNull(), F.xxhash64("root", slot("node", "large"))).otherwise(slot("root", "small"))
+    return placed.select("bucket", "node", "root", block.alias("block"), own.alias("own"))
 
 
-def _borders(nearest: DataFrame, near: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of members x (linked to a pivot) and y (in another class) that can be linked.
+def across_classes(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b, agreement of the members (bucket, node, root) of one bucket that can be linked and differ in ``root``.
 
-    1 - similarity is a distance, so d(y) <= d(x) + 1 - SIMILAR for the distances from a pivot. x is
-    held against the y of the nearest pivot of each of its buckets, once for all buckets.
+    Every such pair is compared by its sketches, in groups of one or two blocks; it leaves the first
+    bucket that both share, and only if it agrees often enough. ``nodes`` has node, sketch, bands.
     """
-    x = nearest.select(F.col("node").alias("x"), F.col("pivot").alias("x_pivot"), F.col("similar").alias("x_similar")).distinct()
-    y = _elsewhere(near, roots)
-    same = (x["x_pivot"] == y["y_pivot"]) & (F.col("y_similar") >= F.col("x_similar") - (1 - SIMILAR) - 1e-9)
-    return x.join(y, same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    ship(members.sparkSession)
+    placed = stored(_blocks(members), "blocks", narrow=True)
+    blocks = stored(placed.select("bucket", "block", "own").distinct(), "block-list", narrow=True)
+    other = blocks.select(F.col("bucket").alias("o_bucket"), F.col("block").alias("other"), F.col("own").alias("o_own"))
+    meet = blocks.join(other, (blocks["bucket"] == other["o_bucket"]) & (blocks["block"] <= other["other"]))
+    meet = meet.where(F.col("own").isNull() | F.col("o_own").isNull() | (F.col("own") != F.col("o_own")))
+    meet = meet.select(F.col("bucket").alias("m_bucket"), F.col("block").alias("first"), F.col("other").alias("second"))
+    sides = meet.select("m_bucket", "first", "second", F.explode(F.array_distinct(F.array("first", "second"))).alias("m_block"))
+    sides = stored(sides, "block-pairs", narrow=True)
+    rows = placed.join(sides, (placed["bucket"] == sides["m_bucket"]) & (placed["block"] == sides["m_block"]))
+    rows = rows.select("bucket", "first", "second", (F.col("block") == F.col("first")).alias("left"), "node", "root")
+    sketch = nodes.select(F.col("node").alias("s_node"), "sketch", "bands")
+    rows = rows.join(sketch, rows["node"] == sketch["s_node"]).drop("s_node")
+    keys = ["bucket", "first", "second"]
+    small, least = SMALL, LEAST_AGREEMENT
+
+    def pairs_of(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions of the pairs of consecutive groups, a bounded number at a time."""
+        for size in np.unique(sizes[(sizes > 1) & (sizes <= small)]):
+            i, j = np.triu_indices(size, 1)
+            at = starts[sizes == size]
+            step = max(1, COMPARED // len(i))
+            for k in range(0, len(at), step):
+                yield (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
+        for start, size in zip(starts[sizes > small], sizes[sizes > small], strict=True):
+            for i in range(start, start + size - 1):
+                yield np.full(start + size - 1 - i, i), np.arange(i + 1, start + size)
+
+    def compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """The pairs of whole groups."""
+        table = table.combine_chunks()
+        key = np.stack([table.column(k).to_numpy() for k in keys], 1)
+        starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
+        sizes = np.diff(np.append(starts, len(key)))
+        bucket, one = key[:, 0], key[:, 1] == key[:, 2]
+        left, node, root = (table.column(k).to_numpy() for k in ("left", "node", "root"))
+        sketch = _matrix(table.column("sketch"), np.uint8, SKETCH)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(key), -1)
+        for i, j in pairs_of(starts, sizes):
+            differ = (root[i] != root[j]) & (one[i] | (left[i] != left[j]))
+            i, j = i[differ], j[differ]
+            if not len(i):
+                continue
+            agree = (sketch[i] == sketch[j]).mean(1)
+            enough = agree >= least
+            i, j, agree = i[enough], j[enough], agree[enough]
+            if not len(i):
+                continue
+            shared = bands[i] == bands[j]
+            here = bands[i, shared.argmax(1)] == bucket[i]
+            a, b = np.minimum(node[i], node[j])[here], np.maximum(node[i], node[j])[here]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(agree[here])], ["a", "b", "agreement"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []  # rows of the last group, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = [batch.column(k)[batch.num_rows - 1].as_py() for k in keys]
+            same = np.all([batch.column(k).to_numpy() == v for k, v in zip(keys, last, strict=True)], 0)
+            begin = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if begin or (waiting and [waiting[-1].column(k)[0].as_py() for k in keys] != last):
+                yield from compared(pa.Table.from_batches([*waiting, batch.slice(0, begin)]))
+                waiting = []
+            waiting.append(batch.slice(begin))
+        if waiting:
+            yield from compared(pa.Table.from_batches(waiting))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint, agreement double")
+
+
+def _with_roots(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The pairs whose ends are in different classes, with ``root_a`` and ``root_b``."""
+    if roots is None:
+        return pairs.withColumns({"root_a": F.col("a"), "root_b": F.col("b")})
+    for k in "ab":
+        side = roots.select(F.col("node").alias(f"n_{k}"), F.col("root").alias(f"r_{k}"))
+        pairs = pairs.join(side, pairs[k] == F.col(f"n_{k}"), "left").withColumn(f"root_{k}", F.coalesce(f"r_{k}", k)).drop(f"n_{k}", f"r_{k}")
+    return pairs.where("root_a <> root_b")
+
+
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """For each member and each other class the pair that agrees most."""
+    best = F.max_by(F.struct("a", "b"), F.struct("agreement", "a", "b"))
+    one = pairs.groupBy("a", "root_b").agg(best.alias("p")).select("p.a", "p.b")
+    return one.unionByName(pairs.groupBy("b", "root_a").agg(best.alias("p")).select("p.a", "p.b")).distinct()
+
+
+def linked(live: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """node, root of the nodes that are linked to another; None without links."""
+    sketch = stored(sketches(texts), "sketches")
+    known = stored(sketch.join(nodes.select(F.col("node").alias("k_node"), "bands"), F.col("node") == F.col("k_node")).drop("k_node"), "known")
+    # The smallest node of each of a bucket's slots is a pivot, so buckets that overlap share pivots.
+    pivots = live.groupBy(F.col("bucket").alias("p_bucket"), F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("slot")).agg(F.min("node").alias("pivot"))
+    pivots = stored(pivots.drop("slot"), "pivots", narrow=True)
+    beside = live.join(pivots, live["bucket"] == pivots["p_bucket"]).where("node <> pivot")
+    pairs = beside.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    close = stored(likely(_both(pairs, sketch, "sketch")), "pivot-pairs", narrow=True)
+    found = [links(close, texts, "pivot")]
+    roots = None if found[0].isEmpty() else components(found[0])
+    members = live if roots is None else live.join(roots.select(F.col("node").alias("r_node"), "root"), live["node"] == F.col("r_node"), "left")
+    members = members.select("bucket", "node", F.coalesce("root", "node").alias("root")) if roots is not None else members.withColumn("root", F.col("node"))
+    open_ = stored(across_classes(stored(members, "members", narrow=True), known), "open-pairs")
+    open_ = stored(_with_roots(open_, roots), "open", narrow=True)
+    for round_ in range(ROUNDS + 1):
+        if open_.isEmpty():
+            break
+        asked = _likeliest(open_) if round_ < ROUNDS else open_.select("a", "b")
+        asked = stored(asked, f"asked-{round_}", narrow=True)
+        more = links(asked, texts, f"round-{round_}")
+        rest = open_.drop("root_a", "root_b").join(asked.select(F.col("a").alias("q_a"), F.col("b").alias("q_b")), (F.col("a") == F.col("q_a")) & (F.col("b") == F.col("q_b")), "left_anti")
+        if not more.isEmpty():
+            found.append(more)
+            roots = components(_union(found))
+        open_ = stored(_with_roots(rest, roots), f"open-{round_}", narrow=True)
+    return roots
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -290,54 +418,15 @@ def classes(docs: DataFrame) -> DataFrame:
     groups = stored(rows.groupBy("same").agg(F.min("row").alias("node")), "same-words", narrow=True)
     leaders = groups.select(F.col("node").alias("l_node"))
     nodes = rows.join(leaders, rows["row"] == leaders["l_node"], "left_semi").withColumnRenamed("row", "node")
-    nodes = stored(nodes.select("node", "doc_id", "key", "agree", "bands"), "texts")
+    nodes = stored(nodes.select("node", "doc_id", "key", "bands"), "texts")
     member = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("s_bucket"))
+    # Stored, so that the join starts from scans and its hot keys can be split.
+    shared = stored(shared, "shared-buckets", narrow=True)
     live = stored(member.join(shared, member["bucket"] == shared["s_bucket"], "left_semi"), "buckets", narrow=True)
-
-    work, rounds, round_ = _Compared(nodes, _texts_of(nodes, live, docs)), [], 0
-    while True:
-        size = live.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("s_bucket"), "n")
-        live = stored(live.join(size, live["bucket"] == size["s_bucket"]).drop("s_bucket"), f"live-{round_}", narrow=True)
-        if live.isEmpty():
-            break
-        # The smallest node of each of a bucket's slots is a pivot.
-        slots = min(PIVOTS ** (round_ + 1), 4096)
-        pivots = live.groupBy(F.col("bucket").alias("p_bucket"), F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(slots)).alias("slot")).agg(
-            F.min("node").alias("pivot")).select("p_bucket", "pivot")
-        pivots = stored(pivots, f"pivots-{round_}", narrow=True)
-        beside = live.join(pivots, live["bucket"] == pivots["p_bucket"]).where("node <> pivot")
-        pairs = [beside.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), F.lit(LEAST_NEAR).alias("least"))]
-        if round_:
-            few = live.where(F.col("n") <= SMALL)
-            other = few.select(F.col("bucket").alias("o_bucket"), F.col("node").alias("other"))
-            pairs.append(few.join(other, (few["bucket"] == other["o_bucket"]) & (few["node"] < other["other"])).select(
-                F.col("node").alias("a"), F.col("other").alias("b"), F.lit(LEAST_AGREEMENT).alias("least")))
-        found = work.compare(_union(pairs), f"round-{round_}")
-        # What each member has found among its bucket's pivots: the most similar one.
-        met = found.select("a", "b", "similar").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "similar")).select(
-            F.col("a").alias("f_node"), F.col("b").alias("f_pivot"), "similar")
-        seen = stored(beside.join(met, (beside["node"] == met["f_node"]) & (beside["pivot"] == met["f_pivot"])).select(
-            "bucket", "node", "pivot", "similar"), f"seen-{round_}", narrow=True)
-        nearest = seen.where(F.col("similar") >= SIMILAR).groupBy("bucket", "node").agg(
-            F.max_by("pivot", "similar").alias("pivot"), F.max("similar").alias("similar"))
-        gone = nearest.select("bucket", "node").unionByName(pivots.select(F.col("p_bucket").alias("bucket"), F.col("pivot").alias("node")))
-        left = stored(live.join(gone, ["bucket", "node"], "left_anti"), f"left-{round_}", narrow=True)
-        # How near the members, linked to a pivot or not, are to the pivots, as far as it matters.
-        rounds.append((nearest, seen.where(F.col("similar") >= 2 * SIMILAR - 1 - 1e-9)))
-        live = left.where((F.col("n") > SMALL) | F.lit(round_ == 0)).select("bucket", "node")
-        round_ += 1
-    if not work.links:
+    roots = linked(live, nodes, _texts_of(nodes, live, docs))
+    if roots is None:
         roots = nodes.select("node", F.col("node").alias("root")).limit(0)
-    else:
-        roots = components(_union(work.links))
-        nearest = _union([n.select("node", "pivot", "similar") for n, _ in rounds])
-        near = stored(_union([s.select("node", "pivot", "similar") for _, s in rounds]).distinct(), "near", narrow=True)
-        for name, found in (("hubs", lambda: _hubs(near, roots)), ("borders", lambda: _borders(nearest, near, roots))):
-            pairs = stored(found().distinct(), name, narrow=True)
-            if not pairs.isEmpty():
-                work.compare(pairs.withColumn("least", F.lit(LEAST_AGREEMENT)), name)
-                roots = components(_union(work.links))
     # Rows to texts to classes; nodes without link are their own root.
     own = rows.select("row", "doc_id", "key", "same")
     own = own.join(groups.select(F.col("same").alias("g_same"), "node"), own["same"] == F.col("g_same")).drop("same", "g_same")
@@ -346,6 +435,7 @@ def classes(docs: DataFrame) -> DataFrame:
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     found = own.groupBy(F.col("root").alias("c_root")).agg(
         F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min_by("row", order).alias("keep_row"))
+    found = stored(found, "classes", narrow=True)
     return own.join(found, own["root"] == found["c_root"]).select(
         "doc_id", "key", "class_id", "class_size", (F.col("row") == F.col("keep_row")).alias("kept"))
 

@@ -217,18 +217,28 @@ def test_copies_meet_in_their_original_only(spark, docs_of, seed):
     assert {(r.class_id, r.class_size) for r in got} == {(0, 301)}
 
 
-def test_distances_to_pivots_are_known_as_far_as_they_bound(spark, docs_of):
+@pytest.mark.parametrize("block, small", [(2048, 64), (4, 64), (4, 0), (7, 2)])
+def test_every_pair_of_two_classes_that_can_be_linked_leaves_once(spark, docs_of, block, small, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "SMALL", small)
     rng = random.Random(4)
     texts = []
-    for _ in range(60):
+    for size in (30, 12, 2, 2):
         words = prose(rng, 104).split()
-        texts += [" ".join(words), " ".join(edited(words, rng, 4))]
-    rows = list(enumerate(texts))
-    nodes = near_dedup.signatures(docs_of(rows)).withColumnRenamed("doc_id", "node")
-    pairs = spark.createDataFrame([(i, i + 1, near_dedup.LEAST_NEAR) for i in range(0, 120, 2)], "a long, b long, least double")
-    found = near_dedup._Compared(nodes, docs_of(rows).withColumnRenamed("doc_id", "node")).compare(pairs, "test").collect()
-    assert sorted(r.a for r in found) == list(range(0, 120, 2))
-    assert all(0.6 <= r.similar < 0.75 for r in found)
+        texts += [" ".join(edited(words, rng, rng.choice([1, 2, 4]))) for _ in range(size)]
+    docs = docs_of(list(enumerate(texts))).withColumnRenamed("doc_id", "node")
+    bands = {r.doc_id: r.bands for r in near_dedup.signatures(docs.withColumnRenamed("node", "doc_id")).collect()}
+    sketch = {r.node: np.frombuffer(r.sketch, np.uint8) for r in near_dedup.sketches(docs).collect()}
+    # Three classes of any members, one of them large.
+    root = {i: (0 if i < 20 else 1 + i % 2) for i in bands}
+    members = spark.createDataFrame([(b, i, root[i]) for i, own in bands.items() for b in own], "bucket long, node long, root long")
+    known = spark.createDataFrame([(i, bytearray(sketch[i].tobytes()), bands[i]) for i in bands], "node long, sketch binary, bands array<bigint>")
+    got = sorted((r.a, r.b) for r in near_dedup.across_classes(members, known).collect())
+    want = [
+        (a, b) for a in bands for b in bands
+        if a < b and root[a] != root[b] and set(bands[a]) & set(bands[b]) and (sketch[a] == sketch[b]).mean() >= near_dedup.LEAST_AGREEMENT
+    ]
+    assert got == sorted(want) and want
 
 
 def test_members_of_two_pivots_meet(spark, docs_of, monkeypatch):
@@ -250,7 +260,7 @@ def test_members_of_two_pivots_meet(spark, docs_of, monkeypatch):
     assert jaccard(sets[2], sets[3]) >= near_dedup.SIMILAR > max(jaccard(sets[0], sets[1]), jaccard(sets[0], sets[3]), jaccard(sets[1], sets[2]))
     signatures, of = near_dedup.signatures, spark.createDataFrame(list(bucket.items()), "doc_id long, bucket long")
     monkeypatch.setattr(near_dedup, "signatures", lambda docs: signatures(docs).drop("bands").join(of, "doc_id").select(
-        "doc_id", "key", "same", "agree", F.array("bucket").alias("bands")))
+        "doc_id", "key", "same", F.array("bucket").alias("bands")))
     monkeypatch.setattr(near_dedup, "PIVOTS", 2)
     got = near_dedup.near_duplicates(docs_of(rows)).collect()
     assert sorted(r.class_size for r in got) == [4] * 48
