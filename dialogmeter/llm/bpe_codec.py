@@ -25,8 +25,8 @@ from dialogmeter.llm.lasttoken import PairRules
 from dialogmeter.llm.store import ship
 
 WORD_END = "</w>"
-#: Words remembered per worker between batches; the memo is emptied when it is full.
-MEMO_WORDS = 150_000
+#: Words remembered per worker between batches, in two halves: when the newer one is full, the older one goes.
+MEMO_WORDS = 500_000
 #: Longer words are encoded without being remembered.
 MEMO_LENGTH = 64
 #: Characters whose normal form and class the plain rules below give (tests compare each one).
@@ -77,6 +77,7 @@ class WordCodec:
         self.words_in = regex.compile(split["pattern"]["Regex"])
         self.specials_in = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.memo: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     def symbols(self, token: str) -> list[str]:
         if token.endswith(WORD_END):
@@ -144,10 +145,13 @@ class WordCodec:
                 split.append(parts)
             else:
                 split.append(self.pieces(text))
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        memo = self.memo
+        if len(self.memo) > MEMO_WORDS // 2:
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
         fresh = set().union(*split).difference(memo)
+        for w in fresh.intersection(older):
+            memo[w] = older[w]
+        fresh.difference_update(older)
         local = {}
         for w in [w for w in fresh if w[0] == "\0" and w[1:] in self.special]:
             memo[w] = struct.pack("<I", self.special[w[1:]]), w[1:]
@@ -155,7 +159,7 @@ class WordCodec:
         for word, tokens in self.tokens_of(fresh):
             (memo if len(word) <= MEMO_LENGTH else local)[word] = self.packed(tokens)
         for words in split:
-            found = [memo.get(w) or local[w] for w in words]
+            found = [memo.get(w) or local[w] for w in words] if local else [memo[w] for w in words]
             yield b"".join([ids for ids, _ in found]), " ".join([text for _, text in found])
 
 
@@ -170,14 +174,14 @@ def codec(path: str) -> WordCodec:
 
 
 #: Rows and characters encoded at a time.
-BLOCK_ROWS, BLOCK_CHARS = 1000, 1_000_000
+BLOCK_ROWS, BLOCK_CHARS = 1000, 2_000_000
 
 
 def blocks(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
     """(first row, texts) of consecutive rows with a bounded number of characters, one row at least."""
     first, texts, size = 0, [], 0
-    for i in range(len(column)):
-        text = column[i].as_py()
+    several = (t for at in range(0, len(column), BLOCK_ROWS) for t in column.slice(at, BLOCK_ROWS).to_pylist())
+    for i, text in enumerate(several):
         if texts and (len(texts) >= BLOCK_ROWS or size + len(text or "") > BLOCK_CHARS):
             yield first, texts
             first, texts, size = i, [], 0

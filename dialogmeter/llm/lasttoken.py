@@ -20,12 +20,13 @@ class PairRules:
     None; ``symbols(token)`` are the symbols a token starts as.
     """
 
-    #: Pairs remembered per worker; the memo is emptied when it is full.
-    MEMO = 300_000
+    #: Pairs remembered per worker, in two halves: when the newer one is full, the older one goes.
+    MEMO = 600_000
 
     def __init__(self, rank: Callable[[str, str], int | None], symbols: Callable[[str], list[str]]):
         self.rank, self.symbols = rank, symbols
         self._memo: dict[tuple[str, str], bool] = {}
+        self._older: dict[tuple[str, str], bool] = {}
         self._made: dict[str, tuple[int, str, str] | None] = {}
 
     def merges(self, parts: list[str]) -> tuple[list[str], list[tuple[int, str, str]]]:
@@ -63,9 +64,12 @@ class PairRules:
         """Whether ``left`` and ``right`` are the encoding of their joined text."""
         known = self._memo.get((left, right))
         if known is None:
-            if len(self._memo) >= self.MEMO:
-                self._memo.clear()
-            known = self._memo[left, right] = self._fits(left, right)
+            if len(self._memo) >= self.MEMO // 2:
+                self._older, self._memo = self._memo, {}
+            known = self._older.get((left, right))
+            if known is None:
+                known = self._fits(left, right)
+            self._memo[left, right] = known
         return known
 
     def _fits(self, left: str, right: str) -> bool:
