@@ -4,8 +4,9 @@ Each distinct character 4- and 5-gram of a text is a feature. Its scale is the l
 smoothed document shares in toxic and in other labelled texts; a logistic regression with a
 squared penalty is fitted on the scaled features.
 
-The fit sees at most ``fit_rows`` labelled rows and the ``features`` n-grams with the largest
-scales; every text is scored whole. Rows without label, with a null label or a null text don't
+The ratios count every labelled text of the training folds, and all n-grams are features. Only the
+weights are fitted on a sample: at most ``fit_rows`` labelled rows with ``fit_grams`` n-grams together.
+Every text is scored whole. Rows without label, with a null label or a null text don't
 train. Without both classes the score is the share of toxic labels (0 without labels). An empty
 or null text gets the score of a text without known n-grams. A row repeated in ``labels`` or with
 several labels counts once, as its largest label. Other columns of the tables don't matter.
@@ -13,142 +14,162 @@ several labels counts once, as its largest label. Other columns of the tables do
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyspark.sql.types as T
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogmeter.llm.chargrams import bounded_sample, grams, in_fold, map_texts
+from dialogmeter.llm.chargrams import bounded_sample, grams, in_fold
 from dialogmeter.llm.store import ship, stored
 
 SIZES, BITS = (4, 5), 20
+#: Texts taken out of an Arrow batch at a time.
+ROWS = 100
+#: Kinds of rows of the training pass: a sampled text, and n-gram counts of the other and of the toxic texts.
+_TEXT, _OTHER, _TOXIC = 0, 1, 2
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Weights by n-gram number (zero where an n-gram is not a feature), and the constant."""
+    """The weight of each n-gram number, and the constant."""
 
-    numbers: np.ndarray
     weights: np.ndarray
     constant: float
 
-    def dense(self) -> np.ndarray:
-        table = np.zeros(1 << BITS)
-        table[self.numbers] = self.weights
-        return table
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        return _sigmoid(np.array([self.weights[grams(t, SIZES, BITS)[0]].sum() for t in texts]) + self.constant)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit_logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.ndarray, n_columns: int,
-                 penalty: float, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and constant of a logistic regression on sparse rows, by accelerated gradient steps.
+def fit_logistic(starts: np.ndarray, columns: np.ndarray, scale: np.ndarray, y: np.ndarray, penalty: float, epochs: int = 12,
+                 batch: int = 128, seed: int = 10) -> tuple[np.ndarray, float]:
+    """Weights (by column) and constant of a logistic regression on sparse rows, whose values are their columns' ``scale``.
 
-    ``penalty`` is on the squared weights, per row; the constant has none.
+    Row i has the columns ``columns[starts[i]:starts[i + 1]]``. A batch of rows at a time moves its columns
+    by the gradient, each by the steps it has made before (Adagrad). ``penalty`` is on the squared weights.
     """
-    n = len(y)
-    w, c = np.zeros(n_columns), 0.0
-    held_w, held_c, momentum = w.copy(), c, 1.0
-    norms = np.bincount(rows, values**2, n)
-    rate = 1 / (0.25 * (norms.max(initial=0) + 1) + penalty)
-    for _ in range(steps):
-        z = np.bincount(rows, values * held_w[columns], n) + held_c
-        error = (_sigmoid(z) - y) / n
-        grad = np.bincount(columns, values * error[rows], n_columns) + penalty * held_w
-        new_w, new_c = held_w - rate * grad, held_c - rate * error.sum()
-        after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        pull = (momentum - 1) / after
-        held_w, held_c = new_w + pull * (new_w - w), new_c + pull * (new_c - c)
-        w, c, momentum = new_w, new_c, after
-    return w, c
-
-
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, features: int = 8192,
-        smoothing: float = 1.0, penalty: float = 1e-4, seed: int = 10) -> ToxicityModel:
+    w, g = np.zeros(len(scale)), np.full(len(scale), 1e-8)
+    c, gc = 0.0, 1e-8
+    random = np.random.default_rng(seed)
+    for _ in range(epochs):
+        order = random.permutation(len(y))
+        for at in range(0, len(order), batch):
+            rows = order[at : at + batch]
+            sizes = starts[rows + 1] - starts[rows]
+            own = columns[np.repeat(starts[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+            of = np.repeat(np.arange(len(rows)), sizes)
+            error = (_sigmoid(np.bincount(of, scale[own] * w[own], len(rows)) + c) - y[rows]) / len(rows)
+            touched, which = np.unique(own, return_inverse=True)
+            grad = np.bincount(which, scale[own] * error[of], len(touched)) + penalty * w[touched]
+            g[touched] += grad**2
+            w[touched] -= 0.1 * grad / np.sqrt(g[touched])
+            gc += error.sum() ** 2
+            c -= 0.1 * error.sum() / np.sqrt(gc)
+    return w, float(c)
+
+
+def _training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int, seed: int) -> DataFrame:
+    """kind, g, n, y, at: n-gram counts by class of all labelled training texts, and the n-grams of sampled ones in the order of ``at``."""
+    marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
+    marks = stored(marks.where(~in_fold(F.col("doc_id"))), "toxic-marks", narrow=True)
+    # fit_rows ids are a proven bound for the broadcast.
+    chosen = F.broadcast(bounded_sample(marks.select("doc_id"), "doc_id", fit_rows, seed).select(F.col("doc_id").alias("c_id")))
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(marks, "doc_id")
+    texts = texts.join(chosen, texts["doc_id"] == chosen["c_id"], "left")
+    names = ["kind", "g", "n", "y", "at"]
+    kinds = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, rows = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS):
+                text, y, at = (c.to_pylist() for c in batch.slice(first, ROWS).columns)
+                picked = []
+                for t, toxic, place in zip(text, y, at, strict=True):
+                    found = grams(t, SIZES, BITS)[0]
+                    counts[int(toxic == 1)][found] += 1
+                    rows[int(toxic == 1)] += 1
+                    if place is not None:
+                        picked.append((_TEXT, found.astype(np.int32), None, int(toxic == 1), place))
+                if picked:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*picked, strict=True), kinds, strict=True)], names)
+        for toxic, kind in enumerate((_OTHER, _TOXIC)):
+            # The number of texts comes under the number -1.
+            found = np.flatnonzero(counts[toxic])
+            g, n = np.append(-1, found).astype(np.int32), np.append(rows[toxic], counts[toxic][found])
+            if rows[toxic]:
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((kind, g, n, None, None), kinds, strict=True)], names)
+
+    order = F.when(F.col("c_id").isNotNull(), F.xxhash64("doc_id", F.lit(seed)))
+    made = texts.select("text", "y", order.alias("at")).mapInArrow(run, "kind int, g array<int>, n array<bigint>, y int, at bigint")
+    return stored(made, "toxic-grams")
+
+
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, fit_grams: int = 12_000_000,
+        smoothing: float = 1.0, penalty: float = 1e-3, seed: int = 10) -> ToxicityModel:
     """Train on labelled rows outside the held-out fold."""
-    marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
-        F.max("toxic").cast("int").alias("y")
-    )
-    chosen = bounded_sample(marks.where(~in_fold(F.col("doc_id"))), "doc_id", fit_rows, seed)
-    # fit_rows rows of two numbers are a proven bound for the broadcast.
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    numbers = map_texts(texts, T.StructType([
-        T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("y", T.IntegerType()),
-        T.StructField("g", T.ArrayType(T.IntegerType())),
-    ]), lambda t: (grams(t, SIZES, BITS)[0].astype(np.int32),), ["doc_id", "y"])
-    numbers = stored(numbers, "toxic-grams")
-    totals = {r.y: r.n for r in numbers.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    positive, negative = totals.get(1, 0), sum(n for y, n in totals.items() if y != 1)
+    ship(spark)
+    rows = _training_rows(docs, labels, fit_rows, seed)
+    pairs = rows.where(F.col("kind") > _TEXT).select("kind", F.explode(F.arrays_zip("g", "n")).alias("x"))
+    toxic = F.col("kind") == _TOXIC
+    # At most 2**BITS + 1 rows of three numbers.
+    counts = pairs.groupBy(F.col("x.g").alias("g")).agg(
+        F.coalesce(F.sum(F.when(~toxic, F.col("x.n"))), F.lit(0)).alias("other"), F.coalesce(F.sum(F.when(toxic, F.col("x.n"))), F.lit(0)).alias("toxic")).toArrow()
+    g, other, bad = (counts.column(c).to_numpy() for c in ("g", "other", "toxic"))
+    negative, positive = (int(n[g == -1].sum()) for n in (other, bad))
+    weights = np.zeros(1 << BITS)
     if not positive or not negative:
         share = positive / max(1, positive + negative)
-        return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    is_toxic = (F.col("y") == 1).cast("int")
-    ratio = F.log((F.sum(is_toxic) + smoothing) / (positive + 2 * smoothing)) - F.log(
-        (F.sum(1 - is_toxic) + smoothing) / (negative + 2 * smoothing)
-    )
-    scale = numbers.select("y", F.explode("g").alias("g")).groupBy("g").agg(ratio.alias("r"))
-    best = scale.orderBy(F.abs("r").desc(), "g").limit(features).collect()  # `features` rows at most
-    number = np.array([b.g for b in best], np.int64)
-    r = np.array([b.r for b in best])
-    # Only the kept n-grams of the bounded sample reach the driver.
-    kept = F.broadcast(spark.createDataFrame([(int(g), i) for i, g in enumerate(number)], "g int, i int"))
-    rows = (
-        numbers.withColumn("row", F.monotonically_increasing_id()).select("row", "y", F.explode_outer("g").alias("g"))
-        .join(kept, "g", "left").groupBy("row").agg(F.max("y").alias("y"), F.collect_list("i").alias("i"))
-    )
-    got = rows.select("y", "i").collect()
-    y = np.array([float(g.y == 1) for g in got])
-    lengths = [len(g.i) for g in got]
-    at = np.repeat(np.arange(len(got)), lengths)
-    columns = np.array([i for g in got for i in g.i], np.int64)
-    w, c = fit_logistic(at, columns, r[columns] if len(columns) else np.zeros(0), y, len(number), penalty)
-    return ToxicityModel(number, w * r, float(c))
-
-
-def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of every row and its ``toxic_score`` between 0 and 1."""
-    keep = keep or ["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast((model.numbers, model.weights, model.constant))
-    cache: list[np.ndarray] = []
-
-    def each(text: str | None) -> tuple[float]:
-        numbers, weights, constant = shared.value
-        if not cache:
-            cache.append(ToxicityModel(numbers, weights, constant).dense())
-        found, _ = grams(text, SIZES, BITS)
-        return (float(_sigmoid(cache[0][found].sum() + constant)),)
-
-    schema = T.StructType([*(docs.schema[k] for k in keep), T.StructField("toxic_score", T.DoubleType())])
-    return map_texts(docs, schema, each, keep)
+        return ToxicityModel(weights, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
+    known = g >= 0
+    scale = np.zeros(1 << BITS)
+    scale[g[known]] = np.log((bad[known] + smoothing) / (positive + 2 * smoothing)) - np.log((other[known] + smoothing) / (negative + 2 * smoothing))
+    # A row of two numbers per sampled text tells how many of them are within the bound.
+    sizes = sorted((r.at, r.n) for r in rows.where(F.col("kind") == _TEXT).select("at", F.size("g").alias("n")).collect())
+    total, last = 0, None
+    for at, n in sizes[:fit_rows]:
+        total += n
+        if last is not None and total > fit_grams:
+            break
+        last = at
+    if last is None:
+        return ToxicityModel(weights, float(np.log(positive / negative)))
+    sample = rows.where((F.col("kind") == _TEXT) & (F.col("at") <= last)).select("at", "y", "g").toArrow().combine_chunks()
+    listed = sample.column("g").combine_chunks()
+    order = np.lexsort((listed.value_lengths().to_numpy(), sample.column("at").to_numpy()))  # whatever the tasks' order
+    listed, y = listed.take(pa.array(order)), sample.column("y").to_numpy()[order].astype(float)
+    starts = np.append(0, np.cumsum(listed.value_lengths().to_numpy())).astype(np.int64)
+    w, c = fit_logistic(starts, listed.flatten().to_numpy(), scale, y, penalty)
+    return ToxicityModel(w * scale, c)
+
+
+def scored_by(spark: SparkSession, model: ToxicityModel) -> Callable[[str], Column]:
+    """The score of a text column: only texts go to Python, and a number comes back."""
+    ship(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = [shared.value.scores(texts.slice(at, ROWS).to_pylist()) for at in range(0, len(texts), ROWS)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+
+    return run
 
 
 def predict(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    model = fit(spark, docs, labels, fit_rows)
-    return score(docs, model).select(
-        "doc_id", in_fold(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"),
-        (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"),
-    )
+    score = scored_by(spark, fit(spark, docs, labels, fit_rows))
+    scored = docs.select("doc_id", score("text").alias("score"))
+    return scored.select("doc_id", in_fold(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, source: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose score is below ``limit``; the model learns from ``source`` and ``labels``."""
-    ship(spark)
-    model = fit(spark, source, labels)
-    shared = spark.sparkContext.broadcast((model.numbers, model.weights, model.constant))
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, weights, constant = shared.value
-        table = ToxicityModel(numbers, weights, constant).dense()
-        for batch in batches:
-            z = np.array([table[grams(t.as_py(), SIZES, BITS)[0]].sum() + constant for t in batch.column(at)])
-            yield batch.filter(pa.array(_sigmoid(z) < limit))
-
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(scored_by(spark, fit(spark, source, labels))("text") < limit)
