@@ -4,14 +4,14 @@ Every source gets a share of all words by its weight, but at most ``most`` times
 is above is shared again. A source is taken whole as often as it fits into its target; the rest is
 filled by Efraimidis-Spirakis sampling: a document's key is an exponential variable divided by its
 quality weight, and documents are taken in the order of their keys until the words are used up.
-The document at the end is taken in part, so a source meets its target to the word.
+Documents are taken whole: the one at the end is taken if that brings the source nearer to its target.
 
 Keys come from a digest of the id, so reruns agree whatever the partitions. Only the documents
 around the end of a source's words are sorted: sums over key ranges tell where the end lies.
 
 A null or empty text has size 0 and is taken 0 times. A null source is a source of its own, the
-last one. Rows with the same id share a key; where the words end among them, each gives its part,
-rounded down. Empty tables give empty results; other columns pass through ``mix_documents``.
+last one. Rows with the same id share a key and come in the order of their sizes; where the words end
+among rows of one id and size, all of them are taken or none. Empty tables give empty results; other columns pass through ``mix_documents``.
 """
 
 from __future__ import annotations
@@ -83,8 +83,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 def source_plan(rows: DataFrame) -> DataFrame:
     """One row per source of (source, size, key): target, whole epochs, and where sampling ends.
 
-    Documents with a smaller key than ``end_key`` are taken once more; those at it give
-    ``end_words`` of their ``end_size`` words together.
+    Documents that come before (``end_key``, ``end_size``) are taken once more; those at it if ``end_taken``.
     """
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = targets(sizes)
@@ -108,28 +107,26 @@ def source_plan(rows: DataFrame) -> DataFrame:
     )
     # The few thousand rows of the range in which each source ends.
     inside = ranged.join(last, ranged["source"].eqNullSafe(last["e_source"]) & (ranged["range"] == last["e_range"]))
-    keys = inside.groupBy("source", "key", "still").agg(F.sum("size").alias("words"))
-    along = W.partitionBy("source").orderBy("key")
-    ends = keys.withColumn("up_to", F.sum("words").over(along)).where("up_to >= still and up_to - words < still").select(
-        F.col("source").alias("e_source"), F.col("key").alias("end_key"), F.col("words").alias("end_size"),
-        (F.col("still") - F.col("up_to") + F.col("words")).alias("end_words"),
-    )
+    groups = inside.groupBy("source", "key", "size", "still").agg(F.sum("size").alias("words"))
+    along = W.partitionBy("source").orderBy("key", "size")
+    # Nearer with the group than without it; at the same distance it is left.
+    nearer = F.col("up_to") - F.col("still") < F.col("still") - (F.col("up_to") - F.col("words"))
+    ends = groups.withColumn("up_to", F.sum("words").over(along)).where("up_to >= still and up_to - words < still").select(
+        F.col("source").alias("e_source"), F.col("key").alias("end_key"), F.col("size").alias("end_size"), nearer.alias("end_taken"))
     return stored(
         plan.join(ends, plan["source"].eqNullSafe(ends["e_source"]), "left").select(
-            F.col("source").alias("plan_source"), "source_size", "target", "epochs", "end_key", "end_size", "end_words"
+            F.col("source").alias("plan_source"), "source_size", "target", "epochs", "end_key", "end_size", "end_taken"
         ).coalesce(1),
         "mix-plan",
     )
 
 
-def taken_words() -> Column:
-    """Words the mix takes of a row joined to its source's plan, repeats counted."""
-    more = (
-        F.when(F.col("key") < F.col("end_key"), F.col("size"))
-        .when(F.col("key") == F.col("end_key"), F.expr("(size * end_words) div end_size"))
-        .otherwise(F.lit(0))
-    )
-    return (F.col("size") * F.col("epochs") + more).cast("long")
+def times_taken() -> Column:
+    """How often the mix takes a row joined to its source's plan."""
+    here = (F.col("key") == F.col("end_key")) & (F.col("size") == F.col("end_size"))
+    before = (F.col("key") < F.col("end_key")) | ((F.col("key") == F.col("end_key")) & (F.col("size") < F.col("end_size")))
+    more = F.when(F.col("end_key").isNotNull() & (before | (here & F.col("end_taken"))), 1).otherwise(0)
+    return (F.col("epochs") + more).cast("int")
 
 
 def measured(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -143,33 +140,20 @@ def mix(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     rows = stored(measured(docs, labels), "mix-rows")
     plan = source_plan(rows)
     return rows.join(plan, rows["source"].eqNullSafe(plan["plan_source"])).select(
-        "doc_id", "source", "size", "source_size", F.col("target"), taken_words().alias("taken")
+        "doc_id", "source", "size", "source_size", F.col("target"), (F.col("size") * times_taken()).cast("long").alias("taken")
     )
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """The mixed documents with the columns of ``docs``: a row for each time a document is taken.
+    """The mixed documents with the columns of ``docs``: a row for each time a document is taken, its text whole.
 
-    The document in which a source's words end is cut after its last word taken; a document of
-    size 0 is not taken. ``n_chars``, where present, is the length of the text that remains.
+    A document of size 0 is not taken.
     """
     plan = source_plan(stored(measured(docs, labels).select("source", "size", "key"), "mix-rows"))
     sized = docs.select(F.struct("*").alias("x_row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
     sized = with_quality(sized, labels).withColumn("key", sampling_key(F.col("doc_id"), F.col("mix_weight")))
-    joined = sized.join(plan, sized["source"].eqNullSafe(plan["plan_source"])).withColumn("taken", taken_words())
-    times = F.expr("cast(ceil(taken / size) as int)")
-    out = joined.where("taken > 0").withColumn("time", F.explode(F.sequence(F.lit(1), times)))
-    words = F.col("taken") - (F.col("time") - 1) * F.col("size")
-    text = F.col("x_row.text")
-    spaced_words = F.regexp_extract_all(text, F.lit(r"(?s)[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.array_join(F.slice(spaced_words, F.lit(1), words.cast("int")), "")
-    whole = words >= F.col("size")
-    columns = {c: F.col(f"x_row.`{c}`") for c in docs.columns}
-    columns["text"] = F.when(whole, text).otherwise(cut)
-    if "n_chars" in columns:
-        length = F.length(columns["text"]).cast(docs.schema["n_chars"].dataType)
-        columns["n_chars"] = F.when(whole, columns["n_chars"]).otherwise(length)
-    return out.select(*(c.alias(name) for name, c in columns.items()))
+    joined = sized.join(plan, sized["source"].eqNullSafe(plan["plan_source"])).withColumn("times", times_taken())
+    return joined.where("size > 0 and times > 0").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select("x_row.*")
 
 
 SQL = f"""
@@ -197,10 +181,10 @@ plan as (
   from aims),
 along as (
   select r.*, p.s, p.target, p.epochs, p.words - p.epochs * p.s as rest,
-    sum(r.size) over (partition by r.source order by r.key range between unbounded preceding and current row) as up_to,
-    sum(r.size) over (partition by r.source, r.key) as here
+    sum(r.size) over (partition by r.source order by r.key, r.size range between unbounded preceding and current row) as up_to,
+    sum(r.size) over (partition by r.source, r.key, r.size) as here
   from rows_ r join plan p on r.source is not distinct from p.source)
 select doc_id, source, size, s as source_size, round(target, 6) as target,
-  (size * epochs + case when up_to <= rest then size when up_to - here < rest then (size * (rest - up_to + here)) // here else 0 end)::bigint as taken
+  (size * (epochs + case when up_to <= rest then 1 when up_to - here < rest and up_to - rest < rest - (up_to - here) then 1 else 0 end))::bigint as taken
 from along
 """

@@ -91,7 +91,10 @@ def test_stages_against_brute_force(spark, corpus):
         sizes[r.source] = sizes.get(r.source, 0) + len((r.text or "").split())
     for r in found["mixing"]:
         mixed[r.source] = mixed.get(r.source, 0) + len(r.text.split())
-    assert sum(mixed.values()) == pytest.approx(sum(sizes.values()), abs=len(sizes)) and mixed["src0"] > sizes["src0"]
+    # Whole documents, so each source may miss its target by half of its longest one.
+    most = sum(max((len((r.text or "").split()) for r in found["near_dedup"] if r.source == s), default=0) for s in sizes)
+    assert abs(sum(mixed.values()) - sum(sizes.values())) <= most / 2 + len(sizes) and mixed["src0"] > sizes["src0"]
+    assert {(r.doc_id, r.text) for r in found["mixing"]} <= {(r.doc_id, r.text) for r in found["near_dedup"]}
     codec = bpe_codec.codec(bpe_codec.default_tokenizer())
     want = sorted((str(r.doc_id), hashlib.sha256(ids).hexdigest()) for r, (ids, _) in zip(found["mixing"], codec.encode([r.text for r in found["mixing"]]), strict=True))
     assert sorted((str(r.doc_id), r.ids_sha256) for r in found["bpe_encoding"]) == want
