@@ -19,11 +19,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.types as T
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dialogmeter.llm.chargrams import bounded_sample, grams, in_fold, map_texts
-from dialogmeter.llm.store import ship
+from dialogmeter.llm.chargrams import grams, in_fold, map_texts
+from dialogmeter.llm.store import ship, stored
 
 SIZES, BITS = (1, 2, 3), 16
 UNKNOWN = "und"
@@ -117,11 +117,14 @@ def fit(spark: SparkSession, docs: DataFrame, fit_rows: int = 3000, seed: int =
     languages = sorted(r.lang for r in usable.select("lang").distinct().collect())
     each = max(1, fit_rows // len(languages))
     order = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    picks = [bounded_sample(usable.where(F.col("lang") == v).select("doc_id", "lang"), "doc_id", each, seed) for v in languages]
-    chosen = picks[0]
-    for p in picks[1:]:
-        chosen = chosen.unionByName(p)
-    texts = usable.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id")  # fit_rows rows at most
+    # One pass: each task keeps the first rows of each language only. An id whose rows reach beyond the
+    # bound is left out with all of them, so the ids chosen stand for fit_rows rows at most.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
+    first = usable.select("doc_id", "lang").withColumn("place", place).where(F.col("place") <= each + 1)
+    first = stored(first, "language-sample", narrow=True)
+    beyond = first.where(F.col("place") > each).select("doc_id", "lang")
+    chosen = first.select("doc_id", "lang").distinct().join(beyond, ["doc_id", "lang"], "left_anti")
+    texts = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
     sent = spark.sparkContext.broadcast(idf)
 
     def features(text: str | None) -> tuple:
