@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from dialogmeter.llm import langid, license_scan, toxicity
+from dialogmeter.llm import chargrams, langid, license_scan, toxicity
 from dialogmeter.llm.chargrams import PIECE, grams
 
 VOICES = {"aa": "the of and thing on er".split(), "bb": "der und schein keit ung".split(), "cc": "que los cion ado mente".split()}
@@ -87,6 +87,95 @@ def test_toxicity_of_held_out_texts(spark, docs_of, labels_of, toxic_rows):
     assert kept.count() == sum(r.score < 0.5 for r in got)
 
 
+def test_toxic_counts_cover_every_labelled_text(spark, docs_of, labels_of, toxic_rows):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    clean, bad = toxic_rows
+    rows = clean + bad + [clean[0], (3000, ""), (3001, None), (3002, "long moronic " * 40_000)]
+    marks = {**{i: 0 for i, _ in clean}, **{i: 1 for i, _ in bad}, 3000: 1, 3001: 1, 3002: 1}
+    made = toxicity._training_rows(docs_of(rows), labels_of([*marks.items(), (5, 1), (None, 1)]), 50, 10)
+    marks[5] = 1
+    want = {toxicity._OTHER: Counter(), toxicity._TOXIC: Counter()}
+    used = [(i, t) for i, t in rows if t is not None and zlib.crc32(str(i).encode()) % 5]
+    for i, t in used:
+        want[toxicity._OTHER + marks[i]].update([-1, *chargrams.grams(t, toxicity.SIZES, toxicity.BITS)[0].tolist()])
+    found = {k: {} for k in want}
+    pairs = made.where("kind > 0").select("kind", F.explode(F.arrays_zip("g", "n")).alias("x")).groupBy("kind", "x.g").agg(F.sum("x.n").alias("n"))
+    for r in pairs.collect():
+        found[r.kind][r.g] = r.n
+    assert found == want
+    sample = made.where("kind = 0").collect()
+    assert 45 <= len(sample) <= 51 and all(r.at is not None for r in sample)  # an id may stand for two rows, or for none
+
+
+def test_weights_equal_a_dense_regression():
+    rng = np.random.default_rng(2)
+    x = rng.random((300, 40)) < 0.2
+    scale = rng.normal(size=40)
+    y = (x @ (scale * rng.normal(size=40)) > 0).astype(float)
+    starts = np.append(0, np.cumsum(x.sum(1))).astype(np.int64)
+    w, c = toxicity.fit_logistic(starts, np.flatnonzero(x.ravel()) % 40, scale, y, 1e-3, epochs=4, batch=32)
+    # The same steps over whole matrices.
+    dense, seen, const, seen_const = np.zeros(40), np.full(40, 1e-8), 0.0, 1e-8
+    random = np.random.default_rng(10)
+    for _ in range(4):
+        order = random.permutation(300)
+        for at in range(0, 300, 32):
+            rows = x[order[at : at + 32]] * scale
+            error = (1 / (1 + np.exp(-(rows @ dense + const))) - y[order[at : at + 32]]) / len(rows)
+            here = rows.any(0)
+            grad = np.where(here, rows.T @ error + 1e-3 * dense, 0)
+            seen += grad**2
+            dense -= 0.1 * grad / np.sqrt(seen)
+            seen_const += error.sum() ** 2
+            const -= 0.1 * error.sum() / np.sqrt(seen_const)
+    assert w == pytest.approx(dense, abs=1e-9) and c == pytest.approx(const, abs=1e-9)
+    assert np.mean((x * scale @ w + c > 0) == y) > 0.9
+
+
+def test_ftrl_equals_a_dense_loop():
+    """Every coordinate of every row, one number at a time."""
+    import math
+
+    rng = np.random.default_rng(3)
+    rows = [(np.sort(rng.choice(12, 5, replace=False)), rng.random(5), int(rng.integers(3))) for _ in range(40)]
+    alpha, beta, l1, l2 = 0.5, 1.0, 1e-2, 1e-4
+    z, n = [[0.0] * 13 for _ in range(3)], [[0.0] * 13 for _ in range(3)]
+
+    def weight(c, i):
+        if abs(z[c][i]) <= l1:
+            return 0.0
+        return -(z[c][i] - math.copysign(l1, z[c][i])) / ((beta + math.sqrt(n[c][i])) / alpha + l2)
+
+    for _ in range(3):
+        for found, values, y in rows:
+            x = [0.0] * 12 + [1.0]
+            for i, v in zip(found, values, strict=True):
+                x[i] = float(v)
+            logits = [sum(weight(c, i) * x[i] for i in range(13)) for c in range(3)]
+            parts = [math.exp(v - max(logits)) for v in logits]
+            steps = []
+            for c in range(3):
+                error = parts[c] / sum(parts) - (c == y)
+                steps += [(c, i, error * x[i], weight(c, i)) for i in range(13)]
+            for c, i, g, w in steps:
+                z[c][i] += g - (math.sqrt(n[c][i] + g * g) - math.sqrt(n[c][i])) / alpha * w
+                n[c][i] += g * g
+    got, constants = langid.train_ftrl(rows, 3, 12, alpha, beta, l1, l2)
+    want = np.array([[weight(c, i) for i in range(13)] for c in range(3)])
+    assert np.column_stack([got, constants]) == pytest.approx(want, abs=1e-9)
+
+
+def test_language_sample_is_bounded_by_rows(spark, docs_of):
+    rng = random.Random(9)
+    rows = [(7, t, "aa") for t in texts(rng, "aa", 80)] + [(100 + i, t, "bb") for i, t in enumerate(texts(rng, "bb", 80))]
+    rows += [(300 + i, t, "aa") for i, t in enumerate(texts(rng, "aa", 30))]
+    model = langid.fit(spark, docs_of(rows), fit_rows=40)
+    assert set(model.languages) == {"aa", "bb"}
+
+
 def test_toxicity_without_labels(spark, docs_of, labels_of):
     docs = docs_of(["a text", None])
     assert [r.predicted for r in toxicity.predict(spark, docs, labels_of([]).limit(0)).collect()] == [0, 0]
