@@ -75,6 +75,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         F.max(id_col).alias("keep_id"), F.count("*").alias("group_size"), F.max_by("row", rank).alias("keep_row")
     )
     found = found.select(*(F.col(k).alias(f"g_{k}") for k in key), "keep_id", "group_size", "keep_row")
+    # Stored, so that the join starts from scans and a hot group's rows can be split.
+    found = stored(found, "recipe-groups")
     same = (F.col("k_hash") == F.col("g_k_hash")) & (F.col("recipe") == F.col("g_recipe")) & F.col("x_text").eqNullSafe(F.col("g_x_text"))
     return rows.join(found, same).select(
         id_col, "row", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256"
