@@ -37,7 +37,7 @@ from dialogmeter.llm.textbuf import WHITESPACE, mix64, words_by_text
 WORDS, SIMILAR = 5, 0.8
 REGISTERS, BAND = 128, 4
 #: Registers of the longer sketch, 8 bits of each.
-SKETCH = 512
+SKETCH = 1024
 #: Pairs whose sketches agree less often are not verified: five standard deviations below ``SIMILAR``, so
 #: at a similarity of 0.8 or more a share this small has a probability of 1e-6 at most.
 LEAST_AGREEMENT = SIMILAR - 5 * (SIMILAR * (1 - SIMILAR) / SKETCH) ** 0.5
@@ -48,7 +48,7 @@ SMALL = 64
 #: Members of a block at most, roughly.
 BLOCK = 2048
 #: Pairs of sketches compared at a time.
-COMPARED = 1 << 14
+COMPARED = 1 << 13
 #: Rounds in which each member's likeliest partner in each class is verified.
 ROUNDS = 2
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
