@@ -28,6 +28,8 @@ from dialogmeter.llm.store import ship, stored
 SIZES, BITS = (4, 5), 20
 #: Texts taken out of an Arrow batch at a time.
 ROWS = 100
+#: Steps that a regression makes at least.
+STEPS = 800
 #: Kinds of rows of the training pass: a sampled text, and n-gram counts of the other and of the toxic texts.
 _TEXT, _OTHER, _TOXIC = 0, 1, 2
 
@@ -47,13 +49,15 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit_logistic(starts: np.ndarray, columns: np.ndarray, scale: np.ndarray, y: np.ndarray, penalty: float, epochs: int = 12,
+def fit_logistic(starts: np.ndarray, columns: np.ndarray, scale: np.ndarray, y: np.ndarray, penalty: float, epochs: int | None = None,
                  batch: int = 128, seed: int = 10) -> tuple[np.ndarray, float]:
     """Weights (by column) and constant of a logistic regression on sparse rows, whose values are their columns' ``scale``.
 
     Row i has the columns ``columns[starts[i]:starts[i + 1]]``. A batch of rows at a time moves its columns
     by the gradient, each by the steps it has made before (Adagrad). ``penalty`` is on the squared weights.
+    There are ``epochs`` passes, by default 12 or as many as make ``STEPS`` steps.
     """
+    epochs = epochs or max(12, -(-STEPS * batch // max(1, len(y))))
     w, g = np.zeros(len(scale)), np.full(len(scale), 1e-8)
     c, gc = 0.0, 1e-8
     random = np.random.default_rng(seed)
