@@ -13,8 +13,8 @@ sequence cannot see.
 Rows with a null vector, or one with a null or non-finite entry, take no part. The dimension is that
 of most remaining rows (the larger one of a tie); vectors of another length have no place among
 them and take no part either. Entries beyond the range of a long are held at its ends. Only
-components with a positive eigenvalue exist, so n = 1 gives no row, and few distinct vectors give
-fewer than ``components`` rows each. ``deviation`` is null where a long cannot hold it. Repeated rows
+components with a positive eigenvalue (beyond rounding beside the largest) exist, so n = 1 gives no row, and
+few distinct vectors give fewer than ``components`` rows each. ``deviation`` is null where a long cannot hold it. Repeated rows
 and null ids give a row each; an empty table gives an empty result; other columns don't matter.
 """
 
