@@ -5,7 +5,8 @@ trie: the last-token states of the letters a word shares with the one before sta
 and are computed once.
 
 Null and empty texts have no token and decode to the empty text. The special tokens' strings in
-a text become their ids, as the tokenizer file says. Other columns pass through untouched.
+a text become their ids, as the tokenizer file says. A text of any length is encoded whole; repeated
+rows are encoded one by one; an empty table gives an empty result. Other columns pass through untouched.
 """
 
 from __future__ import annotations

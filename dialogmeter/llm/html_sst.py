@@ -13,8 +13,8 @@ removed stays whole: an article that is copied many times still is each page's t
 Entropy alone can't do: menus, adverts and footers may differ on every page, like articles do.
 
 Text between block elements is one block: its white space becomes single spaces, and blocks are
-joined by one space in page order. A null or empty page has the empty text. Null urls are one
-host. Repeated rows are pages of their own; other columns don't matter; an empty table gives an
+joined by one space in page order. A null or empty page has the empty text. A page
+of any length is read whole. Null urls are one host. Repeated rows are pages of their own; other columns don't matter; an empty table gives an
 empty result.
 """
 

@@ -7,7 +7,9 @@ Document frequencies cover all training rows; the weights are fitted on at most
 them, a fifth of which is kept for the temperature. Every text is predicted from all its
 characters. A null text or one without a letter is ``und`` with score 1. Rows with a null
 language or null text don't train; without any training row every text is ``und`` with score 0.
-Other columns of the table don't matter; repeated rows are predicted one by one.
+A training id that stands for so many rows that they reach beyond the bound is left out of the fit.
+Texts of any length are read whole. Other columns of the table don't matter; repeated rows are
+predicted one by one; an empty table gives an empty result.
 """
 
 from __future__ import annotations

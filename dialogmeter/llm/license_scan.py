@@ -9,7 +9,7 @@ paragraph that may hold a notice wrapped over them are joined and judged the sam
 lines first; lines without words, such as empty comment lines, end a paragraph.
 
 The unknown class learns from the sentences of at most ``fit_rows`` documents; every sentence of
-every text is classified. A null or empty text has no notice. Other columns don't matter; repeated
+every text is classified, however long: it goes through in slices cut between lines. A null or empty text has no notice. Other columns don't matter; repeated
 rows are scanned one by one; an empty table gives an empty result.
 """
 

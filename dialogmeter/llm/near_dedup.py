@@ -18,7 +18,7 @@ be linked leave the block. Of these each member's likeliest partner in a class i
 which ends most of the others; then all that still lie in different classes are.
 
 Null and empty texts are one class. Repeated rows are members of one class; null ids are ids that
-sort last. An empty table gives an empty result; other columns pass through ``keep_one``.
+sort last. All words of a text count, however long it is. An empty table gives an empty result; other columns pass through ``keep_one``.
 """
 
 from __future__ import annotations

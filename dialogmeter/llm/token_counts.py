@@ -8,7 +8,8 @@ A word mark after another letter leads to one and the same state, since no piece
 inside, and so does a line end, which is in no piece. So a text falls into chunks, each mapping that state to itself and adding its count;
 those maps compose by adding, which a running sum over all chunks of a batch does at once.
 
-Null and empty texts count 0. Other columns pass through untouched.
+Null and empty texts count 0. A text of any length is counted whole, chunk by chunk; repeated rows are
+counted one by one; an empty table gives an empty result. Other columns pass through untouched.
 """
 
 from __future__ import annotations
