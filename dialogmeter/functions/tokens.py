@@ -20,26 +20,30 @@ def _unescaped(out: Column) -> Column:
     return out
 
 
-# One pass over the text, each match a token (with what belongs to it) and the blanks behind it. A
+# One pass over the text, each match a token (with what belongs to it) and the spaces behind it. A
 # group holds one character for each token that the match stands for. All loops are possessive.
+# The plain letters and the guard only save the long class a look at most characters.
 _BLANK = "".join(f"\\u{ord(c):04x}" for c in WHITESPACE)
 _SIGN = r"!-&(-+/:-@\[-`{-~"
+_LETTER = r"[a-zA-ZÀ-ᙿ]"
 _OTHER = rf"[^{_BLANK}{_SIGN}.,0-9]"
 _NUMBER = r"[0-9]++(?:[.,][0-9]++)*+"
+# A hyphen behind a number is a token, and so is the first of several points behind one: the rules
+# take points in pairs, counted from the first one that no number stands before.
+_REST = rf"(?:{_LETTER}++|(?![ .,]){_OTHER}++|{_NUMBER}(?![-.,]))*+(?:{_NUMBER}(-|[.,](?=[.,]))?+)?+"
 _TOKENS = "(?:" + "|".join([
-    f"([{_SIGN}])",
-    # A hyphen behind a number is a token, and so is the first of several points behind one: the
-    # rules take points in pairs, counted from the first one that no number stands before.
-    rf"(?=([^{_BLANK}{_SIGN}.,]))(?:{_OTHER}++|{_NUMBER}(?![-.,]))*+(?:{_NUMBER}(-|[.,](?=[.,]))?+)?+",
+    f"({_LETTER}){_REST}",
     # The second of two points stays with the number behind it.
     r"([.,])(?:([.,])(?![0-9])|[.,](?=[0-9]))?+",
+    f"([{_SIGN}])",
+    rf"(?=([^{_BLANK}{_SIGN}.,])){_REST}",
     f"[{_BLANK}]",
-]) + f")[{_BLANK}]*+"
+]) + ") *+"
 
 
 def _counted(c: Column) -> Column:
     """The length of the text with one character left of each token."""
-    return F.length(F.regexp_replace(_unescaped(c), _TOKENS, "$1$2$3$4$5"))
+    return F.length(F.regexp_replace(_unescaped(c), _TOKENS, "$1$2$3$4$5$6$7"))
 
 
 def token_count(c: Column) -> Column:
