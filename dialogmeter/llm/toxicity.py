@@ -4,8 +4,9 @@ Each distinct character 4- and 5-gram of a text is a feature. Its scale is the l
 smoothed document shares in toxic and in other labelled texts; a logistic regression with a
 squared penalty is fitted on the scaled features.
 
-The ratios count every labelled text of the training folds, and all n-grams are features. Only the
-weights are fitted on a sample: at most ``fit_rows`` labelled rows with ``fit_grams`` n-grams together.
+The ratios count the labelled texts of the training folds, up to ``count_rows`` of them, and all n-grams are
+features. The weights are fitted on at most ``fit_rows`` of these rows with ``fit_grams`` n-grams together. Both
+are chosen by hashed id, and bounded so that labels go to the texts: texts are not shuffled.
 Every text is scored whole. Rows without label, with a null label or a null text don't
 train. Without both classes the score is the share of toxic labels (0 without labels). An empty
 or null text gets the score of a text without known n-grams. A row repeated in ``labels`` or with
@@ -78,13 +79,13 @@ def fit_logistic(starts: np.ndarray, columns: np.ndarray, scale: np.ndarray, y:
     return w, float(c)
 
 
-def _training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int, seed: int) -> DataFrame:
-    """kind, g, n, y, at: n-gram counts by class of all labelled training texts, and the n-grams of sampled ones in the order of ``at``."""
+def _training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int, seed: int, count_rows: int = 200_000) -> DataFrame:
+    """kind, g, n, y, at: n-gram counts by class of the labelled training texts, and the n-grams of sampled ones in the order of ``at``."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    marks = stored(marks.where(~in_fold(F.col("doc_id"))), "toxic-marks", narrow=True)
-    # fit_rows ids are a proven bound for the broadcast.
+    marks = stored(bounded_sample(marks.where(~in_fold(F.col("doc_id"))), "doc_id", count_rows, seed), "toxic-marks", narrow=True)
+    # count_rows and fit_rows ids are proven bounds for the broadcasts.
     chosen = F.broadcast(bounded_sample(marks.select("doc_id"), "doc_id", fit_rows, seed).select(F.col("doc_id").alias("c_id")))
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(marks, "doc_id")
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(marks), "doc_id")
     texts = texts.join(chosen, texts["doc_id"] == chosen["c_id"], "left")
     names = ["kind", "g", "n", "y", "at"]
     kinds = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32(), pa.int64()]
@@ -116,10 +117,10 @@ def _training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int, seed: int)
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, fit_grams: int = 12_000_000,
-        smoothing: float = 1.0, penalty: float = 1e-3, seed: int = 10) -> ToxicityModel:
+        count_rows: int = 200_000, smoothing: float = 1.0, penalty: float = 1e-3, seed: int = 10) -> ToxicityModel:
     """Train on labelled rows outside the held-out fold."""
     ship(spark)
-    rows = _training_rows(docs, labels, fit_rows, seed)
+    rows = _training_rows(docs, labels, fit_rows, seed, count_rows)
     pairs = rows.where(F.col("kind") > _TEXT).select("kind", F.explode(F.arrays_zip("g", "n")).alias("x"))
     toxic = F.col("kind") == _TOXIC
     # At most 2**BITS + 1 rows of three numbers.
