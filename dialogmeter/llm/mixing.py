@@ -51,7 +51,8 @@ def with_quality(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
     weight = F.lit(1.0)
     for value, w in QUALITY.items():
         weight = F.when(F.col("mix_quality") == value, w).otherwise(weight)
-    joined = docs.join(quality, docs["doc_id"] == quality["mix_label_id"], "left")
+    # Labels grow with the documents: one plan at every size.
+    joined = docs.join(quality.hint("merge"), docs["doc_id"] == quality["mix_label_id"], "left")
     return joined.withColumn("mix_weight", weight).drop("mix_label_id", "mix_quality")
 
 
