@@ -10,11 +10,11 @@ normalised. Windows overlap by ``CONTEXT`` ids, of which a window scores none: e
 once, whatever the length of its text. A text of any length runs through in slices, with the same
 windows as in one piece.
 
-The attention's weights are trained by numpy (cross entropy, Adam) on at most ``fit_windows``
-windows of at most ``fit_rows`` training documents, chosen by hashed id. Word, id and pair counts
-cover all training texts. The baseline needs the count of every word: those of the at most ``head``
-most frequent words go to all tasks, the rest are joined by a 64-bit digest, by which all words are
-told apart.
+All of it is learned from all training texts, which are spelled once and stored as ids: counts of words,
+ids and pairs, the classes, and the attention's weights. These are trained by numpy (cross entropy, Adam)
+on every window: shards dealt by hash move the same weights side by side, and the mean of theirs counts.
+The baseline needs the count of every word: those of the at most ``head`` most frequent words go to all
+tasks, the rest are joined by a 64-bit digest, by which all words are told apart.
 
 A null or empty text has the end token only. Repeated rows give a row each; a null id counts as
 empty text for the folds. Without training texts all ids of a class, and all classes, are equally
@@ -23,7 +23,7 @@ likely, and every word is unknown. An empty table gives an empty result; other c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,9 +32,9 @@ import pyspark.sql.types as T
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogmeter.llm.chargrams import bounded_sample, in_fold
+from dialogmeter.llm.chargrams import ROWS, in_fold
 from dialogmeter.llm.store import ship, stored
-from dialogmeter.llm.textbuf import _LOWER, WHITESPACE, hash_words, slices, text_bytes
+from dialogmeter.llm.textbuf import _LOWER, WHITESPACE, hash_words, mix64, slices, text_bytes
 
 CONTEXT, STRIDE = 8, 24
 WINDOW = CONTEXT + STRIDE
@@ -42,13 +42,17 @@ WINDOW = CONTEXT + STRIDE
 CLASSES, SINGLE, GROUP, WIDTH = 512, 448, 16, 16
 #: Windows worked on at a time, and those whose probabilities are taken at a time.
 BATCH, STATES = 64, 1024
+#: Windows of a step of training, and passes over a table that makes fewer than ``LEAST`` steps.
+STEP, LEAST, PASSES = 128, 256, 4
+#: Windows of a shard, windows shuffled in memory at a time, and those of a stored row at most.
+SHARD, BLOCK, ROW = 1 << 16, 1 << 15, 64
 #: Spelled words a worker holds, and their ids together; it starts anew when either is full.
 MEMO, POOL = 1_000_000, 1 << 24
 #: Distinct words counted by a task before they are sent on.
 HELD = 1_000_000
 #: Logits beyond the pair counts are kept within these bounds.
 BOUND = 30.0
-WORDS, IDS, PAIRS, SHARED = 0, 1, 2, 3
+WORDS, IDS, PAIRS, SHARED, TEXTS = 0, 1, 2, 3, 4
 
 
 def default_tokenizer() -> str:
@@ -171,19 +175,23 @@ class Weights:
 
 #: Which of the window's inputs each scored place may see: itself and those before it.
 HIDDEN = np.where(np.arange(WINDOW)[None] <= np.arange(STRIDE)[:, None] + CONTEXT, 0, -1e9).astype(np.float32)
+VISIBLE = (HIDDEN == 0).astype(np.float32)
 
 
 def attend(w: Weights, inputs: np.ndarray) -> tuple[np.ndarray, tuple]:
     """(state of each scored place, what the gradient needs) of windows of ``WINDOW`` classes."""
-    x = w.E[inputs] + w.P
+    x = np.take(w.E, inputs, axis=0)
+    x += w.P
     own = x[:, CONTEXT:]
     q, k, v = own @ w.Q, x @ w.K, x @ w.V
     a = q @ k.transpose(0, 2, 1)
     a *= WIDTH**-0.5
-    a += HIDDEN
-    a -= a.max(2, keepdims=True)
+    if _largest(q) * _largest(k) > 2 * BOUND:  # too large for exp
+        a += HIDDEN
+        a -= a.max(2, keepdims=True)
     np.exp(a, out=a)
-    a /= a.sum(2, keepdims=True)
+    a *= VISIBLE
+    a /= np.einsum("ijk->ij", a)[:, :, None]
     seen = a @ v
     return own + seen @ w.O, (x, own, q, k, v, a, seen)
 
@@ -281,7 +289,6 @@ def attention(w: Weights):
     # The last column sums up the attention.
     seen_by_class, seen_by_place = table(w.E, 1), table(w.P, 0)
     own_by_class, own_by_place = (np.concatenate([x @ w.Q * root, x], 1) for x in (w.E, w.P[CONTEXT:]))
-    visible = (HIDDEN == 0).astype(np.float32)
 
     def state(inputs: np.ndarray) -> np.ndarray:
         seen = np.take(seen_by_class, inputs, axis=0)
@@ -294,7 +301,7 @@ def attention(w: Weights):
             a += HIDDEN
             a -= a.max(2, keepdims=True)
         np.exp(a, out=a)
-        a *= visible
+        a *= VISIBLE
         mean = a @ seen[:, :, d:]
         mean[:, :, :d] /= mean[:, :, d:]
         return own[:, :, d:] + mean[:, :, :d] @ w.O
@@ -317,111 +324,118 @@ def class_windows(z: np.ndarray, fill: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW + 1)[::STRIDE]
 
 
-def train(windows: np.ndarray, pairs: np.ndarray, epochs: int = 4, rate: float = 0.015, seed: int = 11) -> Weights:
-    """Weights fitted on windows of classes; -1 marks places behind a text's end, which don't count."""
-    classes = pairs.shape[1]
-    w = Weights.fresh(classes, seed)
-    names = list(Weights.__dataclass_fields__)
+def train(blocks: Iterable[np.ndarray], pairs: np.ndarray, start: Weights | None = None, windows: int = SHARD, passes: int = 1,
+          rate: float = 0.015, seed: int = 11) -> tuple[Weights, int]:
+    """(weights moved by blocks of windows of classes, number of windows); -1 marks places behind a text's end, which don't count.
+
+    Each window is in one step of each pass over its block. ``windows`` is about how many there will be.
+    """
+    w = start or Weights.fresh(pairs.shape[1], seed)
+    groups, names = grouped(pairs), list(Weights.__dataclass_fields__)
     mean, square = ({n: np.zeros_like(getattr(w, n)) for n in names} for _ in range(2))
-    random, step = np.random.default_rng(seed), 0
-    total = max(1, epochs * -(-len(windows) // BATCH))
-    for _ in range(epochs):
-        order = random.permutation(len(windows))
-        for at in range(0, len(order), BATCH):
-            part = windows[order[at : at + BATCH]]
-            step += 1
-            grad = _gradient(w, part, pairs)
-            now = rate * (1 - step / (total + 1))
-            moved = {}
-            for n in names:
-                mean[n] += 0.1 * (grad[n] - mean[n])
-                square[n] += 0.01 * (grad[n] ** 2 - square[n])
-                move = mean[n] / (1 - 0.9**step) / (np.sqrt(square[n] / (1 - 0.99**step)) + 1e-8)
-                moved[n] = (getattr(w, n) - now * move).astype(np.float32)
-            w = Weights(**moved)
-    return w
-
-
-def _gradient(w: Weights, part: np.ndarray, pairs: np.ndarray) -> dict[str, np.ndarray]:
-    counts = part[:, CONTEXT + 1 :].ravel() >= 0
+    random, step, seen = np.random.default_rng(seed), 0, 0
+    total = 1 + passes * -(-windows // STEP)
+    for block in blocks:
+        seen += len(block)
+        for order in (random.permutation(len(block)) for _ in range(passes)):
+            for at in range(0, len(order), STEP):
+                step += 1
+                grad = _gradient(w, block[order[at : at + STEP]], pairs, groups)
+                now = rate * max(0.05, 1 - step / total)
+                moved = {}
+                for n in names:
+                    mean[n] += 0.1 * (grad[n] - mean[n])
+                    square[n] += 0.01 * (grad[n] ** 2 - square[n])
+                    move = mean[n] / (1 - 0.9**step) / (np.sqrt(square[n] / (1 - 0.99**step)) + 1e-8)
+                    moved[n] = (getattr(w, n) - now * move).astype(np.float32)
+                w = Weights(**moved)
+    return w, seen
+
+
+def _gradient(w: Weights, part: np.ndarray, pairs: np.ndarray, groups: np.ndarray | None = None) -> dict[str, np.ndarray]:
     whole = np.maximum(part, 0)
     inputs, wanted = whole[:, :-1], whole[:, CONTEXT + 1 :].ravel()
-    state, (x, own, q, k, v, a, seen) = attend(w, inputs)
-    n, before, place = len(wanted), inputs[:, CONTEXT:].ravel(), np.arange(len(wanted))
-    flat = state.reshape(n, WIDTH)
-    weight = (counts / max(1, counts.sum())).astype(np.float32)[:, None]
-    group = wanted // GROUP
-    p = scaled(flat, w.G) * grouped(pairs)[before]
-    p /= p.sum(1, keepdims=True)
+    held = [attend(w, inputs[at : at + BATCH]) for at in range(0, len(inputs), BATCH)]
+    states = np.concatenate([state for state, _ in held])
+    d_states, out = _class_gradient(w, states.reshape(-1, WIDTH), inputs[:, CONTEXT:].ravel(), wanted, part[:, CONTEXT + 1 :].ravel() >= 0,
+                                    pairs, grouped(pairs) if groups is None else groups)
+    d_states = d_states.reshape(states.shape)
+    out |= {n: np.zeros_like(getattr(w, n)) for n in "EPQKVO"}
+    root = WIDTH**-0.5
+    for at, (_, (x, own, q, k, v, a, seen)) in zip(range(0, len(inputs), BATCH), held, strict=True):
+        d_state = d_states[at : at + BATCH]
+        out["O"] += _product(seen, d_state)
+        d_seen = d_state @ w.O.T
+        d_v = a.transpose(0, 2, 1) @ d_seen
+        d_s = d_seen @ v.transpose(0, 2, 1)
+        d_s -= np.einsum("ijk,ijk->ij", d_s, a)[:, :, None]
+        d_s *= a
+        d_s *= root
+        d_q, d_k = d_s @ k, d_s.transpose(0, 2, 1) @ q
+        out["Q"] += _product(own, d_q)
+        out["K"] += _product(x, d_k)
+        out["V"] += _product(x, d_v)
+        d_x = d_k @ w.K.T
+        d_x += d_v @ w.V.T
+        d_x[:, CONTEXT:] += d_state
+        d_x[:, CONTEXT:] += d_q @ w.Q.T
+        out["P"] += np.einsum("ijk->jk", d_x)
+        here = inputs[at : at + BATCH].ravel()
+        order = np.argsort(here.astype(np.int16), kind="stable")
+        starts = np.flatnonzero(np.diff(here[order], prepend=-1))
+        out["E"][here[order[starts]]] += np.add.reduceat(d_x.reshape(-1, WIDTH)[order], starts)
+    return out
+
+
+def _product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sum over all places of the products of two states' numbers."""
+    return left.reshape(-1, WIDTH).T @ right.reshape(-1, WIDTH)
+
+
+def _class_gradient(w: Weights, states: np.ndarray, before: np.ndarray, wanted: np.ndarray, counts: np.ndarray, pairs: np.ndarray,
+                    groups: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Gradients by the states, and by ``G`` and ``U``."""
+    # The places of one group stand together.
+    order = np.argsort((wanted // GROUP).astype(np.int16), kind="stable")
+    states, before, wanted = states[order], before[order], wanted[order]
+    group, place = wanted // GROUP, np.arange(len(wanted))
+    weight = (counts[order] / max(1, counts.sum())).astype(np.float32)[:, None]
+    p = scaled(states, w.G)
+    p *= np.take(groups, before, axis=0)
+    p /= np.einsum("ij->i", p)[:, None]
     p[place, group] -= 1
     p *= weight
-    out = {"G": flat.T @ p}
-    d_flat = p @ w.G.T
+    out = {"G": states.T @ p}
+    d_states = p @ w.G.T
     # Within the wanted class's group only.
-    columns = w.U.reshape(WIDTH, -1, GROUP).transpose(1, 0, 2)[group]
-    z = np.clip(np.einsum("nd,ndk->nk", flat, columns), -BOUND, BOUND)
-    p = np.exp(z) * pairs.reshape(len(pairs), -1, GROUP)[before, group]
-    p /= p.sum(1, keepdims=True)
+    ends = np.searchsorted(group, np.arange(w.U.shape[1] // GROUP + 1))
+    found = [(slice(ends[g], ends[g + 1]), slice(g * GROUP, (g + 1) * GROUP)) for g in np.flatnonzero(np.diff(ends))]
+    p = np.empty((len(states), GROUP), w.U.dtype)
+    for here, columns in found:
+        np.matmul(states[here], w.U[:, columns], out=p[here])
+    if _largest(states) * _largest(w.U.T) > BOUND:
+        np.clip(p, -BOUND, BOUND, out=p)
+    np.exp(p, out=p)
+    p *= np.take(pairs.reshape(-1, GROUP), before * (w.U.shape[1] // GROUP) + group, axis=0)
+    p /= np.einsum("ij->i", p)[:, None]
     p[place, wanted - group * GROUP] -= 1
     p *= weight
-    d_flat = d_flat + np.einsum("nk,ndk->nd", p, columns)
-    d_u = np.zeros((w.U.shape[1] // GROUP, WIDTH, GROUP), w.U.dtype)
-    np.add.at(d_u, group, flat[:, :, None] * p[:, None, :])
-    out["U"] = d_u.transpose(1, 0, 2).reshape(w.U.shape)
-    d_state = d_flat.reshape(state.shape)
-    two = (-1, WIDTH)
-    out["O"] = seen.reshape(two).T @ d_state.reshape(two)
-    d_seen = d_state @ w.O.T
-    d_a = d_seen @ v.transpose(0, 2, 1)
-    d_v = a.transpose(0, 2, 1) @ d_seen
-    d_s = a * (d_a - (d_a * a).sum(2, keepdims=True)) * WIDTH**-0.5
-    d_q, d_k = d_s @ k, d_s.transpose(0, 2, 1) @ q
-    out["Q"] = own.reshape(two).T @ d_q.reshape(two)
-    out["K"] = x.reshape(two).T @ d_k.reshape(two)
-    out["V"] = x.reshape(two).T @ d_v.reshape(two)
-    d_x = d_k @ w.K.T + d_v @ w.V.T
-    d_x[:, CONTEXT:] += d_state + d_q @ w.Q.T
-    out["P"] = d_x.sum(0)
-    out["E"] = np.zeros_like(w.E)
-    np.add.at(out["E"], inputs.ravel(), d_x.reshape(two))
-    return out
+    out["U"] = np.zeros_like(w.U)
+    for here, columns in found:
+        out["U"][:, columns] = states[here].T @ p[here]
+        d_states[here] += p[here] @ w.U[:, columns].T
+    back = np.empty_like(d_states)
+    back[order] = d_states
+    return back, out
 
 
 # ------------------------------------------------------------------ over tables
 
 
-def sampled_windows(docs: DataFrame, path: str, rows: int, windows: int, seed: int = 11) -> tuple[np.ndarray, int]:
-    """(at most ``windows`` windows of ids, number of ids) of at most ``rows`` documents.
-
-    The end is one more id than the vocabulary has and the start two more; -1 stands behind the end.
-    """
-    chosen = bounded_sample(docs.where("doc_id is not null").select("doc_id").distinct(), "doc_id", rows, seed)
-    # ``rows`` ids are a proven bound for the broadcast; repeated ids are cut by the limit.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(2 * rows)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = speller(path).size
-        for batch in batches:
-            for part in spelled(batch.column(0), path):
-                at = 0
-                for n in part.lengths:
-                    z = np.concatenate([np.full(CONTEXT + 1, end + 1), part.ids[at : at + n], [end] * part.last]).astype(np.int32)
-                    at += n
-                    made = class_windows(z, -1)
-                    flat = pa.array(np.ascontiguousarray(made).ravel())
-                    cuts = pa.array(np.arange(len(made) + 1, dtype=np.int32) * (WINDOW + 1))
-                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(cuts, flat)], ["window"])
-
-    found = texts.select("text").mapInArrow(run, "window array<int>")
-    found = found.select("window", F.xxhash64("window", F.lit(seed)).alias("h")).orderBy("h").limit(windows)
-    got = [r.window for r in found.collect()]  # at most ``windows`` rows of WINDOW + 1 numbers
-    return np.array(got, np.int64).reshape(-1, WINDOW + 1), speller(path).size
-
-
-def classes_of(windows: np.ndarray, size: int, classes: int = CLASSES, single: int = SINGLE) -> np.ndarray:
-    """The class of each id: the frequent ones alone, the rest in classes of about equal mass; the end has the last one."""
-    body = windows[:, CONTEXT + 1 :].ravel()
-    seen = np.bincount(body[(body >= 0) & (body < size)], minlength=size)[:size] + 0.01
+def classes_of(often: np.ndarray, classes: int = CLASSES, single: int = SINGLE) -> np.ndarray:
+    """The class of each id, by how often it occurs: the frequent ones alone, the rest in classes of about equal mass; the end has the last one."""
+    size = len(often)
+    seen = often + 0.01
     order = np.argsort(-seen, kind="stable")
     out = np.empty(size, np.int32)
     out[order[:single]] = np.arange(min(single, size))
@@ -433,67 +447,171 @@ def classes_of(windows: np.ndarray, size: int, classes: int = CLASSES, single: i
     return out
 
 
-def counts_of(docs: DataFrame, path: str, classes: np.ndarray) -> DataFrame:
-    """kind, key, n: how often each word (by digest), id and pair of classes occurs, and each id of a shared class after a class.
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, which = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+    return keys, np.bincount(which, np.concatenate([n for _, n in held])).astype(np.int64)
 
-    The start is a class too.
-    """
-    k = CLASSES
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
-    size = len(classes)
 
-    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, which = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
-        return keys, np.bincount(which, np.concatenate([n for _, n in held])).astype(np.int64)
+def _sent(kind: int, keys: np.ndarray, n: np.ndarray, ids: list[bytes] | None = None) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(keys), 1 << 16):
+        part = keys[at : at + (1 << 16)]
+        z = pa.nulls(len(part), pa.binary()) if ids is None else pa.array(ids[at : at + (1 << 16)], pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(part), kind, np.int32)), pa.array(part.view(np.int64)), pa.array(n[at : at + (1 << 16)]), z], ["kind", "key", "n", "ids"])
 
-    def sent(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(keys), 1 << 16):
-            part = keys[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(part), kind, np.int32)), pa.array(part.view(np.int64)), pa.array(n[at : at + (1 << 16)])], ["kind", "key", "n"])
+
+def spelled_rows(docs: DataFrame, path: str) -> DataFrame:
+    """kind, key, n, ids: counts of words (by digest) and ids, to be summed, and the texts' ids for windows.
+
+    A row of the latter has the 16-bit ids of ``n`` windows at most ``ROW``, and of those before their first scored one.
+    Its ``key`` is a hash. The end is one more id than the vocabulary has and the start two more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls = shared.value
-        end, start = k - 1, k
-        several = np.bincount(cls, minlength=k)[cls] > 1
-        ids, pairs = np.zeros(size, np.int64), np.zeros((k + 1) * k, np.int64)
+        size = speller(path).size
+        ids = np.zeros(size, np.int64)
+        lead = np.full(CONTEXT + 1, size + 1, np.uint16)
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        after: list[tuple[np.ndarray, np.ndarray]] = []
-        waiting, before = 0, start  # class before a piece of a text
+        waiting = 0
         for batch in batches:
+            rest, piece = lead, 0  # of a text in pieces
+            hashes = batch.column(1).to_numpy().view(np.uint64)
             for part in spelled(batch.column(0), path):
                 held.append((part.hashes, np.bincount(part.which, minlength=len(part.hashes))))
                 waiting += len(part.hashes)
                 if waiting > 2 * HELD:
-                    held = [merged(held)]
+                    held = [_merged(held)]
                     waiting = len(held[0][0])
                     if waiting > HELD:
-                        yield from sent(WORDS, *held[0])
+                        yield from _sent(WORDS, *held[0])
                         held, waiting = [], 0
                 ids += np.bincount(part.ids, minlength=size)
-                # The end stands between texts; what follows it is counted as following the start.
-                own = cls[part.ids]
-                z = np.insert(own, np.cumsum(part.lengths)[: None if part.last else -1], end)
-                came = np.append(before, z[:-1]) if len(z) else z
-                came = np.where(came == end, start, came)
-                pairs += np.bincount(came * k + z, minlength=len(pairs))
-                of_ids = came[np.arange(len(own)) + np.repeat(np.arange(len(part.lengths)), part.lengths)]
-                some = several[part.ids]
-                after.append(np.unique(of_ids[some] * np.int64(size) + part.ids[some], return_counts=True))
-                if len(after) == 16:
-                    after = [merged(after)]
-                before = start if part.last else (int(z[-1]) if len(z) else before)
+                at, owners, pieces, counts, texts = 0, [], [], [], []
+                for i, n in enumerate(part.lengths):
+                    # Of a piece, whole strides go on; the rest waits for the next piece.
+                    z = np.concatenate([rest, part.ids[at : at + n], [size] * part.last]).astype(np.uint16)
+                    at += n
+                    scored = len(z) - CONTEXT - 1
+                    if not part.last:
+                        scored -= scored % STRIDE
+                    for a in range(0, scored, ROW * STRIDE):
+                        b = min(a + ROW * STRIDE, scored)
+                        owners.append(part.first + i)
+                        pieces.append(piece)
+                        counts.append(-(-(b - a) // STRIDE))
+                        texts.append(z[a : b + CONTEXT + 1].tobytes())
+                        piece += 1
+                    rest, piece = (lead, 0) if part.last else (z[scored:], piece)
+                if texts:
+                    yield from _sent(TEXTS, mix64(hashes[owners] + np.array(pieces, np.uint64)), np.array(counts), texts)
         if held:
-            yield from sent(WORDS, *merged(held))
-            yield from sent(SHARED, *merged(after))
-        for kind, table in ((IDS, ids), (PAIRS, pairs)):
-            at = np.flatnonzero(table)
-            yield from sent(kind, at, table[at])
+            yield from _sent(WORDS, *_merged(held))
+        at = np.flatnonzero(ids)
+        yield from _sent(IDS, at, ids[at])
+
+    return docs.select("text", F.xxhash64("doc_id", "text")).mapInArrow(run, "kind int, key bigint, n bigint, ids binary")
+
+
+def _texts_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, first place of each row) of a column of 16-bit ids."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    ids = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(np.uint16)
+    return ids, (offsets - offsets[0]) // 2
+
+
+def _numbers(classes: np.ndarray) -> np.ndarray:
+    """The class of each id, of the end and of the start."""
+    return np.concatenate([classes, [CLASSES - 1, CLASSES]]).astype(np.int32)
+
+
+def pairs_of(texts: DataFrame, classes: np.ndarray) -> DataFrame:
+    """kind, key, n: how often each pair of classes occurs, and each id of a shared class after a class. The start is a class too."""
+    k, size = CLASSES, len(classes)
+    shared = texts.sparkSession.sparkContext.broadcast(classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = _numbers(shared.value)
+        several = np.append(np.bincount(shared.value, minlength=k)[shared.value] > 1, [False, False])
+        pairs = np.zeros((k + 1) * k, np.int64)
+        after: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS):
+                ids, places = _texts_ids(batch.column(0).slice(first, ROWS))
+                counts = np.ones(len(ids), bool)
+                counts[places[:-1, None] + np.arange(CONTEXT + 1)] = False
+                at = np.flatnonzero(counts)
+                came, here = number[ids[at - 1]], ids[at]
+                pairs += np.bincount(came * k + number[here], minlength=len(pairs))
+                some = several[here]
+                after.append(np.unique(came[some] * np.int64(size) + here[some], return_counts=True))
+                if len(after) == 16:
+                    after = [_merged(after)]
+        at = np.flatnonzero(pairs)
+        yield from _sent(PAIRS, at, pairs[at])
+        if after:
+            yield from _sent(SHARED, *_merged(after))
 
-    made = docs.select("text").mapInArrow(run, "kind int, key bigint, n bigint")
+    made = texts.select("ids").mapInArrow(run, "kind int, key bigint, n bigint, ids binary")
     return made.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
+def trained(texts: DataFrame, classes: np.ndarray, pairs: np.ndarray, shard: int, block: int) -> Weights:
+    """Weights fitted on all windows.
+
+    Shards of about ``shard`` windows, dealt by hash, move the same weights, each by all of its windows in ``block``s; their
+    mean counts each shard by its windows. They start from the weights that windows enough for one shard gave.
+    """
+    spark = texts.sparkSession
+    windows = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not windows:
+        return Weights.fresh(CLASSES, 11)
+    shards = -(-windows // shard)
+    if shards == 1:
+        return _moved(texts.repartition(1), classes, pairs, None, windows, block, min(PASSES, -(-LEAST * STEP // windows)))
+    first = _moved(texts.where(F.pmod(F.xxhash64("key"), F.lit(shards)) == 0).repartition(1), classes, pairs, None, shard, block, 1)
+    return _moved(texts.repartition(shards, "key"), classes, pairs, first, windows // shards, block, 1)
+
+
+def _moved(texts: DataFrame, classes: np.ndarray, pairs: np.ndarray, start: Weights | None, windows: int, block: int, passes: int) -> Weights:
+    """The mean of the weights that each partition of ``texts`` gives."""
+    shared = texts.sparkSession.sparkContext.broadcast((classes, pairs, start))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, pairs, start = shared.value
+        number = _numbers(classes)
+
+        def blocks() -> Iterator[np.ndarray]:
+            held, n = [], 0
+            for batch in batches:
+                for first in range(0, batch.num_rows, ROWS):
+                    ids, places = _texts_ids(batch.column(0).slice(first, ROWS))
+                    made = [class_windows(number[ids[a:b]], -1) for a, b in zip(places, places[1:], strict=False)]
+                    held += made
+                    n += sum(map(len, made))
+                    if n >= block:
+                        yield np.concatenate(held)
+                        held, n = [], 0
+            if n:
+                yield np.concatenate(held)
+
+        w, n = train(blocks(), pairs, start, windows, passes)
+        if n:
+            names = list(Weights.__dataclass_fields__)
+            values = [pa.array(getattr(w, name).ravel()) for name in names]
+            cuts = pa.array(np.cumsum([0, *map(len, values)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names), pa.array([n] * len(names)), pa.ListArray.from_arrays(cuts, pa.concat_arrays(values))], ["name", "n", "value"])
+
+    made = texts.select("key", "ids").sortWithinPartitions("key").select("ids").mapInArrow(run, "name string, n bigint, value array<float>")
+    each = made.select("name", "n", F.posexplode("value").alias("at", "value"))
+    # A number for each weight: a model's size.
+    got = each.groupBy("name", "at").agg((F.sum(F.col("value").cast("double") * F.col("n")) / F.sum("n")).alias("value")).orderBy("name", "at").toArrow()
+    fresh, names, values = Weights.fresh(CLASSES, 11), got.column("name").to_numpy(), got.column("value").to_numpy()
+    return Weights(**{n: values[names == n].reshape(getattr(fresh, n).shape).astype(np.float32) for n in Weights.__dataclass_fields__})
+
+
 def _dense(counts: DataFrame, kind: int, size: int) -> np.ndarray:
     out = np.zeros(size)
     for r in counts.where(F.col("kind") == kind).select("key", "n").collect():  # at most ``size`` rows
@@ -512,21 +630,21 @@ def smoothed(ids: np.ndarray, pairs: np.ndarray, classes: np.ndarray, prior: flo
     return share, table.astype(np.float32)
 
 
-def fit(spark: SparkSession, docs: DataFrame, learns: Column, path: str, fit_rows: int, fit_windows: int) -> tuple[Model, DataFrame]:
-    """(model, counts over all training texts)."""
+def fit(spark: SparkSession, docs: DataFrame, learns: Column, path: str, shard: int = SHARD, block: int = BLOCK) -> tuple[Model, DataFrame]:
+    """(model, counts of words and ids) over all training texts; ``shard`` and ``block`` are of windows."""
     ship(spark)
-    training = docs.where(learns)
-    windows, size = sampled_windows(training, path, fit_rows, fit_windows)
-    classes = classes_of(windows, size)
-    counts = stored(counts_of(training, path, classes), "lm-counts")
-    pair_counts = _dense(counts, PAIRS, (CLASSES + 1) * CLASSES).reshape(-1, CLASSES)
-    share, pairs = smoothed(_dense(counts, IDS, size), pair_counts, classes)
+    rows = stored(spelled_rows(docs.where(learns), path), "lm-texts")
+    counts = stored(rows.where(F.col("kind") != TEXTS).groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
+    often = _dense(counts, IDS, speller(path).size)
+    classes = classes_of(often)
+    texts = rows.where(F.col("kind") == TEXTS).select("key", "n", "ids")
+    found = stored(pairs_of(texts, classes), "lm-pairs", narrow=True)
+    pair_counts = _dense(found, PAIRS, (CLASSES + 1) * CLASSES).reshape(-1, CLASSES)
+    share, pairs = smoothed(often, pair_counts, classes)
     # At most a number for each id after each class: bounded by the vocabulary.
-    after = counts.where(F.col("kind") == SHARED).select("key", "n").orderBy("key").toArrow()
-    # The end, the start and the mark behind the end follow the classes of the ids.
-    number = np.concatenate([classes, [CLASSES - 1, CLASSES, -1]])
-    keys, often = after.column(0).to_numpy(), after.column(1).to_numpy()
-    return Model(path, classes, share, pairs, grouped(pairs), pair_counts, keys, often, train(number[windows], pairs)), counts
+    after = found.where(F.col("kind") == SHARED).select("key", "n").orderBy("key").toArrow()
+    keys, n = after.column(0).to_numpy(), after.column(1).to_numpy()
+    return Model(path, classes, share, pairs, grouped(pairs), pair_counts, keys, n, trained(texts, classes, pairs, shard, block)), counts
 
 
 def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -626,11 +744,11 @@ def _row_batch(batch: pa.RecordBatch, first: int, sums: np.ndarray, rare: list,
 
 
 def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 5, fold: int = 1, path: str | None = None,
-                fit_rows: int = 2000, fit_windows: int = 16_384, head: int = 1 << 18) -> DataFrame:
+                shard: int = SHARD, block: int = BLOCK, head: int = 1 << 18) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     path = path or default_tokenizer()
     held_out = in_fold(F.col("doc_id"), folds, fold)
-    model, counts = fit(spark, docs, ~held_out, path, fit_rows, fit_windows)
+    model, counts = fit(spark, docs, ~held_out, path, shard, block)
     words = counts.where(F.col("kind") == WORDS)
     ends = docs.where(~held_out).count()
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()

@@ -205,6 +205,35 @@ def test_a_long_text_has_the_windows_of_one_piece(spark, docs_of):
     assert got[1] == pytest.approx((logs + model.log_shares(z[lm.CONTEXT : -2], ids).sum()) / math.log(10), rel=1e-5)
 
 
+@pytest.mark.parametrize("shard", [100, 1 << 16])
+def test_every_training_text_is_learned_from(spark, docs_of, shard):
+    # More texts than the two numbers, and each with ids that no other has.
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 600)]
+    library = lm.speller(PATH).library
+    alone = [c for c in letters if len(library.encode(c)) == 2 and 0 not in library.encode(c)][:150]
+    assert len(alone) > 120
+    rows = [(i, " ".join([SENTENCES[i % 5]] * 3 + [c] * 4)) for i, c in enumerate(alone)]
+    model, _ = lm.fit(spark, docs_of(rows), F.lit(True), PATH, shard, 100)
+    often = np.bincount([i for _, text in rows for i in ids_of(text)], minlength=len(model.classes))
+    assert (np.bincount(model.classes)[model.classes[often > 0]] == 1).all()
+    fresh = lm.Weights.fresh(lm.CLASSES, 11)
+    moved = (model.weights.E != fresh.E).any(1)
+    assert moved[model.classes[often > 0]].all()
+
+
+def test_weights_of_shards_are_no_worse_than_one_shards(spark, docs_of):
+    rows = [(i, " ".join(SENTENCES[(i + j) % 5] for j in range(40))) for i in range(200)]
+    rows += [(1000 + i, SENTENCES[i]) for i in range(5)]
+    df, nothing = docs_of(rows), (np.zeros(0, np.int64), np.zeros(0))
+    total = {}
+    for shard in (200, 1 << 16):
+        model, _ = lm.fit(spark, df, F.lit(True), PATH, shard, 1000)
+        total[shard] = lm.scored_rows(df, model, nothing).agg(F.sum("score")).first()[0]
+    untrained = lm.Model(**{**vars(model), "weights": lm.Weights(**{n: v * (n not in "UG") for n, v in vars(model.weights).items()})})
+    plain = lm.scored_rows(df, untrained, nothing).agg(F.sum("score")).first()[0]
+    assert total[200] > plain and total[1 << 16] > plain
+
+
 def test_likely_texts_score_better(spark, docs_of):
     rows = [(i, " ".join(SENTENCES[(i + j) % 5] for j in range(1 + i * 3 % 8))) for i in range(300)]
     rows += [(1000, "the cat sat on the mat"), (1001, "mat the on sat cat the"), (1002, "zq xv kjw pqz vvx qqk")]
