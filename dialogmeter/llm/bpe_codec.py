@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from dialogmeter.llm.lasttoken import PairRules
-from dialogmeter.llm.store import ship
+from dialogmeter.llm.store import ship, worker_cache
 
 WORD_END = "</w>"
 #: Words remembered per worker between batches, in two halves: when the newer one is full, the older one goes.
@@ -164,14 +164,12 @@ class WordCodec:
             yield b"".join([ids for ids, _ in found]), " ".join([text for _, text in found])
 
 
-_codecs: dict[str, WordCodec] = {}
-
-
 def codec(path: str) -> WordCodec:
     """The worker's codec of a tokenizer file, loaded once."""
-    if path not in _codecs:
-        _codecs[path] = WordCodec(path)
-    return _codecs[path]
+    codecs = worker_cache("bpe_codec")
+    if path not in codecs:
+        codecs[path] = WordCodec(path)
+    return codecs[path]
 
 
 #: Rows and characters encoded at a time.

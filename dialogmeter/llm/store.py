@@ -7,10 +7,12 @@ the loss of any executor.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from dialogmeter.session import new_scratch_path
@@ -48,6 +50,22 @@ def clear() -> None:
             return
 
 
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(operator: str) -> dict:
+    """What a Python worker keeps of ``operator`` from task to task.
+
+    A worker serves one operator after another; what it kept of the one before is dropped here.
+    """
+    if operator not in _caches:
+        _caches.clear()
+        _caches[operator] = {}
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    return _caches[operator]
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Spark's Python workers, once per application."""
     context = spark.sparkContext

@@ -24,11 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialogmeter.llm.chargrams import bounded_sample, grams, in_fold
-from dialogmeter.llm.store import ship, stored
+from dialogmeter.llm.store import ship, stored, worker_cache
 
 SIZES, BITS = (4, 5), 20
-#: Texts taken out of an Arrow batch at a time.
-ROWS = 100
+#: Texts taken out of an Arrow batch at a time, and n-gram counts in a row.
+ROWS, COUNTS = 100, 1 << 16
 #: Steps that a regression makes at least.
 STEPS = 800
 #: Kinds of rows of the training pass: a sampled text, and n-gram counts of the other and of the toxic texts.
@@ -91,6 +91,7 @@ def _training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int, seed: int,
     kinds = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity")
         counts, rows = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
         for batch in batches:
             for first in range(0, batch.num_rows, ROWS):
@@ -108,8 +109,9 @@ def _training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int, seed: int,
             # The number of texts comes under the number -1.
             found = np.flatnonzero(counts[toxic])
             g, n = np.append(-1, found).astype(np.int32), np.append(rows[toxic], counts[toxic][found])
-            if rows[toxic]:
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((kind, g, n, None, None), kinds, strict=True)], names)
+            for first in range(0, len(g) if rows[toxic] else 0, COUNTS):
+                row = (kind, g[first : first + COUNTS], n[first : first + COUNTS], None, None)
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
     order = F.when(F.col("c_id").isNotNull(), F.xxhash64("doc_id", F.lit(seed)))
     made = texts.select("text", "y", order.alias("at")).mapInArrow(run, "kind int, g array<int>, n array<bigint>, y int, at bigint")
@@ -161,6 +163,7 @@ def scored_by(spark: SparkSession, model: ToxicityModel) -> Callable[[str], Colu
 
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        worker_cache("toxicity")
         for texts in batches:
             parts = [shared.value.scores(texts.slice(at, ROWS).to_pylist()) for at in range(0, len(texts), ROWS)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())

@@ -228,3 +228,13 @@ def test_wrapped_licence_headers(spark, docs_of, monkeypatch):
     for lead in range(0, 900, 60):
         found, = license_scan.notices(pa.array(["x" * lead + ".\n" + "\n".join(mit) + ".\n" + "y z.\n" * 300]), model)
         assert [n[0] for n in found] == ["mit"]
+
+
+def test_counts_of_ngrams_come_in_bounded_rows(spark, docs_of, labels_of):
+    random = np.random.default_rng(1)
+    texts = ["".join(map(chr, random.integers(97, 123, 100_000))) for _ in range(3)]
+    rows = toxicity._training_rows(docs_of([(i, t) for i, t in enumerate(texts, 1)]), labels_of([(i, i % 2) for i in range(1, 4)]), 10, 10).collect()
+    trained = [i for i in range(1, 4) if zlib.crc32(str(i).encode()) % 5 != 0]
+    counts = [r for r in rows if r.kind != toxicity._TEXT]
+    assert sum(n for r in counts for n in r.n) == len(trained) + sum(len(toxicity.grams(texts[i - 1], toxicity.SIZES, toxicity.BITS)[0]) for i in trained)
+    assert max(len(r.g) for r in counts) <= 1 << 16

@@ -6,7 +6,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from dialogmeter.llm import bpe_codec
 from dialogmeter.llm.bpe_codec import WordCodec, default_tokenizer, encode_texts
+from dialogmeter.llm.store import worker_cache
 from dialogmeter.llm.token_counts import CountTransducer, count_tokens, default_pieces
 
 ODD = [
@@ -85,3 +87,11 @@ def test_queries_on_edge_rows(spark, docs_of, codec, pieces):
     assert counted[5].n_bytes == len(long)
     empty = docs.limit(0)
     assert encode_texts(empty, with_ids=False).count() == 0 and count_tokens(empty).count() == 0
+
+
+def test_a_worker_drops_what_it_kept_of_another_operator():
+    path = default_tokenizer()
+    first = bpe_codec.codec(path)
+    assert bpe_codec.codec(path) is first
+    worker_cache("toxicity")
+    assert bpe_codec.codec(path) is not first
