@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from dialogmeter.llm import exact_dedup, near_dedup
@@ -264,3 +265,33 @@ def test_members_of_two_pivots_meet(spark, docs_of, monkeypatch):
     monkeypatch.setattr(near_dedup, "PIVOTS", 2)
     got = near_dedup.near_duplicates(docs_of(rows)).collect()
     assert sorted(r.class_size for r in got) == [4] * 48
+
+
+@pytest.mark.parametrize("tile, packed", [(256, 1 << 18), (7, 50)])
+def test_members_that_are_nearly_near_are_not_paired_row_by_row(spark, docs_of, tile, packed, monkeypatch):
+    """Most of the 1770 pairs can be linked by their sketches, few are."""
+    for name, value in (("PIVOTS", 1), ("TILE", tile), ("PACKED", packed)):
+        monkeypatch.setattr(near_dedup, name, value, raising=False)
+    rng = random.Random(6)
+    original = prose(rng, 220).split()
+    rows = list(enumerate(" ".join(edited(original, rng, 3)) for _ in range(60)))
+    similarities, asked = near_dedup.similarities, []
+
+    def counted(pairs):
+        asked.append(pairs.count())
+        return similarities(pairs)
+
+    monkeypatch.setattr(near_dedup, "similarities", counted)
+    found = {}
+    for r in near_dedup.near_duplicates(docs_of(rows)).collect():
+        found.setdefault(r.class_id, []).append(str(r.doc_id))
+    held = near_dedup.elements(pa.array([t for _, t in rows]))
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and near_dedup.probability_jaccard(held[i], held[j]) >= near_dedup.SIMILAR:
+                root = [root[j] if r == root[i] else r for r in root]
+    want = partition(rows, [[i for i in range(len(rows)) if root[i] == r] for r in set(root)])
+    assert sorted(map(sorted, found.values())) == want and 1 < len(want) < len(rows)
+    # Of the members' pairs only those with pivots are rows.
+    assert sum(asked) < 10 * len(rows)
