@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from dialogmeter.llm.chargrams import ROWS, in_fold
 from dialogmeter.llm.store import ship, stored
-from dialogmeter.llm.textbuf import _LOWER, WHITESPACE, hash_words, mix64, slices, text_bytes
+from dialogmeter.llm.textbuf import WHITESPACE, hash_words, mix64, slices, text_bytes
 
 CONTEXT, STRIDE = 8, 24
 WINDOW = CONTEXT + STRIDE
@@ -47,7 +48,7 @@ STEP, LEAST, PASSES = 128, 256, 4
 #: Windows of a shard, windows shuffled in memory at a time, and those of a stored row at most.
 SHARD, BLOCK, ROW = 1 << 16, 1 << 15, 64
 #: Spelled words a worker holds, and their ids together; it starts anew when either is full.
-MEMO, POOL = 1_000_000, 1 << 24
+MEMO, POOL = 4_000_000, 1 << 24
 #: Distinct words counted by a task before they are sent on.
 HELD = 1_000_000
 #: Logits beyond the pair counts are kept within these bounds.
@@ -73,31 +74,54 @@ class Speller:
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = self.library.get_piece_size()
         self.pool = np.zeros(1 << 16, np.uint16)
+        self.forget()
+
+    def forget(self) -> None:
         self.used = 0
-        self.known: dict[int, int] = {}  # digest to place in the pool and number of ids
+        #: Digests in order, and the place in the pool and number of ids of each: of most words, and of the latest.
+        self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in range(2)]
 
     def spell(self, hashes: np.ndarray, words) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the pool, number of ids) of distinct words; ``words(i)`` is the bytes of word i."""
-        if len(self.known) > MEMO or self.used > POOL:
-            self.known, self.used = {}, 0
-        keys, known = hashes.tolist(), self.known
-        fresh = [i for i, k in enumerate(keys) if k not in known]
-        if fresh:
-            made = self.library.encode([words(i).decode("utf-8", "replace") for i in fresh], num_threads=1)
-            made = [ids or [0] for ids in made]
-            flat = np.array([i for ids in made for i in ids], np.uint16)
-            if self.used + len(flat) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(flat)), np.uint16)])
-            at = self.used
-            self.pool[at : at + len(flat)] = flat
-            self.used += len(flat)
-            for i, ids in zip(fresh, made, strict=True):
-                known[keys[i]] = at << 24 | len(ids)
-                at += len(ids)
-        packed = np.array([known[k] for k in keys], np.int64)
+        """(place in the pool, number of ids) of distinct words, by digest; ``words(which)`` is their texts."""
+        if sum(len(known) for known, _ in self.levels) > MEMO or self.used > POOL:
+            self.forget()
+        packed = np.zeros(len(hashes), np.int64)  # a word has at least one id
+        for known, places in self.levels:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                packed += np.where(known[at] == hashes, places[at], 0)
+        fresh = np.flatnonzero(packed == 0)
+        if len(fresh):
+            made = [ids or [0] for ids in self.library.encode(words(fresh), num_threads=1)]
+            sizes = np.fromiter(map(len, made), np.int64, len(made))
+            total = int(sizes.sum())
+            if self.used + total > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), total), np.uint16)])
+            self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(made), np.uint16, total)
+            packed[fresh] = (self.used + np.cumsum(sizes) - sizes) << 24 | sizes
+            self.used += total
+            most, latest = self.levels
+            latest = _inserted(*latest, hashes[fresh], packed[fresh])
+            if len(latest[0]) > max(1 << 16, len(most[0]) >> 3):
+                most, latest = _inserted(*most, *latest), (latest[0][:0], latest[1][:0])
+            self.levels = [most, latest]
         return packed >> 24, packed & 0xFFFFFF
 
 
+def _inserted(known: np.ndarray, values: np.ndarray, keys: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.searchsorted(known, keys)
+    return np.insert(known, at, keys), np.insert(values, at, more)
+
+
+def _texts_at(data: bytes, start: np.ndarray, stop: np.ndarray) -> list[str]:
+    """The words from ``start`` to ``stop``; none has a blank."""
+    size = stop - start + 1
+    ends = np.cumsum(size)
+    letters = np.frombuffer(data + b" ", np.uint8)[np.repeat(start - (ends - size), size) + np.arange(ends[-1])]
+    letters[ends - 1] = 32
+    return letters[:-1].tobytes().decode("utf-8", "replace").split(" ")
+
+
 _spellers: dict[str, Speller] = {}
 
 
@@ -134,9 +158,9 @@ def spelled(column: pa.Array, path: str) -> Iterator[Spelled]:
         bounds[-1] = len(part)
         hashes, start, stop = hash_words(part, WHITESPACE)
         distinct, example, which = np.unique(hashes, return_index=True, return_inverse=True)
-        low = _LOWER[part].tobytes()
+        low = part.tobytes().lower()  # of bytes: A-Z only
         start_of, stop_of = start[example], stop[example]
-        places, sizes = library.spell(distinct, lambda i, low=low, s=start_of, e=stop_of: low[s[i] : e[i]])
+        places, sizes = library.spell(distinct, lambda which, low=low, s=start_of, e=stop_of: _texts_at(low, s[which], e[which]))
         size = sizes[which]
         ends = np.cumsum(size)
         ids = library.pool[np.repeat(places[which] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
@@ -182,18 +206,23 @@ def attend(w: Weights, inputs: np.ndarray) -> tuple[np.ndarray, tuple]:
     """(state of each scored place, what the gradient needs) of windows of ``WINDOW`` classes."""
     x = np.take(w.E, inputs, axis=0)
     x += w.P
-    own = x[:, CONTEXT:]
-    q, k, v = own @ w.Q, x @ w.K, x @ w.V
-    a = q @ k.transpose(0, 2, 1)
-    a *= WIDTH**-0.5
-    if _largest(q) * _largest(k) > 2 * BOUND:  # too large for exp
+    own = np.ascontiguousarray(x[:, CONTEXT:])
+    asked, told = _rows(own, w.Q @ w.K.T * WIDTH**-0.5), _rows(x, w.V @ w.O)
+    a = asked @ x.transpose(0, 2, 1)
+    if too_large(asked, x, 2 * BOUND):  # too large for exp
         a += HIDDEN
         a -= a.max(2, keepdims=True)
     np.exp(a, out=a)
     a *= VISIBLE
-    a /= np.einsum("ijk->ij", a)[:, :, None]
-    seen = a @ v
-    return own + seen @ w.O, (x, own, q, k, v, a, seen)
+    mass = np.einsum("ijk->ij", a)[:, :, None]
+    seen = a @ told
+    seen /= mass
+    return own + seen, (x, own, asked, told, a, mass, seen)
+
+
+def _rows(x: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """``x @ matrix`` as one product."""
+    return (x.reshape(-1, x.shape[-1]) @ matrix).reshape(*x.shape[:-1], -1)
 
 
 @dataclass(frozen=True)
@@ -223,33 +252,47 @@ class Model:
     def log_probabilities(self, windows: np.ndarray) -> np.ndarray:
         """Natural log of the probability of the last ``STRIDE`` classes of windows of ``WINDOW + 1`` classes."""
         out = np.empty((len(windows), STRIDE))
-        state = attention(self.weights)
+        w, state = self.weights, attention(self.weights)
+        far = max(_largest(w.G.T), _largest(w.U.T))
+        places = np.arange(BATCH * STRIDE)
         for at in range(0, len(windows), STATES):
-            part = windows[at : at + STATES]
-            states = np.concatenate([state(part[k : k + BATCH, :-1]) for k in range(0, len(part), BATCH)])
-            logs = self._log_chances(states.reshape(-1, WIDTH), part[:, CONTEXT:-1].ravel(), part[:, CONTEXT + 1 :].ravel())
-            out[at : at + STATES] = logs.reshape(-1, STRIDE)
+            part = windows[at : at + STATES].astype(np.intp)
+            before, wanted = part[:, CONTEXT:-1].ravel(), part[:, CONTEXT + 1 :].ravel()
+            group = wanted // GROUP
+            states, got = np.empty((len(wanted), WIDTH), np.float32), np.empty(len(wanted), np.float32)
+            clips = False
+            for k in range(0, len(part), BATCH):
+                here = slice(k * STRIDE, min(k + BATCH, len(part)) * STRIDE)
+                some = states[here]
+                state(part[k : k + BATCH, :-1], some.reshape(-1, STRIDE, WIDTH))
+                clip = _at_most(some) * far > BOUND
+                clips |= clip
+                z = scaled(some, w.G, clip)
+                z *= np.take(self.groups, before[here], axis=0)
+                got[here] = z[places[: len(z)], group[here]]
+                got[here] /= np.einsum("ij->i", z)
+            got *= self._chances_inside(states, before, wanted, group, clips)
+            out[at : at + STATES] = np.log(got).reshape(-1, STRIDE)
         return out
 
-    def _log_chances(self, states: np.ndarray, before: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        w, place = self.weights, np.arange(len(states))
-        group = wanted // GROUP
-        z = scaled(states, w.G)
-        chances = self.groups[before]
-        got = z[place, group] * chances[place, group] / np.einsum("ij,ij->i", z, chances)
-        # The classes of one group at a time.
-        order = np.argsort(group.astype(np.int16), kind="stable")
-        ends = np.searchsorted(group[order], np.arange(len(self.groups[0]) + 1))
-        states, before, wanted = states[order], before[order], wanted[order]
-        within = self.pairs.reshape(len(self.pairs), -1, GROUP)
-        inside = np.empty(len(states), np.float32)
+    def _chances_inside(self, states: np.ndarray, before: np.ndarray, wanted: np.ndarray, group: np.ndarray, clip: bool) -> np.ndarray:
+        """Probabilities of the wanted classes within their groups; the places of one group are taken at a time."""
+        w, groups = self.weights, self.groups.shape[1]
+        order = np.argsort(group.astype(np.uint8 if groups <= 256 else np.int16), kind="stable")
+        sorted_group = group[order]
+        ends = np.searchsorted(sorted_group, np.arange(groups + 1))
+        states, rows, inside = np.take(states, order, axis=0), before[order] * groups + sorted_group, np.empty(len(order), np.float32)
+        chosen = np.arange(len(order)) * GROUP + wanted[order] - sorted_group * GROUP
+        table = self.pairs.reshape(-1, GROUP)
         for g in np.flatnonzero(np.diff(ends)):
             own = slice(ends[g], ends[g + 1])
-            z = scaled(states[own], w.U[:, g * GROUP : (g + 1) * GROUP])
-            z *= within[before[own], g]
-            inside[own] = z[np.arange(len(z)), wanted[own] - g * GROUP] / np.einsum("ij->i", z)
-        got[order] *= inside
-        return np.log(got)
+            z = scaled(states[own], w.U[:, g * GROUP : (g + 1) * GROUP], clip)
+            z *= np.take(table, rows[own], axis=0)
+            inside[own] = np.take(z, chosen[own] - ends[g] * GROUP)
+            inside[own] /= np.einsum("ij->i", z)
+        out = np.empty_like(inside)
+        out[order] = inside
+        return out
 
     def log_shares(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural log of each id's share of its class, after the class before it; 0 for an id with a class of its own."""
@@ -271,40 +314,53 @@ def _largest(rows: np.ndarray) -> float:
     return float(np.sqrt(np.einsum("...i,...i->...", rows, rows).max(initial=0)))
 
 
-def scaled(states: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """What the states multiply the pairs' probabilities by."""
+def _at_most(rows: np.ndarray) -> float:
+    """``_largest`` or more, sooner known."""
+    return float(max(rows.max(initial=0), -rows.min(initial=0))) * WIDTH**0.5
+
+
+def too_large(left: np.ndarray, right: np.ndarray, most: float) -> bool:
+    """Whether products of rows could be beyond ``most``."""
+    return _at_most(left) * _at_most(right) > most and _largest(left) * _largest(right) > most
+
+
+def scaled(states: np.ndarray, columns: np.ndarray, clip: bool) -> np.ndarray:
+    """What the states multiply the pairs' probabilities by; ``clip`` unless no logit can be beyond the bounds."""
     z = states @ columns
-    if _largest(states) * _largest(columns.T) > BOUND:
+    if clip:
         np.clip(z, -BOUND, BOUND, out=z)
     return np.exp(z, out=z)
 
 
 def attention(w: Weights):
     """``attend`` without what the gradient needs, from tables of what each class and each place add."""
-    d, root = WIDTH, np.float32(WIDTH**-0.5)
+    d = WIDTH
+    asks, tells = w.Q @ w.K.T * WIDTH**-0.5, w.V @ w.O
 
     def table(x: np.ndarray, one: int) -> np.ndarray:
-        return np.concatenate([x @ w.K, x @ w.V, np.full((len(x), 1), one, np.float32)], 1)
+        return np.concatenate([x, x @ tells, np.full((len(x), 1), one, np.float32)], 1)
 
     # The last column sums up the attention.
     seen_by_class, seen_by_place = table(w.E, 1), table(w.P, 0)
-    own_by_class, own_by_place = (np.concatenate([x @ w.Q * root, x], 1) for x in (w.E, w.P[CONTEXT:]))
+    own_by_class, own_by_place = w.E @ asks, w.P[CONTEXT:] @ asks
+    far = (_largest(own_by_class) + _largest(own_by_place)) * (_largest(w.E) + _largest(w.P))
 
-    def state(inputs: np.ndarray) -> np.ndarray:
+    def state(inputs: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
         seen = np.take(seen_by_class, inputs, axis=0)
         seen += seen_by_place
-        own = np.take(own_by_class, inputs[:, CONTEXT:], axis=0)
-        own += own_by_place
-        q, k = own[:, :, :d], seen[:, :, :d]
-        a = q @ k.transpose(0, 2, 1)
-        if _largest(q) * _largest(k) > 2 * BOUND:  # too large for exp
+        asked = np.take(own_by_class, inputs[:, CONTEXT:], axis=0)
+        asked += own_by_place
+        x = seen[:, :, :d]
+        a = asked @ x.transpose(0, 2, 1)
+        if far > 2 * BOUND and too_large(asked, x, 2 * BOUND):  # too large for exp
             a += HIDDEN
             a -= a.max(2, keepdims=True)
         np.exp(a, out=a)
         a *= VISIBLE
         mean = a @ seen[:, :, d:]
-        mean[:, :, :d] /= mean[:, :, d:]
-        return own[:, :, d:] + mean[:, :, :d] @ w.O
+        out = np.divide(mean[:, :, :d], mean[:, :, d:], out=out)
+        out += x[:, CONTEXT:]
+        return out
 
     return state
 
@@ -324,6 +380,20 @@ def class_windows(z: np.ndarray, fill: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW + 1)[::STRIDE]
 
 
+def texts_windows(z: np.ndarray, places: np.ndarray, fill: int) -> np.ndarray:
+    """``class_windows`` of consecutive texts that begin at ``places``; the last place is the end of ``z``."""
+    sizes = np.diff(places)
+    n = np.maximum(0, -(-(sizes - CONTEXT - 1) // STRIDE))
+    room = np.maximum(n * STRIDE + CONTEXT + 1, sizes)
+    at = np.cumsum(room) - room
+    padded = np.full(room.sum(), fill, z.dtype)
+    padded[np.repeat(at - places[:-1], sizes) + np.arange(len(z))] = z
+    if not n.any():
+        return np.zeros((0, WINDOW + 1), z.dtype)
+    first = np.repeat(at - STRIDE * (np.cumsum(n) - n), n) + STRIDE * np.arange(n.sum())
+    return np.lib.stride_tricks.sliding_window_view(padded, WINDOW + 1)[first]
+
+
 def train(blocks: Iterable[np.ndarray], pairs: np.ndarray, start: Weights | None = None, windows: int = SHARD, passes: int = 1,
           rate: float = 0.015, seed: int = 11) -> tuple[Weights, int]:
     """(weights moved by blocks of windows of classes, number of windows); -1 marks places behind a text's end, which don't count.
@@ -332,7 +402,11 @@ def train(blocks: Iterable[np.ndarray], pairs: np.ndarray, start: Weights | None
     """
     w = start or Weights.fresh(pairs.shape[1], seed)
     groups, names = grouped(pairs), list(Weights.__dataclass_fields__)
-    mean, square = ({n: np.zeros_like(getattr(w, n)) for n in names} for _ in range(2))
+    # All weights are one array, and those of ``w`` parts of it.
+    flat = np.concatenate([getattr(w, n).ravel() for n in names])
+    cuts = np.cumsum([0, *(getattr(w, n).size for n in names)])
+    w = Weights(**{n: flat[a:b].reshape(getattr(w, n).shape) for n, a, b in zip(names, cuts, cuts[1:], strict=False)})
+    mean, square = np.zeros_like(flat), np.zeros_like(flat)
     random, step, seen = np.random.default_rng(seed), 0, 0
     total = 1 + passes * -(-windows // STEP)
     for block in blocks:
@@ -341,49 +415,49 @@ def train(blocks: Iterable[np.ndarray], pairs: np.ndarray, start: Weights | None
             for at in range(0, len(order), STEP):
                 step += 1
                 grad = _gradient(w, block[order[at : at + STEP]], pairs, groups)
+                grad = np.concatenate([grad[n].ravel() for n in names])
                 now = rate * max(0.05, 1 - step / total)
-                moved = {}
-                for n in names:
-                    mean[n] += 0.1 * (grad[n] - mean[n])
-                    square[n] += 0.01 * (grad[n] ** 2 - square[n])
-                    move = mean[n] / (1 - 0.9**step) / (np.sqrt(square[n] / (1 - 0.99**step)) + 1e-8)
-                    moved[n] = (getattr(w, n) - now * move).astype(np.float32)
-                w = Weights(**moved)
+                mean += 0.1 * (grad - mean)
+                square += 0.01 * (grad**2 - square)
+                flat -= now * (mean / (1 - 0.9**step) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8))
     return w, seen
 
 
 def _gradient(w: Weights, part: np.ndarray, pairs: np.ndarray, groups: np.ndarray | None = None) -> dict[str, np.ndarray]:
-    whole = np.maximum(part, 0)
+    whole = np.maximum(part, 0).astype(np.intp)
     inputs, wanted = whole[:, :-1], whole[:, CONTEXT + 1 :].ravel()
     held = [attend(w, inputs[at : at + BATCH]) for at in range(0, len(inputs), BATCH)]
     states = np.concatenate([state for state, _ in held])
     d_states, out = _class_gradient(w, states.reshape(-1, WIDTH), inputs[:, CONTEXT:].ravel(), wanted, part[:, CONTEXT + 1 :].ravel() >= 0,
                                     pairs, grouped(pairs) if groups is None else groups)
     d_states = d_states.reshape(states.shape)
-    out |= {n: np.zeros_like(getattr(w, n)) for n in "EPQKVO"}
+    # Queries and keys meet in one matrix, values and outputs in another.
     root = WIDTH**-0.5
-    for at, (_, (x, own, q, k, v, a, seen)) in zip(range(0, len(inputs), BATCH), held, strict=True):
-        d_state = d_states[at : at + BATCH]
-        out["O"] += _product(seen, d_state)
-        d_seen = d_state @ w.O.T
-        d_v = a.transpose(0, 2, 1) @ d_seen
-        d_s = d_seen @ v.transpose(0, 2, 1)
-        d_s -= np.einsum("ijk,ijk->ij", d_s, a)[:, :, None]
+    asks, tells = w.Q @ w.K.T * root, w.V @ w.O
+    d_asks, d_tells = np.zeros_like(asks), np.zeros_like(tells)
+    d_x = np.empty((*inputs.shape, WIDTH), states.dtype)
+    for at, (_, (x, own, asked, told, a, mass, seen)) in zip(range(0, len(inputs), BATCH), held, strict=True):
+        d_state, d_here = d_states[at : at + BATCH], d_x[at : at + BATCH]
+        part_of = d_state / mass
+        d_told = a.transpose(0, 2, 1) @ part_of
+        d_s = part_of @ told.transpose(0, 2, 1)
+        d_s -= np.einsum("ijk,ijk->ij", part_of, seen)[:, :, None]
         d_s *= a
-        d_s *= root
-        d_q, d_k = d_s @ k, d_s.transpose(0, 2, 1) @ q
-        out["Q"] += _product(own, d_q)
-        out["K"] += _product(x, d_k)
-        out["V"] += _product(x, d_v)
-        d_x = d_k @ w.K.T
-        d_x += d_v @ w.V.T
-        d_x[:, CONTEXT:] += d_state
-        d_x[:, CONTEXT:] += d_q @ w.Q.T
-        out["P"] += np.einsum("ijk->jk", d_x)
-        here = inputs[at : at + BATCH].ravel()
-        order = np.argsort(here.astype(np.int16), kind="stable")
-        starts = np.flatnonzero(np.diff(here[order], prepend=-1))
-        out["E"][here[order[starts]]] += np.add.reduceat(d_x.reshape(-1, WIDTH)[order], starts)
+        d_asked = d_s @ x
+        d_asks += _product(own, d_asked)
+        d_tells += _product(x, d_told)
+        np.matmul(d_s.transpose(0, 2, 1), asked, out=d_here)
+        d_here += _rows(d_told, tells.T)
+        d_own = _rows(d_asked, asks.T)
+        d_own += d_state
+        d_here[:, CONTEXT:] += d_own
+    out |= {"Q": d_asks @ w.K * root, "K": d_asks.T @ w.Q * root, "V": d_tells @ w.O.T, "O": w.V.T @ d_tells, "P": np.einsum("ijk->jk", d_x)}
+    here = inputs.ravel()
+    order = np.argsort(here.astype(np.int16), kind="stable")
+    here = here[order]
+    starts = np.flatnonzero(np.diff(here, prepend=-1))
+    out["E"] = np.zeros_like(w.E)
+    out["E"][here[starts]] = np.add.reduceat(np.take(d_x.reshape(-1, WIDTH), order, axis=0), starts)
     return out
 
 
@@ -396,35 +470,36 @@ def _class_gradient(w: Weights, states: np.ndarray, before: np.ndarray, wanted:
                     groups: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Gradients by the states, and by ``G`` and ``U``."""
     # The places of one group stand together.
-    order = np.argsort((wanted // GROUP).astype(np.int16), kind="stable")
-    states, before, wanted = states[order], before[order], wanted[order]
-    group, place = wanted // GROUP, np.arange(len(wanted))
-    weight = (counts[order] / max(1, counts.sum())).astype(np.float32)[:, None]
-    p = scaled(states, w.G)
+    each = w.U.shape[1] // GROUP
+    group = wanted // GROUP
+    order = np.argsort(group.astype(np.uint8 if each <= 256 else np.int16), kind="stable")
+    states, before, wanted, group = np.take(states, order, axis=0), before[order], wanted[order], group[order]
+    place, far = np.arange(len(wanted)), _at_most(states)
+    weight = (counts[order] / max(1, counts.sum())).astype(np.float32)
+    p = scaled(states, w.G, far * _largest(w.G.T) > BOUND)
     p *= np.take(groups, before, axis=0)
-    p /= np.einsum("ij->i", p)[:, None]
-    p[place, group] -= 1
-    p *= weight
+    p *= (weight / np.einsum("ij->i", p))[:, None]
+    p[place, group] -= weight
     out = {"G": states.T @ p}
     d_states = p @ w.G.T
     # Within the wanted class's group only.
-    ends = np.searchsorted(group, np.arange(w.U.shape[1] // GROUP + 1))
-    found = [(slice(ends[g], ends[g + 1]), slice(g * GROUP, (g + 1) * GROUP)) for g in np.flatnonzero(np.diff(ends))]
+    ends = np.searchsorted(group, np.arange(each + 1)).tolist()
+    found = [(slice(a, b), slice(g * GROUP, (g + 1) * GROUP)) for g, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if a < b]
     p = np.empty((len(states), GROUP), w.U.dtype)
     for here, columns in found:
         np.matmul(states[here], w.U[:, columns], out=p[here])
-    if _largest(states) * _largest(w.U.T) > BOUND:
+    if far * _largest(w.U.T) > BOUND:
         np.clip(p, -BOUND, BOUND, out=p)
     np.exp(p, out=p)
-    p *= np.take(pairs.reshape(-1, GROUP), before * (w.U.shape[1] // GROUP) + group, axis=0)
-    p /= np.einsum("ij->i", p)[:, None]
-    p[place, wanted - group * GROUP] -= 1
-    p *= weight
+    p *= np.take(pairs.reshape(-1, GROUP), before * each + group, axis=0)
+    p *= (weight / np.einsum("ij->i", p))[:, None]
+    p[place, wanted - group * GROUP] -= weight
     out["U"] = np.zeros_like(w.U)
+    back = np.empty_like(d_states)
     for here, columns in found:
         out["U"][:, columns] = states[here].T @ p[here]
-        d_states[here] += p[here] @ w.U[:, columns].T
-    back = np.empty_like(d_states)
+        np.matmul(p[here], w.U[:, columns].T, out=back[here])
+    d_states += back
     back[order] = d_states
     return back, out
 
@@ -587,9 +662,8 @@ def _moved(texts: DataFrame, classes: np.ndarray, pairs: np.ndarray, start: Weig
             for batch in batches:
                 for first in range(0, batch.num_rows, ROWS):
                     ids, places = _texts_ids(batch.column(0).slice(first, ROWS))
-                    made = [class_windows(number[ids[a:b]], -1) for a, b in zip(places, places[1:], strict=False)]
-                    held += made
-                    n += sum(map(len, made))
+                    held.append(texts_windows(np.take(number, ids), places, -1))
+                    n += len(held[-1])
                     if n >= block:
                         yield np.concatenate(held)
                         held, n = [], 0
@@ -705,15 +779,15 @@ def score_batches(batches: Iterator[pa.RecordBatch], model: Model, head: tuple[n
                     yield _row_batch(batch, part.first, total[None], [np.concatenate([r for r, _ in rare])], [np.concatenate([t for _, t in rare])], names)
                     rest, total, rare = lead, np.zeros(4), []
                 continue
-            sums = np.zeros(texts)
-            held, of = [], []
-            for i, (a, b) in enumerate(zip(ends - part.lengths, ends, strict=True)):
-                held.append(class_windows(np.concatenate([lead, classes[a:b], [model.end]]).astype(np.int32), -1))
-                of.append(len(held[-1]))
-            windows = np.concatenate(held)
+            places = np.append(0, np.cumsum(part.lengths + CONTEXT + 2))
+            z = np.full(places[-1], model.start, np.int32)
+            z[places[1:] - 1] = model.end
+            z[np.repeat(places[:-1] + CONTEXT + 1 - (ends - part.lengths), part.lengths) + np.arange(len(classes))] = classes
+            windows = texts_windows(z, places, -1)
+            of = -(-(part.lengths + 1) // STRIDE)
             logs = model.log_probabilities(np.maximum(windows, 0))
             logs[windows[:, CONTEXT + 1 :] < 0] = 0
-            sums += np.bincount(np.repeat(np.arange(texts), of), logs.sum(1), texts) + shares
+            sums = np.bincount(np.repeat(np.arange(texts), of), logs.sum(1), texts) + shares
             cuts = list(zip(tail_cuts, tail_cuts[1:], strict=False))
             yield _row_batch(batch, part.first, np.stack([part.words, known, base, sums], 1),
                              [tail_words[a:b] for a, b in cuts], [times[a:b] for a, b in cuts], names)

@@ -146,6 +146,52 @@ def test_spelling_is_the_librarys_whatever_the_slices(monkeypatch, slice_bytes):
     assert [words.get(i, 0) for i in range(len(texts))] == [len(words_of(t)) for t in texts]
 
 
+def test_words_are_looked_up_together(monkeypatch):
+    # Also when the memo starts anew in between, and when its latest words join the others.
+    texts = [f"wort{i} Ünïcode{i} x" for i in range(50)]
+    plain = {h: ids for h, ids in zip(range(100, 150), ([i for w in words_of(t) for i in ids_of(w)] for t in texts), strict=True)}
+    for memo in (20, 1000):
+        monkeypatch.setattr(lm, "MEMO", memo)
+        library, asked = lm.Speller(PATH), []
+
+        def words(which, part):
+            asked.append(len(which))
+            return [texts[part[i] - 100].lower().split(" ")[0] for i in which]
+
+        for part in (range(100, 130), range(110, 150), range(100, 150)):
+            hashes = np.array(part, np.uint64)
+            places, sizes = library.spell(hashes, lambda which, part=part: words(which, part))
+            for h, place, size in zip(part, places, sizes, strict=True):
+                word = texts[h - 100].lower().split(" ")[0]
+                assert library.pool[place : place + size].tolist() == ids_of(word) == plain[h][:size]
+        assert asked == ([30, 40, 50] if memo == 20 else [30, 20])
+
+
+def test_windows_of_many_texts_are_those_of_each():
+    random = np.random.default_rng(5)
+    texts = [random.integers(0, 9, lm.CONTEXT + 2 + n).astype(np.int32) for n in (0, 23, 24, 25, 0, 100, 1)]
+    places = np.append(0, np.cumsum([len(t) for t in texts]))
+    each = np.concatenate([lm.class_windows(t, -1) for t in texts])
+    assert np.array_equal(lm.texts_windows(np.concatenate(texts), places, -1), each)
+
+
+def test_training_moves_each_weight_by_its_own_gradient():
+    k, random = 2 * lm.GROUP, np.random.default_rng(4)
+    block = random.integers(0, k, (lm.STEP, lm.WINDOW + 1)).astype(np.int32)
+    pairs = random.random((k + 1, k)).astype(np.float32) + 0.1
+    start = lm.Weights.fresh(k, 4)
+    kept = {n: v.copy() for n, v in vars(start).items()}
+    moved, n = lm.train([block], pairs, start, len(block))
+    assert n == len(block)
+    grad = lm._gradient(start, block[np.random.default_rng(11).permutation(len(block))], pairs)
+    for name, was in kept.items():
+        assert np.array_equal(getattr(start, name), was)
+        g = grad[name]
+        want = was - 0.015 * (1 - 1 / 2) * g / (np.abs(g) + 1e-8)
+        clear = np.abs(g) > 1e-5
+        assert getattr(moved, name)[clear] == pytest.approx(want[clear], abs=1e-4), name
+
+
 def base_scores(rows):
     """n_tokens, n_known, train_tokens, base_score by counting whole words as text."""
     train = Counter()
